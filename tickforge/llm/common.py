@@ -7,15 +7,11 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-#: Distinct words a Python worker remembers before it forgets them all.
-WORD_CACHE = 300_000
-
 
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and name a checkpoint folder where none is set."""
@@ -53,19 +49,6 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > WORD_CACHE:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 
@@ -80,3 +63,78 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
         h = (h ^ (h >> _SHIFT)) * _MULTIPLY + words[j : j + n]
     h = (h ^ (h >> _SHIFT)) * _MULTIPLY
     return h ^ (h >> np.uint64(32))
+
+
+SPACE = b" \t\n\v\f\r"
+#: Bytes hashed at once; a longer text is cut between words.
+_SLICE = 2 << 20
+
+
+def _byte_values(fold: bool) -> np.ndarray:
+    """A 64-bit value for each byte, by the splitmix steps; 0 for white space, and A-Z as a-z if folded."""
+    x = np.arange(1, 257, dtype=np.uint64) * _MULTIPLY
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    if fold:
+        x[65:91] = x[97:123]
+    x[list(SPACE)] = 0
+    return x
+
+
+_VALUES = {fold: _byte_values(fold) for fold in (False, True)}
+_IS_SPACE = np.isin(np.arange(256), list(SPACE))
+_BASE = 0xD6E8FEB86659FD93
+_POWERS: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _POWERS[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+    return _POWERS
+
+
+def _slice_hashes(buf: bytes, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of a text that ends in white space."""
+    at = np.frombuffer(buf, np.uint8)
+    edges = np.flatnonzero(np.diff(_IS_SPACE[at].view(np.int8), prepend=np.int8(1)))
+    starts, ends = edges[0::2], edges[1::2]
+    power, inverse = _powers(len(at))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(values[at] * power[: len(at)])])
+    h = (sums[ends] - sums[starts]) * inverse[starts]
+    h = (h ^ (h >> _SHIFT)) * _MULTIPLY
+    return h ^ (h >> np.uint64(32)), starts
+
+
+def word_hashes(texts: list[bytes], fold: bool = False) -> list[np.ndarray]:
+    """For each text the 64-bit hashes of its words, runs of bytes that aren't ASCII white space; fold: A-Z count as a-z.
+
+    A word's hash is a polynomial over its bytes, taken for all words at once from running sums.
+    """
+    values, out, k = _VALUES[fold], [], 0
+    while k < len(texts):
+        if len(texts[k]) > _SLICE:
+            parts, rest = [], memoryview(texts[k])
+            while len(rest):
+                cut_at = len(rest)
+                if cut_at > _SLICE:
+                    part = bytes(rest[:_SLICE])
+                    cut_at = max(part.rfind(bytes([c])) for c in SPACE) + 1
+                    if not cut_at:  # one word longer than a slice
+                        found = np.flatnonzero(_IS_SPACE[np.frombuffer(rest, np.uint8)])
+                        cut_at = int(found[0]) + 1 if len(found) else len(rest)
+                parts.append(_slice_hashes(bytes(rest[:cut_at]) + b"\n", values)[0])
+                rest = rest[cut_at:]
+            out.append(np.concatenate(parts))
+            k += 1
+            continue
+        first, size = k, 0
+        while k < len(texts) and size + len(texts[k]) <= _SLICE:
+            size += len(texts[k]) + 1
+            k += 1
+        hashes, starts = _slice_hashes(b"\n".join(texts[first:k]) + b"\n", values)
+        ends = np.cumsum([len(x) + 1 for x in texts[first:k]])
+        out += np.split(hashes, np.searchsorted(starts, ends)[:-1])
+    return out

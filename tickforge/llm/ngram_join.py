@@ -4,11 +4,13 @@ Plan
 1. Every set is an ordered array of 63-bit n-gram hashes; n-grams that very many documents have (a list of bounded
    length) carry the top bit and so come last. Two sets that link share an n-gram among the first
    n - ceil(0.8 n) + 1 of each (the prefix filter).
-2. Equal sets become one representative. Prefix n-grams with a single holder are dropped by a count; of each
-   other n-gram, all holders go to the group of its least holder. A pair that links thus meets in some group,
-   and copies that share a hundred n-grams meet about once.
+2. Equal sets become one representative. Prefix n-grams with a single holder are dropped; of each other n-gram,
+   all holders go to the group of its least holder. A pair that links thus meets in some group, and copies that
+   share a hundred n-grams meet about once.
 3. A task stores a group's sets in a trie and walks it with each set, sharing partial overlaps along common paths and
    pruning subtrees whose remaining lengths can't reach the threshold. Sets that are already connected aren't compared.
+   First the tries hold prefixes alone, which splits groups that have just a passage in common; the whole sets of
+   what may link follow.
 4. Groups over BLOCK sets are dealt out in blocks, each with the group's least document; what is not connected then
    is compared block against block, save blocks that lie in one component.
 5. The links span the components, which alternating star steps reduce to their least document.
@@ -21,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import WordHash, cut, prepare, texts_of, window_hashes
+from tickforge.llm.common import cut, partitions, prepare, texts_of, window_hashes, word_hashes
 from tickforge.llm.components import connected
 
 NGRAM, PERCENT = 5, 80
@@ -36,10 +38,10 @@ _LAST, _LOW = np.uint64(1 << 63), np.uint64((1 << 63) - 1)
 _BITMAP = 1 << 22
 
 
-def gram_set(raw: bytes, hashes: WordHash, size: int = NGRAM) -> np.ndarray:
-    """The sorted distinct n-gram hashes; a shorter text is one n-gram, one without words none."""
-    ids = hashes.of(raw.lower().split())
-    return np.unique(window_hashes(ids, min(size, len(ids))) & _LOW)
+def gram_lists(texts: list[bytes], size: int = NGRAM) -> Iterator[np.ndarray]:
+    """The n-gram hashes of each text; a shorter text is one n-gram, one without words none."""
+    for ids in word_hashes(texts, fold=True):
+        yield window_hashes(ids, min(size, len(ids))) & _LOW
 
 
 def ordered(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -62,7 +64,7 @@ def frequent_grams(docs: DataFrame, size: int = NGRAM, most: int = FREQUENT, at_
     """The n-grams that occur most, at most `most` of them, counted over all documents where they repeat within a run of texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n = WordHash(), [], 0
+        held, n = [], 0
 
         def counted() -> pa.RecordBatch:
             grams, times = np.unique(np.concatenate(held), return_counts=True)
@@ -70,9 +72,9 @@ def frequent_grams(docs: DataFrame, size: int = NGRAM, most: int = FREQUENT, at_
             return pa.RecordBatch.from_arrays([pa.array(grams[many].view(np.int64)), pa.array(times[many])], names=["g", "n"])
 
         for batch in batches:
-            for raw in texts_of(batch):
-                held.append(gram_set(raw, hashes, size))
-                n += len(held[-1])
+            for grams in gram_lists(texts_of(batch), size):
+                held.append(grams)
+                n += len(grams)
                 if n > 4_000_000:
                     yield counted()
                     held, n = [], 0
@@ -88,19 +90,30 @@ def prefixes(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
     """doc_id, n, digest of the set, and its prefix n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for batch in batches:
-            ns, digests, parts = [], [], []
-            for raw in texts_of(batch):
-                grams = ordered(gram_set(raw, hashes, size), frequent.value)
+            ns, digests, heads = [], [], []
+            for grams in gram_lists(texts_of(batch), size):
+                grams = ordered(np.unique(grams), frequent.value)
                 ns.append(len(grams))
                 digests.append(xxhash.xxh3_128_digest(grams.tobytes()))
-                parts.append(grams[: len(grams) - (percent * len(grams) + 99) // 100 + 1].view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-            values = np.concatenate(parts) if parts else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "n", "digest", "grams"])
+                heads.append(grams[: len(grams) - (percent * len(grams) + 99) // 100 + 1].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(heads, pa.binary())], names=["doc_id", "n", "digest", "grams"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, grams array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, grams binary")
+
+
+def exploded(heads: DataFrame) -> DataFrame:
+    """doc_id and g, a row for each n-gram of the packed arrays in heads (doc_id, grams)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = batch.column("grams").to_pylist()
+            ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(x) // 8 for x in raws])
+            grams = np.frombuffer(b"".join(raws), np.int64)
+            for i in range(0, len(ids), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + (1 << 18)]), pa.array(grams[i : i + (1 << 18)])], names=["doc_id", "g"])
+
+    return heads.select("doc_id", "grams").mapInArrow(run, "doc_id long, g long")
 
 
 def bitmap(ids: DataFrame) -> np.ndarray:
@@ -116,84 +129,89 @@ def sets_of(docs: DataFrame, wanted, frequent, size: int) -> DataFrame:
     """doc_id and whole ordered set of the documents that pass the filter `wanted`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = WordHash(), wanted.value
+        bits = wanted.value
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             slot = ids % _BITMAP
             batch = batch.filter(pa.array((bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1))
-            grams = [ordered(gram_set(raw, hashes, size), frequent.value).tobytes() for raw in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(grams, pa.binary())], names=["doc_id", "grams"])
+            grams = [ordered(np.unique(x), frequent.value) for x in gram_lists(texts_of(batch), size)]
+            ns, raws = [len(x) for x in grams], [x.tobytes() for x in grams]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(raws, pa.binary())], names=["doc_id", "n", "grams"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, grams binary")
+    return rows.mapInArrow(run, "doc_id long, n long, grams binary")
 
 
 class _Node:
-    """A compressed path of n-grams. lo and hi bound the sizes of the sets below; ids end here."""
+    """A compressed path of n-grams. lo and hi bound the sizes of the sets below; (id, size) of those that end here."""
 
-    __slots__ = ("run", "children", "ids", "lo", "hi")
+    __slots__ = ("run", "children", "ends", "lo", "hi")
 
-    def __init__(self, run: np.ndarray, n: int):
-        self.run, self.children, self.ids, self.lo, self.hi = run, {}, [], n, n
+    def __init__(self, run: np.ndarray, lo: int, hi: int):
+        self.run, self.children, self.ends, self.lo, self.hi = run, {}, [], lo, hi
 
 
 class PrefixTree:
-    """A trie of ordered n-gram sets that finds, for a set, all stored ones with enough in common."""
+    """A trie of ordered n-gram sets, whole or just their first part, that finds those a set may link with.
+
+    Of whole sets it finds exactly the links; of first parts all pairs that may link, from what they have in common
+    up to the smaller of the two last n-grams and what is left of either set beyond it.
+    """
 
     def __init__(self, percent: int = PERCENT):
-        self.percent, self.root = percent, _Node(np.empty(0, np.uint64), 0)
-        self.root.lo = 1 << 62
+        self.percent, self.root = percent, _Node(np.empty(0, np.uint64), 1 << 62, 0)
 
-    def insert(self, id: int, grams: np.ndarray) -> None:
-        n, at, node = len(grams), 0, self.root
+    def insert(self, id: int, grams: np.ndarray, n: int) -> None:
+        at, node = 0, self.root
         while True:
             node.lo, node.hi = min(node.lo, n), max(node.hi, n)
-            if at == n:
-                node.ids.append(id)
+            if at == len(grams):
+                node.ends.append((id, n))
                 return
             child = node.children.get(grams[at])
             if child is None:
-                node.children[grams[at]] = child = _Node(grams[at:], n)
-                child.ids.append(id)
+                node.children[grams[at]] = child = _Node(grams[at:], n, n)
+                child.ends.append((id, n))
                 return
             run, rest = child.run, grams[at:]
             m = min(len(run), len(rest))
             differ = np.flatnonzero(run[:m] != rest[:m])
             same = int(differ[0]) if len(differ) else m
             if same < len(run):
-                middle = _Node(run[:same], n)
-                middle.lo, middle.hi = child.lo, child.hi
+                middle = _Node(run[:same], child.lo, child.hi)
                 child.run = run[same:]
                 middle.children[child.run[0]] = child
                 node.children[run[0]] = child = middle
             node, at = child, at + same
 
-    def partners(self, grams: np.ndarray, skip) -> Iterator[int]:
-        """Ids of stored sets that link with this one; skip(id) says that it needn't be told."""
-        n = len(grams)
-        todo = [(self.root, 0, 0, 0)]  # node, n-grams on the path before it, of these in common, place in grams reached
+    def partners(self, grams: np.ndarray, n: int, skip) -> Iterator[int]:
+        """Ids of stored sets that (may) link with this one of size n; skip(id) says that it needn't be told."""
+        last, shown = grams[-1], len(grams)
+        least = -(-self.percent * n // 100)
+        todo = [(self.root, 0, 0, 0, 0)]  # node; on the path before it: n-grams, those in common, those up to last; place in grams reached
         while todo:
-            node, depth, common, reached = todo.pop()
-            if node.lo * self.percent > 100 * n or node.hi * 100 < self.percent * n:
+            node, depth, common, below, reached = todo.pop()
+            if node.lo * self.percent > 100 * n or node.hi < least:
                 continue
-            need = least_overlap(n, max(node.lo, -(-self.percent * n // 100)), self.percent)
-            if common + min(n - reached, node.hi - depth) < need:
+            if common + min(n - reached, node.hi - depth) < least_overlap(n, max(node.lo, least), self.percent):
                 continue
-            if not node.children and all(map(skip, node.ids)):
+            if not node.children and all(skip(x) for x, _ in node.ends):
                 continue
             run = node.run
             if len(run):
                 place = np.searchsorted(grams, run)
-                inside = place < n
+                inside = place < shown
                 common += int(np.count_nonzero(grams[place[inside]] == run[inside]))
-                reached = max(reached, int(np.searchsorted(grams, run[-1], "right")))
+                reached = int(np.searchsorted(grams, run[-1], "right"))
+                below += len(run) if run[-1] <= last else int(np.searchsorted(run, last, "right"))
                 depth += len(run)
-            if node.ids and common >= least_overlap(n, depth, self.percent):
-                yield from (x for x in node.ids if not skip(x))
-            todo += [(x, depth, common, reached) for x in node.children.values()]
+            for x, m in node.ends:
+                if common + min(n - reached, m - below) >= least_overlap(n, m, self.percent) and not skip(x):
+                    yield x
+            todo += [(x, depth, common, below, reached) for x in node.children.values()]
 
 
-def _linked(sets: list[tuple[int, np.ndarray]], known: dict[int, int], percent: int) -> list[tuple[int, int]]:
+def _linked(sets: list[tuple[int, np.ndarray, int]], known: dict[int, int], percent: int) -> list[tuple[int, int]]:
     """(document, least document) for what the sets' links connect; known: components found before."""
     up: dict[int, int] = {}
 
@@ -205,28 +223,50 @@ def _linked(sets: list[tuple[int, np.ndarray]], known: dict[int, int], percent:
         return x
 
     tree = PrefixTree(percent)
-    for id, grams in sorted(sets, key=lambda x: (len(x[1]), x[0])):
-        own = top(id)
-        for other in tree.partners(grams, lambda x: top(x) == top(id)):
+    for id, grams, n in sorted(sets, key=lambda x: (x[2], x[0])):
+        for other in tree.partners(grams, n, lambda x: top(x) == top(id)):
             a, b = top(other), top(id)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-        tree.insert(id, grams)
-        del own
-    ends = {known.get(id, id) for id, _ in sets}
+            up[max(a, b)] = min(a, b)
+        tree.insert(id, grams, n)
+    ends = {known.get(id, id) for id, _, _ in sets}
     return [(x, top(x)) for x in ends if top(x) != x]
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Runs of rows with equal first columns, of sorted batches."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[0][:keys] != row[:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
 def _tries(members: DataFrame, sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links (a, b) within each group of members (keys, doc_id, comp)."""
+    """Links (a, b), b the least of what is connected, within each group (keys) of members (keys, doc_id, comp); sets: doc_id, n, grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
 
-    def run(rows: pa.Table) -> pa.Table:
-        ids, comps = rows.column("doc_id").to_pylist(), rows.column("comp").to_pylist()
-        held = {(i, g): np.frombuffer(g, np.uint64) for i, g in zip(ids, rows.column("grams").to_pylist())}
-        found = _linked([(i, g) for (i, _), g in held.items()], dict(zip(ids, comps)), percent)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        def batch_of() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a.clear(), b.clear()
+            return out
 
-    return members.join(sets, "doc_id").groupBy(*keys).applyInArrow(run, "a long, b long")
+        for rows in _groups(batches, len(keys)):
+            rows = {(x[-4], x[-1]): x[-4:] for x in rows}.values()
+            known = {id: comp for id, comp, _, _ in rows}
+            for x, y in _linked([(id, np.frombuffer(g, np.uint64), n) for id, _, n, g in rows], known, percent):
+                a.append(x), b.append(y)
+            if len(a) > 10_000:
+                yield batch_of()
+        yield batch_of()
+
+    rows = members.join(sets, "doc_id").select(*keys, "doc_id", "comp", "n", "grams")
+    return rows.repartition(partitions(members), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def similar(docs: DataFrame, size: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -243,23 +283,27 @@ def similar(docs: DataFrame, size: int = NGRAM, percent: int = PERCENT) -> DataF
     real = every.where("n > 0 and doc_id is not null")
     reps = real.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     kept = real.join(reps.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
-    postings = kept.select("doc_id", F.explode("grams").alias("g"))
-    shared = postings.groupBy("g").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("most")).where("leader < most").select("g", "leader")
-    pairs = cut(postings.join(shared, "g").where("doc_id <> leader").select("leader", "doc_id").distinct())
-    members = pairs.unionByName(pairs.select("leader", F.col("leader").alias("doc_id")).distinct())
-    wanted = spark.sparkContext.broadcast(bitmap(members.select("doc_id")))
-    sets = sets_of(docs, wanted, frequent, size)
+    postings = exploded(kept)
+    holders = Window.partitionBy("g")
+    shared = postings.withColumns({"leader": F.min("doc_id").over(holders), "most": F.max("doc_id").over(holders)}).where("leader < most and doc_id <> leader")
+    pairs = cut(shared.select("leader", "doc_id").distinct())
     sizes = pairs.groupBy("leader").agg(F.ceil((F.count("*") + 1) / F.lit(BLOCK)).alias("blocks"))
     dealt = pairs.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     led = sizes.select("leader", F.col("leader").alias("doc_id"), "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    blocks = dealt.unionByName(led)
-    first = _tries(blocks.select("leader", "block", "doc_id", F.col("doc_id").alias("comp")), sets, ["leader", "block"], percent)
-    links = cut(first.distinct())
-    large = dealt.where("blocks > 1").select("leader", "doc_id", "blocks", "block")
-    large = cut(large)
+    blocks = cut(dealt.unionByName(led))
+    own = F.col("doc_id").alias("comp")
+    heads = every.select("doc_id", "n", "grams")
+    likely = cut(_tries(blocks.where("blocks = 1").select("leader", "doc_id", own), heads, ["leader"], percent).distinct())
+    refined = likely.select(F.col("b").alias("leader"), F.lit(0).cast("long").alias("block"), F.col("a").alias("doc_id"))
+    refined = refined.unionByName(refined.select("leader", "block", F.col("leader").alias("doc_id")).distinct())
+    large = blocks.where("blocks > 1")
+    refined = refined.unionByName(large.select("leader", "block", "doc_id")).distinct()
+    wanted = spark.sparkContext.broadcast(bitmap(refined.select("doc_id")))
+    sets = sets_of(docs, wanted, frequent, size)
+    links = cut(_tries(refined.select("leader", "block", "doc_id", own), sets, ["leader", "block"], percent).distinct())
     if not large.isEmpty():
         comps = connected(links)
-        seen = large.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+        seen = large.where("doc_id <> leader").join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
         pairwise = seen.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block")
         pairwise = pairwise.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
         mixed = pairwise.groupBy("leader", "i", "j").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c < d").select("leader", "i", "j")

@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import WordHash, prepare, texts_of, window_hashes
+from tickforge.llm.common import SPACE, prepare, texts_of, window_hashes, word_hashes
 
 #: Rows of the sample that orders the rules; the order changes the work, never a verdict.
 SAMPLE_ROWS = 500
-SYMBOLS, SPACE = b"#*$%&|<>", b" \t\n\v\f\r"
+SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 _UPPER, _ALPHA = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 _TAIL = bytes(range(0x80, 0xC0))
@@ -24,16 +24,14 @@ _TAIL = bytes(range(0x80, 0xC0))
 class Text:
     """A text and what rules ask of it, each computed once and only if asked."""
 
-    def __init__(self, raw: bytes, hashes: WordHash):
-        self.raw, self._hashes = raw, hashes
-
-    @cached_property
-    def words(self) -> list[bytes]:
-        return self.raw.split()
+    def __init__(self, raw: bytes, word_ids: np.ndarray | None = None):
+        self.raw = raw
+        if word_ids is not None:
+            self.word_ids = word_ids
 
     @cached_property
     def n_words(self) -> int:
-        return len(self.words)
+        return len(self.word_ids)
 
     @cached_property
     def word_chars(self) -> int:
@@ -61,7 +59,7 @@ class Text:
 
     @cached_property
     def word_ids(self) -> np.ndarray:
-        return self._hashes.of(self.words)
+        return word_hashes([self.raw])[0]
 
     @cached_property
     def n_repeat_words(self) -> int:
@@ -97,7 +95,7 @@ RULES: dict[str, Callable[[Text], bool]] = {
     "word_length": lambda t: not 2 * t.n_words <= t.word_chars <= 15 * t.n_words,
     "capitals": lambda t: 100 * t.n_upper > 30 * len(t.raw),
     "few_letters": lambda t: 100 * t.n_alpha < 60 * len(t.raw.translate(None, SPACE)),
-    "few_distinct_words": lambda t: 100 * len(set(t.words)) < 5 * min(t.n_words, 1000),
+    "few_distinct_words": lambda t: 100 * len(np.unique(t.word_ids)) < 5 * min(t.n_words, 1000),
 }
 
 
@@ -106,14 +104,14 @@ def cascade(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str,
     prepare(docs.sparkSession)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, hashes = 0, WordHash()
+        rows = 0
         spent, hits = dict.fromkeys(RULES, 0.0), dict.fromkeys(RULES, 0)
         for batch in batches:
             for raw in texts_of(batch):
                 rows += 1
                 for name, rule in RULES.items():
                     began = time.perf_counter()
-                    hits[name] += rule(Text(raw, hashes))
+                    hits[name] += rule(Text(raw))
                     spent[name] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"rule": list(RULES), "n": [rows] * len(RULES), "s": list(spent.values()), "hits": list(hits.values())})
 
@@ -139,11 +137,10 @@ def measure_quality(docs: DataFrame) -> DataFrame:
     order = [RULES[name] for name, _, _ in cascade(docs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for batch in batches:
             out = []
-            for raw in texts_of(batch):
-                t = Text(raw, hashes)
+            raws = texts_of(batch)
+            for t in map(Text, raws, word_hashes(raws)):
                 failed = RULES["too_few_words"](t) or RULES["repeated_passages"](t)
                 out.append((t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed, not failed and _verdict(t, order)))
             cols = list(zip(*out)) or [()] * 7
@@ -159,8 +156,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     order = [RULES[name] for name, _, _ in cascade(docs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for batch in batches:
-            yield batch.filter(pa.array([_verdict(Text(raw, hashes), order) for raw in texts_of(batch)], pa.bool_()))
+            raws = texts_of(batch)
+            yield batch.filter(pa.array([_verdict(t, order) for t in map(Text, raws, word_hashes(raws))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
