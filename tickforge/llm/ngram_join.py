@@ -4,8 +4,9 @@ Plan
 1. Every set is an ordered array of 63-bit n-gram hashes; n-grams that very many documents have (a list of bounded
    length) carry the top bit and so come last. Two sets that link share an n-gram among the first
    n - ceil(0.8 n) + 1 of each (the prefix filter).
-2. Equal sets become one representative. Prefix n-grams with a single holder are dropped; of each other n-gram,
-   all holders go to the group of its least holder. A pair that links thus meets in some group, and copies that
+2. Equal sets become one representative. The holders of a prefix n-gram, in order of size, fall into runs whose
+   neighbours differ by less than the threshold (the length filter); a holder alone in its run is dropped, the
+   others go to the group of the run's least holder. A pair that links thus meets in some group, and copies that
    share a hundred n-grams meet about once.
 3. A task stores a group's sets in a trie and walks it with each set, sharing partial overlaps along common paths and
    pruning subtrees whose remaining lengths can't reach the threshold. Sets that are already connected aren't compared.
@@ -33,7 +34,7 @@ NGRAM, PERCENT = 5, 80
 #: Sets of a group that one task holds at once.
 BLOCK = 400
 #: The most n-grams that are put last for being frequent, 8 bytes each; any number gives the same result.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 19
 _LAST, _LOW = np.uint64(1 << 63), np.uint64((1 << 63) - 1)
 _BITMAP = 1 << 22
 
@@ -60,15 +61,18 @@ def least_overlap(n: int, m: int, percent: int = PERCENT) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def frequent_grams(docs: DataFrame, size: int = NGRAM, most: int = FREQUENT, at_least: int = 32) -> np.ndarray:
-    """The n-grams that occur most, at most `most` of them, counted over all documents where they repeat within a run of texts."""
+def frequent_grams(docs: DataFrame, size: int = NGRAM, most: int = FREQUENT, at_least: int = 8) -> np.ndarray:
+    """The n-grams that occur most, at most `most` of them, counted over all documents where they repeat within a run of texts.
+
+    A text that a task has had before doesn't count again: copies would fill the list with their own n-grams.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, seen = [], 0, set()
 
         def counted() -> pa.RecordBatch:
             grams, times = np.unique(np.concatenate(held), return_counts=True)
-            many = times >= 4
+            many = times >= 3
             return pa.RecordBatch.from_arrays([pa.array(grams[many].view(np.int64)), pa.array(times[many])], names=["g", "n"])
 
         for batch in batches:
@@ -77,7 +81,7 @@ def frequent_grams(docs: DataFrame, size: int = NGRAM, most: int = FREQUENT, at_
                 n += len(grams)
                 if n > 4_000_000:
                     yield counted()
-                    held, n = [], 0
+                    held, n, seen = [], 0, set()
         if held:
             yield counted()
 
@@ -103,17 +107,18 @@ def prefixes(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
 
 
 def exploded(heads: DataFrame) -> DataFrame:
-    """doc_id and g, a row for each n-gram of the packed arrays in heads (doc_id, grams)."""
+    """doc_id, n and g, a row for each n-gram of the packed arrays in heads (doc_id, n, grams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = batch.column("grams").to_pylist()
-            ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(x) // 8 for x in raws])
+            times = [len(x) // 8 for x in raws]
+            ids, ns = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), times) for c in ("doc_id", "n"))
             grams = np.frombuffer(b"".join(raws), np.int64)
             for i in range(0, len(ids), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + (1 << 18)]), pa.array(grams[i : i + (1 << 18)])], names=["doc_id", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 18)]) for x in (ids, ns, grams)], names=["doc_id", "n", "g"])
 
-    return heads.select("doc_id", "grams").mapInArrow(run, "doc_id long, g long")
+    return heads.select("doc_id", "n", "grams").mapInArrow(run, "doc_id long, n long, g long")
 
 
 def bitmap(ids: DataFrame) -> np.ndarray:
@@ -284,8 +289,11 @@ def similar(docs: DataFrame, size: int = NGRAM, percent: int = PERCENT) -> DataF
     reps = real.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     kept = real.join(reps.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
     postings = exploded(kept)
-    holders = Window.partitionBy("g")
-    shared = postings.withColumns({"leader": F.min("doc_id").over(holders), "most": F.max("doc_id").over(holders)}).where("leader < most and doc_id <> leader")
+    by_size = Window.partitionBy("g").orderBy("n", "doc_id")
+    far = lambda a, b: ~F.coalesce(a * 100 >= b * percent, F.lit(False))
+    near = postings.withColumns({"below": far(F.lag("n").over(by_size), F.col("n")), "above": far(F.col("n"), F.lead("n").over(by_size))}).where("not (below and above)")
+    runs = near.withColumn("run", F.sum(F.col("below").cast("int")).over(by_size))
+    shared = runs.withColumn("leader", F.min("doc_id").over(Window.partitionBy("g", "run"))).where("doc_id <> leader")
     pairs = cut(shared.select("leader", "doc_id").distinct())
     sizes = pairs.groupBy("leader").agg(F.ceil((F.count("*") + 1) / F.lit(BLOCK)).alias("blocks"))
     dealt = pairs.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
