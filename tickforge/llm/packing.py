@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -10,14 +11,13 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from tickforge.llm.common import cut, prepare
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CAPACITY = 2048
 #: Pieces that one task packs together, on average.
 GROUP = 8192
@@ -28,54 +28,43 @@ PAIRED = 8
 END = np.array([0], "<u4").tobytes()
 
 
-class PieceIds(dict):
-    """Token ids, as little-endian bytes, of the words into which the vocabulary's pattern splits a text."""
+class Encoder:
+    """Token ids, as little-endian bytes. The rank file holds the vocabulary of byte_bpe_50k.json, and gives its ids."""
 
-    def __init__(self, path: str = TOKENIZER, remembered: int = 300_000):
-        super().__init__()
-        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
-        self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+    def __init__(self, path: str = RANKS):
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+        self.inner = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; merges never cross words, so each distinct word is encoded once."""
-        if len(self) > self.remembered:
-            self.clear()
-        words = [self.split(x) for x in texts]
-        new = list({w for ws in words for w in ws if w not in self})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, ws)) for ws in words]
+    def encode(self, text: str) -> bytes:
+        return np.array(self.inner.encode_ordinary(text), "<u4").tobytes()
 
 
-_LOADED: dict[str, PieceIds] = {}
+_LOADED: dict[str, Encoder] = {}
 
 
-def piece_ids(path: str) -> PieceIds:
+def encoder(path: str) -> Encoder:
     if path not in _LOADED:
-        _LOADED[path] = PieceIds(path)
+        _LOADED[path] = Encoder(path)
     return _LOADED[path]
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, path: str = RANKS, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece: a text's ids, then id 0, cut at multiples of capacity from the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = piece_ids(path)
+        encode = encoder(path).encode
         for batch in batches:
             names, texts, out = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), []
-            for i in range(0, len(texts), 64):
-                for name, raw in zip(names[i : i + 64], ids.encode([x or "" for x in texts[i : i + 64]])):
-                    raw += END
-                    n = len(raw) // 4
-                    first = n % capacity or capacity
-                    ends = range(first, n + 1, capacity)
-                    for k, end in enumerate(ends):
-                        start = max(0, end - capacity)
-                        out.append((name, k, start, end - start, zlib.crc32(memoryview(raw)[4 * start : 4 * end])))
+            for name, text in zip(names, texts):
+                raw = encode(text or "") + END
+                n = len(raw) // 4
+                for k, end in enumerate(range(n % capacity or capacity, n + 1, capacity)):
+                    start = max(0, end - capacity)
+                    out.append((name, k, start, end - start, zlib.crc32(memoryview(raw)[4 * start : 4 * end])))
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -200,7 +189,7 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]
     return whole + [[part[i] for i in b] for b in improve(best_fit(short, capacity), short, capacity)]
 
 
-def pack(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, path: str = RANKS, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """A row for each piece of each row of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null or empty text is one piece of the single id 0. Repeated rows, and rows without a doc_id, are packed each on
