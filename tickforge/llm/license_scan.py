@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import prepare
+from tickforge.llm.common import cut, prepare
 
 PERCENT = 90
 
@@ -55,14 +55,15 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.translate(text, _UPPER, _LOWER), f"{_GAP}+")
+    return F.split(F.lower(text), f"{_GAP}+")
 
 
 def base_phrases(docs: DataFrame) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word and base_labels; `body` is the text, null as empty."""
     body = F.col("body")
-    maybe = F.contains(F.lower(body), F.lit("license"))
-    out = docs.withColumn("body", F.coalesce("text", F.lit(""))).withColumn("n_words", _count(body, f"{_WORD}+"))
+    maybe = F.col("maybe")
+    out = docs.withColumn("body", F.coalesce("text", F.lit(""))).withColumn("maybe", body.rlike("(?i)license"))
+    out = out.withColumn("n_words", _count(body, f"{_WORD}+"))
     for label, words in BASE.items():
         out = out.withColumn(f"n_{label}", F.when(maybe, _count(body, _phrase(words))).otherwise(0))
     out = out.withColumn("n_base", sum((F.col(f"n_{x}") for x in BASE), F.lit(0).cast("long")))
@@ -72,27 +73,35 @@ def base_phrases(docs: DataFrame) -> DataFrame:
     out = out.withColumn("first_word", F.when(F.col("n_base") > 0, _count(before_first, f"{_WORD}+")))
     out = out.withColumn("last_word", F.when(F.col("n_base") > 0, _count(before_last, f"{_WORD}+")))
     labels = F.concat_ws(",", *(F.when(F.col(f"n_{x}") > 0, F.lit(x)) for x in BASE))
-    return out.withColumn("base_labels", labels).drop(*(f"n_{x}" for x in BASE))
+    return out.withColumn("base_labels", labels).drop("maybe", *(f"n_{x}" for x in BASE))
 
 
 def template_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """tag, label, containment: the best line of each document tag (docs: tag, text) for each label that some line meets."""
+    """tag, label, containment: the best line of each document tag (docs: tag, text) for each label that some line meets.
+
+    One pass finds the template words of every document, to count them and to keep the texts that may have such a line.
+    """
     spark = docs.sparkSession
     sets = [(label, frozenset(text.split())) for label, text in TEMPLATES]
     vocabulary = sorted(set().union(*(x for _, x in sets)))
     array = lambda words: F.array(*map(F.lit, words))
-    own = docs.withColumn("known", F.array_intersect(array(vocabulary), _words(F.col("text"))))
+    least = [(sorted(x), -(-percent * len(x) // 100)) for _, x in sets]
+    enough = F.lit(False)
+    for words, need in least:
+        enough = enough | (F.size(F.array_intersect("known", array(words))) >= need)
+    # explode() of a single element keeps the optimiser from repeating the expression for every use
+    known = docs.select("tag", "text", F.explode(F.array(F.array_intersect(_words(F.col("text")), array(vocabulary)))).alias("known"))
+    own = cut(known.select("tag", "known", F.when(enough, F.col("text")).alias("text")))
     counts = {r["w"]: r["n"] for r in own.select(F.explode("known").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # a row for each template word
     rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    rows, enough = [], F.lit(False)
+    rows = []
     for k, (label, words) in enumerate(sets):
         need = -(-percent * len(words) // 100)
         order = sorted(words, key=rank.get)
         rows += [(k, label, w, i, len(words), need, order) for i, w in enumerate(order[: len(words) - need + 1])]
-        enough = enough | (F.size(F.array_intersect("known", array(order))) >= need)
     prefixes = spark.createDataFrame(rows, "template int, label string, word string, i int, size int, need int, words array<string>")
-    lines = own.where(enough).select("tag", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    ranked = lines.select("tag", "line", F.array_intersect(array(sorted(vocabulary, key=rank.get)), _words(F.col("body"))).alias("known"))
+    lines = own.where("text is not null").select("tag", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    ranked = lines.select("tag", "line", F.explode(F.array(F.array_intersect(array(sorted(vocabulary, key=rank.get)), _words(F.col("body"))))).alias("known"))
     placed = ranked.select("*", F.posexplode("known").alias("j", "word"))
     met = placed.join(F.broadcast(prefixes), "word").where(F.size("known") >= F.col("need"))
     left = F.least("i", "j") + F.least(F.col("size") - F.col("i"), F.size("known") - F.col("j"))
