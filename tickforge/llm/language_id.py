@@ -27,37 +27,40 @@ SAMPLE_DOCS, SAMPLE_WORDS, LANGUAGES, ROUNDS = 1500, 20_000, 64, 4
 PART = 60
 #: What a character outside the vocabulary counts in any language; and what keeps forward sums in range, per character.
 UNSEEN, SCALE = 1e-7, 30.0
-_REMEMBERED = 200_000
-_LETTER = re.compile(r"[^\W\d_]")
+_REMEMBERED = 1_000_000
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Pieces:
-    """The vocabulary: piece -> id, and the longest piece. The last id stands for any character without a piece."""
+    """The vocabulary: piece -> id, and what pieces begin with. The last id stands for any character without a piece."""
 
     def __init__(self, path: str = VOCABULARY):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         kept = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
         self.ids = {p: i for i, p in enumerate(dict.fromkeys(p.lower() for p in kept))}
-        self.longest = max(map(len, self.ids))
+        self.heads = {p[:n] for p in self.ids for n in range(1, len(p))}
         self.size = len(self.ids) + 1
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word, start, end and piece id of every piece that occurs in a word, sorted by end."""
-        get, most, unseen = self.ids.get, self.longest, self.size - 1
-        found: list[tuple[int, int, int, int]] = []
+        """Word, start, end and piece id of every piece that occurs in a word, sorted by end and word."""
+        get, heads, unseen, found = self.ids.get, self.heads, self.size - 1, []
         for k, w in enumerate(words):
             n = len(w)
             for i in range(n):
-                if (p := get(w[i])) is None:
-                    p = unseen
-                found.append((i + 1, k, i, p))
-                for j in range(i + 2, min(n, i + most) + 1):
-                    p = get(w[i:j])
+                base = (k << 28) | (i << 16)
+                p = get(w[i])
+                found.append(base | (i + 1 << 22) | (unseen if p is None else p))
+                for j in range(i + 2, n + 1):
+                    part = w[i:j]
+                    p = get(part)
                     if p is not None:
-                        found.append((j, k, i, p))
-        table = np.array(found, np.int32).reshape(-1, 4)
-        table = table[np.argsort(table[:, 0], kind="stable")]
-        return table[:, 1], table[:, 2], table[:, 0], table[:, 3]
+                        found.append(base | (j << 22) | p)
+                    elif part not in heads:
+                        break
+        table = np.array(found, np.int64)
+        end = (table >> 22) & 63
+        table = table[np.argsort(end, kind="stable")]
+        return table >> 28, (table >> 16) & 63, (table >> 22) & 63, table & 65535
 
 
 def _forward(n: int, edges, prob: np.ndarray) -> np.ndarray:
@@ -116,14 +119,14 @@ def fit(words: list[str], counts: np.ndarray, pieces: Pieces, rounds: int = ROUN
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case words, each after the vocabulary's word mark, in parts of at most PART characters."""
+    """The runs of letters in lower case, each after the vocabulary's word mark, in parts of less than PART characters."""
     out = []
-    for w in text.lower().split():
-        if len(w) < PART:
+    for w in _LETTERS.findall(text.lower()):
+        if len(w) < PART - 1:
             out.append("▁" + w)
         else:
             w = "▁" + w
-            out += [w[i : i + PART] for i in range(0, len(w), PART)]
+            out += [w[i : i + PART - 1] for i in range(0, len(w), PART - 1)]
     return out
 
 
@@ -171,18 +174,20 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, path: str = VOC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _PIECES:
             _PIECES[path] = Pieces(path)
-        pieces, slots, table = _PIECES[path], {}, np.zeros((0, len(langs)))
+        pieces, slots, table = _PIECES[path], {}, np.zeros((1024, len(langs)))
         for batch in batches:
             texts, found = batch.column("text").to_pylist(), []
             for i in range(0, len(texts), 128):
                 if len(slots) > _REMEMBERED:
-                    slots, table = {}, np.zeros((0, len(langs)))
-                part = [x if x and langs and _LETTER.search(x) else "" for x in texts[i : i + 128]]
-                words = [words_of(x) for x in part]
+                    slots.clear()
+                words = [words_of(x) if x and langs else [] for x in texts[i : i + 128]]
                 new = list({w for ws in words for w in ws if w not in slots})
                 for k in range(0, len(new), 4000):
-                    slots.update((w, len(table) + j) for j, w in enumerate(new[k : k + 4000]))
-                    table = np.concatenate([table, log_scores(new[k : k + 4000], pieces, model.value)])
+                    part, n = new[k : k + 4000], len(slots)
+                    if n + len(part) > len(table):
+                        table = np.concatenate([table, np.zeros((max(len(part), len(table)), len(langs)))])
+                    table[n : n + len(part)] = log_scores(part, pieces, model.value)
+                    slots.update(zip(part, range(n, n + len(part))))
                 for ws in words:
                     if not ws:
                         found.append(("und", 0.0))
