@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import prepare
+from tickforge.llm.common import cut, prepare
 
 #: Share of the greatest entropy (that of equal weights) the mixture is to have.
 ENTROPY = 0.98
@@ -19,6 +19,8 @@ REPEATS = 2.0
 #: Tokens of a permuted block, about.
 BLOCK_TOKENS = 1 << 20
 _STEPS = 40
+#: Up to so many sources their plan, some 100 bytes each, is broadcast; beyond, it is joined by shuffle.
+SMALL = 20_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -92,13 +94,15 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, blo
 
 
 def mix_tokens(rows: DataFrame, entropy: float, repeats: float, block_tokens: int) -> DataFrame:
-    rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
+    rows = cut(rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))))
     totals = rows.groupBy("key").agg(F.sum("tokens").alias("tokens"))
     plan = weights(totals.select(F.col("key").alias("source"), "tokens"), entropy, repeats)
     plan = plan.select(F.col("source").alias("key"), F.col("tokens").alias("key_tokens"), "alpha", "weight", "budget")
     epochs = F.ceil(F.col("budget") / F.col("key_tokens")).cast("long")
     plan = plan.withColumn("blocks", F.ceil(F.col("key_tokens") / F.lit(block_tokens)).cast("long")).withColumn("epochs", epochs)
-    uses = rows.join(plan, "key", "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))))
+    plan = cut(plan)
+    few = plan.count() <= SMALL
+    uses = rows.join(F.broadcast(plan) if few else plan, "key", "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))))
     sums = uses.where("epochs is not null").groupBy("key", "block", "epochs").agg(F.sum("tokens").alias("in_block"))
     sums = sums.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
     before = F.sum("in_block").over(Window.partitionBy("key", "epoch").orderBy(F.xxhash64("key", "epoch", "block"), "block").rowsBetween(Window.unboundedPreceding, -1))
@@ -108,7 +112,7 @@ def mix_tokens(rows: DataFrame, entropy: float, repeats: float, block_tokens: in
     within = within.withColumn("inside", F.coalesce(running, F.lit(0)))
     placed = within.join(sums, ["key", "block", "epoch"])
     start = F.col("epoch") * F.col("key_tokens") + F.col("before") + F.col("inside")
-    out = placed.withColumn("start", start).where("start < budget")
+    out = placed.withColumn("start", start).where("start < budget or epoch = 0")  # the first epoch is whole, rows without tokens at its end included
     cols = ["doc_id", "source", "epoch", "tokens", "start", "weight", "alpha"]
     empty = uses.where("epochs is null").select("doc_id", "source", F.lit(0).cast("long").alias("epoch"), "tokens", F.lit(0).cast("long").alias("start"), F.lit(0.0).alias("weight"), F.lit(None).cast("double").alias("alpha"))
     return out.select(*cols).unionByName(empty)
@@ -118,9 +122,9 @@ def mixed_documents(docs: DataFrame, entropy: float = ENTROPY, repeats: float =
     """docs with each row as often as the mixture uses it, all columns as they were; wholly repeated rows go together."""
     prepare(docs.sparkSession)
     tag = F.xxhash64("doc_id", "source", "text")
-    rows = docs.select(tag.alias("_tag"), "source", n_tokens(F.col("text")).alias("tokens"))
-    units = rows.groupBy("_tag", "source").agg(F.sum("tokens").alias("tokens"))
-    uses = mix_tokens(units.withColumnRenamed("_tag", "doc_id"), entropy, repeats, BLOCK_TOKENS)
-    times = uses.groupBy(F.col("doc_id").alias("_tag")).agg(F.count("*").alias("_times"))
-    counted = docs.withColumn("_tag", tag).join(times, "_tag")
-    return counted.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*docs.columns)
+    rows = docs.select(tag.alias("__tickforge_tag"), "source", n_tokens(F.col("text")).alias("tokens"))
+    units = rows.groupBy("__tickforge_tag", "source").agg(F.sum("tokens").alias("tokens"))
+    uses = mix_tokens(units.withColumnRenamed("__tickforge_tag", "doc_id"), entropy, repeats, BLOCK_TOKENS)
+    times = uses.groupBy(F.col("doc_id").alias("__tickforge_tag")).agg(F.count("*").alias("__tickforge_times"))
+    counted = docs.withColumn("__tickforge_tag", tag).join(times, "__tickforge_tag")
+    return counted.withColumn("__tickforge_n", F.explode(F.sequence(F.lit(1).cast("long"), "__tickforge_times"))).select(*docs.columns)
