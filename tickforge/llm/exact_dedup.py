@@ -170,9 +170,9 @@ def mark_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
 
 def drop_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The rows that stay, with all their columns; one of wholly repeated rows."""
-    own = exact_owners(docs, keep=keep).select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"))
-    rows = docs.withColumn("_sha", sha256(F.col("text")))
-    joined = rows.join(own, (rows["_sha"] == own["_sha"]) & rows["doc_id"].eqNullSafe(own["_keep"])).drop(own["_sha"])
-    single = joined.where("_size = 1")
-    several = joined.where("_size > 1").dropDuplicates(["_sha", "doc_id"])
+    own = exact_owners(docs, keep=keep).select(F.col("text_sha256").alias("__tickforge_sha"), F.col("keep_id").alias("__tickforge_keep"), F.col("group_size").alias("__tickforge_size"))
+    rows = docs.withColumn("__tickforge_sha", sha256(F.col("text")))
+    joined = rows.join(own, (rows["__tickforge_sha"] == own["__tickforge_sha"]) & rows["doc_id"].eqNullSafe(own["__tickforge_keep"])).drop(own["__tickforge_sha"])
+    single = joined.where("__tickforge_size = 1")
+    several = joined.where("__tickforge_size > 1").dropDuplicates(["__tickforge_sha", "doc_id"])
     return single.unionByName(several).select(*docs.columns)
