@@ -84,6 +84,14 @@ def test_sink_keeps_first_write(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "c")]
 
 
+def test_sink_keeps_last_write(spark, tmp_path):
+    path = str(tmp_path / "out")
+    write = jobs.last_write_wins(path, ["k"], "t")
+    write(spark.createDataFrame([(1, 5, "a"), (2, 1, "x")], "k long, t long, v string"), 0)
+    write(spark.createDataFrame([(1, 7, "b"), (1, 6, "c")], "k long, t long, v string"), 1)
+    assert sorted(map(tuple, jobs.current(spark.read.parquet(path), ["k"], "t").collect())) == [(1, 7, "b"), (2, 1, "x")]
+
+
 def test_csv_dialect(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,price,qty,q,f,time,is_buyer_maker\n1,10.5,2,x,y,1000,true\n2,11,1,x,y,2000,False\n")
     got = readers.trade_csv(spark, str(tmp_path / "a.csv")).orderBy("trade_id").collect()

@@ -127,3 +127,17 @@ def fills(trades: DataFrame, step: float) -> DataFrame:
     on = lambda s: unfixed(F.sum(F.when(F.col("side") == s, F.col("q")).otherwise(0)))
     out = t.groupBy(*KEYS, "price_low").agg(on("buy").alias("buy_volume"), on("sell").alias("sell_volume"), (F.sum("pq") / F.sum("q")).alias("vwap"), (unfixed(F.sum("p")) / F.count("*")).alias("twap"))
     return out.withColumn("imbalance", imbalance(F.col("buy_volume"), F.col("sell_volume")))
+
+
+def fused_heatmap(cells: DataFrame) -> DataFrame:
+    """Heatmap cells of all venues merged."""
+    total = lambda x: unfixed(F.sum(fixed(F.col(x)))).alias(x)
+    return cells.groupBy("instrument", "window_start", "price_low", "size_class").agg(total("bid_liquidity"), total("ask_liquidity"), total("trade_volume"), F.sum("samples").alias("samples"), F.countDistinct("venue").alias("venues"))
+
+
+def relative_size(trades: DataFrame, rows: int = 18) -> DataFrame:
+    """Class of each trade by its size against the mean of the last `rows` trades of its series."""
+    mean = F.avg("size").over(Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(-(rows - 1), 0))
+    t = trades.withColumn("mean_size", mean)
+    of = F.col("size") / F.col("mean_size")
+    return t.withColumn("size_class", F.when(of < 0.05, "dust").when(of < 0.5, "small").when(of >= 10, "whale").when(of >= 3, "large").otherwise("medium"))

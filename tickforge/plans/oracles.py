@@ -149,5 +149,8 @@ SQL: dict[str, str] = {
 for _tf, _ms in (("1m", 60_000), ("5m", 300_000), ("15m", 900_000), ("1h", 3_600_000)):
     SQL[f"candles_{_tf}"] = f"with {_TR}, {_candles(_tf, _ms)} select venue, instrument, window_start, timeframe, window_end, {_OHLC}, round(buy_volume, 6) as buy_volume, round(sell_volume, 6) as sell_volume, trade_count, is_closed from c"
 
+SQL["fused_heatmap"] = SQL["heatmap_1h"].replace("select venue, instrument, window_start, round(price_low, 6)", "select instrument, window_start, round(price_low, 6)").replace("count(*) as samples, min(seq) as seq_min, max(seq) as seq_max", "count(*) as samples, count(distinct venue) as venues")
+SQL["trade_size_class"] = f"with {_TR}, a as (select *, size / avg(size) over (partition by venue, instrument order by seq rows between 17 preceding and current row) as x from t) select venue, instrument, case when x < 0.05 then 'dust' when x < 0.5 then 'small' when x >= 10 then 'whale' when x >= 3 then 'large' else 'medium' end as size_class, count(*) as trades, max(seq) as last_seq from a group by all"
+
 # Spark's rounding of the results is half to even on x * 10^n; so is this
 SQL = {name: "".join([*(parts := text.rpartition(") select "))[:2], parts[2].replace("round(", "round_even(")]) for name, text in SQL.items()}

@@ -512,3 +512,13 @@ def envelopes(s, d):
 def candles_big_1d(s, d):
     """Daily candles of the largest table, for the benchmark."""
     return rounded(windows.candles(ticks.trades_big(s, d), "1d").drop("seq_first", "seq_last"))
+
+
+@query
+def fused_heatmap(s, d):
+    return rounded(profiles.fused_heatmap(profiles.heatmap(ticks.book_snapshots(s, d), ticks.dense(s, d), "1m", 2.0)))
+
+
+@query
+def trade_size_class(s, d):
+    return profiles.relative_size(ticks.trades(s, d)).groupBy(*K, "size_class").agg(F.count("*").alias("trades"), F.max("seq").alias("last_seq"))

@@ -35,3 +35,20 @@ def first_write_wins(path: str, key: list[str]):
         fresh.write.mode("append").parquet(path)
 
     return write
+
+
+def last_write_wins(path: str, key: list[str], order: str):
+    """A foreachBatch sink: each batch becomes a version of its own under `path`; current() reads the newest row of each key.
+
+    Nothing is rewritten in place, so a lost executor or a repeated batch does no harm: a batch's folder is overwritten whole.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.groupBy(*key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*").write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    return write
+
+
+def current(table: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The newest row of each key over all batches."""
+    return table.groupBy(*key).agg(F.max_by(F.struct(*table.columns), F.struct(F.col(order), F.col("batch"))).alias("r")).select("r.*").drop("batch")
