@@ -141,3 +141,38 @@ def relative_size(trades: DataFrame, rows: int = 18) -> DataFrame:
     t = trades.withColumn("mean_size", mean)
     of = F.col("size") / F.col("mean_size")
     return t.withColumn("size_class", F.when(of < 0.05, "dust").when(of < 0.5, "small").when(of >= 10, "whale").when(of >= 3, "large").otherwise("medium"))
+
+
+def coarsened(cells: DataFrame, step: float, keys: list[str], buckets: int = 512, most: int = 2048, widest: int = 64) -> DataFrame:
+    """Heatmap cells of each window regrouped: the bucket width doubles until at most `buckets` are left (or it is `widest` times as wide).
+
+    Of more than `most` cells those of greatest intensity stay, then by price and size class. Adds `times`, the factor taken.
+    """
+    factors = [1 << k for k in range(widest.bit_length())]
+    at = lambda m: F.floor(F.col("price_low") / F.lit(step * m))
+    counts = cells.groupBy(*keys).agg(*(F.countDistinct(at(m)).alias(f"n{m}") for m in factors))
+    chosen = F.lit(widest)
+    for m in reversed(factors):
+        chosen = F.when(F.col(f"n{m}") <= buckets, m).otherwise(chosen)
+    c = cells.join(counts.select(*keys, chosen.alias("times")), keys)
+    width = F.lit(step) * F.col("times")
+    volumes = ["bid_liquidity", "ask_liquidity", "trade_volume"]
+    c = c.withColumn("price_low", F.floor(F.col("price_low") / width) * width)
+    c = c.groupBy(*keys, "times", "price_low", "size_class").agg(*(unfixed(F.sum(fixed(F.col(v)))).alias(v) for v in volumes), F.sum("samples").alias("samples"), F.min("seq_min").alias("seq_min"), F.max("seq_max").alias("seq_max"))
+    heat = sum((fixed(F.col(v)) for v in volumes), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(heat.desc(), "price_low", "size_class"))
+    return c.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank").withColumn("times", F.col("times").cast("long"))
+
+
+# Price ranges and the group size in each, by venue. A range ends where the next begins.
+_BY_TENS = [(0.0, 0.000001), (0.001, 0.00001), (0.01, 0.0001), (0.1, 0.001), (1.0, 0.01), (10.0, 0.1), (100.0, 1.0), (1000.0, 10.0), (10000.0, 10.0), (100000.0, 100.0)]
+GROUP_SIZES = {"BINANCE": _BY_TENS, "BYBIT": _BY_TENS, "COINBASE": [(0.0, 0.0001), (1.0, 0.01), (100.0, 0.01), (10000.0, 1.0)]}
+
+
+def group_sizes(df: DataFrame, sizes: dict[str, list[tuple[float, float]]] = GROUP_SIZES) -> DataFrame:
+    """Adds group_size: by a range join with the venue's table, which is a few rows, else the power of ten next below price / 10000."""
+    ends = [(v, low, next_low, step) for v, rows in sizes.items() for (low, step), (next_low, _) in zip(rows, [*rows[1:], (float("inf"), 0.0)])]
+    specs = df.sparkSession.createDataFrame(ends, "_venue string, _low double, _high double, _step double")
+    hit = (F.upper(F.trim("venue")) == F.col("_venue")) & (F.col("price") >= F.col("_low")) & (F.col("price") < F.col("_high"))
+    auto = F.when(F.col("price") > 0, F.pow(F.lit(10.0), F.floor(F.log10(F.col("price") * 0.0001)))).otherwise(1.0)
+    return df.join(F.broadcast(specs), hit, "left").withColumn("group_size", F.coalesce("_step", auto)).drop("_venue", "_low", "_high", "_step")

@@ -124,3 +124,28 @@ def arbitrated(candles: DataFrame) -> DataFrame:
     out = v.join(t, k, "left").join(b, k, "left").withColumn("kind", F.coalesce("b", "t", "v"))
     last = F.lag("kind").over(_order())
     return out.select(*k, "kind", (last.isNotNull() & (last != F.col("kind"))).alias("transition"))
+
+
+def spread_regimes(inputs: DataFrame, z: float = 2.5, bps: float = 10.0, least: int = 10) -> DataFrame:
+    """Snapshots where the spread, as an outlier, entered another regime: TIGHT < 5 <= NORMAL <= 20 < WIDE <= 50 < BLOWN.
+
+    The first snapshot with `least` samples is compared with the stream's first, as regimes aren't followed before.
+    """
+    x = F.col("spread_bps")
+    r = _rolling(inputs.where("spread_bps > 0"), "spread_bps").withColumn("regime", F.when(x < 5, "TIGHT").when(x <= 20, "NORMAL").when(x <= 50, "WIDE").otherwise("BLOWN"))
+    order = Window.partitionBy(*KEYS).orderBy("seq")
+    nth = F.row_number().over(order)
+    r = r.withColumn("before", F.when(nth == least, F.first("regime").over(order)).otherwise(F.lag("regime").over(order)))
+    out = r.where((F.col("n") >= least) & (F.col("z") >= z) & (x > bps) & (F.col("before") != F.col("regime")))
+    return out.withColumn("confidence", F.when(F.col("regime") == "BLOWN", 0.95).when(F.col("regime") == "WIDE", 0.85).otherwise(0.6))
+
+
+def tape_absorption(inputs: DataFrame, tape: DataFrame, ratio: float = 2.0, bps: float = 50.0, least: int = 10) -> DataFrame:
+    """Tape windows with much volume while the spread last seen was tight. A window stands at the sequence of its last trade, after the book of that number."""
+    w = Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(-63, 0)
+    t = tape.where("total_volume > 0").select(*KEYS, F.col("seq_last").alias("seq"), "window_start", "total_volume").withColumns({"n": F.count("*").over(w), "mean": F.avg("total_volume").over(w)})
+    b = inputs.where("spread_bps > 0").select(*KEYS, "seq", "spread_bps")
+    u = b.withColumn("is_tape", F.lit(False)).unionByName(t.withColumn("is_tape", F.lit(True)), allowMissingColumns=True)
+    seen = F.last("spread_bps", ignorenulls=True).over(Window.partitionBy(*KEYS).orderBy("seq", "is_tape").rowsBetween(Window.unboundedPreceding, 0))
+    u = u.withColumns({"spread_bps": seen, "volume_ratio": F.col("total_volume") / F.col("mean")})
+    return u.where(F.col("is_tape") & (F.col("n") >= least) & (F.col("spread_bps") <= bps) & (F.col("volume_ratio") >= ratio)).drop("is_tape", "n", "mean")

@@ -151,6 +151,37 @@ for _tf, _ms in (("1m", 60_000), ("5m", 300_000), ("15m", 900_000), ("1h", 3_600
 
 SQL["fused_heatmap"] = SQL["heatmap_1h"].replace("select venue, instrument, window_start, round(price_low, 6)", "select instrument, window_start, round(price_low, 6)").replace("count(*) as samples, min(seq) as seq_min, max(seq) as seq_max", "count(*) as samples, count(distinct venue) as venues")
 SQL["trade_size_class"] = f"with {_TR}, a as (select *, size / avg(size) over (partition by venue, instrument order by seq rows between 17 preceding and current row) as x from t) select venue, instrument, case when x < 0.05 then 'dust' when x < 0.5 then 'small' when x >= 10 then 'whale' when x >= 3 then 'large' else 'medium' end as size_class, count(*) as trades, max(seq) as last_seq from a group by all"
+SQL["venue_trades"] = f"with {_TR} select ['BINANCE','BYBIT','COINBASE','HYPERLIQUID','KRAKEN','KRAKENF'][event_id % 6 + 1] as venue, case when event_id % 6 < 2 then instrument else replace(instrument, 'USDT', 'USD') end as instrument, trade_id, price, size, side, tx as ts_exchange_ms from t"
+SQL["book_states"] = f"""with {_BD}, mq as (select venue, instrument, seq, max(snap::int) as sn from lv group by all), ms as (select venue, instrument, seq, sum(sn) over (partition by venue, instrument order by seq) as ep from mq),
+le as (select lv.*, ep from lv join ms using (venue, instrument, seq)), st as (select m.venue, m.instrument, m.seq, l.side, l.price, arg_max(l.size, l.seq) as size from ms m join le l on l.venue = m.venue and l.instrument = m.instrument and l.ep = m.ep and l.seq <= m.seq group by all),
+ag as (select venue, instrument, seq, max(price) filter (side = 'bid' and size > 0) as b, min(price) filter (side = 'ask' and size > 0) as a, count(*) filter (side = 'bid' and size > 0) as nb, count(*) filter (side = 'ask' and size > 0) as na from st group by all)
+select venue, instrument, seq, 'ok' as status, round(b, 4) as best_bid, round(a, 4) as best_ask, round(case when b is null or a is null then -1 else (a - b) / ((a + b) / 2) * 10000 end, 4) as spread_bps, nb as bid_levels, na as ask_levels from ag"""
+_CELLS = SQL["heatmap_1h"].replace("% 60000", "% 300000")
+_CUT = _CELLS.rindex(") select ") + 1
+_TIMES = [1, 2, 4, 8, 16, 32, 64]
+SQL["heatmap_coarse"] = f"""{_CELLS[:_CUT]}, h as ({_CELLS[_CUT:]}), cn as (select venue, instrument, window_start, {", ".join(f"count(distinct floor(price_low / {2.0 * m})) as n{m}" for m in _TIMES)} from h group by all),
+ch as (select venue, instrument, window_start, case {" ".join(f"when n{m} <= 24 then {m}" for m in _TIMES)} else 64 end::bigint as times from cn),
+re as (select venue, instrument, window_start, times, floor(price_low / (2.0 * times)::double) * (2.0 * times)::double as price_low, size_class, sum(bid_liquidity * 100)::bigint as b, sum(ask_liquidity * 100)::bigint as a, sum(trade_volume * 100)::bigint as v, sum(samples)::bigint as samples, min(seq_min) as seq_min, max(seq_max) as seq_max from h join ch using (venue, instrument, window_start) group by all),
+rk as (select *, row_number() over (partition by venue, instrument, window_start order by b + a + v desc, price_low, size_class) as k from re) select venue, instrument, window_start, times, round(price_low, 6) as price_low, size_class, round(b / 100.0, 6)::double as bid_liquidity, round(a / 100.0, 6)::double as ask_liquidity, round(v / 100.0, 6)::double as trade_volume, samples, seq_min, seq_max from rk where k <= 60"""
+SQL["display_groups"] = f"with {_TR}, g as (select venue, price, case when venue in ('BINANCE', 'BYBIT') then case when price < 1000 then 1.0 else 10.0 end when venue = 'COINBASE' then 0.01 else pow(10, floor(log10(price * 0.0001))) end::double as group_size from t) select venue, round(group_size, 6) as group_size, count(*) as trades, round(max(price), 6) as max_price from g group by all"
+SQL["ev_spread_regime"] = f"""with {_BK}, r as (select *, row_number() over o as n, (bps - avg(bps) over w) as d, stddev_pop(bps) over w as sd, case when bps < 5 then 'TIGHT' when bps <= 20 then 'NORMAL' when bps <= 50 then 'WIDE' else 'BLOWN' end as regime from bi where bps > 0 {_ROLL64}, o as (partition by venue, instrument order by seq)),
+z as (select *, case when n = 10 then first_value(regime) over o else lag(regime) over o end as before from r window o as (partition by venue, instrument order by seq)) select venue, instrument, seq, round(bps, 4) as spread_bps, before, regime, case regime when 'BLOWN' then 0.95::double when 'WIDE' then 0.85::double else 0.6::double end as confidence from z where n >= 10 and sd > 1e-9 and d / sd >= 2.5 and bps > 10 and before <> regime"""
+SQL["ev_tape_absorption"] = f"""with {_BK}, {_tape(5000)}, tq as (select venue, instrument, ts - ts % 5000 as window_start, max(seq) as seq from dt group by all), tv as (select venue, instrument, window_start, seq, total_volume, row_number() over o as n, avg(total_volume) over w as mean from tp join tq using (venue, instrument, window_start) {_ROLL64}, o as (partition by venue, instrument order by seq)),
+sp as (select venue, instrument, seq, bps from bi where bps > 0) select tv.venue, tv.instrument, tv.seq, window_start, round(total_volume, 4) as total_volume, round(bps, 4) as spread_bps, round(total_volume / mean, 4) as volume_ratio from tv asof join sp on tv.venue = sp.venue and tv.instrument = sp.instrument and tv.seq >= sp.seq where n >= 10 and bps <= 50 and total_volume / mean >= 2"""
+_O = "(partition by venue, instrument order by window_start"
+SQL["ind_moving"] = f"with {_H}, m as (select venue, instrument, window_start, count(*) over w as n, avg(close) over w as sma, stddev_pop(close) over w as sd, sum((high + low + close) / 3 * volume) over dy / sum(volume) over dy as vwap from c window w as {_O} rows 19 preceding), dy as (partition by venue, instrument, window_start - window_start % 86400000 order by window_start rows unbounded preceding)) select venue, instrument, window_start, round(sma, 4) as sma, round(sma + 2 * sd, 4) as upper, round(sma - 2 * sd, 4) as lower, round(vwap, 4) as vwap from m where n = 20"
+SQL["ind_rsi"] = f"with {_H}, m as (select *, close - lag(close) over {_O}) as mv from c), r as (select venue, instrument, window_start, count(mv) over w as n, sum(greatest(mv, 0)) over w as up, sum(abs(mv)) over w as total from m window w as {_O} rows 13 preceding)) select venue, instrument, window_start, round(coalesce(up * 100 / nullif(total, 0), 50), 4) as rsi from r where n = 14"
+
+
+def _ema(x: str, n: int) -> str:
+    stay = repr(1 - 2 / (n + 1))
+    return f"list_sum(list_transform({x}, lambda y, i: y * pow({stay}, len({x}) - i))) / list_sum(list_transform({x}, lambda y, i: pow({stay}, len({x}) - i)))"
+
+
+SQL["ind_macd"] = f"with {_H}, l as (select venue, instrument, window_start, list(close) over {_O} rows 95 preceding) as f, list(close) over {_O} rows 207 preceding) as s from c), m as (select venue, instrument, window_start, {_ema('f', 12)} - {_ema('s', 26)} as macd from l), g as (select *, list(macd) over {_O} rows 71 preceding) as ml from m), h as (select *, {_ema('ml', 9)} as sig from g) select venue, instrument, window_start, round(macd, 4) as macd, round(sig, 4) as signal, round(macd - sig, 4) as histogram from h"
+SQL["ind_heikin_ashi"] = f"""with recursive {_H}, n as (select *, row_number() over {_O}) as k, (open + high + low + close) / 4 as hc from c),
+ha as (select venue, instrument, k, window_start, high, low, hc, (open + close) / 2 as ho from n where k = 1 union all select n.venue, n.instrument, n.k, n.window_start, n.high, n.low, n.hc, (ha.ho + ha.hc) / 2 from ha join n on n.venue = ha.venue and n.instrument = ha.instrument and n.k = ha.k + 1)
+, fin as (select * from ha) select venue, instrument, window_start, round(ho, 4) as ha_open, round(greatest(high, ho, hc), 4) as ha_high, round(least(low, ho, hc), 4) as ha_low, round(hc, 4) as ha_close from fin"""
 
 # Spark's rounding of the results is half to even on x * 10^n; so is this
 SQL = {name: "".join([*(parts := text.rpartition(") select "))[:2], parts[2].replace("round(", "round_even(")]) for name, text in SQL.items()}

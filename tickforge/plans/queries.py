@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.columns import decayed, fixed, flags, instrument_name, share, side_name, subject, unfixed, venue_name, window_start
-from tickforge.operators import books, profiles, quality, signals, windows
-from tickforge.sources import readers, ticks
+from tickforge.operators import book_state, books, indicators, profiles, quality, signals, windows
+from tickforge.sources import dialects, readers, ticks
 
 K = ["venue", "instrument"]
 VENUES = ["BINANCE", "BYBIT", "COINBASE", "KRAKEN"]
@@ -522,3 +522,76 @@ def fused_heatmap(s, d):
 @query
 def trade_size_class(s, d):
     return profiles.relative_size(ticks.trades(s, d)).groupBy(*K, "size_class").agg(F.count("*").alias("trades"), F.max("seq").alias("last_seq"))
+
+
+def _raw(s, d):
+    """The trades as messages of six venues, in each venue's own form."""
+    t = ticks.trades(s, d).withColumns({"at": F.col("event_id") % 6, "p": F.col("price").cast("string"), "q": F.col("size").cast("string")})
+    maps = lambda **x: F.struct(*(v.alias(k) for k, v in x.items()))
+    col, lit = F.col, F.lit
+    coin = F.regexp_replace("instrument", "USDT$", "")
+    iso = F.date_format(F.timestamp_millis("ts_exchange_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    forms = [
+        ("BINANCE", maps(e=lit("aggTrade"), E=col("ts_ingest_ms"), s=col("instrument"), a=col("event_id"), p=col("p"), q=col("q"), T=col("ts_exchange_ms"), m=col("side") == "sell")),
+        ("BYBIT", maps(topic=F.concat(lit("publicTrade."), "instrument"), data=F.array(maps(T=col("ts_exchange_ms"), s=col("instrument"), S=F.initcap("side"), p=col("p"), v=col("q"), i=col("trade_id"))))),
+        ("COINBASE", maps(type=lit("match"), trade_id=col("event_id"), product_id=F.concat(coin, lit("-USD")), price=col("p"), size=col("q"), side=col("side"), time=iso)),
+        ("HYPERLIQUID", maps(channel=lit("trades"), data=F.array(maps(coin=coin, side=F.when(col("side") == "buy", "B").otherwise("A"), px=col("p"), sz=col("q"), time=col("ts_exchange_ms"), hash=lit("0x0"), tid=col("event_id"))))),
+        ("KRAKEN", maps(channel=lit("trade"), data=F.array(maps(symbol=F.concat(F.replace(coin, lit("BTC"), lit("XBT")), lit("/USD")), trades=F.array(maps(price=col("p"), qty=col("q"), side=col("side"), timestamp=iso, trade_id=col("event_id"))))))),
+        ("KRAKENF", maps(feed=lit("trade"), product_id=F.concat(lit("PI_"), F.replace(coin, lit("BTC"), lit("XBT")), lit("USD")), price=col("p"), qty=col("q"), side=col("side"), time=col("ts_exchange_ms"), uid=col("trade_id"))),
+    ]
+    venue, message = lit(None), lit(None)
+    for k, (name, form) in enumerate(forms):
+        venue, message = F.when(col("at") == k, name).otherwise(venue), F.when(col("at") == k, F.to_json(form)).otherwise(message)
+    return t.select(venue.alias("venue"), message.alias("message"), col("ts_ingest_ms").alias("received_ms"))
+
+
+@query
+def venue_trades(s, d):
+    return dialects.trades(_raw(s, d))
+
+
+@query
+def book_states(s, d):
+    return rounded(book_state.book_states(ticks.book_deltas(s, d)).drop("checksum"), 4)
+
+
+@query
+def heatmap_coarse(s, d):
+    """Heatmap cells under small limits, so that widening and the cut show."""
+    cells = profiles.heatmap(ticks.book_snapshots(s, d), ticks.dense(s, d), "5m", 2.0)
+    return rounded(profiles.coarsened(cells, 2.0, [*K, "window_start"], buckets=24, most=60))
+
+
+@query
+def display_groups(s, d):
+    return rounded(profiles.group_sizes(ticks.trades(s, d)).groupBy("venue", "group_size").agg(F.count("*").alias("trades"), F.max("price").alias("max_price")))
+
+
+@query
+def ev_spread_regime(s, d):
+    return rounded(signals.spread_regimes(_inputs(s, d)).select(*K, "seq", "spread_bps", "before", "regime", "confidence"), 4)
+
+
+@query
+def ev_tape_absorption(s, d):
+    return rounded(signals.tape_absorption(_inputs(s, d), windows.tape(ticks.dense(s, d), "5s")).select(*K, "seq", "window_start", "total_volume", "spread_bps", "volume_ratio"), 4)
+
+
+@query
+def ind_moving(s, d):
+    return rounded(indicators.moving(_hours(s, d)).select(*K, "window_start", "sma", "upper", "lower", "vwap"), 4)
+
+
+@query
+def ind_rsi(s, d):
+    return rounded(indicators.strength(_hours(s, d)).select(*K, "window_start", "rsi"), 4)
+
+
+@query
+def ind_macd(s, d):
+    return rounded(indicators.macd(_hours(s, d)).select(*K, "window_start", "macd", "signal", "histogram"), 4)
+
+
+@query
+def ind_heikin_ashi(s, d):
+    return rounded(indicators.heikin_ashi(_hours(s, d)).select(*K, "window_start", "ha_open", "ha_high", "ha_low", "ha_close"), 4)
