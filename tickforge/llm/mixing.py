@@ -1,12 +1,14 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-Weights are token shares to the power alpha, normalised. Alpha is bisected in [0, 1] to the largest value whose entropy
-reaches the target, and then raised, where that repeats some source more than the limit, to the least value that doesn't.
+Weights are token shares to the power alpha, normalised. Alpha is bisected in [0, 1], several values at a time, to the largest whose
+entropy reaches the target, and then raised, where that repeats some source more than the limit, to the least value that doesn't.
 The mixture takes each source in permuted blocks, epoch after epoch, until its budget of tokens is met.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,10 @@ ENTROPY = 0.98
 REPEATS = 2.0
 #: Tokens of a permuted block, about.
 BLOCK_TOKENS = 1 << 20
-_STEPS = 40
+#: Exponents tried in one pass over the sources, and passes: 17 ** 6 steps, some 4e-8 wide.
+_TRIES, _ROUNDS = 16, 6
+#: Stretches of a source's permuted blocks, as a power of two: running sums go over stretches, then within one.
+STRETCH_BITS = 12
 #: Up to so many sources their plan, some 100 bytes each, is broadcast; beyond, it is joined by shuffle.
 SMALL = 20_000
 
@@ -28,55 +33,46 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _bisect(good, low: float, high: float) -> Column:
-    """The end of [low, high] nearest to `high` that is still good at the low side, after _STEPS halvings, to six decimals."""
-    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
-
-    def halve(at: Column, _: Column) -> Column:
-        mid = (at["lo"] + at["hi"]) / 2
-        return F.when(good(mid), F.struct(mid.alias("lo"), at["hi"].alias("hi"))).otherwise(F.struct(at["lo"].alias("lo"), mid.alias("hi")))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_STEPS)), start, halve)
-
-
-def _powers(shares: Column, alpha: Column) -> Column:
-    return F.transform(shares, lambda p: F.pow(p, alpha))
-
+def _narrowed(live: DataFrame, all_tokens: float, aim: float) -> float:
+    """The largest exponent in [0, 1] at which the entropy of the weights still reaches aim.
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-
-
-def _entropy(shares: Column, alpha: Column) -> Column:
-    logs = F.aggregate(F.transform(shares, lambda p: F.pow(p, alpha) * F.log(p) * alpha), F.lit(0.0), lambda a, x: a + x)
-    total = _total(_powers(shares, alpha))
-    return F.log(total) - logs / total
-
-
-def _spread(shares: Column, alpha: Column) -> Column:
-    """How often the most repeated source is seen for once of the least repeated one."""
-    rate = F.transform(shares, lambda p: F.pow(p, alpha - 1))
-    return F.array_max(rate) / F.array_min(rate)
+    Entropy falls as the exponent grows, so each round tries _TRIES exponents between the ends, as many sums in one pass over the sources, and
+    keeps the stretch where the aim is crossed. Only sums come to the driver, whatever the number of sources.
+    """
+    low, high = 0.0, 1.0
+    p = F.col("tokens") / F.lit(all_tokens)
+    for _ in range(_ROUNDS):
+        tried = [low + (high - low) * k / (_TRIES + 1) for k in range(1, _TRIES + 2)]
+        sums = [(F.sum(F.pow(p, F.lit(a))), F.sum(F.pow(p, F.lit(a)) * F.log(p) * a)) for a in tried]
+        found = live.agg(*(c.alias(f"c{i}") for i, c in enumerate(x for pair in sums for x in pair))).first()
+        entropies = [math.log(found[2 * k]) - found[2 * k + 1] / found[2 * k] for k in range(len(tried))]
+        good = [a for a, e in zip(tried, entropies) if e >= aim]
+        low, high = max(good, default=low), min((a for a, e in zip(tried, entropies) if e < aim), default=high)
+        if low >= high:
+            break
+    return low
 
 
 def weights(totals: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS) -> DataFrame:
     """source, tokens, alpha, weight and budget from source and tokens; sources without tokens get none.
 
-    The whole budget is the least at which no source falls short of one epoch. One row holds the shares, as many
-    as there are sources.
+    The exponent is the largest that reaches the entropy or, if greater, the least at which no source is seen more than `repeats` times for
+    once of another: the ratio of uses is (greatest share / least share) ** (1 - alpha). The whole budget is the least at which no source
+    falls short of one epoch.
     """
-    live = totals.where("tokens > 0")
-    one = live.agg(F.sort_array(F.collect_list("tokens")).alias("t"), F.sum("tokens").alias("all"))
-    one = one.withColumn("shares", F.transform("t", lambda x: x / F.col("all")))
-    aim = F.log(F.size("shares").cast("double")) * F.lit(entropy)
-    one = one.withColumn("by_entropy", _bisect(lambda a: _entropy(F.col("shares"), a) >= aim, 0.0, 1.0)["lo"])
-    one = one.withColumn("by_repeats", _bisect(lambda a: _spread(F.col("shares"), a) > F.lit(repeats), 0.0, 1.0)["hi"])
-    one = one.withColumn("alpha", F.round(F.greatest("by_entropy", "by_repeats"), 6))
-    one = one.withColumn("norm", _total(_powers(F.col("shares"), F.col("alpha"))))
-    one = one.withColumn("budget_all", F.array_max(F.transform("shares", lambda p: p * F.col("all") * F.col("norm") / F.pow(p, F.col("alpha")))))
-    out = live.join(F.broadcast(one.select("all", "alpha", "norm", "budget_all")))
-    weight = F.pow(F.col("tokens") / F.col("all"), F.col("alpha")) / F.col("norm")
-    return out.select("source", "tokens", "alpha", weight.alias("weight"), F.round(weight * F.col("budget_all")).cast("long").alias("budget"))
+    live = cut(totals.where("tokens > 0"))
+    n, every, least, most = live.agg(F.count("*"), F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
+    if not n:
+        none = F.lit(None).cast("double")
+        return live.select("source", "tokens", none.alias("alpha"), none.alias("weight"), F.lit(None).cast("long").alias("budget"))
+    by_entropy = _narrowed(live, float(every), math.log(n) * entropy)
+    by_repeats = 1 - math.log(repeats) / math.log(most / least) if most > least * repeats else 0.0
+    alpha = round(max(by_entropy, by_repeats), 6)
+    share = F.col("tokens") / F.lit(float(every))
+    power = F.pow(share, F.lit(alpha))
+    norm, fullest = live.agg(F.sum(power), F.max(F.col("tokens") / power)).first()
+    weight = power / F.lit(norm)
+    return live.select("source", "tokens", F.lit(alpha).alias("alpha"), weight.alias("weight"), F.round(weight * F.lit(fullest * norm)).cast("long").alias("budget"))
 
 
 def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -105,8 +101,14 @@ def mix_tokens(rows: DataFrame, entropy: float, repeats: float, block_tokens: in
     uses = rows.join(F.broadcast(plan) if few else plan, "key", "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))))
     sums = uses.where("epochs is not null").groupBy("key", "block", "epochs").agg(F.sum("tokens").alias("in_block"))
     sums = sums.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
-    before = F.sum("in_block").over(Window.partitionBy("key", "epoch").orderBy(F.xxhash64("key", "epoch", "block"), "block").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("key", "block", "epoch", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.xxhash64("key", "epoch", "block")
+    sums = sums.withColumns({"place": place, "stretch": F.shiftright(place, 64 - STRETCH_BITS)})
+    outer = Window.partitionBy("key", "epoch").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = sums.groupBy("key", "epoch", "stretch").agg(F.sum("in_block").alias("in_stretch"))
+    stretches = stretches.select("key", "epoch", "stretch", F.coalesce(F.sum("in_stretch").over(outer), F.lit(0)).alias("ahead"))
+    inner = Window.partitionBy("key", "epoch", "stretch").orderBy("place", "block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("in_order", F.coalesce(F.sum("in_block").over(inner), F.lit(0))).join(stretches, ["key", "epoch", "stretch"])
+    sums = sums.select("key", "block", "epoch", (F.col("ahead") + F.col("in_order")).alias("before"))
     within = uses.where("epochs is not null").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
     running = F.sum("tokens").over(Window.partitionBy("key", "block", "epoch").orderBy(F.xxhash64("doc_id", "epoch"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
     within = within.withColumn("inside", F.coalesce(running, F.lit(0)))
