@@ -7,10 +7,10 @@ import pytest
 
 from pyspark.sql import functions as F
 from tickforge.functions import columns as C
-from tickforge.operators import books, profiles, quality, signals, windows
+from tickforge.operators import book_state, books, indicators, profiles, quality, signals, windows
 from tickforge.plans.oracles import SQL
 from tickforge.plans.queries import REGISTRY
-from tickforge.sources import readers
+from tickforge.sources import dialects, readers
 from tickforge.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -98,6 +98,86 @@ def test_csv_dialect(spark, tmp_path):
     assert [(r.trade_id, r.price, r.side) for r in got] == [("1", 10.5, "sell"), ("2", 11.0, "buy")]
 
 
+def test_venue_messages(spark):
+    raw = spark.createDataFrame(
+        [
+            ("binance", '{"e":"aggTrade","E":5,"s":"BTCUSDT","a":7,"p":"10.5","q":"2","T":0,"m":true}', 9),
+            ("BINANCE", '{"e":"aggTrade","E":5,"s":"BTCUSDT","a":8,"p":"-1","q":"2","T":5,"m":true}', 9),
+            ("BINANCE", '{"e":"depthUpdate","E":5,"s":"BTCUSDT","U":1,"u":2,"pu":0,"b":[["11","2"],["x","1"]],"a":[["10","1"]]}', 9),
+            ("BINANCE", '{"e":"markPriceUpdate","E":5,"s":"BTCUSDT","p":"10","i":"11","r":"0.001"}', 9),
+            ("BINANCE", '{"e":"forceOrder","E":5,"o":{"s":"BTCUSDT","S":"SELL","p":"10","q":"1","T":6}}', 9),
+            ("BYBIT", '{"topic":"orderbook.50.BTCUSDT","type":"snapshot","ts":3,"data":{"s":"BTCUSDT","b":[["9","1"]],"a":[["10","1"]],"u":4,"seq":5}}', 9),
+            ("BYBIT", '{"topic":"publicTrade.BTCUSDT","data":[{"T":1,"s":"BTCUSDT","S":"Buy","p":"1","v":"2","i":"x"},{"T":0,"s":"BTCUSDT","S":"Sell","p":"1","v":"2","i":"y"}]}', 9),
+            ("COINBASE", '{"type":"l2update","product_id":"BTC-USD","time":"2024-01-01T00:00:00Z","changes":[["buy","5","1"],["sell","6","0"]]}', 9),
+            ("KRAKEN", '{"channel":"book","type":"update","data":[{"symbol":"XBT/USD","bids":[{"price":"5","qty":"1"}],"asks":[],"sequence":3,"timestamp":""}]}', 9),
+            ("KRAKENF", '{"feed":"ticker","product_id":"PI_XBTUSD","last":"5","mark_price":"","time":"1704067200000"}', 9),
+            ("KRAKEN", '{"method":"subscribe","success":true}', 9), ("KRAKENF", "not json", 9), ("BYBIT", None, None),
+        ],
+        "venue string, message string, received_ms long",
+    )
+    assert sorted((r.venue, r.trade_id, r.price, r.side, r.ts_exchange_ms) for r in dialects.trades(raw).collect()) == [("BINANCE", "7", 10.5, "sell", 5), ("BYBIT", "x", 1.0, "buy", 1), ("BYBIT", "y", 1.0, "sell", 9)]
+    flat = lambda levels: [tuple(x) for x in levels]
+    assert sorted((r.venue, flat(r.bids), flat(r.asks), r.final_id, r.is_snapshot) for r in dialects.books(raw).collect()) == [
+        ("BINANCE", [(10.0, 1.0)], [(11.0, 2.0)], 2, False), ("BYBIT", [(9.0, 1.0)], [(10.0, 1.0)], 4, True), ("COINBASE", [(5.0, 1.0)], [(6.0, 0.0)], None, False), ("KRAKEN", [(5.0, 1.0)], [], 3, False),
+    ]
+    assert sorted((r.venue, r.instrument, r.mark_price, r.funding_rate) for r in dialects.mark_prices(raw).collect()) == [("BINANCE", "BTCUSDT", 10.0, 0.001), ("KRAKENF", "BTCUSD", 5.0, None)]
+    assert [(r.side, r.price, r.ts_exchange_ms) for r in dialects.liquidations(raw).collect()] == [("sell", 10.0, 6)]
+
+
+def test_book_rules():
+    b = book_state.Book()
+    assert b.apply(1, True, [("bid", 9.0, 1.0), ("bid", 8.0, 1.0), ("ask", 10.0, 1.0)]) == "ok"
+    assert b.apply(1, False, [("bid", 7.0, 1.0)]) == "out_of_order" and 7.0 not in b.bids
+    assert b.apply(2, False, [("bid", 8.0, 0.0), ("bid", 6.0, 1.0)], most=1) == "ok" and list(b.bids) == [9.0]
+    assert b.apply(3, False, [("bid", 10.0, 1.0)]) == "needs_resync" and not b.bids and not b.asks
+    assert b.apply(1, True, [("ask", 3.0, 1.0)]) == "ok" and b.row(("V", "I"), 1, "ok")[6] == -1.0
+
+
+DELTA = "venue string, instrument string, seq long, is_snapshot boolean, side string, price double, size double"
+
+
+def test_streamed_books_equal_stored_ones(spark, tmp_path):
+    rows = [("V", "I", k // 2 + 1, k // 2 % 10 == 0, "bid" if k % 2 else "ask", float((90 if k % 2 else 100) + k * 7 % 9), float(k % 5)) for k in range(60)]
+    src = str(tmp_path / "in")
+    spark.createDataFrame([(*r, r[2]) for r in rows], DELTA + ", arrival long").coalesce(1).write.json(src)
+    stream = spark.readStream.schema(DELTA + ", arrival long").json(src)
+    q = book_state.stream_books(stream).writeStream.format("memory").queryName("books").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted(map(tuple, spark.table("books").collect()))
+    assert len(got) == 30 and got == sorted(map(tuple, book_state.book_states(spark.createDataFrame(rows, DELTA)).collect()))
+
+
+def test_books_do_not_depend_on_batches(spark):
+    rows = [("V", "IJ"[k % 2], k // 8 + 1, k // 8 == 20, "bid", float(k % 17), float(k % 3)) for k in range(400)]
+    d = spark.createDataFrame(rows, DELTA)
+    want = sorted(map(tuple, book_state.book_states(d).collect()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        assert sorted(map(tuple, book_state.book_states(d).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert book_state.book_states(d.limit(0)).count() == 0
+
+
+def test_strict_windows(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = [("V", "S", str(k), p, 1.0, "buy", t, t) for k, (p, t) in enumerate([(5.0, 1000), (6.0, 1500), (7.0, 2100), (9.0, 1900), (8.0, 2200), (1.0, 3000)])]
+    spark.createDataFrame(rows, readers.TRADE).coalesce(1).write.json(src)
+    stream = spark.readStream.schema(readers.TRADE).json(src)
+    q = jobs.stream_strict_candles(stream, 1000).writeStream.format("memory").queryName("strict").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [tuple(r)[2:] for r in spark.table("strict").orderBy("window_start").collect()] == [(1000, 5.0, 6.0, 5.0, 6.0, 2.0, 2, 0), (2000, 7.0, 8.0, 7.0, 8.0, 2.0, 2, 1)]
+
+
+def test_indicators_by_hand(spark):
+    rows = [("V", "I", k * 3_600_000, 10.0 + k, 12.0 + k, 9.0 + k, 11.0 + k, 1.0) for k in range(30)]
+    c = spark.createDataFrame(rows, "venue string, instrument string, window_start long, open double, high double, low double, close double, volume double")
+    assert {r.rsi for r in indicators.strength(c).collect()} == {100.0}
+    ha = indicators.heikin_ashi(c).orderBy("window_start").collect()
+    assert ha[0].ha_open == 10.5 and ha[1].ha_open == (10.5 + ha[0].ha_close) / 2
+
+
 @pytest.fixture(scope="session")
 def duck():
     import duckdb

@@ -101,3 +101,25 @@ def flags(*conditions: Column) -> Column:
 
 def subject(kind: Column, venue: Column, symbol: Column, timeframe: Column) -> Column:
     return F.concat_ws("/", kind, venue, symbol, timeframe)
+
+
+def event_category(kind: Column) -> Column:
+    """close_final, telemetry, snapshot, delta or unknown, by the name of an event type; the first that fits."""
+    k = F.lower(F.trim(kind))
+    return F.when(k.rlike(r"\.close|\.final|_close$|_final$|window_close"), "close_final").when(k.contains("telemetry"), "telemetry").when(k.rlike(r"\.snapshot|_snapshot$"), "snapshot").when(k.rlike(r"\.delta|_delta$|bookdelta$"), "delta").otherwise("unknown")
+
+
+def content_key(id: Column, *content: Column) -> Column:
+    """The source's id, or a digest of the content where it gave none."""
+    return F.coalesce(F.when(F.trim(id) != "", F.trim(id)), F.sha2(F.concat_ws("|", *(c.cast("string") for c in content)), 256))
+
+
+def metric_list(metrics: Column, most: int = 8) -> Column:
+    """The finite values of a map as (key, value), sorted by key, at most `most`."""
+    finite = lambda x: x["value"].isNotNull() & ~F.isnan(x["value"]) & (F.abs(x["value"]) < float("inf"))
+    return F.slice(F.array_sort(F.filter(F.map_entries(metrics), finite)), 1, most)
+
+
+def fragments(texts: Column, most: int = 4, length: int = 120) -> Column:
+    """Trimmed texts that aren't blank, at most `most` of at most `length` characters."""
+    return F.slice(F.filter(F.transform(texts, lambda x: F.substring(F.trim(x), 1, length)), lambda x: x != ""), 1, most)

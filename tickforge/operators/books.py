@@ -68,3 +68,19 @@ def fused_depth(snapshots: DataFrame, stale_ms: int = 600_000, most: int = 50) -
     g = u.groupBy("instrument", "side", "p").agg(F.sum("q").alias("q"), F.array_join(F.array_sort(F.collect_set("venue")), ",").alias("venues"))
     rank = F.row_number().over(Window.partitionBy("instrument", "side").orderBy(F.when(F.col("side") == "bid", -F.col("p")).otherwise(F.col("p"))))
     return g.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).select("instrument", "side", "rank", unfixed(F.col("p")).alias("price"), unfixed(F.col("q")).alias("size"), "venues")
+
+
+def capped(levels: DataFrame, most: int = 50) -> DataFrame:
+    """A row for each book: its best `most` prices a side, the counts of all its levels, and the spread (-1 when one-sided)."""
+    rank = F.row_number().over(Window.partitionBy(*KEYS, "side").orderBy(F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))))
+    r = levels.withColumn("k", rank)
+    on = lambda s: F.transform(F.array_sort(F.collect_list(F.when((F.col("side") == s) & (F.col("k") <= most), F.struct("k", "price", "size")))), lambda x: F.struct(x["price"].alias("price"), x["size"].alias("size")))
+    g = r.groupBy(*KEYS).agg(on("bid").alias("bids"), on("ask").alias("asks"), F.count_if(F.col("side") == "bid").alias("bid_levels"), F.count_if(F.col("side") == "ask").alias("ask_levels"))
+    bid, ask = F.get("bids", F.lit(0))["price"], F.get("asks", F.lit(0))["price"]
+    return g.withColumn("spread_bps", F.coalesce((ask - bid) / ((ask + bid) / 2) * 10_000, F.lit(-1.0)))
+
+
+def throttled(snapshots: DataFrame, ms: int) -> DataFrame:
+    """The last snapshot of each book in every interval of ms."""
+    last = snapshots.groupBy(*KEYS, (F.col("ts_ingest_ms") - F.pmod("ts_ingest_ms", F.lit(ms))).alias("interval_start")).agg(F.max_by(F.struct(*(c for c in snapshots.columns if c not in KEYS)), F.struct("ts_ingest_ms", "seq")).alias("s"))
+    return last.select(*KEYS, "interval_start", "s.*")

@@ -176,3 +176,18 @@ def group_sizes(df: DataFrame, sizes: dict[str, list[tuple[float, float]]] = GRO
     hit = (F.upper(F.trim("venue")) == F.col("_venue")) & (F.col("price") >= F.col("_low")) & (F.col("price") < F.col("_high"))
     auto = F.when(F.col("price") > 0, F.pow(F.lit(10.0), F.floor(F.log10(F.col("price") * 0.0001)))).otherwise(1.0)
     return df.join(F.broadcast(specs), hit, "left").withColumn("group_size", F.coalesce("_step", auto)).drop("_venue", "_low", "_high", "_step")
+
+
+def profile_changes(trades: DataFrame, step: float, ms: int) -> DataFrame:
+    """The bucket that each trade changed, as it stood after the trade: running volumes within window and bucket."""
+    t = trades.withColumns({"window_start": window_start(F.col("ts_ingest_ms"), ms), "price_low": bucket(F.col("price"), F.lit(step)), "q": fixed(F.col("size"))})
+    w = Window.partitionBy(*KEYS, "window_start", "price_low").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    on = lambda s: unfixed(F.sum(F.when(F.col("side") == s, F.col("q")).otherwise(0)).over(w))
+    return t.select(*KEYS, "window_start", "price_low", "seq", on("buy").alias("buy_volume"), on("sell").alias("sell_volume"), unfixed(F.sum("q").over(w)).alias("total_volume"))
+
+
+def rolling_counter(candles: DataFrame, bars: int = 20) -> DataFrame:
+    """Volume, trades and the buyers' share of the last `bars` candles."""
+    w = Window.partitionBy(*KEYS).orderBy("window_start").rowsBetween(-(bars - 1), 0)
+    total = lambda c: F.sum(fixed(F.col(c))).over(w)
+    return candles.select(*KEYS, "window_start", unfixed(total("volume")).alias("volume"), F.sum("trade_count").over(w).alias("trades"), F.try_divide(total("buy_volume") * 100.0, total("volume")).alias("buy_pct"))

@@ -85,3 +85,71 @@ def merged_upsert(current: DataFrame, changes: DataFrame, key: list[str], op: st
     once = changes.dropDuplicates([*key, op]).drop(op)
     both = current.unionByName(once.select(*current.columns))
     return both.groupBy(*key).agg(*(F.sum(x).alias(x) for x in sums), F.min("seq_min").alias("seq_min"), F.max("seq_max").alias("seq_max"))
+
+
+def envelope_reason() -> Column:
+    """The first field of an envelope that is invalid; null if none is."""
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    checks = [(blank("type"), "type"), (F.coalesce(F.col("version") < 1, F.lit(True)), "version"), (blank("venue"), "venue"), (blank("instrument"), "instrument"), (F.coalesce(F.col("ts_ingest") <= 0, F.lit(True)), "ts_ingest"), (F.coalesce(F.col("seq") < 0, F.lit(True)), "seq"), (blank("idempotency_key"), "idempotency_key"), (blank("payload"), "payload")]
+    return F.coalesce(*(F.when(c, name) for c, name in checks))
+
+
+def quarantined(envelopes: DataFrame, known: dict[str, int], most: int = 512) -> DataFrame:
+    """Rows that can never succeed, with reason, error (at most `most` characters), source columns and the payload's digest. known: type and its version."""
+    version = F.create_map(*(F.lit(x) for kv in known.items() for x in kv))[F.col("type")]
+    field = envelope_reason()
+    reason = F.when(field.isNotNull(), "validation_failed").when(version.isNull(), "unknown_event_type").when(version != F.col("version"), "unknown_event_version").when(F.from_json("payload", "map<string,string>").isNull(), "decode_failed")
+    error = F.substring(F.concat_ws(" ", F.coalesce(field, F.lit("")), "type", F.col("version").cast("string")), 1, most)
+    return envelopes.withColumns({"reason": reason, "error": error, "payload_sha256": F.sha2("payload", 256)}).where("reason is not null").drop("payload")
+
+
+# Conditions that stored candles keep; a candle that breaks one is reported under its name.
+CANDLE_RULES = {
+    "high": "high >= greatest(open, close, low)",
+    "low": "low <= least(open, close, high)",
+    "positive": "open > 0 and high > 0 and low > 0 and close > 0",
+    "volume": "abs(volume - buy_volume - sell_volume) < 1e-6",
+    "sequence": "seq_first <= seq_last",
+    "window": "window_end > window_start",
+}
+TAPE_RULES = {"counts": "trade_count = buy_count + sell_count", "volume": "abs(total_volume - buy_volume - sell_volume) < 1e-6", "prices": "min_price <= last_price and last_price <= max_price"}
+
+
+def broken_rules(df: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """A row for each rule that a row breaks, as `rule`; a rule that is null counts as broken."""
+    hit = F.array_compact(F.array(*(F.when(~F.coalesce(F.expr(text), F.lit(False)), name) for name, text in rules.items())))
+    return df.withColumn("rule", F.explode(hit))
+
+
+def run_expectations(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows and a sum of digests that doesn't depend on their order, to hold two runs against each other."""
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in columns))), 1, 8), 16, 10).cast("long")
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(digest), F.lit(0)).alias("digest"))
+
+
+def latest_versions(df: DataFrame, key: list[str], version: str) -> DataFrame:
+    """Of each key the row of the highest version."""
+    return df.groupBy(*key).agg(F.max_by(F.struct(*df.columns), version).alias("_r")).select("_r.*")
+
+
+def lateness(df: DataFrame, ms: int, time_col: str, arrival: list[str], keys: list[str]) -> DataFrame:
+    """Adds window_start and is_late: a row of a later window came before. One window is open per series; a newer one closes it."""
+    before = Window.partitionBy(*keys).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col(time_col) - F.pmod(F.col(time_col), F.lit(ms))
+    return df.withColumn("window_start", start).withColumn("is_late", F.coalesce(F.max("window_start").over(before) > F.col("window_start"), F.lit(False)))
+
+
+def caught_up(df: DataFrame, skew_ms: int, arrival: list[str], keys: list[str], time_col: str = "ts_ingest_ms") -> DataFrame:
+    """Rows that don't lag the latest time seen before them by more than skew_ms."""
+    top = F.max(time_col).over(Window.partitionBy(*keys).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("_top", top).where(F.col("_top") - F.col(time_col) <= skew_ms).drop("_top")
+
+
+def newest(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+    """The n newest rows of each key."""
+    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where(F.col("_k") <= n).drop("_k")
+
+
+def thinned(df: DataFrame, keys: list[str], order: str, every: int, always: Column) -> DataFrame:
+    """Every so manieth row of each key, and those that `always` holds for."""
+    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where((F.col("_k") % every == 0) | always).drop("_k")

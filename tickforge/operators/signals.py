@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,26 +66,29 @@ def cooled(candidates: DataFrame, keys: list[str], ms: int = 5000) -> DataFrame:
 
 
 def absorption(trades: DataFrame, ratio: float = 2.0, move: float = 0.001, least: int = 10) -> DataFrame:
-    """Trades by which volume piled up while the price stayed near a reference, which moves on when the price leaves it. A sequential fold."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        ref, total, n, all_volume, out = 0.0, 0.0, 0, 0.0, []
-        for k, (seq, price, size) in enumerate(zip(rows["seq"], rows["price"], rows["size"]), 1):
-            all_volume += size
-            if ref <= 0 or abs(price - ref) / ref > move:
-                ref, total, n = price, 0.0, 0
-            total, n = total + size, n + 1
-            mean = all_volume / k
-            if k >= least and n > 1 and total >= ratio * mean * n:
-                out.append((seq, ref, round(total, 6), n))
-                total, n = 0.0, 0
-        found = pd.DataFrame(out, columns=["seq", "ref_price", "volume", "trades"])
-        found.insert(0, "instrument", rows["instrument"].iloc[0])
-        found.insert(0, "venue", rows["venue"].iloc[0])
-        return found
-
-    return trades.select(*KEYS, "seq", "price", "size").groupBy(*KEYS).applyInPandas(fold, "venue string, instrument string, seq long, ref_price double, volume double, trades long")
+    """Trades by which volume piled up while the price stayed near a reference, which moves on when the price leaves it.
+
+    A sequential fold: a task reads its series in order, a batch at a time, and carries a few numbers on.
+    """
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, ref, total, n, k, all_volume = None, 0.0, 0.0, 0, 0, 0.0
+        for frame in frames:
+            out = []
+            for venue, instrument, seq, price, size in zip(*(frame[c].tolist() for c in (*KEYS, "seq", "price", "size"))):
+                if (venue, instrument) != at:
+                    at, ref, total, n, k, all_volume = (venue, instrument), 0.0, 0.0, 0, 0, 0.0
+                k, all_volume = k + 1, all_volume + size
+                if ref <= 0 or abs(price - ref) / ref > move:
+                    ref, total, n = price, 0.0, 0
+                total, n = total + size, n + 1
+                if k >= least and n > 1 and total >= ratio * all_volume / k * n:
+                    out.append((*at, seq, ref, round(total, 6), n))
+                    total, n = 0.0, 0
+            yield pd.DataFrame(out, columns=[*KEYS, "seq", "ref_price", "volume", "trades"])
+
+    dealt = trades.select(*KEYS, "seq", "price", "size").repartition(*KEYS).sortWithinPartitions(*KEYS, "seq")
+    return dealt.mapInPandas(fold, "venue string, instrument string, seq long, ref_price double, volume double, trades long")
 
 
 def _order() -> Window:

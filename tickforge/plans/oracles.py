@@ -183,5 +183,27 @@ SQL["ind_heikin_ashi"] = f"""with recursive {_H}, n as (select *, row_number() o
 ha as (select venue, instrument, k, window_start, high, low, hc, (open + close) / 2 as ho from n where k = 1 union all select n.venue, n.instrument, n.k, n.window_start, n.high, n.low, n.hc, (ha.ho + ha.hc) / 2 from ha join n on n.venue = ha.venue and n.instrument = ha.instrument and n.k = ha.k + 1)
 , fin as (select * from ha) select venue, instrument, window_start, round(ho, 4) as ha_open, round(greatest(high, ho, hc), 4) as ha_high, round(least(low, ho, hc), 4) as ha_low, round(hc, 4) as ha_close from fin"""
 
+SQL["event_categories"] = f"with {_EV} select case event_type when 'view' then 'delta' when 'click' then 'snapshot' when 'error' then 'close_final' when 'purchase' then 'telemetry' else 'unknown' end as category, venue, count(*) as events from ev group by all"
+SQL["envelope_audit"] = f"""with {_TR}, e as (select *, case when event_id % 107 = 0 then 'venue' when event_id % 109 = 0 then 'ts_ingest' when event_id % 113 = 0 then 'idempotency_key' else '' end as field from t),
+q as (select *, case when field <> '' then 'validation_failed' when event_id % 101 = 0 then 'unknown_event_type' when event_id % 103 = 0 then 'unknown_event_version' when event_id % 127 = 0 then 'decode_failed' end as reason, field || case when event_id % 101 = 0 then ' marketdata.quote ' else ' marketdata.trade ' end || case when event_id % 103 = 0 then '2' else '1' end as error from e)
+select instrument, reason, error, count(*) as rows, min(seq) as first_seq from q where reason is not null group by all"""
+SQL["candle_audit"] = f"""with {_H}, b as (select venue, instrument, case when (window_start // 3600000) % 7 = 0 then ['high', 'low'] else [] end || case when (window_start // 3600000) % 11 = 0 then ['volume'] else [] end as rs from c), u as (select venue, instrument, unnest(rs) as rule from b) select venue, instrument, rule, count(*) as candles from u group by all"""
+SQL["tape_audit"] = f"with {_DE}, w as (select distinct venue, instrument, ts - ts % 5000 as window_start from dt) select venue, instrument, 'counts' as rule, count(*) as windows from w where (window_start // 5000) % 5 = 0 group by all"
+SQL["run_digest"] = f"with {_TR} select count(*) as rows, sum(('0x' || substr(md5(venue || '|' || instrument || '|' || seq || '|' || trade_id || '|' || ts), 1, 8))::bigint)::bigint as digest from t"
+SQL["latest_versions"] = f"with {_H} select venue, instrument, window_start, round(case when window_start % 10800000 = 0 then close + 1 else close end, 6) as close, case when window_start % 10800000 = 0 then 2 else 1 end::bigint as version from c"
+SQL["strict_order"] = f"with {_TR}, l as (select venue, instrument, tx - tx % 60000 as w, max(tx - tx % 60000) over (partition by venue, instrument order by event_id rows between unbounded preceding and 1 preceding) as top from t) select venue, instrument, count(*) as trades, count(*) filter (top > w) as late from l group by all"
+SQL["catch_up"] = f"with {_TR}, l as (select *, max(ts) over (partition by venue, instrument order by event_id rows unbounded preceding) as top from t) select venue, instrument, count(*) as trades, max(trade_id) as last_id from l where top - ts <= 3600000 group by all"
+SQL["content_keys"] = f"with {_EV}, l as (select *, row_number() over (partition by venue, instrument order by ms, event_id) as seq from ev where event_type = 'error'), k as (select venue, instrument, seq, case when event_id % 2 = 0 then event_id::varchar else sha256('sell|' || ms) end as dedup_key from l) select venue, instrument, dedup_key, min(seq) as seq, 2 * count(*) as copies from k group by all"
+SQL["backfill_assembled"] = f"with {_TR} select venue, instrument, row_number() over (partition by venue, instrument order by tx, trade_id) as seq, trade_id, tx as ts_ingest_ms, venue || ':' || instrument || ':' || trade_id as idempotency_key from t"
+SQL["event_range_newest"] = f"with {_TR} select 'trade/' || venue || '/' || instrument || '/raw' as subject, seq, trade_id, ts as ts_ingest_ms from t where ts <= 1705708800000 qualify row_number() over (partition by venue, instrument order by ts desc, seq desc) <= 5"
+SQL["vpvr_changes"] = f"with {_TR}, b as (select *, floor(price / 5.0) * 5.0 as pl, ts - ts % 86400000 as ws from t) select venue, instrument, ws as window_start, round(pl, 6) as price_low, seq, round(sum(case when side = 'buy' then q else 0 end) over w::bigint / 1e8, 6) as buy_volume, round(sum(case when side = 'sell' then q else 0 end) over w::bigint / 1e8, 6) as sell_volume, round(sum(q) over w::bigint / 1e8, 6) as total_volume from b window w as (partition by venue, instrument, ws, pl order by seq rows unbounded preceding)"
+SQL["bar_counter"] = f"with {_H}, b as (select venue, instrument, window_start, sum(round_even(volume * 1e8, 0)::bigint) over w as v, sum(trade_count) over w::bigint as trades, sum(round_even(buy_volume * 1e8, 0)::bigint) over w as bv from c window w as (partition by venue, instrument order by window_start rows 19 preceding)) select venue, instrument, window_start, round(v::bigint / 1e8, 4) as volume, trades, round(bv::bigint * 100.0::double / v::bigint, 4) as buy_pct from b"
+SQL["thinned_candles"] = f"with {_H}, k as (select *, row_number() over (partition by venue, instrument order by window_start) as k from c) select venue, instrument, window_start, round(close, 6) as close from k where k % 3 = 0 or window_start % 86400000 = 0"
+SQL["reject_reasons"] = f"with {_DIRTY} select venue, case when price <= 0 then 'non_positive_price' else 'bad_side' end as reason, count(*) as rows from dd where price <= 0 or side not in ('buy', 'sell') group by all order by rows desc, venue, reason limit 10"
+SQL["capped_books"] = f"""with {_BD}, r as (select *, row_number() over (partition by venue, instrument, side order by case when side = 'bid' then -price else price end) as k from bo),
+g as (select venue, instrument, string_agg(price::bigint::varchar, ',' order by k) filter (side = 'bid' and k <= 3) as bids, string_agg(price::bigint::varchar, ',' order by k) filter (side = 'ask' and k <= 3) as asks, count(*) filter (side = 'bid') as bid_levels, count(*) filter (side = 'ask') as ask_levels, max(price) filter (side = 'bid') as b, min(price) filter (side = 'ask') as a from r group by all) select venue, instrument, coalesce(bids, '') as bids, coalesce(asks, '') as asks, bid_levels, ask_levels, round(coalesce((a - b) / ((a + b) / 2) * 10000, -1), 4) as spread_bps from g"""
+SQL["throttled_books"] = f"with {_DE} select venue, instrument, ts - ts % 10000 as interval_start, max(seq) as seq, max(ts) as ts_ingest_ms from dt group by all"
+SQL["newest_evidence"] = f"select venue, instrument, seq, side from ({SQL['ev_sweep']}) qualify row_number() over (partition by venue, instrument order by seq desc) <= 3"
+
 # Spark's rounding of the results is half to even on x * 10^n; so is this
 SQL = {name: "".join([*(parts := text.rpartition(") select "))[:2], parts[2].replace("round(", "round_even(")]) for name, text in SQL.items()}

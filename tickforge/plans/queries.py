@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickforge.functions.columns import decayed, fixed, flags, instrument_name, share, side_name, subject, unfixed, venue_name, window_start
+from tickforge.functions.columns import content_key, decayed, event_category, fixed, flags, instrument_name, share, side_name, subject, unfixed, venue_name, window_start
 from tickforge.operators import book_state, books, indicators, profiles, quality, signals, windows
 from tickforge.sources import dialects, readers, ticks
 
@@ -595,3 +595,125 @@ def ind_macd(s, d):
 @query
 def ind_heikin_ashi(s, d):
     return rounded(indicators.heikin_ashi(_hours(s, d)).select(*K, "window_start", "ha_open", "ha_high", "ha_low", "ha_close"), 4)
+
+
+@query
+def event_categories(s, d):
+    names = {"view": "marketdata.bookdelta", "click": "insights.heatmap_snapshot", "error": "aggregation.candle.close", "purchase": "ops.telemetry.v1"}
+    kind = F.lit("marketdata.trade")
+    for event, name in names.items():
+        kind = F.when(F.col("event_type") == event, name).otherwise(kind)
+    e = ticks.events(s, d).withColumn("kind", kind)
+    return e.groupBy(event_category(F.col("kind")).alias("category"), "venue").agg(F.count("*").alias("events"))
+
+
+@query
+def envelope_audit(s, d):
+    """Envelopes of the trades, some of them broken, by the reason of their quarantine."""
+    at = lambda n: F.col("event_id") % n == 0
+    t = ticks.trades(s, d)
+    e = t.select(F.when(at(101), "marketdata.quote").otherwise("marketdata.trade").alias("type"), F.when(at(103), 2).otherwise(1).alias("version"), F.when(at(107), " ").otherwise(F.col("venue")).alias("venue"), "instrument", F.when(at(109), 0).otherwise(F.col("ts_ingest_ms")).alias("ts_ingest"), "seq", F.when(~at(113), F.col("trade_id")).alias("idempotency_key"), F.when(at(127), "{broken").otherwise('{"a":"1"}').alias("payload"))
+    return quality.quarantined(e, {"marketdata.trade": 1}).groupBy("instrument", "reason", "error").agg(F.count("*").alias("rows"), F.min("seq").alias("first_seq"))
+
+
+@query
+def candle_audit(s, d):
+    c = windows.candles(ticks.trades(s, d), "1h").withColumn("hour", F.expr("window_start div 3600000"))
+    c = c.withColumns({"high": F.when(F.col("hour") % 7 == 0, F.col("low") - 1).otherwise(F.col("high")), "volume": F.when(F.col("hour") % 11 == 0, F.col("volume") + 1).otherwise(F.col("volume"))})
+    return quality.broken_rules(c, quality.CANDLE_RULES).groupBy(*K, "rule").agg(F.count("*").alias("candles"))
+
+
+@query
+def tape_audit(s, d):
+    t = windows.tape(ticks.dense(s, d), "5s").withColumn("buy_count", F.when(F.expr("(window_start div 5000) % 5 = 0"), F.col("buy_count") + 1).otherwise(F.col("buy_count")))
+    return quality.broken_rules(t, quality.TAPE_RULES).groupBy(*K, "rule").agg(F.count("*").alias("windows"))
+
+
+@query
+def run_digest(s, d):
+    return quality.run_expectations(ticks.trades(s, d), "venue", "instrument", "seq", "trade_id", "ts_ingest_ms")
+
+
+@query
+def latest_versions(s, d):
+    c = windows.candles(ticks.trades(s, d), "1h").select(*K, "window_start", "close").withColumn("version", F.lit(1))
+    second = c.where("window_start % 10800000 = 0").withColumns({"close": F.col("close") + 1, "version": F.lit(2)})
+    return rounded(quality.latest_versions(c.unionByName(second), [*K, "window_start"], "version").select(*K, "window_start", "close", F.col("version").cast("long").alias("version")))
+
+
+@query
+def strict_order(s, d):
+    """How many trades are late by exchange time, when ids tell the order of arrival."""
+    t = quality.lateness(ticks.trades(s, d), 60_000, "ts_exchange_ms", ["event_id"], K)
+    return t.groupBy(*K).agg(F.count("*").alias("trades"), F.count_if("is_late").alias("late"))
+
+
+@query
+def catch_up(s, d):
+    return quality.caught_up(ticks.trades(s, d), 3_600_000, ["event_id"], K).groupBy(*K).agg(F.count("*").alias("trades"), F.max("trade_id").alias("last_id"))
+
+
+@query
+def content_keys(s, d):
+    """Liquidations told apart by source id or, where that is missing, by content."""
+    l = ticks.liquidations(s, d).withColumn("id", F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(""))
+    key = content_key(F.col("id"), F.col("side"), F.col("ts_ingest_ms"))
+    return l.unionByName(l).select(*K, key.alias("dedup_key"), "seq").groupBy(*K, "dedup_key").agg(F.min("seq").alias("seq"), F.count("*").alias("copies"))
+
+
+@query
+def backfill_assembled(s, d):
+    return readers.assembled(ticks.trades(s, d).drop("seq", "ts_ingest_ms")).select(*K, "seq", "trade_id", "ts_ingest_ms", "idempotency_key")
+
+
+@query
+def event_range_newest(s, d):
+    """The newest five events of each subject up to a bound: the feature is that cut."""
+    t = ticks.trades(s, d).withColumn("subject", subject(F.lit("trade"), F.col("venue"), F.col("instrument"), F.lit("raw")))
+    return readers.read_events(t, 0, BOUNDARY, 5, "last").select("subject", "seq", "trade_id", "ts_ingest_ms")
+
+
+@query
+def precise_trades(s, d):
+    t = ticks.trades(s, d).withColumns({"price": F.col("price") / 7, "size": F.col("size") / 7})
+    return readers.precise(t).select(*K, "trade_id", "price", "size")
+
+
+@query
+def vpvr_changes(s, d):
+    return rounded(profiles.profile_changes(ticks.trades(s, d), 5.0, DAY))
+
+
+@query
+def bar_counter(s, d):
+    return rounded(profiles.rolling_counter(_hours(s, d)), 4)
+
+
+@query
+def thinned_candles(s, d):
+    """Every third candle of a series, and all at midnight."""
+    return rounded(quality.thinned(_hours(s, d), K, "window_start", 3, F.col("window_start") % DAY == 0).select(*K, "window_start", "close"))
+
+
+@query
+def reject_reasons(s, d):
+    """The ten most frequent reasons of rejection by venue: the feature is that cut."""
+    return quality.validated(_dirty(s, d))[1].groupBy("venue", "reason").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "venue", "reason").limit(10)
+
+
+@query
+def capped_books(s, d):
+    c = books.capped(books.book_as_of(ticks.book_deltas(s, d), 500), 3)
+    side = lambda x: F.array_join(F.transform(x, lambda v: v["price"].cast("long").cast("string")), ",")
+    return rounded(c.select(*K, side("bids").alias("bids"), side("asks").alias("asks"), "bid_levels", "ask_levels", "spread_bps"), 4)
+
+
+@query
+def throttled_books(s, d):
+    return books.throttled(ticks.book_snapshots(s, d), 10_000).select(*K, "interval_start", "seq", "ts_ingest_ms")
+
+
+@query
+def newest_evidence(s, d):
+    """The newest three sweeps of each stream: the feature is that cut."""
+    return quality.newest(signals.sweeps(_inputs(s, d)).select(*K, "seq", "side"), K, "seq", 3)

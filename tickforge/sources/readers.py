@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.columns import instrument_name, side_name, venue_name
@@ -42,3 +42,34 @@ def read_range(windows: DataFrame, start: int, end: int, limit: int = 1000, keep
     rows = windows.where(F.col("window_start").between(start, end))
     key = F.col("window_start") if keep == "first" else F.desc("window_start")
     return rows.orderBy(key, "venue", "instrument").limit(limit)
+
+
+def assembled(trades: DataFrame) -> DataFrame:
+    """Historical trades as a stream: dense seq from 1 in order of time and id, ingest time as exchange time, key from the trade id."""
+    order = Window.partitionBy("venue", "instrument").orderBy("ts_exchange_ms", "trade_id")
+    return trades.withColumns({"seq": F.row_number().over(order).cast("long"), "ts_ingest_ms": F.col("ts_exchange_ms"), "idempotency_key": F.concat_ws(":", "venue", "instrument", "trade_id")})
+
+
+def read_events(events: DataFrame, start: int = 0, end: int = 0, limit: int = 1000, keep: str = "first") -> DataFrame:
+    """Of each subject the first or last `limit` events within [start, end]; 0 leaves a bound open."""
+    rows = events.where(F.col("ts_ingest_ms") >= start) if start else events
+    rows = rows.where(F.col("ts_ingest_ms") <= end) if end else rows
+    order = ["ts_ingest_ms", "seq"] if keep == "first" else [F.desc("ts_ingest_ms"), F.desc("seq")]
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy("subject").orderBy(*order))).where(F.col("_k") <= limit).drop("_k")
+
+
+def in_replay_order(envelopes: DataFrame) -> DataFrame:
+    """Envelopes in the total order of a replay."""
+    return envelopes.orderBy("ts_ingest", F.lower("venue"), F.upper("instrument"), F.lower("type"), "seq", "idempotency_key")
+
+
+# Decimals of price and size by instrument; eight otherwise.
+PRECISION = {"BTCUSDT": (2, 6), "ETHUSDT": (2, 6), "SOLUSDT": (3, 4)}
+
+
+def precise(trades: DataFrame) -> DataFrame:
+    """Price and size rounded to the instrument's decimals, half away from zero."""
+    price, size = F.round("price", 8), F.round("size", 8)
+    for name, (p, q) in PRECISION.items():
+        price, size = F.when(F.col("instrument") == name, F.round("price", p)).otherwise(price), F.when(F.col("instrument") == name, F.round("size", q)).otherwise(size)
+    return trades.withColumns({"price": price, "size": size})

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +55,34 @@ def last_write_wins(path: str, key: list[str], order: str):
 def current(table: DataFrame, key: list[str], order: str) -> DataFrame:
     """The newest row of each key over all batches."""
     return table.groupBy(*key).agg(F.max_by(F.struct(*table.columns), F.struct(F.col(order), F.col("batch"))).alias("r")).select("r.*").drop("batch")
+
+
+_OPEN = "window_start long, open double, high double, low double, close double, volume double, trade_count long, late long"
+_CLOSED = f"venue string, symbol string, {_OPEN}"
+
+
+def stream_strict_candles(trades: DataFrame, ms: int) -> DataFrame:
+    """Candles with one open window a series: a trade of a newer window closes it and what is older is late, however little.
+
+    `late` counts the late trades since the window before was closed. The last window stays open as state.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now, out = list(state.get) if state.exists else None, []
+        for frame in frames:
+            for at, price, size in zip(frame["ts_exchange_ms"].tolist(), frame["price"].tolist(), frame["quantity"].tolist()):
+                start = at - at % ms
+                if now is None or start > now[0]:
+                    if now is not None:
+                        out.append((*key, *now))
+                    now = [start, price, price, price, price, size, 1, 0]
+                elif start < now[0]:
+                    now[7] += 1
+                else:
+                    now[2], now[3], now[4] = max(now[2], price), min(now[3], price), price
+                    now[5], now[6] = now[5] + size, now[6] + 1
+        if now is not None:
+            state.update(tuple(now))
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in _CLOSED.split(", ")])
+
+    return trades.groupBy("venue", "symbol").applyInPandasWithState(run, _CLOSED, _OPEN, "append", "NoTimeout")
