@@ -1,45 +1,64 @@
 """Raw venue messages to canonical trades, books, mark prices and liquidations.
 
-Input: venue, message (JSON text) and received_ms, from a batch or a stream. Each dialect is a schema and a few expressions; what isn't of the
-asked kind (control messages, other channels, text that doesn't parse) is left out. Every entry of a message counts.
+Input: venue, message (JSON text) and received_ms, from a batch or a stream. A message is parsed once, and the input is read once for all
+venues: each venue has an expression that makes an array of entries from a message. What isn't of the asked kind (control messages, other
+channels, text that doesn't parse) gives none. Every entry of a message counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.functions.columns import instrument_name, parse_ms, side_name
 
+_RECEIVED = "received_ms"
 
 
-def _parsed(raw: DataFrame, venue: str) -> DataFrame:
-    """Messages of a venue as maps, as field names may differ in case alone. Nested values stay JSON text."""
-    return raw.where(F.upper(F.trim("venue")) == venue).select(F.lit(venue).alias("venue"), "received_ms", F.from_json("message", "map<string,string>").alias("m")).where("m is not null")
+def _read(raw: DataFrame, entries: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """A row for each entry. Messages are maps, as field names may differ in case alone; nested values stay JSON text."""
+    m = raw.select(F.upper(F.trim("venue")).alias("venue"), _RECEIVED, F.from_json("message", "map<string,string>").alias("m")).where(F.col("m").isNotNull() & F.col("venue").isin(*entries))
+    all_entries = None
+    for venue, make in entries.items():
+        mine = F.col("venue") == venue
+        all_entries = F.when(mine, make(F.col("m"))) if all_entries is None else all_entries.when(mine, make(F.col("m")))
+    return m.select("venue", F.explode(all_entries).alias("x")).select("venue", "x.*")
 
 
-def _each(df: DataFrame, array: str, name: str = "x", *kept: Column | str) -> DataFrame:
-    """A row for each map in the JSON text `array`."""
-    return df.select("venue", "received_ms", *kept, F.explode(F.from_json(array, "array<map<string,string>>")).alias(name))
+def _if(condition: Column, entries: Column) -> Column:
+    return F.when(condition, entries)
 
 
-def _long(x: Column) -> Column:
-    return x.try_cast("long")
+def _maps(text: Column) -> Column:
+    return F.from_json(text, "array<map<string,string>>")
+
+
+def _inner(text: Column) -> Column:
+    return F.from_json(text, "map<string,string>")
 
 
 def _number(x: Column) -> Column:
     return x.try_cast("double")
 
 
-def _text(*names: str) -> Column:
+def _long(x: Column) -> Column:
+    return x.try_cast("long")
+
+
+def _text(*columns: Column) -> Column:
     """The first of these that isn't blank."""
-    return F.coalesce(*(F.when(F.trim(n) != "", F.trim(n)) for n in names))
+    return F.coalesce(*(F.when(F.trim(c) != "", F.trim(c)) for c in columns))
 
 
-def _or_received(*names: str) -> Column:
+def _or_received(*columns: Column) -> Column:
     """The first of these times in ms that is positive, else the receive time."""
-    ms = F.coalesce(*(F.when(_long(F.col(n)) > 0, _long(F.col(n))) for n in names))
-    return F.when(ms > 0, ms).otherwise(F.col("received_ms"))
+    return F.coalesce(*(F.when(_long(c) > 0, _long(c)) for c in columns), F.col(_RECEIVED))
+
+
+def _time(*columns: Column) -> Column:
+    return parse_ms(F.coalesce(_text(*columns), F.lit("")), F.col(_RECEIVED))
 
 
 def _bitcoin(symbol: Column) -> Column:
@@ -50,61 +69,66 @@ def _future(symbol: Column) -> Column:
     return _bitcoin(F.regexp_replace(F.upper(F.trim(symbol)), "^P[IF]_|^FI_", ""))
 
 
-def _time(*names: str) -> Column:
-    return parse_ms(F.coalesce(_text(*names), F.lit("")), F.col("received_ms"))
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _dollars(coin: Column) -> Column:
+    return F.concat(F.trim(coin), F.lit("USD"))
 
 
 def trades(raw: DataFrame) -> DataFrame:
     """venue, instrument, trade_id, price, size, side, ts_exchange_ms; those without a positive price and size, a side or an id are dropped."""
 
-    def rows(df: DataFrame, symbol: Column, id: Column, price: str, size: Column, side: Column, ms: Column) -> DataFrame:
-        return df.select("venue", instrument_name(symbol).alias("instrument"), id.alias("trade_id"), _number(F.col(price)).alias("price"), _number(size).alias("size"), side.alias("side"), ms.alias("ts_exchange_ms"))
-
-    col, parts = F.col, []
-    b = _parsed(raw, "BINANCE").where("m.e = 'aggTrade'")
-    parts.append(rows(b, col("m.s"), col("m.a"), "m.p", col("m.q"), F.when(col("m.m") == "true", "sell").otherwise("buy"), _or_received("m.T", "m.E")))
-    y = _each(_parsed(raw, "BYBIT").where("m.topic like 'publicTrade.%'"), "m.data")
-    parts.append(rows(y, col("x.s"), col("x.i"), "x.p", col("x.v"), side_name(col("x.S")), _or_received("x.T")))
-    c = _parsed(raw, "COINBASE").where("m.type in ('match', 'last_match')")
-    parts.append(rows(c, col("m.product_id"), col("m.trade_id"), "m.price", col("m.size"), side_name(col("m.side")), _time("m.time")))
-    h = _each(_parsed(raw, "HYPERLIQUID").where("m.channel = 'trades'"), "m.data")
-    own = F.when(~F.trim("x.hash").rlike("^(0x)?0*$"), F.trim("x.hash"))
-    parts.append(rows(h, F.concat(F.trim("x.coin"), F.lit("USD")), F.coalesce(own, F.when(_long(col("x.tid")) != 0, col("x.tid"))), "x.px", col("x.sz"), side_name(col("x.side")), _or_received("x.time")))
-    k = _each(_each(_parsed(raw, "KRAKEN").where("m.channel = 'trade'"), "m.data", "d"), "d.trades", "x", F.col("d.symbol").alias("symbol"))
-    ms = _time("x.timestamp", "x.time_in")
-    parts.append(rows(k, _bitcoin(col("symbol")), F.coalesce(_text("x.trade_id", "x.id"), ms.cast("string")), "x.price", _text("x.qty", "x.size"), side_name(col("x.side")), ms))
-    f = _parsed(raw, "KRAKENF").where("m.feed in ('trade', 'trade_snapshot')")
-    several = F.from_json("m.trades", "array<map<string,string>>")
-    f = f.select("venue", "received_ms", F.col("m.product_id").alias("symbol"), F.explode(F.when(F.size(several) > 0, several).otherwise(F.array("m"))).alias("x"))
-    ms = _time("x.time", "x.timestamp")
-    parts.append(rows(f, _future(col("symbol")), F.coalesce(_text("x.uid", "x.trade_id"), ms.cast("string")), "x.price", _text("x.qty", "x.size"), side_name(col("x.side")), ms))
+    def row(symbol: Column, id: Column, price: Column, size: Column, side: Column, ms: Column) -> Column:
+        return F.struct(instrument_name(symbol).alias("instrument"), id.alias("trade_id"), _number(price).alias("price"), _number(size).alias("size"), side.alias("side"), ms.alias("ts_exchange_ms"))
+
+    def binance(m: Column) -> Column:
+        return _if(m["e"] == "aggTrade", F.array(row(m["s"], m["a"], m["p"], m["q"], F.when(m["m"] == "true", "sell").otherwise("buy"), _or_received(m["T"], m["E"]))))
+
+    def bybit(m: Column) -> Column:
+        return _if(m["topic"].startswith("publicTrade."), F.transform(_maps(m["data"]), lambda x: row(x["s"], x["i"], x["p"], x["v"], side_name(x["S"]), _or_received(x["T"]))))
+
+    def coinbase(m: Column) -> Column:
+        return _if(m["type"].isin("match", "last_match"), F.array(row(m["product_id"], m["trade_id"], m["price"], m["size"], side_name(m["side"]), _time(m["time"]))))
+
+    def hyperliquid(m: Column) -> Column:
+        own = lambda x: F.coalesce(F.when(~F.trim(x["hash"]).rlike("^(0x)?0*$"), F.trim(x["hash"])), F.when(_long(x["tid"]) != 0, x["tid"]))
+        return _if(m["channel"] == "trades", F.transform(_maps(m["data"]), lambda x: row(_dollars(x["coin"]), own(x), x["px"], x["sz"], side_name(x["side"]), _or_received(x["time"]))))
+
+    def kraken(m: Column) -> Column:
+        def entry(symbol: Column, x: Column) -> Column:
+            ms = _time(x["timestamp"], x["time_in"])
+            return row(_bitcoin(symbol), F.coalesce(_text(x["trade_id"], x["id"]), ms.cast("string")), x["price"], _text(x["qty"], x["size"]), side_name(x["side"]), ms)
+
+        return _if(m["channel"] == "trade", F.flatten(F.transform(_maps(m["data"]), lambda d: F.transform(_maps(d["trades"]), lambda x: entry(d["symbol"], x)))))
+
+    def futures(m: Column) -> Column:
+        def entry(x: Column) -> Column:
+            ms = _time(x["time"], x["timestamp"])
+            return row(_future(m["product_id"]), F.coalesce(_text(x["uid"], x["trade_id"]), ms.cast("string")), x["price"], _text(x["qty"], x["size"]), side_name(x["side"]), ms)
+
+        several = _maps(m["trades"])
+        return _if(m["feed"].isin("trade", "trade_snapshot"), F.transform(F.when(F.size(several) > 0, several).otherwise(F.array(m)), entry))
+
+    out = _read(raw, {"BINANCE": binance, "BYBIT": bybit, "COINBASE": coinbase, "HYPERLIQUID": hyperliquid, "KRAKEN": kraken, "KRAKENF": futures})
     good = "price > 0 and size > 0 and side is not null and coalesce(trade_id, '') <> '' and not isnan(price) and not isnan(size) and price < double('infinity') and size < double('infinity')"
-    return _union(parts).where(good)
+    return out.where(good)
 
 
 def _valid(levels: Column) -> Column:
-    return F.filter(levels, lambda x: (x["price"] > 0) & (x["size"] >= 0))
+    """Levels whose price and size parse; no array is an empty one."""
+    return F.coalesce(F.filter(levels, lambda x: (x["price"] > 0) & (x["size"] >= 0)), F.array().cast("array<struct<price: double, size: double>>"))
 
 
 def _tuples(levels: Column) -> Column:
-    """[price, size] arrays as structs of numbers; levels that don't parse are dropped."""
+    """Levels that are arrays of price and size."""
     return _valid(F.transform(levels, lambda x: F.struct(_number(F.get(x, F.lit(0))).alias("price"), _number(F.get(x, F.lit(1))).alias("size"))))
 
 
-def _pairs(text: str) -> Column:
+def _pairs(text: Column) -> Column:
     return _tuples(F.from_json(text, "array<array<string>>"))
 
 
 def _named(text: Column, price: str, *sizes: str) -> Column:
     """Levels that are maps with these names for price and size."""
-    return _valid(F.transform(F.from_json(text, "array<map<string,string>>"), lambda x: F.struct(_number(x[price]).alias("price"), _number(F.coalesce(*(x[s] for s in sizes))).alias("size"))))
+    return _valid(F.transform(_maps(text), lambda x: F.struct(_number(x[price]).alias("price"), _number(F.coalesce(*(x[s] for s in sizes))).alias("size"))))
 
 
 def unswapped(books: DataFrame) -> DataFrame:
@@ -118,60 +142,71 @@ def unswapped(books: DataFrame) -> DataFrame:
 
 def books(raw: DataFrame) -> DataFrame:
     """venue, instrument, bids and asks (arrays of price and size), first_id, final_id, prev_final, is_snapshot, ts_exchange_ms; sides that came exchanged are mended."""
-    col, none = F.col, F.lit(None)
-
-    def rows(df: DataFrame, symbol: Column, bids: Column, asks: Column, first: Column, final: Column, before: Column, snapshot: Column, ms: Column) -> DataFrame:
-        empty = F.array().cast("array<struct<price: double, size: double>>")
-        ids = {"first_id": first, "final_id": final, "prev_final": before}
-        return df.select("venue", instrument_name(symbol).alias("instrument"), F.coalesce(bids, empty).alias("bids"), F.coalesce(asks, empty).alias("asks"), *(x.cast("string").try_cast("long").alias(n) for n, x in ids.items()), snapshot.alias("is_snapshot"), ms.alias("ts_exchange_ms"))
-
-    def inner(df: DataFrame) -> DataFrame:
-        return df.withColumn("d", F.from_json("m.data", "map<string,string>"))
-
-    parts = []
-    b = _parsed(raw, "BINANCE").where("m.e = 'depthUpdate'")
-    parts.append(rows(b, col("m.s"), _pairs("m.b"), _pairs("m.a"), col("m.U"), col("m.u"), col("m.pu"), F.lit(False), _or_received("m.E")))
-    y = inner(_parsed(raw, "BYBIT").where("m.topic like 'orderbook.%'"))
-    parts.append(rows(y, col("d.s"), _pairs("d.b"), _pairs("d.a"), col("d.u"), col("d.u"), col("d.pu"), col("m.type") == "snapshot", _or_received("d.cts", "m.ts")))
-    c = _parsed(raw, "COINBASE").where("m.type in ('snapshot', 'l2update')")
-    changes = F.from_json("m.changes", "array<array<string>>")
-    of = lambda *names: _tuples(F.transform(F.filter(changes, lambda x: F.lower(F.get(x, F.lit(0))).isin(*names)), lambda x: F.slice(x, 2, 2)))
-    snap = col("m.type") == "snapshot"
-    parts.append(rows(c, col("m.product_id"), F.when(snap, _pairs("m.bids")).otherwise(of("buy", "bid")), F.when(snap, _pairs("m.asks")).otherwise(of("sell", "ask", "offer")), col("m.sequence"), col("m.sequence"), none, snap, _time("m.time")))
-    h = inner(_parsed(raw, "HYPERLIQUID").where("m.channel = 'l2Book'")).withColumn("sides", F.from_json("d.levels", "array<string>"))
-    parts.append(rows(h, F.concat(F.trim("d.coin"), F.lit("USD")), _named(F.get("sides", F.lit(0)), "px", "sz"), _named(F.get("sides", F.lit(1)), "px", "sz"), none, col("d.time"), none, F.lit(True), _or_received("d.time")))
-    k = _each(_parsed(raw, "KRAKEN").where("m.channel = 'book'"), "m.data", "d", F.col("m.type").alias("type"))
-    parts.append(rows(k, _bitcoin(col("d.symbol")), _named(col("d.bids"), "price", "qty", "size"), _named(col("d.asks"), "price", "qty", "size"), col("d.sequence"), col("d.sequence"), none, col("type") == "snapshot", _time("d.timestamp")))
-    f = _parsed(raw, "KRAKENF").where("m.feed in ('book', 'book_snapshot')")
-    parts.append(rows(f, _future(col("m.product_id")), _pairs("m.bids"), _pairs("m.asks"), col("m.seq"), col("m.seq"), none, col("m.feed") == "book_snapshot", _time("m.time", "m.timestamp")))
-    return unswapped(_union(parts))
+    none = F.lit(None).cast("string")
+
+    def row(symbol: Column, bids: Column, asks: Column, first: Column, final: Column, before: Column, snapshot: Column, ms: Column) -> Column:
+        return F.struct(instrument_name(symbol).alias("instrument"), bids.alias("bids"), asks.alias("asks"), _long(first).alias("first_id"), _long(final).alias("final_id"), _long(before).alias("prev_final"), F.coalesce(snapshot, F.lit(False)).alias("is_snapshot"), ms.alias("ts_exchange_ms"))
+
+    def binance(m: Column) -> Column:
+        return _if(m["e"] == "depthUpdate", F.array(row(m["s"], _pairs(m["b"]), _pairs(m["a"]), m["U"], m["u"], m["pu"], F.lit(False), _or_received(m["E"]))))
+
+    def bybit(m: Column) -> Column:
+        d = _inner(m["data"])
+        return _if(m["topic"].startswith("orderbook."), F.array(row(d["s"], _pairs(d["b"]), _pairs(d["a"]), d["u"], d["u"], d["pu"], m["type"] == "snapshot", _or_received(d["cts"], m["ts"]))))
+
+    def coinbase(m: Column) -> Column:
+        changes, snap = F.from_json(m["changes"], "array<array<string>>"), m["type"] == "snapshot"
+        of = lambda *names: _tuples(F.transform(F.filter(changes, lambda x: F.lower(F.get(x, F.lit(0))).isin(*names)), lambda x: F.slice(x, 2, 2)))
+        bids, asks = F.when(snap, _pairs(m["bids"])).otherwise(of("buy", "bid")), F.when(snap, _pairs(m["asks"])).otherwise(of("sell", "ask", "offer"))
+        return _if(m["type"].isin("snapshot", "l2update"), F.array(row(m["product_id"], bids, asks, m["sequence"], m["sequence"], none, snap, _time(m["time"]))))
+
+    def hyperliquid(m: Column) -> Column:
+        d = _inner(m["data"])
+        side = lambda k: _named(F.get(F.from_json(d["levels"], "array<string>"), F.lit(k)), "px", "sz")
+        return _if(m["channel"] == "l2Book", F.array(row(_dollars(d["coin"]), side(0), side(1), none, d["time"], none, F.lit(True), _or_received(d["time"]))))
+
+    def kraken(m: Column) -> Column:
+        side = lambda text: _named(text, "price", "qty", "size")
+        return _if(m["channel"] == "book", F.transform(_maps(m["data"]), lambda d: row(_bitcoin(d["symbol"]), side(d["bids"]), side(d["asks"]), d["sequence"], d["sequence"], none, m["type"] == "snapshot", _time(d["timestamp"]))))
+
+    def futures(m: Column) -> Column:
+        return _if(m["feed"].isin("book", "book_snapshot"), F.array(row(_future(m["product_id"]), _pairs(m["bids"]), _pairs(m["asks"]), m["seq"], m["seq"], none, m["feed"] == "book_snapshot", _time(m["time"], m["timestamp"]))))
+
+    return unswapped(_read(raw, {"BINANCE": binance, "BYBIT": bybit, "COINBASE": coinbase, "HYPERLIQUID": hyperliquid, "KRAKEN": kraken, "KRAKENF": futures}))
 
 
 def mark_prices(raw: DataFrame) -> DataFrame:
     """venue, instrument, mark_price, index_price, funding_rate, ts_exchange_ms; without a mark price the last price stands for it. Only positive ones count."""
-    col, none = F.col, F.lit(None).cast("string")
-
-    def rows(df: DataFrame, symbol: Column, mark: Column, index: Column, funding: Column, ms: Column) -> DataFrame:
-        return df.select("venue", instrument_name(symbol).alias("instrument"), _number(mark).alias("mark_price"), _number(index).alias("index_price"), _number(funding).alias("funding_rate"), ms.alias("ts_exchange_ms"))
-
-    b = _parsed(raw, "BINANCE").where("m.e = 'markPriceUpdate'")
-    y = _parsed(raw, "BYBIT").where("m.topic like 'tickers.%'").withColumn("d", F.from_json("m.data", "map<string,string>"))
-    c = _parsed(raw, "COINBASE").where("m.type = 'ticker'")
-    k = _each(_parsed(raw, "KRAKEN").where("m.channel = 'ticker'"), "m.data", "d")
-    f = _parsed(raw, "KRAKENF").where("m.feed = 'ticker'")
-    parts = [
-        rows(b, col("m.s"), col("m.p"), col("m.i"), col("m.r"), _or_received("m.E")),
-        rows(y, col("d.symbol"), col("d.markPrice"), col("d.indexPrice"), col("d.fundingRate"), _or_received("m.ts")),
-        rows(c, col("m.product_id"), col("m.price"), none, none, _time("m.time")),
-        rows(k, _bitcoin(col("d.symbol")), _text("d.mark_price", "d.last"), col("d.index_price"), col("d.funding_rate"), _time("d.timestamp")),
-        rows(f, _future(col("m.product_id")), _text("m.mark_price", "m.last"), col("m.index_price"), col("m.funding_rate"), _time("m.time", "m.timestamp")),
-    ]
-    return _union(parts).where("mark_price > 0 and not isnan(mark_price) and mark_price < double('infinity')")
+    none = F.lit(None).cast("string")
+
+    def row(symbol: Column, mark: Column, index: Column, funding: Column, ms: Column) -> Column:
+        return F.struct(instrument_name(symbol).alias("instrument"), _number(mark).alias("mark_price"), _number(index).alias("index_price"), _number(funding).alias("funding_rate"), ms.alias("ts_exchange_ms"))
+
+    def bybit(m: Column) -> Column:
+        d = _inner(m["data"])
+        return _if(m["topic"].startswith("tickers."), F.array(row(d["symbol"], d["markPrice"], d["indexPrice"], d["fundingRate"], _or_received(m["ts"]))))
+
+    def ticker(x: Column, symbol: Column, ms: Column) -> Column:
+        return row(symbol, _text(x["mark_price"], x["last"]), x["index_price"], x["funding_rate"], ms)
+
+    entries = {
+        "BINANCE": lambda m: _if(m["e"] == "markPriceUpdate", F.array(row(m["s"], m["p"], m["i"], m["r"], _or_received(m["E"])))),
+        "BYBIT": bybit,
+        "COINBASE": lambda m: _if(m["type"] == "ticker", F.array(row(m["product_id"], m["price"], none, none, _time(m["time"])))),
+        "KRAKEN": lambda m: _if(m["channel"] == "ticker", F.transform(_maps(m["data"]), lambda d: ticker(d, _bitcoin(d["symbol"]), _time(d["timestamp"])))),
+        "KRAKENF": lambda m: _if(m["feed"] == "ticker", F.array(ticker(m, _future(m["product_id"]), _time(m["time"], m["timestamp"])))),
+    }
+    return _read(raw, entries).where("mark_price > 0 and not isnan(mark_price) and mark_price < double('infinity')")
 
 
 def liquidations(raw: DataFrame) -> DataFrame:
     """venue, instrument, side, price, size, ts_exchange_ms of forced orders with a side and a positive price and size."""
-    rows = lambda df, x, size: df.select("venue", instrument_name(F.col(f"{x}.s")).alias("instrument"), side_name(F.col(f"{x}.S")).alias("side"), _number(F.col(f"{x}.p")).alias("price"), _number(F.col(f"{x}.{size}")).alias("size"), _or_received(f"{x}.T").alias("ts_exchange_ms"))
-    b = _parsed(raw, "BINANCE").where("m.e = 'forceOrder'").withColumn("x", F.from_json("m.o", "map<string,string>"))
-    y = _each(_parsed(raw, "BYBIT").where("m.topic like 'liquidation.%' or m.topic like 'allLiquidation.%'"), "m.data")
-    return _union([rows(b, "x", "q"), rows(y, "x", "v")]).where("price > 0 and size > 0 and side is not null and price < double('infinity') and size < double('infinity')")
+
+    def row(x: Column, size: str) -> Column:
+        return F.struct(instrument_name(x["s"]).alias("instrument"), side_name(x["S"]).alias("side"), _number(x["p"]).alias("price"), _number(x[size]).alias("size"), _or_received(x["T"]).alias("ts_exchange_ms"))
+
+    entries = {
+        "BINANCE": lambda m: _if(m["e"] == "forceOrder", F.array(row(_inner(m["o"]), "q"))),
+        "BYBIT": lambda m: _if(m["topic"].rlike("^(liquidation|allLiquidation)[.]"), F.transform(_maps(m["data"]), lambda x: row(x, "v"))),
+    }
+    return _read(raw, entries).where("price > 0 and size > 0 and side is not null and price < double('infinity') and size < double('infinity')")
