@@ -205,5 +205,8 @@ g as (select venue, instrument, string_agg(price::bigint::varchar, ',' order by
 SQL["throttled_books"] = f"with {_DE} select venue, instrument, ts - ts % 10000 as interval_start, max(seq) as seq, max(ts) as ts_ingest_ms from dt group by all"
 SQL["newest_evidence"] = f"select venue, instrument, seq, side from ({SQL['ev_sweep']}) qualify row_number() over (partition by venue, instrument order by seq desc) <= 3"
 
+SQL["precise_trades"] = f"with {_TR}, p as (select venue, instrument, trade_id, case when instrument = 'SOLUSDT' then round(price / 7, 3) else round(price / 7, 2) end as price, case when instrument = 'SOLUSDT' then round(size / 7, 4) else round(size / 7, 6) end as size from t) select venue, instrument, trade_id, price, size from p"
+SQL["confidence_decay"] = f"with {_BK}, r as (select *, count(*) over w as n, (bps - avg(bps) over w) as d, stddev_pop(bps) over w as sd from bi {_ROLL64}), e as (select venue, instrument, seq, ts, least(0.99::double, 0.5 + d / sd / 10) as c, max(ts) over (partition by venue, instrument) as now from r where n >= 10 and sd > 1e-9 and d / sd > 2.5 and bps > 10) select venue, instrument, seq, round(greatest(0::double, least(1::double, c * pow(0.5, (now - ts) / 600000))), 4) as confidence from e"
+
 # Spark's rounding of the results is half to even on x * 10^n; so is this
 SQL = {name: "".join([*(parts := text.rpartition(") select "))[:2], parts[2].replace("round(", "round_even(")]) for name, text in SQL.items()}
