@@ -82,6 +82,34 @@ def test_tree_finds_exactly_the_links(sets):
         tree.insert(i, x, len(x))
 
 
+def first_part(s, percent):
+    return np.array(sorted(s)[: len(s) - -(-percent * len(s) // 100) + 1], np.uint64)
+
+
+def assert_first_parts_keep_links(sets, percent):
+    """Sets in any order of insertion; every true link must be among the partners of the larger set's first part."""
+    sets, tree = sorted(sets, key=len), ngram_join.PrefixTree(percent)
+    for k, s in enumerate(sets):
+        want = {j for j in range(k) if 100 * len(s & sets[j]) >= percent * len(s | sets[j]) and set(first_part(s, percent)) & set(first_part(sets[j], percent))}
+        assert want <= set(tree.partners(first_part(s, percent), len(s), lambda x: False))
+        tree.insert(k, first_part(s, percent), len(s))
+
+
+def test_first_parts_keep_links_below_a_split():
+    common = set(range(1000, 1100))
+    assert_first_parts_keep_links([common - {1011}, common, common | set(range(20))], 80)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(8, 30), st.data())
+def test_first_parts_keep_links(frequent, data):
+    """Sets of nearly all of some elements that come last, with rare ones before."""
+    last = set(range(100, 100 + frequent))
+    some = lambda of, most: st.sets(st.sampled_from(of), max_size=most)
+    sets = data.draw(st.lists(st.tuples(some(range(20), 6), some(sorted(last), 3)), min_size=2, max_size=8))
+    assert_first_parts_keep_links([rare | last - gone for rare, gone in sets], data.draw(st.sampled_from([50, 60, 80])))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n\tÉ"), max_size=8))
 def test_word_hashes_tell_words_apart(texts):

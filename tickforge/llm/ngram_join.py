@@ -193,12 +193,12 @@ class PrefixTree:
         """Ids of stored sets that (may) link with this one of size n; skip(id) says that it needn't be told."""
         last, shown = grams[-1], len(grams)
         least = -(-self.percent * n // 100)
-        todo = [(self.root, 0, 0, 0, 0)]  # node; on the path before it: n-grams, those in common, those up to last; place in grams reached
+        todo = [(self.root, 0, 0, 0)]  # node; on the path before it: n-grams in common, those up to last; place in grams reached
         while todo:
-            node, depth, common, below, reached = todo.pop()
+            node, common, below, reached = todo.pop()
             if node.lo * self.percent > 100 * n or node.hi < least:
                 continue
-            if common + min(n - reached, node.hi - depth) < least_overlap(n, max(node.lo, least), self.percent):
+            if common + min(n - reached, node.hi - below) < least_overlap(n, max(node.lo, least), self.percent):
                 continue
             if not node.children and all(skip(x) for x, _ in node.ends):
                 continue
@@ -209,11 +209,10 @@ class PrefixTree:
                 common += int(np.count_nonzero(grams[place[inside]] == run[inside]))
                 reached = int(np.searchsorted(grams, run[-1], "right"))
                 below += len(run) if run[-1] <= last else int(np.searchsorted(run, last, "right"))
-                depth += len(run)
             for x, m in node.ends:
                 if common + min(n - reached, m - below) >= least_overlap(n, m, self.percent) and not skip(x):
                     yield x
-            todo += [(x, depth, common, below, reached) for x in node.children.values()]
+            todo += [(x, common, below, reached) for x in node.children.values()]
 
 
 def _linked(sets: list[tuple[int, np.ndarray, int]], known: dict[int, int], percent: int) -> list[tuple[int, int]]:
