@@ -237,6 +237,13 @@ def test_html_main_text():
     assert html_extract.main_text(None, field) == "" and html_extract.main_text("", field) == ""
 
 
+@pytest.mark.parametrize("mark", ["<svg-icon name=x></svg-icon>", "<title-bar></title-bar>", "<template-card></template-card>", "<svg viewBox='0 0 1 1' />", "<SVG/>", '<math alt="a>b"/>', "<svg><path d=x /><title>t</title></svg>"])
+def test_html_keeps_text_after(mark):
+    field = html_extract.train(html_extract.labelled([]))
+    page = f"<nav><a href=/>Home</a></nav>{mark}<article><h1>Title</h1><p>One line of it.<p>Two.</article><footer>&copy; us</footer>"
+    assert html_extract.main_text(page, field) == "Title\n\nOne line of it.\n\nTwo."
+
+
 def test_secrets():
     forest = secret_scan.Forest(*map(np.array, secret_scan.written_findings()))
     found = lambda t: [v for _, v, b, a, q in secret_scan.candidates(t) if forest.score(np.array([secret_scan.describe(v, b, a, q)]))[0] >= 0.5]
