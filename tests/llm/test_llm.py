@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import textwrap
 import zlib
 
 import numpy as np
@@ -258,6 +259,22 @@ def test_licenses(spark):
     assert got[1] == (7, 2, 3, 5, "mit", "mit", 1.0) and got[2][1:6] == (0, None, None, "", "mpl") and got[3][4:] == ("", "", 0.0) and got[4][0] == 0
 
 
+def test_wrapped_licenses(spark):
+    """Notices as license files wrap them, in comments too, after a text of any length."""
+    wrap = lambda words, mark="": "\n".join(mark + line for line in textwrap.wrap(words, 60))
+    bsd = wrap("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", " * ")
+    mit = wrap("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "REM ")
+    isc = wrap("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted")
+    lgpl = wrap("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "# ")
+    apart = "\n".join(w + " x" * 60 for w in bsd.split())
+    kinds = [bsd, mit, isc, lgpl, apart]
+    d = spark.createDataFrame([(100 * k + n, "word\n" * n + x) for k, x in enumerate(kinds) for n in (0, 7, 13, 29, 41)], "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.scan(d).collect()}
+    for k, label in enumerate(["bsd", "mit", "isc", "lgpl"]):
+        assert all(label in got[100 * k + n] for n in (0, 7, 13, 29, 41))
+    assert all(got[400 + n] == {""} for n in (0, 7, 13, 29, 41))
+
+
 @pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op7", "op8", "op9", "op10"])
 def test_odd_and_empty_input(spark, odd, nothing, name):
     run = {"op1": ngram_join.similar, "op2": secret_scan.scan, "op3": lambda d: html_extract.extract(d.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("url"), F.col("text").alias("html"))), "op4": packing.pack, "op5": license_scan.scan, "op7": language_id.identify, "op8": exact_dedup.mark_duplicates, "op9": mixing.mix, "op10": quality_rules.measure_quality}[name]

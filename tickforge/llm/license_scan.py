@@ -1,10 +1,11 @@
 """License phrases and license templates in whole texts, in DataFrame operations only.
 
-Templates are found by an exact set-similarity join of text lines with templates on containment: of a template's distinct
-words at least PERCENT per cent stand in the line. Words are put in the order of their document frequency; a line that meets
+Templates are found by an exact set-similarity join of text blocks with templates on containment: of a template's distinct
+words at least PERCENT per cent stand in the block. Blocks are the lines and, as license texts are wrapped, overlapping windows
+of words across line breaks, such that any REACH words in a row stand in one. Words are put in the order of their document frequency; a block that meets
 the threshold has one of the template's first |T| - need + 1 words (prefix filter), at least `need` template words in all
 (length filter), and enough words left beyond a common one on either side (positional filter). A document is looked at
-line by line only if its words as a whole meet some template's threshold.
+block by block only if its words as a whole meet some template's threshold.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
 ]
+#: The longest template, and a few words more for comment marks that are words.
+REACH = max(len(x.split()) for _, x in TEMPLATES) + 5
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,9 +80,9 @@ def base_phrases(docs: DataFrame) -> DataFrame:
 
 
 def template_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """tag, label, containment: the best line of each document tag (docs: tag, text) for each label that some line meets.
+    """tag, label, containment: the best block of each document tag (docs: tag, text) for each label that some block meets.
 
-    One pass finds the template words of every document, to count them and to keep the texts that may have such a line.
+    One pass finds the template words of every document, to count them and to keep the texts that may have such a block.
     """
     spark = docs.sparkSession
     sets = [(label, frozenset(text.split())) for label, text in TEMPLATES]
@@ -100,8 +103,13 @@ def template_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         order = sorted(words, key=rank.get)
         rows += [(k, label, w, i, len(words), need, order) for i, w in enumerate(order[: len(words) - need + 1])]
     prefixes = spark.createDataFrame(rows, "template int, label string, word string, i int, size int, need int, words array<string>")
-    lines = own.where("text is not null").select("tag", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    ranked = lines.select("tag", "line", F.explode(F.array(F.array_intersect(array(sorted(vocabulary, key=rank.get)), _words(F.col("body"))))).alias("known"))
+    texts = own.where("text is not null")
+    lines = texts.select("tag", F.explode(F.split("text", "\n")).alias("body")).select("tag", _words(F.col("body")).alias("body"))
+    step = REACH // 2
+    wrapped = texts.where(F.instr("text", "\n") > 0).select("tag", F.explode(F.array(_words(F.col("text")))).alias("all"))
+    spans = wrapped.select("tag", "all", F.explode(F.sequence(F.lit(1), F.size("all"), F.lit(step))).alias("at"))
+    spans = spans.select("tag", F.slice("all", F.col("at"), F.lit(REACH + step - 1)).alias("body"))
+    ranked = lines.unionByName(spans).select("tag", F.explode(F.array(F.array_intersect(array(sorted(vocabulary, key=rank.get)), F.col("body")))).alias("known"))
     placed = ranked.select("*", F.posexplode("known").alias("j", "word"))
     met = placed.join(F.broadcast(prefixes), "word").where(F.size("known") >= F.col("need"))
     left = F.least("i", "j") + F.least(F.col("size") - F.col("i"), F.size("known") - F.col("j"))
