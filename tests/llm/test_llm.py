@@ -213,6 +213,19 @@ def test_language_accuracy(spark):
     assert (got["lang"] == got["lang_pred"]).mean() > 0.95
 
 
+def test_every_language_is_learned(spark):
+    """More languages than any batch or former bound, the last ones the rarest."""
+    rng = np.random.default_rng(3)
+    spoken = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(12)] for _ in range(70)]
+    rows = [(1000 * k + i, " ".join(rng.choice(spoken[k], 30)), f"l{k:02}") for k in range(70) for i in range(6 if k < 67 else 4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {r.lang for r in d.where(~language_id.held_out()).select("lang").distinct().collect()}
+    langs, prob = language_id.learn(d)
+    assert set(langs) == learned and len(langs) > 64 and prob.shape[1] == len(langs)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(d, langs, prob).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows if lang in learned]) > 0.95
+
+
 def test_forward_sums_all_segmentations():
     pieces = language_id.Pieces()
     prob = np.random.default_rng(0).random((pieces.size, 2))

@@ -18,16 +18,19 @@ import sentencepiece
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import prepare
+from tickforge.llm.common import cut, prepare
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
-#: Bounds of what is fitted on: documents (about) and distinct words of each language, languages, rounds.
-SAMPLE_DOCS, SAMPLE_WORDS, LANGUAGES, ROUNDS = 1500, 20_000, 64, 4
+#: Bounds of what is fitted on: documents (about) and distinct words of each language, rounds.
+SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS = 1500, 20_000, 4
+#: Languages that are fitted or scored at once, for memory; any number gives the same result.
+TOGETHER = 16
 #: Longer words are scored in parts of so many characters.
 PART = 60
 #: What a character outside the vocabulary counts in any language; and what keeps forward sums in range, per character.
 UNSEEN, SCALE = 1e-7, 30.0
-_REMEMBERED = 1_000_000
+#: Word scores that a task remembers.
+_REMEMBERED = 64_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -89,7 +92,8 @@ def log_scores(words: list[str], pieces: Pieces, prob: np.ndarray) -> np.ndarray
     if not words:
         return np.zeros((0, prob.shape[1]))
     lengths = np.array([len(w) for w in words])
-    ends = _at_ends(_forward(len(words), pieces.edges(words), prob), lengths)
+    edges, every = pieces.edges(words), range(0, prob.shape[1], TOGETHER)
+    ends = np.concatenate([_at_ends(_forward(len(words), edges, prob[:, i : i + TOGETHER]), lengths) for i in every] or [np.zeros((len(words), 0))], axis=1)
     return np.log(np.maximum(ends, 1e-290)) - lengths[:, None] * np.log(SCALE)
 
 
@@ -137,10 +141,10 @@ def held_out(doc_id="doc_id") -> "F.Column":
 def learn(docs: DataFrame, path: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities, from labelled documents that aren't held out.
 
-    A hash of the id picks about SAMPLE_DOCS of each language; at most LANGUAGES languages, the most frequent, are learned.
+    A hash of the id picks about SAMPLE_DOCS of each language. All languages that occur are learned, TOGETHER at a time.
     """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(SAMPLE_DOCS)) / F.col("n"))
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / F.lit(1e6)
     sample = rows.join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang").where(spot < F.col("share")).select("lang", "text")
@@ -154,14 +158,20 @@ def learn(docs: DataFrame, path: str = VOCABULARY) -> tuple[list[str], np.ndarra
 
     counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counted.withColumn("k", F.row_number().over(best)).where(F.col("k") <= SAMPLE_WORDS).select("lang", "word", "n").toPandas()
-    langs, words = sorted(set(top["lang"])), sorted(set(top["word"]))
+    top = cut(counted.withColumn("k", F.row_number().over(best)).where(F.col("k") <= SAMPLE_WORDS).select("lang", "word", "n"))
+    langs = sorted(r["lang"] for r in top.select("lang").distinct().collect())
     if not langs:
         return [], np.zeros((1, 0))
-    at = {w: i for i, w in enumerate(words)}
-    counts = np.zeros((len(words), len(langs)))
-    counts[[at[w] for w in top["word"]], [langs.index(x) for x in top["lang"]]] = top["n"]
-    return langs, fit(words, counts, Pieces(path))
+    pieces, probs = Pieces(path), []
+    for i in range(0, len(langs), TOGETHER):
+        some = langs[i : i + TOGETHER]
+        rows = top.where(F.col("lang").isin(some)).toPandas()
+        words, column = sorted(set(rows["word"])), {x: k for k, x in enumerate(some)}
+        at = {w: k for k, w in enumerate(words)}
+        counts = np.zeros((len(words), len(some)))
+        counts[[at[w] for w in rows["word"]], [column[x] for x in rows["lang"]]] = rows["n"]
+        probs.append(fit(words, counts, pieces))
+    return langs, np.concatenate(probs, axis=1)
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -178,7 +188,7 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, path: str = VOC
         for batch in batches:
             texts, found = batch.column("text").to_pylist(), []
             for i in range(0, len(texts), 128):
-                if len(slots) > _REMEMBERED:
+                if len(slots) * max(64, len(langs)) > _REMEMBERED:
                     slots.clear()
                 words = [words_of(x) if x and langs else [] for x in texts[i : i + 128]]
                 new = list({w for ws in words for w in ws if w not in slots})
