@@ -266,6 +266,16 @@ def test_secrets():
     assert found(f"commit {key} of ou.42@mail8.example.com 4041894974608795 in src/main/config/file2.txt") == []
 
 
+@pytest.mark.parametrize("text, secret", [
+    ('{"api_key": "abcd1234efgh", "n": 1}', "abcd1234efgh"), ("{'password': 'S3cr3tPa55'}", "S3cr3tPa55"), ("db:\n  dbPassword: S3cr3tPa55\n", "S3cr3tPa55"),
+    ("spring.datasource.password=S3cr3tPa55", "S3cr3tPa55"), ("The secret ingredient is chocolate, and password protection matters to everybody.", None), ("token: something", None),
+])
+def test_short_secrets_by_name(text, secret):
+    forest = secret_scan.Forest(*map(np.array, secret_scan.written_findings()))
+    found = [v for _, v, b, a, q in secret_scan.candidates(text) if forest.score(np.array([secret_scan.describe(v, b, a, q)]))[0] >= 0.5]
+    assert found == ([secret] if secret else [])
+
+
 def test_licenses(spark):
     d = spark.createDataFrame([(1, "Released under the MIT\n License. mit-license!"), (2, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."), (3, "submit license"), (4, None)], "doc_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in license_scan.scan(d).collect()}

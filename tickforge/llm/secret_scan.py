@@ -25,23 +25,26 @@ SECRET_WORDS = frozenset("password passwd pwd passphrase secret token apikey api
 HARMLESS_WORDS = frozenset("sha sha1 sha256 md5 commit checksum digest uuid guid hash revision rev etag version build url file path example sample order invoice isbn phone tel".split())
 DICTIONARY = frozenset("about account after admin alpha application array async back base before beta block body build cache call change check class client code column common config content context control count create custom data date default delete demo device document domain driver element email error event example field file filter first folder format function global group handler header height hello home host html http https image index info input item javascript json language last layout length library license limit line link list load local login main manager message method model module name network node null number object order output package page param parent password path place plugin point port print process product profile project property public query read record request resource response result return root route sample schema script search section select server service session setting simple size source start state static status step store string style success system table target template test text this time title true type update upload user utils value version view virtual width window with word work world write".split())
 FORMATS = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}")
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.@-])(?:(?P<name>[A-Za-z_][A-Za-z0-9_-]{1,30})\s{0,2}(?P<is>[:=]{1,2}>?)\s{0,2})?(?P<quote>[\"']?)(?P<value>[A-Za-z0-9+/_=.@~%!$&*?-]{8,})")
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.@-])(?:\\?[\"']?(?P<name>[A-Za-z_][A-Za-z0-9_.-]{1,60})\\?[\"']?\s{0,2}(?P<is>[:=]{1,2}>?)\s{0,2})?(?P<quote>\\?[\"']?)(?P<value>[A-Za-z0-9+/_=.@~%!$&*?-]{8,})")
 _BEFORE = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
-_MAYBE = re.compile(r"[0-9]|[:=]")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[.]")
 _UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)
 
 
+def _parted(name: str) -> str:
+    """In lower case, with _ between the parts of camelCase and dotted names."""
+    return _HUMP.sub("_", name).lower()
+
+
 def candidates(text: str) -> Iterator[tuple[int, str, str, bool, bool]]:
-    """Start, value, words before (lower case, space-joined), assigned, quoted. A value has a digit, or is assigned to a secret's name."""
-    if not _MAYBE.search(text):
-        return
+    """Start, value, words before (lower case, space-joined), assigned, quoted, of values of 8 or more characters. A value under 16 characters or without a digit must be assigned to a secret's name."""
     for m in _CANDIDATE.finditer(text):
-        value, name = m["value"].rstrip(".,?!"), (m["name"] or "").lower()
-        named = bool(m["is"]) and bool(SECRET_WORDS & set(re.split(r"[_-]", name)) or name in SECRET_WORDS)
+        value, name = m["value"].rstrip(".,?!"), m["name"]
+        named = bool(m["is"]) and _neighbours(_parted(name))[0]
         if not named and (len(value) < 16 or not re.search(r"[0-9]", value)) or len(value) < 8:
             continue
         before = _BEFORE.findall(text[max(0, m.start() - 60) : m.start()])[-3:]
-        yield m.start("value"), value, " ".join([*(x.lower() for x in before), *([name] if name else [])]), bool(m["is"]), bool(m["quote"])
+        yield m.start("value"), value, " ".join(map(_parted, [*before, *([name] if name else [])])), bool(m["is"]), bool(m["quote"])
 
 
 def _classes(value: str) -> np.ndarray:
@@ -63,10 +66,16 @@ _VOWELS = frozenset("aeiou")
 FEATURES = ["length", "digits", "uppers", "others", "transitions", "hexadecimal", "vowels", "distinct", "entropy", "covered", "slashes", "dots", "at", "uuid", "secret_word", "harmless_word", "assigned", "quoted", "one_class", "longest_run"]
 
 
+def _neighbours(before: str) -> tuple[bool, bool]:
+    """Whether a secret's and a harmless word stand before."""
+    words = set(re.split(r"[ _-]", before)) | set(before.split())
+    return bool(words & SECRET_WORDS), bool(words & HARMLESS_WORDS)
+
+
 def describe(value: str, before: str, assigned: bool, quoted: bool) -> list[float]:
     kinds, n = _classes(value), len(value)
     counts = np.array([value.count(c) for c in set(value)]) / n
-    words = set(re.split(r"[ _-]", before)) | set(before.split())
+    secret, harmless = _neighbours(before)
     change = kinds[1:] != kinds[:-1]
     runs = np.diff(np.flatnonzero(np.concatenate([[True], change, [True]])))
     letters = [c for c in value.lower() if c.isalpha()]
@@ -74,7 +83,7 @@ def describe(value: str, before: str, assigned: bool, quoted: bool) -> list[floa
         min(n, 80), float((kinds == 0).mean()), float((kinds == 2).mean()), float((kinds == 3).mean()), float(change.mean()) if n > 1 else 0.0,
         float(re.fullmatch(r"[0-9a-fA-F]+", value) is not None), sum(c in _VOWELS for c in letters) / max(1, len(letters)), len(set(value)) / n,
         float(-(counts * np.log2(counts)).sum()), _covered(value), value.count("/") / n, value.count(".") / n, float("@" in value), float(_UUID.fullmatch(value) is not None),
-        float(bool(words & SECRET_WORDS)), float(bool(words & HARMLESS_WORDS)), float(assigned), float(quoted), float(len(set(kinds.tolist())) == 1), float(runs.max()) / n,
+        float(secret), float(harmless), float(assigned), float(quoted), float(len(set(kinds.tolist())) == 1), float(runs.max()) / n,
     ]
 
 
@@ -86,6 +95,7 @@ def written_findings(seed: int = SEED, each: int = 60) -> tuple[list[list[float]
     word = lambda: str(rng.choice(sorted(DICTIONARY)))
     name = lambda: str(rng.choice(sorted(SECRET_WORDS)))
     plain = lambda: str(rng.choice(sorted(HARMLESS_WORDS)))
+    spoken = lambda: "".join(str(rng.choice(list("bcdfghlmnprstvw"))) + str(rng.choice(list("aeiou"))) + str(rng.choice(["", "n", "r", "s", "t"])) for _ in range(int(rng.integers(4, 7))))
     x, y = [], []
 
     def add(label: int, value: str, before: str, assigned: bool, quoted: bool) -> None:
@@ -101,6 +111,13 @@ def written_findings(seed: int = SEED, each: int = 60) -> tuple[list[list[float]
         add(1, draw(low + up + num + "+/", int(rng.integers(20, 60))), name(), True, bool(rng.integers(2)))
         add(1, draw(low + up + num + "!$%&*", int(rng.integers(10, 20))), name(), True, bool(rng.integers(2)))
         add(1, "sk_live_" + draw(low + up + num, 24), word(), False, bool(rng.integers(2)))
+        add(1, draw(low + up, 5) + draw(num, 2) + draw(low + up + num, int(rng.integers(1, 8))), name(), True, bool(rng.integers(2)))
+        add(1, draw(low, int(rng.integers(4, 8))) + draw(num, 4) + draw(low, int(rng.integers(0, 5))), name(), True, bool(rng.integers(2)))
+        add(0, spoken(), name(), bool(rng.integers(2)), bool(rng.integers(2)))
+        add(0, spoken().capitalize(), str(rng.choice([name(), word()])), bool(rng.integers(2)), bool(rng.integers(2)))
+        add(0, spoken() + str(rng.choice(["-", "_", ".", "/"])) + spoken(), str(rng.choice([name(), word()])), bool(rng.integers(2)), bool(rng.integers(2)))
+        add(0, str(rng.choice([spoken(), spoken().upper()])), word(), False, bool(rng.integers(2)))
+        add(0, str(rng.choice([spoken() + draw(num, 2), draw(num, int(rng.integers(8, 16))), draw(hexa, 8)])), word(), bool(rng.integers(2)), bool(rng.integers(2)))
         add(0, draw(hexa, int(rng.choice([32, 40, 64]))), plain(), bool(rng.integers(2)), bool(rng.integers(2)))
         add(0, "-".join(draw(hexa, n) for n in (8, 4, 4, 4, 12)), str(rng.choice([plain(), word()])), bool(rng.integers(2)), False)
         add(0, draw(num, int(rng.integers(16, 20))), word(), False, False)
@@ -184,7 +201,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Forest:
             x, y = [], []
             for text in batch.column("text").to_pylist():
                 for _, value, before, assigned, quoted in candidates(text or ""):
-                    if (known := plain_label(value, before)) is not None and len(y) < 2000:
+                    telling = len(value) >= 16 and re.search("[0-9]", value)  # ordinary words would crowd out the rest
+                    if telling and (known := plain_label(value, before)) is not None and len(y) < 2000:
                         x.append(describe(value, before, assigned, quoted))
                         y.append(known)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["x", "y"])
@@ -196,6 +214,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Forest:
     return Forest(np.array(x), np.array(y, float))
 
 
+#: Values whose scores a task remembers.
+_REMEMBERED = 200_000
 _FOUND = "doc_id long, start long, length long, kind string, score double, masked string"
 
 
@@ -209,16 +229,23 @@ def scan(docs: DataFrame, sample: int = SAMPLE_DOCS, least: float = 0.5) -> Data
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = model.value
+        forest, scores = model.value, {}
         for batch in batches:
-            found, x = [], []
+            found, new = [], {}
+            if len(scores) > _REMEMBERED:
+                scores.clear()
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 for start, value, before, assigned, quoted in candidates(text or ""):
-                    kind = "format" if FORMATS.match(value) else "assigned" if assigned else "opaque"
-                    found.append((doc, start, len(value), kind, value[:4] + "*" * (len(value) - 4)))
-                    x.append(describe(value, before, assigned, quoted))
-            scores = forest.score(np.array(x)) if x else np.zeros(0)
-            kept = [(*f[:4], float(s), f[4]) for f, s in zip(found, scores) if s >= least]
+                    key = (value, *_neighbours(before), assigned, quoted)
+                    if key not in scores and key not in new:
+                        new[key] = describe(value, before, assigned, quoted)
+                    elif scores.get(key, 1.0) < least:
+                        continue
+                    found.append((doc, start, value, key))
+            if new:
+                scores.update(zip(new, forest.score(np.array(list(new.values()))).tolist()))
+            kind = lambda v, assigned: "format" if FORMATS.match(v) else "assigned" if assigned else "opaque"
+            kept = [(d, at, len(v), kind(v, k[3]), scores[k], v[:4] + "*" * (len(v) - 4)) for d, at, v, k in found if scores[k] >= least]
             cols = list(zip(*kept)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _FOUND.split(", ")])
