@@ -151,7 +151,6 @@ def test_trie_keeps_owners(pairs):
 
 def test_packing(spark):
     t = Tokenizer.from_file(common.os.path.join(common.os.path.dirname(packing.RANKS), "byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {r.doc_id: t.encode(r.text or "", add_special_tokens=False).ids + [0] for r in docs(spark).collect()}
     got = packing.pack(docs(spark)).collect()
     places, pieces = collections.defaultdict(list), collections.defaultdict(list)
@@ -167,6 +166,13 @@ def test_packing(spark):
     assert len(places) <= 1.01 * sum(map(len, ids.values())) / 2048 + 1
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "<|", "|>", " a", "b ", "\n", "é", "<|im_end|>", "  "]), max_size=12).map("".join))
+def test_ids_with_control_strings(text):
+    t = Tokenizer.from_file(common.os.path.join(common.os.path.dirname(packing.RANKS), "byte_bpe_50k.json"))
+    assert packing.encoder(packing.RANKS).encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=40))
 def test_swaps_lose_nothing(lengths):

@@ -26,6 +26,8 @@ ROUNDS = 6
 #: Items of a bin, largest first, that a swap of two looks at.
 PAIRED = 8
 END = np.array([0], "<u4").tobytes()
+#: Fixed value: the vocabulary's one special token and its id; in a text it is that id, as the tokenizers library has it.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 class Encoder:
@@ -34,10 +36,10 @@ class Encoder:
     def __init__(self, path: str = RANKS):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-        self.inner = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.inner = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.inner.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.inner.encode(text, allowed_special="all"), "<u4").tobytes()
 
 
 _LOADED: dict[str, Encoder] = {}
