@@ -14,13 +14,18 @@ REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, and name a checkpoint folder where none is set."""
+    """Let Python workers import this package, and set the session's checkpoint folder (spark.checkpoint.dir) where none is set.
+
+    Without either, a session on one machine gets a temporary folder; executors elsewhere couldn't read it, so there it is an error.
+    """
     sc = spark.sparkContext
     paths = sc.environment.get("PYTHONPATH", "")
     if REPO not in paths.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, paths) if x)
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tickforge-"))
 
 
@@ -35,6 +40,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def sampled(docs: DataFrame, rows: int) -> DataFrame:
+    """About `rows` rows of docs (all, if there are no more), picked by a hash of doc_id and length wherever they lie."""
+    n = docs.count()
+    if n <= rows:
+        return docs
+    place = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 40))
+    return docs.where(place < F.lit(int((1 << 40) * rows / n)))
+
+
 def partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

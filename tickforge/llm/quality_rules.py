@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import SPACE, prepare, texts_of, window_hashes, word_hashes
+from tickforge.llm.common import SPACE, prepare, sampled, texts_of, window_hashes, word_hashes
 
-#: Rows of the sample that orders the rules; the order changes the work, never a verdict.
+#: About how many rows are in the sample that orders the rules; the order changes the work, never a verdict.
 SAMPLE_ROWS = 500
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -116,7 +116,7 @@ def cascade(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str,
         yield pa.RecordBatch.from_pydict({"rule": list(RULES), "n": [rows] * len(RULES), "s": list(spent.values()), "hits": list(hits.values())})
 
     seen: dict[str, list[float]] = {name: [0, 0.0, 0] for name in RULES}
-    for r in docs.select("text").limit(sample_rows).mapInArrow(measure, "rule string, n long, s double, hits long").collect():
+    for r in sampled(docs, sample_rows).select("text").mapInArrow(measure, "rule string, n long, s double, hits long").collect():
         seen[r["rule"]] = [x + y for x, y in zip(seen[r["rule"]], (r["n"], r["s"], r["hits"]))]
     rated = [(name, s / max(n, 1), hits / max(n, 1)) for name, (n, s, hits) in seen.items()]
     return sorted(rated, key=lambda x: (-x[2] / max(x[1], 1e-9), x[1], x[0]))
