@@ -72,6 +72,62 @@ def test_join_in_blocks(spark, monkeypatch, block):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("name, value", [("HOT", 8), ("WANTED", -1), ("BLOCK_BYTES", 4000)])
+def test_join_by_other_plans(spark, monkeypatch, name, value):
+    """Hot n-grams by classes of size, wanted documents by a join, blocks by bytes: the same components."""
+    monkeypatch.setattr(ngram_join, name, value)
+    rows = near_copies(60)
+    d = spark.createDataFrame(rows + [(100 + k, rows[0][1]) for k in range(30)], "doc_id long, text string")
+    if name == "HOT":
+        assert len(ngram_join.frequent_grams(d)[1]) > 50
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.similar(d).collect()}
+    assert got == brute_components(rows + [(100 + k, rows[0][1]) for k in range(30)])
+
+
+def test_join_of_many_families(spark):
+    """2,000 families of 6 whose members keep 70 to 100 per cent of a text, each text with a passage that others have too: against brute force by family."""
+    rng, rows, want = np.random.default_rng(8), [], {}
+    for f in range(2000):
+        n = int(rng.integers(30, 200))
+        shared = [f"p{rng.integers(0, 40)}_{k}" for k in range(30)]
+        base = [f"f{f}_{k}" for k in range(n)] + shared
+        family = []
+        for m in range(6):
+            w = list(base)
+            for at in rng.integers(0, len(w), int(rng.integers(0, 1 + len(w) // 40))):
+                w[at] = f"z{rng.integers(0, 50)}"
+            family.append((6 * f + m, " ".join(w[: len(w) - int(rng.integers(0, len(w) // 12))])))
+        rows += family
+        want |= brute_components(family)
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d for d in want if got[d] != want[d]} == set() and len({c for _, c in want.values()}) > 2500
+
+
+def test_repeated_texts_do_not_count_as_frequent(spark):
+    d = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(30))) for k in range(50)] + [(100 + k, f"a b c d e own{k}") for k in range(20)], "doc_id long, text string")
+    assert len(ngram_join.frequent_grams(d.coalesce(1))[0]) == 1
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 900), st.integers(0, 60), st.integers(0, 3)), min_size=2, max_size=10), st.sampled_from([50, 80, 95]))
+def test_profiles_keep_every_link(shapes, percent):
+    """Sets of n elements of one of four families, moved on by a few: what truly links is connected by profiles too."""
+    spread = np.random.default_rng(5).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    sets = [set(spread[1000 * f + moved : 1000 * f + moved + n].tolist()) for n, moved, f in shapes]
+    rows = [(k, ngram_join.profile(np.array(sorted(x), np.uint64)), len(x)) for k, x in enumerate(sets)]
+    top = dict(ngram_join._alike(rows, {k: k for k in range(len(sets))}, percent))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                assert top.get(a, a) == top.get(b, b)
+
+
+def test_profiles_count_no_further_than_255():
+    a = np.arange(1, 30001, dtype=np.uint64) << np.uint64(20)
+    rows = [(k, ngram_join.profile(x), len(x)) for k, x in enumerate([a, a[:29000]])]
+    assert ngram_join._alike(rows, {0: 0, 1: 1}, 80) == [(1, 0)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=20), min_size=2, max_size=12))
 def test_tree_finds_exactly_the_links(sets):
