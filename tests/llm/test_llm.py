@@ -205,6 +205,28 @@ def test_trie_keeps_owners(pairs):
     assert dict(spilled + [(k, (o.id, o.rows)) for k, o in trie.terminals()]) == want
 
 
+@pytest.mark.parametrize("name, value", [("TRIE_BYTES", 200), ("HOT_LEAST", 3)])
+def test_dedup_by_other_plans(spark, monkeypatch, name, value):
+    """Spills on both sides of the shuffle, hot texts by broadcast, and rows that repeat wholly over many partitions: one row of each text stays."""
+    monkeypatch.setattr(exact_dedup, name, value)
+    rng = np.random.default_rng(4)
+    rows = [(int(k) if k else None, None if t == 0 else "" if t == 1 else f"text {t} " * int(t)) for k, t in zip(rng.integers(0, 40, 900), rng.integers(0, 30, 900))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    by = collections.defaultdict(list)
+    for i, t in rows:
+        by[t or ""].append(i)
+    got = collections.defaultdict(list)
+    for r in exact_dedup.mark_duplicates(d).collect():
+        got[r.text_sha256].append(r)
+    assert len(got) == len(by)
+    for t, ids in by.items():
+        mine, best = got[hashlib.sha256(t.encode()).hexdigest()], max((i for i in ids if i is not None), default=None)
+        assert sorted((r.doc_id for r in mine), key=str) == sorted(ids, key=str)
+        assert {(r.keep_id, r.group_size) for r in mine} == {(best, len(ids))} and [r.doc_id for r in mine if r.kept] == [best]
+    kept = [(r.doc_id, r.text or "") for r in exact_dedup.drop_duplicates(d).collect()]
+    assert sorted(kept, key=str) == sorted(((max((i for i in ids if i is not None), default=None), t) for t, ids in by.items()), key=str)
+
+
 def test_packing(spark):
     t = Tokenizer.from_file(common.os.path.join(common.os.path.dirname(packing.RANKS), "byte_bpe_50k.json"))
     ids = {r.doc_id: t.encode(r.text or "", add_special_tokens=False).ids + [0] for r in docs(spark).collect()}

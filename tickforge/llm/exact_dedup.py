@@ -10,19 +10,21 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import partitions, prepare, sha256, texts_of
+from tickforge.llm.common import cut, partitions, prepare, sha256, texts_of
 
-#: Bytes of edges that a map-side trie holds before it spills subtrees.
+#: Bytes of edges that a trie holds before it spills subtrees.
 TRIE_BYTES = 32 << 20
+#: Texts of at least a so-manieth of all rows are matched by broadcast (there are at most as many of them), others by shuffle.
+HOT_SHARE, HOT_LEAST = 4096, 1000
 
 
 class Owner:
-    """What a terminal node keeps: the identifier that stays and the number of rows."""
+    """What a terminal node keeps: the identifier that stays, the number of rows, and how many of them have that identifier."""
 
-    __slots__ = ("id", "rows")
+    __slots__ = ("id", "rows", "same")
 
-    def __init__(self, id: int | None, rows: int):
-        self.id, self.rows = id, rows
+    def __init__(self, id: int | None, rows: int, same: int):
+        self.id, self.rows, self.same = id, rows, same
 
 
 class PatriciaTrie:
@@ -31,21 +33,23 @@ class PatriciaTrie:
     def __init__(self, largest: bool):
         self.largest, self.root, self.bytes = largest, [b"", {}, None], 0
 
-    def _merge(self, node: list, id: int | None, rows: int) -> None:
+    def _merge(self, node: list, id: int | None, rows: int, same: int) -> None:
         own = node[2]
         if own is None:
-            node[2] = Owner(id, rows)
+            node[2] = Owner(id, rows, same)
             return
         own.rows += rows
-        if id is not None and (own.id is None or (id > own.id if self.largest else id < own.id)):
-            own.id = id
+        if id == own.id:
+            own.same += same
+        elif id is not None and (own.id is None or (id > own.id if self.largest else id < own.id)):
+            own.id, own.same = id, same
 
-    def insert(self, key: bytes, id: int | None, rows: int = 1) -> None:
+    def insert(self, key: bytes, id: int | None, rows: int = 1, same: int = 1) -> None:
         node, at = self.root, 0
         while at < len(key):
             child = node[1].get(key[at])
             if child is None:
-                node[1][key[at]] = [key[at:], {}, Owner(id, rows)]
+                node[1][key[at]] = [key[at:], {}, Owner(id, rows, same)]
                 self.bytes += len(key) - at
                 return
             edge = child[0]
@@ -59,7 +63,7 @@ class PatriciaTrie:
             node[1][key[at]] = middle = [edge[:lo], {edge[lo]: child}, None]
             child[0] = edge[lo:]
             node, at = middle, at + lo
-        self._merge(node, id, rows)
+        self._merge(node, id, rows, same)
 
     def terminals(self, node: list | None = None, prefix: bytes = b"") -> Iterator[tuple[bytes, Owner]]:
         todo = [(node or self.root, prefix)]
@@ -85,14 +89,14 @@ class PatriciaTrie:
             yield from self.terminals(gone)
 
 
-_PARTIAL = pa.schema([("len", pa.int64()), ("hash", pa.int64()), ("text", pa.large_binary()), ("id", pa.int64()), ("rows", pa.int64())])
-_OWNERS = "text_sha256 string, keep_id long, group_size long"
+_PARTIAL = pa.schema([("len", pa.int64()), ("hash", pa.int64()), ("text", pa.large_binary()), ("id", pa.int64()), ("rows", pa.int64()), ("same", pa.int64())])
+_OWNERS = "text_sha256 string, keep_id long, group_size long, keepers long"
 
 
 def _partial(found: list[tuple[bytes, Owner]]) -> pa.RecordBatch:
     hashes = [xxhash.xxh64_intdigest(k) - (1 << 63) for k, _ in found]
     return pa.RecordBatch.from_arrays(
-        [pa.array([len(k) for k, _ in found], pa.int64()), pa.array(hashes, pa.int64()), pa.array([k for k, _ in found], pa.large_binary()), pa.array([o.id for _, o in found], pa.int64()), pa.array([o.rows for _, o in found], pa.int64())],
+        [pa.array([len(k) for k, _ in found], pa.int64()), pa.array(hashes, pa.int64()), pa.array([k for k, _ in found], pa.large_binary()), pa.array([o.id for _, o in found], pa.int64()), pa.array([o.rows for _, o in found], pa.int64()), pa.array([o.same for _, o in found], pa.int64())],
         schema=_PARTIAL,
     )
 
@@ -110,11 +114,12 @@ def _in_parts(found: Iterator[tuple[bytes, Owner]], most: int = 8 << 20) -> Iter
 
 
 def exact_owners(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: str = "largest") -> DataFrame:
-    """One row for each distinct text: text_sha256, keep_id (largest or smallest id of its rows), group_size.
+    """One row for each distinct text: text_sha256, keep_id (largest or smallest id of its rows), group_size, keepers (rows that have keep_id).
 
     Each input partition folds its rows into a trie first (spilling subtrees past TRIE_BYTES), so that a text
     reaches the shuffle about once a partition however often it occurs. Length and content hash then deal the
-    strings out; a task takes them sorted and holds a trie for one such pair at a time.
+    strings out to partitions, each of which has one trie again. Its strings come in order of length and hash, so that what is
+    in the trie when a new pair begins is complete, and subtrees may be spilled there.
     Null text counts as empty. A null id never stays while another of its text has one; if none has, keep_id is null.
     """
     prepare(docs.sparkSession)
@@ -130,49 +135,61 @@ def exact_owners(docs: DataFrame, id: str = "doc_id", text: str = "text", keep:
         yield from _in_parts(trie.terminals())
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, at, out = PatriciaTrie(largest), None, []
+        trie, at = PatriciaTrie(largest), None
 
-        def flush() -> None:
-            out.extend((hashlib.sha256(k).hexdigest(), o.id, o.rows) for k, o in trie.terminals())
-
-        def batch_of() -> pa.RecordBatch:
-            cols = list(zip(*out)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["text_sha256", "keep_id", "group_size"])
+        def owners(found: Iterator[tuple[bytes, Owner]]) -> pa.RecordBatch:
+            cols = list(zip(*((hashlib.sha256(k).hexdigest(), o.id, o.rows, o.same) for k, o in found))) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["text_sha256", "keep_id", "group_size", "keepers"])
 
         for batch in batches:
-            n, h, i, r = (batch.column(c).to_pylist() for c in ("len", "hash", "id", "rows"))
+            n, h, i, r, m = (batch.column(c).to_pylist() for c in ("len", "hash", "id", "rows", "same"))
             for k, key in enumerate(texts_of(batch)):
                 if (n[k], h[k]) != at:
-                    flush()
-                    trie, at = PatriciaTrie(largest), (n[k], h[k])
-                trie.insert(key, i[k], r[k])
-            if out:
-                yield batch_of()
-                out.clear()
-        flush()
-        yield batch_of()
+                    at = (n[k], h[k])
+                    if trie.bytes > TRIE_BYTES:
+                        yield owners(trie.spill())
+                trie.insert(key, i[k], r[k], m[k])
+        yield owners(trie.terminals())
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    sent = rows.mapInArrow(local, "len long, hash long, text binary, id long, rows long")
+    sent = rows.mapInArrow(local, "len long, hash long, text binary, id long, rows long, same long")
     dealt = sent.repartition(partitions(docs), "len", "hash").sortWithinPartitions("len", "hash")
     return dealt.mapInArrow(final, _OWNERS)
 
 
+def _first_of_repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with `_first`: true for one of the rows with equal keys. First within each partition, then among partitions, so that no task holds all."""
+    rows = rows.withColumn("_part", F.spark_partition_id())
+    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(F.lit(0)))
+    among = F.row_number().over(Window.partitionBy(*keys, "_nth").orderBy("_part"))
+    return rows.withColumn("_nth", within).withColumn("_first", (among == 1) & (F.col("_nth") == 1)).drop("_part", "_nth")
+
+
 def mark_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """A row for each document: doc_id, keep_id, group_size, kept, text_sha256. Of wholly repeated rows (same doc_id and text) one is kept."""
-    own = exact_owners(docs, keep=keep)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha256(F.col("text")).alias("text_sha256"))
-    nth = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy(F.lit(0)))
-    rows = rows.withColumn("_nth", nth)
-    out = rows.join(own, "text_sha256")
-    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_nth") == 1)).alias("kept"), "text_sha256")
+    """A row for each document: doc_id, keep_id, group_size, kept, text_sha256. Of wholly repeated rows (same doc_id and text) one is kept.
+
+    Copies of a text with very many meet their owner by broadcast, the others by shuffle.
+    """
+    own = cut(exact_owners(docs, keep=keep))
+    total = own.agg(F.sum("group_size")).first()[0] or 0
+    many = own.where(F.col("group_size") >= max(HOT_LEAST, total // HOT_SHARE)).select("text_sha256", *(F.col(c).alias(f"{c}_hot") for c in ("keep_id", "group_size", "keepers")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha256(F.col("text")).alias("text_sha256")).join(F.broadcast(many), "text_sha256", "left")
+    alone = F.concat(F.lit("-"), F.monotonically_increasing_id())  # matches nothing
+    rows = rows.withColumn("key", F.when(F.col("group_size_hot").isNull(), F.col("text_sha256")).otherwise(alone))
+    rows = rows.join(own.withColumnRenamed("text_sha256", "key"), "key", "left")
+    of = lambda c: F.when(F.col("group_size_hot").isNotNull(), F.col(f"{c}_hot")).otherwise(F.col(c)).alias(c)
+    rows = rows.select("doc_id", "text_sha256", of("keep_id"), of("group_size"), of("keepers"))
+    keeper = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    single = rows.where((F.col("keepers") == 1) | ~keeper).withColumn("_first", keeper)
+    several = _first_of_repeated(rows.where((F.col("keepers") > 1) & keeper), ["text_sha256"])
+    return single.unionByName(several).select("doc_id", "keep_id", "group_size", F.col("_first").alias("kept"), "text_sha256")
 
 
 def drop_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The rows that stay, with all their columns; one of wholly repeated rows."""
-    own = exact_owners(docs, keep=keep).select(F.col("text_sha256").alias("__tickforge_sha"), F.col("keep_id").alias("__tickforge_keep"), F.col("group_size").alias("__tickforge_size"))
+    own = exact_owners(docs, keep=keep).select(F.col("text_sha256").alias("__tickforge_sha"), F.col("keep_id").alias("__tickforge_keep"), F.col("keepers").alias("__tickforge_keepers"))
     rows = docs.withColumn("__tickforge_sha", sha256(F.col("text")))
     joined = rows.join(own, (rows["__tickforge_sha"] == own["__tickforge_sha"]) & rows["doc_id"].eqNullSafe(own["__tickforge_keep"])).drop(own["__tickforge_sha"])
-    single = joined.where("__tickforge_size = 1")
-    several = joined.where("__tickforge_size > 1").dropDuplicates(["__tickforge_sha", "doc_id"])
-    return single.unionByName(several).select(*docs.columns)
+    single = joined.where("__tickforge_keepers = 1")
+    several = _first_of_repeated(joined.where("__tickforge_keepers > 1"), ["__tickforge_sha"]).where("_first")
+    return single.unionByName(several, allowMissingColumns=True).select(*docs.columns)
