@@ -387,8 +387,9 @@ def _with_components(every: DataFrame, reps: DataFrame, links: DataFrame) -> Dat
     total = of_set.agg(F.sum("times")).first()[0] or 0
     many = of_set.where(F.col("times") >= max(1000, total // 4096)).select("digest", F.col("found").alias("found_hot"))
     rows = every.join(F.broadcast(many), "digest", "left")
-    # rows that are done get keys of their own, so that they neither meet nor match
-    key = F.when(F.col("found_hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("done").cast("binary"), F.col("doc_id").cast("string").cast("binary")))
+    # rows that are done, and empty ones, get keys of their own, so that they neither meet nor match
+    alone = F.concat(F.lit("done"), F.monotonically_increasing_id()).cast("binary")
+    key = F.when(F.col("found_hot").isNull() & (F.col("n") > 0), F.col("digest")).otherwise(alone)
     rows = rows.withColumn("key", key).join(of_set.select(F.col("digest").alias("key"), "found"), "key", "left")
     return rows.select("doc_id", "n", F.coalesce("found_hot", "found").alias("least"))
 
