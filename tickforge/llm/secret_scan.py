@@ -1,50 +1,80 @@
 """Secrets in texts: candidate strings by pattern, false positives removed by a random forest.
 
 The forest looks at a candidate's length, its character transitions, how much of it dictionary words cover, whether it looks
-like a path, and the words before it. It is trained on labelled findings: written-out kinds of secrets and of harmless strings, and
+like a path, and the words before and after it. The dictionary is the whole words of a public vocabulary. It is trained on labelled findings: written-out kinds of secrets and of harmless strings, and
 candidates of a bounded sample of the texts that unmistakable formats or neighbours label.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import prepare
+from tickforge.llm.common import prepare, sampled
 
-#: Documents of the sample that gives labelled findings beside the written ones; trees and their depth.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+#: Documents, about, of the sample that gives labelled findings beside the written ones; trees and their depth.
 SAMPLE_DOCS, TREES, DEPTH, SEED = 2000, 25, 7, 7
 
 # Words and public token formats.
 SECRET_WORDS = frozenset("password passwd pwd passphrase secret token apikey api_key key auth authorization bearer credential credentials access_key secret_key private_key client_secret".split())
 HARMLESS_WORDS = frozenset("sha sha1 sha256 md5 commit checksum digest uuid guid hash revision rev etag version build url file path example sample order invoice isbn phone tel".split())
-DICTIONARY = frozenset("about account after admin alpha application array async back base before beta block body build cache call change check class client code column common config content context control count create custom data date default delete demo device document domain driver element email error event example field file filter first folder format function global group handler header height hello home host html http https image index info input item javascript json language last layout length library license limit line link list load local login main manager message method model module name network node null number object order output package page param parent password path place plugin point port print process product profile project property public query read record request resource response result return root route sample schema script search section select server service session setting simple size source start state static status step store string style success system table target template test text this time title true type update upload user utils value version view virtual width window with word work world write".split())
+PASSWORD_WORDS = frozenset("password passwd pwd passphrase pass".split())
+CODE_WORDS = frozenset("about account after admin alpha application array async back base before beta block body build cache call change check class client code column common config content context control count create custom data date default delete demo device document domain driver element email error event example field file filter first folder format function global group handler header height hello home host html http https image index info input item javascript json language last layout length library license limit line link list load local login main manager message method model module name network node null number object order output package page param parent password path place plugin point port print process product profile project property public query read record request resource response result return root route sample schema script search section select server service session setting simple size source start state static status step store string style success system table target template test text this time title true type update upload user utils value version view virtual width window with word work world write".split())
 FORMATS = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}")
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.@-])(?:\\?[\"']?(?P<name>[A-Za-z_][A-Za-z0-9_.-]{1,60})\\?[\"']?\s{0,2}(?P<is>[:=]{1,2}>?)\s{0,2})?(?P<quote>\\?[\"']?)(?P<value>[A-Za-z0-9+/_=.@~%!$&*?-]{8,})")
+_CANDIDATE = re.compile(r"://[^\s/:@]{1,60}:(?P<login>[^\s/@]{4,200})@|(?<![A-Za-z0-9+/_=.@-])(?:\\?[\"']?(?P<name>[A-Za-z_][A-Za-z0-9_.-]{1,60})\\?[\"']?\s{0,2}(?P<is>[:=]{1,2}>?)\s{0,2})?(?P<quote>\\?[\"']?)(?!//)(?P<value>[A-Za-z0-9+/_=.@~%!$&*?-]{8,})")
 _BEFORE = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[.]")
 _UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)
 
 
+@cache
+def dictionary(path: str = VOCABULARY) -> frozenset[str]:
+    """Words of code, and the whole words of four or more letters of the vocabulary."""
+    with open(path) as f:
+        words = (w.removesuffix("</w>") for w in json.load(f)["model"]["vocab"] if w.endswith("</w>"))
+        return CODE_WORDS | {w for w in words if len(w) >= 4 and w.isascii() and w.isalpha()}
+
+
 def _parted(name: str) -> str:
     """In lower case, with _ between the parts of camelCase and dotted names."""
     return _HUMP.sub("_", name).lower()
 
 
 def candidates(text: str) -> Iterator[tuple[int, str, str, bool, bool]]:
-    """Start, value, words before (lower case, space-joined), assigned, quoted, of values of 8 or more characters. A value under 16 characters or without a digit must be assigned to a secret's name."""
+    """Start, value, words around, assigned, quoted, of values of 8 or more characters, and of passwords in URLs.
+
+    Words around are three before, in lower case, then > and two after. A value under 16 characters or without a digit must be assigned
+    to a secret's name, or have digits and letters and a secret's word around.
+    """
     for m in _CANDIDATE.finditer(text):
-        value, name = m["value"].rstrip(".,?!"), m["name"]
+        if m["login"]:
+            yield m.start("login"), m["login"], "url password >", True, False
+            continue
+        value, name = m["value"] if m["quote"] else m["value"].rstrip(".,?!"), m["name"]
+        if len(value) < 8:
+            continue
         named = bool(m["is"]) and _neighbours(_parted(name))[0]
-        if not named and (len(value) < 16 or not re.search(r"[0-9]", value)) or len(value) < 8:
+        digit = re.search(r"[0-9]", value) is not None
+        if not named and not digit:
             continue
         before = _BEFORE.findall(text[max(0, m.start() - 60) : m.start()])[-3:]
-        yield m.start("value"), value, " ".join(map(_parted, [*before, *([name] if name else [])])), bool(m["is"]), bool(m["quote"])
+        after = _BEFORE.findall(text[m.end() : m.end() + 40])[:2]
+        around = " ".join(map(_parted, [*before, *([name] if name else []), ">", *after]))
+        if not named and len(value) < 16:
+            secret, _, follows, _, _ = _neighbours(around)
+            if not (secret or follows) or value.isdigit() or not any(map(str.isalpha, value)):
+                continue
+        yield m.start("value"), value, around, bool(m["is"]), bool(m["quote"])
 
 
 def _classes(value: str) -> np.ndarray:
@@ -54,28 +84,29 @@ def _classes(value: str) -> np.ndarray:
 
 def _covered(value: str) -> float:
     """The share of characters in dictionary words of four or more letters."""
-    low, hit = value.lower(), np.zeros(len(value), bool)
+    low, hit, known = value.lower(), np.zeros(len(value), bool), dictionary()
     for n in range(4, min(11, len(low)) + 1):
         for i in range(len(low) - n + 1):
-            if low[i : i + n] in DICTIONARY:
+            if low[i : i + n] in known:
                 hit[i : i + n] = True
     return float(hit.mean())
 
 
 _VOWELS = frozenset("aeiou")
-FEATURES = ["length", "digits", "uppers", "others", "transitions", "hexadecimal", "vowels", "distinct", "entropy", "covered", "slashes", "dots", "at", "uuid", "secret_word", "harmless_word", "assigned", "quoted", "one_class", "longest_run"]
+FEATURES = ["length", "digits", "uppers", "others", "transitions", "hexadecimal", "vowels", "distinct", "entropy", "covered", "slashes", "dots", "at", "uuid", "secret_word", "harmless_word", "secret_after", "harmless_after", "password_word", "assigned", "quoted", "one_class", "longest_run"]
 
 
-def _neighbours(before: str) -> tuple[bool, bool]:
-    """Whether a secret's and a harmless word stand before."""
-    words = set(re.split(r"[ _-]", before)) | set(before.split())
-    return bool(words & SECRET_WORDS), bool(words & HARMLESS_WORDS)
+def _neighbours(around: str) -> tuple[bool, bool, bool, bool, bool]:
+    """Whether a secret's and a harmless word stand before, whether one stands after, and whether a password's word stands before."""
+    before, _, after = around.partition(">")
+    words, then = set(re.split(r"[ _-]", before)) | set(before.split()), set(re.split(r"[ _-]", after))
+    return bool(words & SECRET_WORDS), bool(words & HARMLESS_WORDS), bool(then & SECRET_WORDS), bool(then & HARMLESS_WORDS), bool(words & PASSWORD_WORDS)
 
 
-def describe(value: str, before: str, assigned: bool, quoted: bool) -> list[float]:
+def describe(value: str, around: str, assigned: bool, quoted: bool) -> list[float]:
     kinds, n = _classes(value), len(value)
     counts = np.array([value.count(c) for c in set(value)]) / n
-    secret, harmless = _neighbours(before)
+    near = _neighbours(around)
     change = kinds[1:] != kinds[:-1]
     runs = np.diff(np.flatnonzero(np.concatenate([[True], change, [True]])))
     letters = [c for c in value.lower() if c.isalpha()]
@@ -83,7 +114,7 @@ def describe(value: str, before: str, assigned: bool, quoted: bool) -> list[floa
         min(n, 80), float((kinds == 0).mean()), float((kinds == 2).mean()), float((kinds == 3).mean()), float(change.mean()) if n > 1 else 0.0,
         float(re.fullmatch(r"[0-9a-fA-F]+", value) is not None), sum(c in _VOWELS for c in letters) / max(1, len(letters)), len(set(value)) / n,
         float(-(counts * np.log2(counts)).sum()), _covered(value), value.count("/") / n, value.count(".") / n, float("@" in value), float(_UUID.fullmatch(value) is not None),
-        float(secret), float(harmless), float(assigned), float(quoted), float(len(set(kinds.tolist())) == 1), float(runs.max()) / n,
+        *map(float, near), float(assigned), float(quoted), float(len(set(kinds.tolist())) == 1), float(runs.max()) / n,
     ]
 
 
@@ -92,7 +123,9 @@ def written_findings(seed: int = SEED, each: int = 60) -> tuple[list[list[float]
     rng = np.random.default_rng(seed)
     draw = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
     low, up, num, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
-    word = lambda: str(rng.choice(sorted(DICTIONARY)))
+    known = sorted(dictionary())
+    word = lambda: known[int(rng.integers(len(known)))]
+    password = lambda: str(rng.choice(sorted(PASSWORD_WORDS)))
     name = lambda: str(rng.choice(sorted(SECRET_WORDS)))
     plain = lambda: str(rng.choice(sorted(HARMLESS_WORDS)))
     spoken = lambda: "".join(str(rng.choice(list("bcdfghlmnprstvw"))) + str(rng.choice(list("aeiou"))) + str(rng.choice(["", "n", "r", "s", "t"])) for _ in range(int(rng.integers(4, 7))))
@@ -113,6 +146,13 @@ def written_findings(seed: int = SEED, each: int = 60) -> tuple[list[list[float]
         add(1, "sk_live_" + draw(low + up + num, 24), word(), False, bool(rng.integers(2)))
         add(1, draw(low + up, 5) + draw(num, 2) + draw(low + up + num, int(rng.integers(1, 8))), name(), True, bool(rng.integers(2)))
         add(1, draw(low, int(rng.integers(4, 8))) + draw(num, 4) + draw(low, int(rng.integers(0, 5))), name(), True, bool(rng.integers(2)))
+        add(1, "".join(word() for _ in range(int(rng.integers(3, 5)))), password(), True, bool(rng.integers(2)))
+        add(1, draw(low + up, 4) + draw(num, 2) + draw(low + up + num + "!$", int(rng.integers(2, 9))), f"{word()} {name()} {word()}", False, bool(rng.integers(2)))
+        add(1, draw(low + up + num + "!$%", int(rng.integers(8, 24))), "url password >", True, False)
+        add(0, word() + draw(num, int(rng.integers(1, 3))), f"{name()} {word()}", False, bool(rng.integers(2)))
+        add(0, word(), name(), True, bool(rng.integers(2)))
+        add(0, word() + "_" + word() + str(rng.choice(["", "()", ".value", "[0]"])), str(rng.choice([name(), word()])), True, False)
+        add(0, draw(hexa, int(rng.choice([32, 40, 64]))), f"{word()} > {plain()}", False, False)
         add(0, spoken(), name(), bool(rng.integers(2)), bool(rng.integers(2)))
         add(0, spoken().capitalize(), str(rng.choice([name(), word()])), bool(rng.integers(2)), bool(rng.integers(2)))
         add(0, spoken() + str(rng.choice(["-", "_", ".", "/"])) + spoken(), str(rng.choice([name(), word()])), bool(rng.integers(2)), bool(rng.integers(2)))
@@ -131,9 +171,9 @@ def written_findings(seed: int = SEED, each: int = 60) -> tuple[list[list[float]
     return x, y
 
 
-def plain_label(value: str, before: str) -> int | None:
+def plain_label(value: str, around: str) -> int | None:
     """1 or 0 where format or neighbours leave no doubt, else None."""
-    words = set(before.split())
+    words = set(around.partition(">")[0].split())
     if FORMATS.fullmatch(value):
         return 1
     if "@" in value or value.isdigit() or _UUID.fullmatch(value) or words & HARMLESS_WORDS:
@@ -208,7 +248,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Forest:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["x", "y"])
 
     x, y = written_findings()
-    for r in docs.select("text").limit(sample).mapInArrow(label, "x array<double>, y int").limit(4000).collect():
+    for r in sampled(docs, sample).select("text").mapInArrow(label, "x array<double>, y int").limit(4000).collect():
         x.append(r["x"])
         y.append(r["y"])
     return Forest(np.array(x), np.array(y, float))
@@ -223,7 +263,8 @@ def scan(docs: DataFrame, sample: int = SAMPLE_DOCS, least: float = 0.5) -> Data
     """A row for each secret found: doc_id, start and length in code points, kind, score, and the value masked but for four characters.
 
     kind is `format` for a public token format, `assigned` for the value of a secret's name, else `opaque`. Null and empty texts
-    have none; rows that repeat are scanned each; a null doc_id is carried along.
+    have none; rows that repeat are scanned each; a null doc_id is carried along; an empty table gives none. A long text is scanned whole, in one
+    pass. Columns but doc_id and text are not looked at. Equal scores tie at `least`, which counts as found.
     """
     prepare(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
