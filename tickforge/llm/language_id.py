@@ -29,8 +29,8 @@ TOGETHER = 16
 PART = 60
 #: What a character outside the vocabulary counts in any language; and what keeps forward sums in range, per character.
 UNSEEN, SCALE = 1e-7, 30.0
-#: Word scores that a task remembers.
-_REMEMBERED = 64_000_000
+#: Bytes, about, of the words and scores that a task remembers: 128 for a word and twice 8 for each language, as the table doubles.
+_REMEMBERED = 96 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -188,7 +188,7 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, path: str = VOC
         for batch in batches:
             texts, found = batch.column("text").to_pylist(), []
             for i in range(0, len(texts), 128):
-                if len(slots) * max(64, len(langs)) > _REMEMBERED:
+                if len(slots) * (128 + 16 * len(langs)) > _REMEMBERED:
                     slots.clear()
                 words = [words_of(x) if x and langs else [] for x in texts[i : i + 128]]
                 new = list({w for ws in words for w in ws if w not in slots})
