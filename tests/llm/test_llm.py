@@ -72,10 +72,10 @@ def test_join_in_blocks(spark, monkeypatch, block):
     assert got == brute_components(rows)
 
 
-@pytest.mark.parametrize("name, value", [("HOT", 8), ("WANTED", -1), ("BLOCK_BYTES", 4000)])
+@pytest.mark.parametrize("name, value", [("HOT", 8), ("WANTED", -1), ("BLOCK_BYTES", 4000), ("HOT_LEAST", 3)])
 def test_join_by_other_plans(spark, monkeypatch, name, value):
-    """Hot n-grams by classes of size, wanted documents by a join, blocks by bytes: the same components."""
-    monkeypatch.setattr(ngram_join, name, value)
+    """Hot n-grams by classes of size, wanted documents by a join, blocks by bytes, hot keys by broadcast: the same components."""
+    monkeypatch.setattr(common if name == "HOT_LEAST" else ngram_join, name, value)
     rows = near_copies(60)
     d = spark.createDataFrame(rows + [(100 + k, rows[0][1]) for k in range(30)], "doc_id long, text string")
     if name == "HOT":
@@ -208,7 +208,7 @@ def test_trie_keeps_owners(pairs):
 @pytest.mark.parametrize("name, value", [("TRIE_BYTES", 200), ("HOT_LEAST", 3)])
 def test_dedup_by_other_plans(spark, monkeypatch, name, value):
     """Spills on both sides of the shuffle, hot texts by broadcast, and rows that repeat wholly over many partitions: one row of each text stays."""
-    monkeypatch.setattr(exact_dedup, name, value)
+    monkeypatch.setattr(common if name == "HOT_LEAST" else exact_dedup, name, value)
     rng = np.random.default_rng(4)
     rows = [(int(k) if k else None, None if t == 0 else "" if t == 1 else f"text {t} " * int(t)) for k, t in zip(rng.integers(0, 40, 900), rng.integers(0, 30, 900))]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)

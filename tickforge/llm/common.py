@@ -7,7 +7,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -40,15 +40,38 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def sampled(docs: DataFrame, rows: int) -> DataFrame:
-    """About `rows` rows of docs (all, if there are no more), picked by a hash of doc_id and length wherever they lie."""
+def sampled(docs: DataFrame, rows: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """About `rows` rows of docs (all, if there are no more), picked by a hash of id and length wherever they lie."""
     n = docs.count()
     if n <= rows:
         return docs
-    place = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 40))
+    place = F.pmod(F.xxhash64(id, F.length(text)), F.lit(1 << 40))
     return docs.where(place < F.lit(int((1 << 40) * rows / n)))
 
 
+#: Keys of at least a so-manieth of all rows are matched by broadcast (there are at most as many of them).
+HOT_SHARE, HOT_LEAST = 4096, 1000
+
+
+def with_owner(rows: DataFrame, table: DataFrame, key: str, weight: str, unmatched: Column | None = None) -> DataFrame:
+    """rows with the columns of table, which has one row for each key and the number of rows that have it (weight); null where there is none.
+
+    The rows of a very frequent key would meet in one task, so those keys are broadcast, and the shuffle spreads rows that are done with, or
+    that are known to match nothing (unmatched, or a null key). table is read three times.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    names = [c for c in table.columns if c != key]
+    many = table.where(F.col(weight) >= max(HOT_LEAST, total // HOT_SHARE)).select(F.col(key), *(F.col(c).alias(f"__hot_{c}") for c in names))
+    rows = rows.join(F.broadcast(many), key, "left")
+    done = F.col(f"__hot_{weight}").isNotNull()
+    alone = done | F.col(key).isNull() if unmatched is None else done | F.col(key).isNull() | unmatched
+    rows = rows.withColumn("__salt", F.when(alone, F.monotonically_increasing_id() + 1).otherwise(0))
+    found = rows.join(table.withColumn("__salt", F.lit(0).cast("long")), [key, "__salt"], "left")
+    for c in names:
+        found = found.withColumn(c, F.when(done, F.col(f"__hot_{c}")).otherwise(F.col(c)))
+    return found.drop("__salt", *(f"__hot_{c}" for c in names))
+
+
 def partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

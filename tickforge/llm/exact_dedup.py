@@ -10,12 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import cut, partitions, prepare, sha256, texts_of
+from tickforge.llm.common import cut, partitions, prepare, sha256, texts_of, with_owner
 
 #: Bytes of edges that a trie holds before it spills subtrees.
 TRIE_BYTES = 32 << 20
-#: Texts of at least a so-manieth of all rows are matched by broadcast (there are at most as many of them), others by shuffle.
-HOT_SHARE, HOT_LEAST = 4096, 1000
 
 
 class Owner:
@@ -171,14 +169,8 @@ def mark_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
     Copies of a text with very many meet their owner by broadcast, the others by shuffle.
     """
     own = cut(exact_owners(docs, keep=keep))
-    total = own.agg(F.sum("group_size")).first()[0] or 0
-    many = own.where(F.col("group_size") >= max(HOT_LEAST, total // HOT_SHARE)).select("text_sha256", *(F.col(c).alias(f"{c}_hot") for c in ("keep_id", "group_size", "keepers")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha256(F.col("text")).alias("text_sha256")).join(F.broadcast(many), "text_sha256", "left")
-    alone = F.concat(F.lit("-"), F.monotonically_increasing_id())  # matches nothing
-    rows = rows.withColumn("key", F.when(F.col("group_size_hot").isNull(), F.col("text_sha256")).otherwise(alone))
-    rows = rows.join(own.withColumnRenamed("text_sha256", "key"), "key", "left")
-    of = lambda c: F.when(F.col("group_size_hot").isNotNull(), F.col(f"{c}_hot")).otherwise(F.col(c)).alias(c)
-    rows = rows.select("doc_id", "text_sha256", of("keep_id"), of("group_size"), of("keepers"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha256(F.col("text")).alias("text_sha256"))
+    rows = with_owner(rows, own, "text_sha256", "group_size")
     keeper = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     single = rows.where((F.col("keepers") == 1) | ~keeper).withColumn("_first", keeper)
     several = _first_of_repeated(rows.where((F.col("keepers") > 1) & keeper), ["text_sha256"])

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import cut, partitions, prepare, texts_of, window_hashes, word_hashes
+from tickforge.llm.common import cut, partitions, prepare, texts_of, window_hashes, with_owner, word_hashes
 from tickforge.llm.components import connected
 
 NGRAM, PERCENT = 5, 80
@@ -378,20 +378,10 @@ def _tries(members: DataFrame, sets: DataFrame, keys: list[str], percent: int) -
 
 
 def _with_components(every: DataFrame, reps: DataFrame, links: DataFrame) -> DataFrame:
-    """every with the column `least`, the least document that its set links with, by the representatives of equal sets (digest, rep, times).
-
-    The digests of many equal sets, each of a 4096th of all at least, are broadcast, as all their rows would meet in one task.
-    """
+    """every with the column `least`, the least document that its set links with, by the representatives of equal sets (digest, rep, times)."""
     comps = connected(links)
-    of_set = cut(reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "times", F.coalesce("component", "rep").alias("found")))
-    total = of_set.agg(F.sum("times")).first()[0] or 0
-    many = of_set.where(F.col("times") >= max(1000, total // 4096)).select("digest", F.col("found").alias("found_hot"))
-    rows = every.join(F.broadcast(many), "digest", "left")
-    # rows that are done, and empty ones, get keys of their own, so that they neither meet nor match
-    alone = F.concat(F.lit("done"), F.monotonically_increasing_id()).cast("binary")
-    key = F.when(F.col("found_hot").isNull() & (F.col("n") > 0), F.col("digest")).otherwise(alone)
-    rows = rows.withColumn("key", key).join(of_set.select(F.col("digest").alias("key"), "found"), "key", "left")
-    return rows.select("doc_id", "n", F.coalesce("found_hot", "found").alias("least"))
+    of_set = cut(reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "times", F.coalesce("component", "rep").alias("least")))
+    return with_owner(every, of_set, "digest", "times", unmatched=F.col("n") == 0)
 
 
 def similar(docs: DataFrame, size: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -416,8 +406,8 @@ def similar(docs: DataFrame, size: int = NGRAM, percent: int = PERCENT) -> DataF
         led = led.unionByName(led_by_classes(exploded(kept, hot, only_hot=True), percent))
     pairs = cut(led.distinct())
     blocks_of = F.ceil(F.greatest((F.count("*") + 1) / F.lit(BLOCK), F.sum("n") * 8 / F.lit(BLOCK_BYTES)))
-    sizes = pairs.groupBy("leader").agg(blocks_of.alias("blocks"))
-    dealt = pairs.drop("n").join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    sizes = cut(pairs.groupBy("leader").agg(blocks_of.alias("blocks"), F.count("*").alias("members")))
+    dealt = with_owner(pairs.drop("n"), sizes, "leader", "members").drop("members").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     led = sizes.select("leader", F.col("leader").alias("doc_id"), "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     blocks = cut(dealt.unionByName(led))
     own = F.col("doc_id").alias("comp")
