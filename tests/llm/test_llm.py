@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -342,6 +343,44 @@ def test_html_keeps_text_after(mark):
     assert html_extract.main_text(page, field) == "Title\n\nOne line of it.\n\nTwo."
 
 
+def test_html_without_own_elements():
+    """Trained on 120 pages, asked for 50 others as they are and with <article> and <main> made <div>s: all of the text as their elements label it."""
+    import duckdb
+
+    pages = [x for (x,) in duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet' where html is not null order by page_id").fetchall()]
+    field = html_extract.train(html_extract.labelled([x for k, x in enumerate(pages) if k % 5][:120]))
+    right = {"as it is": 0, "bare": 0}
+    for page in pages[::5]:
+        labels = [html_extract._by_own_element(fs) for fs, _ in html_extract.blocks(page)]
+        for name, form in (("as it is", page), ("bare", html_extract.bare(page))):
+            right[name] += field.decode([fs for fs, _ in html_extract.blocks(form)]) == labels
+    assert right["as it is"] == 50 and right["bare"] >= 48
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<div class='wrap'><h1>A title of it</h1><p>Some sentences are here, of a good length for a paragraph.</p><p>And some more of them follow here.</p></div>", "A title of it\n\nSome sentences are here, of a good length for a paragraph.\n\nAnd some more of them follow here."),
+    ("<div><p>Hello world, this is a page with one paragraph only.</p></div>", "Hello world, this is a page with one paragraph only."),
+    ("<article><p title=\"a>b\" class=it's>One &lt;line&gt; of the story is here. 1 < 2 too.<p data-x='>", "One <line> of the story is here. 1 < 2 too."),
+])
+def test_html_of_plain_layouts(page, text):
+    assert html_extract.main_text(page, html_extract.train(html_extract.labelled([]))) == text
+
+
+def test_html_in_linear_time():
+    """Broken pages of 0.3 to 1 MB, each of which a scan from every < would read thousands of times."""
+    began = time.process_time()
+    for page in ["<a '" * 80_001, "<a x='>' " * 80_000, "<script" * 80_000, "<a x='" * 80_001 + ">", "<!--" * 80_000, "<p " * 80_000, "</script " * 80_000, "<div>x" * 80_000 + "</p>" * 80_000, "<" * 80_000]:
+        html_extract.blocks(page)
+    assert time.process_time() - began < 30
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<p", ">", "</", "<div class='ad'>", "'", '"', "=", " ", "x", "<!--", "-->", "<svg/>", "<script>", "</script>", "&amp;", "<br>", "<a href=", "é", "<?", "<!", "</p>"]), max_size=30).map("".join))
+def test_html_tokens_never_fail(page):
+    assert all(kind in ("text", "open", "close", "break") for kind, _, _ in html_extract.tokens(page))
+    assert all(t == " ".join(t.split()) and t for _, t in html_extract.blocks(page))
+
+
 def test_secrets():
     forest = secret_scan.Forest(*map(np.array, secret_scan.written_findings()))
     found = lambda t: [v for _, v, b, a, q in secret_scan.candidates(t) if forest.score(np.array([secret_scan.describe(v, b, a, q)]))[0] >= 0.5]

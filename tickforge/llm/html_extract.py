@@ -1,14 +1,16 @@
 """Main text of web pages by a linear-chain conditional random field over the leaf blocks of the document tree.
 
 A block is the text between two block-level tags. Its features are its ancestors' tags, the kinds of words in their class, id and
-role, and its text's length, punctuation and links. The field is trained on labelled pages: layouts written out below, and a bounded
-sample of the given pages, which their own <article> or <main> elements label. Viterbi decoding tells main text from the rest.
+role, its text's length, punctuation and links, those of its neighbours, and the prose around it. The field is trained on labelled pages:
+layouts written out below, and a bounded sample of the given pages, which their own <article> or <main> elements label, each with and
+without these elements. Viterbi decoding tells main text from the rest.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,16 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import prepare
+from tickforge.llm.common import prepare, sampled
 
-#: Pages of the table, at most, that the field is trained on beside the written layouts.
-SAMPLE_PAGES = 200
+#: Pages of the table, about, that the field is trained on beside the written layouts.
+SAMPLE_PAGES = 120
 STEPS, RATE, RIDGE = 150, 0.15, 1e-3
 
 # Element names of the HTML standard, by their role here.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template textarea select svg math iframe object head title".split())
+#: Elements whose content is skipped whole; svg and math may be empty.
+SKIPPED = frozenset("script style noscript template textarea select svg math iframe object title".split())
 #: An element on the left ends at the opening of one on the right.
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
@@ -45,18 +48,65 @@ WORDS = {
     "main": "article content main post entry story body text",
 }
 _KIND = {w: kind for kind, words in WORDS.items() for w in words.split()}
-#: A self-closed svg or math is empty; a name with a hyphen is another element.
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|textarea|select|svg|math|iframe|object|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
+#: A start tag from its name on: a quote opens a value only after =, and one that doesn't close is an ordinary character.
+_REST = re.compile(r"([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in SKIPPED}
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _BLANK = re.compile(r"\s+")
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """Kind (text, open, close, break), text or tag name, and attributes, in one pass: what was read isn't read again, however broken the page.
+
+    An unclosed comment or skipped element lasts to the end of the page, as in browsers. Where no tag can end by the rule for quotes any more
+    (that is found out once), tags end at the next >; a < without any > after it is text.
+    """
+    at, size, last, strict = 0, len(page), page.rfind(">"), True
+    while at < size:
+        begin = page.find("<", at)
+        if begin < 0 or begin > last:
+            yield "text", page[at:], ""
+            return
+        if begin > at:
+            yield "text", page[at:begin], ""
+        follows = page[begin + 1 : begin + 2]
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = size if end < 0 else end + 3
+        elif follows == "!" or follows == "?":
+            at = page.find(">", begin) + 1
+        elif follows == "/":
+            at = page.find(">", begin) + 1
+            name = page[begin + 2 : at - 1].split(None, 1)
+            yield "close", (name[0] if name else "").rstrip("/").lower(), ""
+        elif follows.isascii() and follows.isalpha():
+            m = _REST.match(page, begin + 1) if strict else None
+            if m:
+                name, attributes, at = m[1].lower(), m[2], m.end()
+            else:
+                strict = False
+                at = page.find(">", begin) + 1
+                name, _, attributes = page[begin + 1 : at - 1].partition(" ")
+                name = name.split("/")[0].split()[0].lower()
+            if name in SKIPPED:
+                if not (name in ("svg", "math") and attributes.endswith("/")):
+                    end = _END[name].search(page, at)
+                    at = end.end() if end else size
+                yield "break", name, ""
+            else:
+                yield "open", name, attributes
+        else:
+            yield "text", "<", ""
+            at = begin + 1
+
+
 def blocks(page: str) -> list[tuple[list[str], str]]:
     """Features and text of each leaf block in page order; character references decoded, white space turned to single spaces."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    found: list[tuple[tuple[str, ...], str, int]] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []
+    found: list[tuple[tuple[str, ...], str, int, int]] = []
     text: list[str] = []
-    linked = in_link = 0
+    held: Counter = Counter()  # elements that are open, by tag
+    linked = in_link = opened = 0
 
     def path() -> tuple[str, ...]:
         return stack[-1][1] if stack else ()
@@ -65,43 +115,60 @@ def blocks(page: str) -> list[tuple[list[str], str]]:
         nonlocal linked
         whole = _BLANK.sub(" ", html.unescape("".join(text))).strip()
         if whole:
-            found.append((path(), whole, linked))
+            found.append(((f"own:{stack[-1][0] if stack else '-'}", *path()), whole, linked, stack[-2][2] if len(stack) > 1 else 0))
         text.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        if m[5] is not None:
-            text.append(m[5])
-            linked += len(m[5]) if in_link else 0
-        elif m[3]:
-            tag = m[3].lower()
-            if tag in ("br", "wbr", "img"):
-                text.append(" " if tag == "br" else "")
-            elif tag in INLINE:
-                in_link = in_link + (1 if not m[2] else -1) if tag == "a" else in_link
-                in_link = min(max(0, in_link), 1)
-            elif m[2]:
-                flush()
-                if any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
-            elif tag not in VOID and tag not in ("html", "body"):
-                flush()
-                in_link = 0
-                while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
-                    stack.pop()
-                kinds = {f"kind:{_KIND[w]}" for x in _NAMED.findall(m[4] or "") for w in re.split(r"[^a-z]+", x.lower()) if w in _KIND}
-                stack.append((tag, path() + (f"tag:{tag}", *sorted(kinds))))
-            else:
-                flush()
+    for kind, tag, attributes in tokens(page):
+        if kind == "text":
+            text.append(tag)
+            linked += len(tag) if in_link else 0
+        elif kind == "break":
+            continue
+        elif tag in ("br", "wbr", "img"):
+            text.append(" " if tag == "br" else "")
+        elif tag in INLINE:
+            in_link = int(kind == "open") if tag == "a" else in_link
+        elif kind == "close":
+            flush()
+            while held[tag]:
+                gone = stack.pop()[0]
+                held[gone] -= 1
+                if gone == tag:
+                    break
+        elif tag not in VOID and tag not in ("html", "body"):
+            flush()
+            in_link = 0
+            while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
+                held[stack.pop()[0]] -= 1
+            kinds = {f"kind:{_KIND[w]}" for x in _NAMED.findall(attributes) for w in re.split(r"[^a-z]+", x.lower()) if w in _KIND}
+            opened += 1
+            held[tag] += 1
+            stack.append((tag, path() + tuple(x for x in (f"tag:{tag}", *sorted(kinds)) if x not in path()), opened))
+        else:
+            flush()
     flush()
-    return [([*features(p, t, n), *(["first"] if k == 0 else []), *(["last"] if k == len(found) - 1 else [])], t) for k, (p, t, n) in enumerate(found)]
+    return [(fs, t) for fs, (_, t, _, _) in zip(features(found), found)]
 
 
-def features(path: tuple[str, ...], text: str, linked: int) -> list[str]:
-    words = text.count(" ") + 1
-    own = next((x for x in reversed(path) if x.startswith("tag:")), "tag:-")
-    return ["bias", *dict.fromkeys(path), f"own:{own[4:]}", f"words:{min(6, words.bit_length())}", f"links:{min(3, 4 * linked // max(1, len(text)))}", f"stop:{text[-1] in '.!?'}", f"sign:{'©' in text or '|' in text}"]
+def features(found: list[tuple[tuple[str, ...], str, int, int]]) -> list[list[str]]:
+    """Of each block (path, text, characters in links, parent): its ancestors, its text, what its neighbours' texts are like, and how much prose its parent has."""
+    shapes, prose = [], Counter()
+    for _, t, linked, parent in found:
+        words, links = t.count(" ") + 1, min(3, 4 * linked // max(1, len(t)))
+        shapes.append((min(6, words.bit_length()), links, t[-1] in ".!?"))
+        prose[parent] += words >= 8 and links == 0 and shapes[-1][2]
+    out = []
+    for k, (path, t, _, parent) in enumerate(found):
+        words, links, stop = shapes[k]
+        fs = ["bias", *path, f"words:{words}", f"links:{links}", f"stop:{stop}", f"sign:{'©' in t or '|' in t}", f"prose:{min(3, prose[parent])}"]
+        for name, at in (("before", k - 1), ("after", k + 1)):
+            if 0 <= at < len(found):
+                fs += [f"{name}:{'long' if shapes[at][0] >= 4 else 'short'}:{shapes[at][1]}", f"{name}:{'same' if found[at][3] == parent else 'other'}"]
+            else:
+                fs.append(f"{name}:none")
+        out.append(fs)
+    return out
 
 
 # The written layouts: blocks that start with "+" are main text, all others aren't.
@@ -115,6 +182,15 @@ LAYOUTS = [
     f"<nav>-Menu</nav><div class=breadcrumb><a>-Home</a> / <a>Blog</a></div><section class='entry-content'><p>{_P}</p><h2>+A subheading</h2><p>{_P}</p><table><tr><td>+Cell one</td><td>+Cell two</td></tr></table><pre>+code = here</pre></section><form><label>-Your name</label><p>-Sign up for our newsletter, it is sent weekly.</p><button>-Send</button></form><footer><p>-About us and other matters of this site.</p></footer>",
     f"<main><header><h1>+Title of the text</h1></header><p>{_P}</p><figure><figcaption>+A caption of the picture.</figcaption></figure><p>{_P}</p><footer>-Tags and the like</footer></main><aside><h2>-Popular</h2><ul><li><a>-Another story</a></li></ul></aside>",
     f"<div class=topbar>-Log in</div><div class='post-body'><p>{_P}</p><p>{_P}</p><p>+Yes.</p><p>{_P}</p></div><div class='related'><p>-You may also like what we wrote on this last week.</p></div><div class=disqus><p>-Reader: I liked it very much, thanks for it.</p></div><div class=legal>-Terms</div>",
+    f"<div><ul><li><a>-Home</a></li><li><a>-Contact</a></li></ul></div><div class=wrap><h1>+Headline</h1><p>{_P}</p><p>{_P}</p><p>+Short one.</p></div><div><p>-© 2023 A company | All rights reserved</p></div>",
+    f"<div><div><a>-Start</a> <a>Blog</a> <a>Shop</a></div><div><div><h1>+Headline</h1><p>{_P}</p><h2>+A part</h2><p>{_P}</p><ul><li>+A point of the list.</li></ul><p>{_P}</p></div><div><h3>-More</h3><ul><li><a>-Another story of ours</a></li><li><a>-A third one</a></li></ul></div></div><div>-© A company</div></div>",
+    f"<div class=wrap><h1>+Title</h1><p>{_P}</p></div>",
+    f"<div><p>{_P}</p></div>",
+    "<div><p>+A page may have a single paragraph only, like this.</p></div>",
+    "<nav><a>-Home</a></nav><div class=ad>-Buy now!</div><article><h1>+A title</h1><p>+One line.</p><p>+Two.</p></article><div class=comments><p>-A reader says yes.</p></div><footer>-© us</footer>",
+    f"<article><h1>+Title</h1><p>{_P}</p><p>+It ends.</p></article><section id=comments><h3>-3 comments</h3><p>-I liked it.</p><p>-Me too, and I have more to say about all of this today.</p></section><div class='newsletter'><p>-Get our letter each week.</p></div>",
+    f"<p>{_P}</p><p>{_P}</p>",
+    f"<h1>+Title</h1><p>{_P}</p><p>{_P}</p><hr><p><a>-Imprint</a></p>",
     f"<header><p>-A site about many things, with a slogan.</p></header><div class='promo banner'><p>-Subscribe now and get a month for free, really.</p></div><div id=main><h1>+Heading</h1><p>{_P}</p><dl><dt>+Term</dt><dd>+What it means.</dd></dl><p>{_P}</p></div><div role=complementary>-Side matter of no interest to the text.</div><div role=contentinfo>-Imprint</div>",
 ]
 
@@ -125,16 +201,28 @@ def _by_own_element(fs: list[str]) -> bool:
     return ("tag:article" in fs or "tag:main" in fs) and not apart & set(fs)
 
 
+_OWN_ELEMENT = re.compile(r"<(/?)(?:article|main)(?=[\s/>])[^>]*>", re.I)
+
+
+def bare(page: str) -> str:
+    """The page with its <article> and <main> made plain <div>s."""
+    return _OWN_ELEMENT.sub(r"<\1div>", page)
+
+
 def labelled(pages: list[str]) -> list[tuple[list[list[str]], list[int]]]:
-    """Sequences of features and labels from the layouts and from pages that have an <article> or <main>."""
+    """Sequences of features and labels from the layouts and from pages that have an <article> or <main>; of these each as it is and bare, with the same labels."""
     out = []
     for page in LAYOUTS:
         found = blocks(page)
-        out += [([fs for fs, _ in found], [int(t.startswith("+")) for _, t in found])] * 8
+        out += [([fs for fs, _ in found], [int(t.startswith("+")) for _, t in found])] * 6
     for page in pages:
         found = blocks(page)
-        if any(_by_own_element(fs) for fs, _ in found):
-            out.append(([fs for fs, _ in found], [int(_by_own_element(fs)) for fs, _ in found]))
+        labels = [int(_by_own_element(fs)) for fs, _ in found]
+        if any(labels):
+            out.append(([fs for fs, _ in found], labels))
+            plain = blocks(bare(page))
+            if len(plain) == len(found):
+                out.append(([fs for fs, _ in plain], labels))
     return out
 
 
@@ -200,7 +288,8 @@ def train(sequences: list[tuple[list[list[str]], list[int]]], steps: int = STEPS
         both = np.exp(ahead[:, :-1, :, None] + pairs + (emit[:, 1:] + behind[:, 1:])[:, :, None, :] - total[:, None, None, None]) * live[:, 1:, None, None]
         grad = np.zeros_like(params)
         gw, gp, gf = parts(grad)
-        np.add.at(gw, index.reshape(-1, wide), np.repeat((one_hot - single).reshape(-1, 1, 2), wide, axis=1))
+        for y in (0, 1):
+            gw[:, y] = np.bincount(index.reshape(-1), np.repeat((one_hot - single)[:, :, y].reshape(-1), wide), len(names) + 1)
         gw[-1] = 0
         gp += (one_hot[:, :-1, :, None] * one_hot[:, 1:, None, :]).sum(axis=(0, 1)) - both.sum(axis=(0, 1))
         gf += (one_hot[:, 0] - single[:, 0]).sum(axis=0)
@@ -212,8 +301,8 @@ def train(sequences: list[tuple[list[list[str]], list[int]]], steps: int = STEPS
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Field:
-    """Train on the layouts and on at most `sample` pages (of up to 20,000 characters)."""
-    few = pages.where("html is not null and length(html) <= 20000").select("html").limit(sample)
+    """Train on the layouts and on about `sample` pages (of up to 20,000 characters; twice as many at most)."""
+    few = sampled(pages.where("html is not null and length(html) <= 20000"), sample, "page_id", "html").select("html").limit(2 * sample)
     return train(labelled([r[0] for r in few.collect()]))
 
 
@@ -224,7 +313,11 @@ def main_text(page: str | None, field: Field) -> str:
 
 
 def extract(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
-    """page_id, url, text and n_chars of every row. Null or empty html, or a page without main text, gives empty text."""
+    """page_id, url, text and n_chars of every row. Null or empty html, or a page without main text, gives empty text.
+
+    Repeated rows, and rows without a page_id, are read each; an empty table gives none. A very long page is read whole, in time in
+    proportion to its length. Where both labels are as likely, a block isn't main text. Columns but these are not looked at.
+    """
     prepare(pages.sparkSession)
     model = pages.sparkSession.sparkContext.broadcast(fit(pages, sample))
 
