@@ -67,6 +67,75 @@ def test_book_and_cooldown(spark):
     assert sorted(r.ts_ingest_ms for r in signals.cooled(c, ["venue", "instrument"]).collect()) == [0, 6000]
 
 
+CANDLE = "venue string, instrument string, window_start long, high double, low double, close double, volume double"
+
+
+def candles_of(spark, closes, volumes=None, spread=0.0):
+    return spark.createDataFrame([("V", "I", k, c + spread, c - spread, c, float(v)) for k, (c, v) in enumerate(zip(closes, volumes or [1] * len(closes)))], CANDLE)
+
+
+def test_regimes_by_hand(spark):
+    """Figures worked out from the rules: slope and net move over 20 closes, true range over 14, move and volume over 20."""
+    rising = signals.trend(candles_of(spark, [100.0 + k for k in range(20)])).first()
+    assert rising.kind == "trending" and rising.strength == 1.0 and abs(rising.move - 0.19) < 1e-12  # slope 1 / 109.5 and net move .19: both over twice the least
+    slow = signals.trend(candles_of(spark, [100 + 0.2 * k for k in range(20)])).first()
+    assert slow.kind == "trending" and abs(slow.strength - (0.5 * 0.2 / 101.9 / 0.003 + 0.5)) < 1e-9  # slope .00196 of .003, move .038 over .012
+    flat = signals.trend(candles_of(spark, [100.0] * 20)).first()
+    assert (flat.kind, flat.strength) == ("ranging", 1.0) and signals.trend(candles_of(spark, [100.0] * 19)).collect() == []
+    wide = signals.volatility(candles_of(spark, [100.0] * 15, spread=1.0)).first()
+    assert wide.kind == "high_volatility" and abs(wide.strength - (0.005 / 0.015 + 0.5)) < 1e-9  # range 2 of 100
+    calm = signals.volatility(candles_of(spark, [100.0] * 15, spread=0.1)).first()
+    assert calm.kind == "low_volatility" and abs(calm.strength - 1.0) < 1e-9  # range .2 of 100: .5 + .5
+    assert signals.volatility(candles_of(spark, [100.0] * 15, spread=0.4)).collect() == [] and signals.volatility(candles_of(spark, [100.0] * 14, spread=1.0)).collect() == []
+    out = signals.breakout(candles_of(spark, [100.0] * 20 + [101.0], [10] * 20 + [27])).first()
+    assert abs(out.strength - (0.5 * 0.01 / 0.015 + 0.5 * 2.7 / 3.6)) < 1e-9 and signals.breakout(candles_of(spark, [100.0] * 20 + [101.0], [10] * 20 + [17])).collect() == []
+
+
+def test_strongest_regime_wins(spark):
+    """A breakout of strength .708 on the 21st close against low volatility and a range: the strongest is in force, and first of breakout, trend, volatility on ties."""
+    got = signals.arbitrated(candles_of(spark, [100.0] * 20 + [101.0], [10] * 20 + [27], 0.01)).orderBy("window_start").collect()
+    # low volatility of range .02 has .5 + .95, at most 1; the range of equal closes is 1 too, and goes first
+    assert [(r.kind, r.strength, r.transition) for r in got if r.window_start >= 18] == [("low_volatility", 1.0, False), ("ranging", 1.0, True), ("low_volatility", got[-1].strength, True)]
+    assert got[-1].strength > 0.708
+    last = signals.latest_regimes(signals.arbitrated(candles_of(spark, [100.0] * 20 + [101.0], [10] * 20 + [27], 0.01))).first()
+    assert (last.kind, last.since, last.transitions) == ("low_volatility", 20, 2)
+
+
+BOOK = "venue string, instrument string, seq long, ts_ingest_ms long, bid double, ask double, spread_bps double, imbalance double, bid_depth double, ask_depth double, bid_levels long, ask_levels long, depth double"
+
+
+def inputs_of(spark, rows):
+    """Rows of (bid, ask, imbalance, bid depth, ask depth, bid levels, ask levels)."""
+    return spark.createDataFrame([("V", "I", k, k * 1000, b, a, (a - b) / ((a + b) / 2) * 1e4 if a > b else 0.0, i, bd, ad, bl, al, bd + ad) for k, (b, a, i, bd, ad, bl, al) in enumerate(rows, 1)], BOOK)
+
+
+def test_severity_of_each_rule(spark):
+    book = lambda spread=0.01, i=0.0, bd=10.0, ad=10.0, bl=20, al=20: (100.0, 100.0 + spread, i, bd, ad, bl, al)
+    # 20 equal spreads, then one of 20 bps: z of one outlier among n is sqrt(n - 1)
+    assert [(r.seq, r.severity, r.confidence) for r in signals.spread_explosion(inputs_of(spark, [book()] * 20 + [book(0.2)])).collect()] == [(21, "high", 0.85)]
+    assert [r.severity for r in signals.spread_explosion(inputs_of(spark, [book()] * 26 + [book(0.2)])).collect()] == ["critical"]
+    assert [r.severity for r in signals.spread_explosion(inputs_of(spark, [book()] * 10 + [book(0.2)])).collect()] == ["medium"]
+    crossed = [book()] * 10 + [(100.0, 99.0, 0.0, 10.0, 10.0, 20, 20)] * 30 + [book(0.2)]
+    assert [r.n for r in signals.spread_explosion(inputs_of(spark, crossed)).collect()] == [11]  # crossed books aren't in the ring
+    thin = lambda bd: [(r.severity, r.confidence) for r in signals.thinning(inputs_of(spark, [book()] * 30 + [book(bd=bd, ad=bd)])).collect()]
+    assert thin(2.0) == [("critical", 0.95)] and thin(4.5) == [("high", 0.85)] and thin(6.0) == [("medium", 0.70)] and thin(8.0) == []
+    streak = signals.persistent_imbalance(inputs_of(spark, [book(i=0.5)] * 31 + [book()] + [book(i=-0.5)] * 10)).orderBy("seq").collect()
+    assert [(r.seq, r.seq_start, r.severity) for r in streak if r.seq in (10, 20, 30, 42)] == [(10, 1, "medium"), (20, 1, "high"), (30, 1, "critical"), (42, 33, "medium")] and len(streak) == 23
+    swept = lambda *now: [(r.side, r.levels_lost, r.severity) for r in signals.sweeps(inputs_of(spark, [book(), book(**dict(zip(("bd", "ad", "bl", "al"), now)))])).collect()]
+    assert swept(5.0, 10.0, 15, 20) == [("bid", 5, "medium")] and swept(5.0, 10.0, 12, 20) == [("bid", 8, "high")] and swept(2.0, 10.0, 15, 20) == [("bid", 5, "critical")]
+    assert swept(5.0, 5.0, 15, 13) == [("ask", 7, "medium")] and swept(7.0, 10.0, 10, 20) == []  # the ask side lost more levels; too little depth
+
+
+def test_absorption_by_hand(spark):
+    """Trades of size 1 at one price: ten fill the ring, then volume from the tenth on must reach twice the ring's."""
+    t = trades(spark, [(100, 1, "buy", k * 1000) for k in range(200)])
+    got = signals.absorption(t).orderBy("seq").collect()
+    # counted from trade 10 (the reference is that of trade 9): 128 at trade 137, against 64 in the ring; before, 2 n > n - 9
+    assert [(r.seq, r.seq_start, r.volume, r.volume_ratio, r.severity) for r in got] == [(137, 9, 128.0, 2.0, "medium")]
+    moved = trades(spark, [(100 if k < 100 else 101, 1, "buy", k * 1000) for k in range(250)])
+    assert [(r.seq, r.seq_start) for r in signals.absorption(moved).collect()] == [(229, 101)]  # the move starts anew at trade 101
+
+
 def test_stream_equals_batch(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = [("V", "S", str(k), 10.0 + k, 1.0, "buy", 1704067200000 + k * 20_000, 1704067200000 + k * 20_000) for k in range(12)]

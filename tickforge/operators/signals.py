@@ -4,14 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.functions.columns import imbalance, ladder, spread_bps_or_zero
+from tickforge.functions.columns import fixed, imbalance, spread_bps_or_zero, unfixed
 
 KEYS = ["venue", "instrument"]
-_SEVERITY = [(0.95, "critical"), (0.85, "high"), (0.7, "medium")]
+
+# The steps of each rule's measure from which evidence is critical and high.
+SPREAD_Z, DEPTH_DROP, STREAK, VOLUME_RATIO, LEVELS_LOST, SIDE_DROP = (5.0, 3.5), (0.70, 0.50), (30, 20), (8.0, 4.0), (12, 8), (0.75, 0.60)
+
+
+def rated(df: DataFrame, *measures: tuple[Column, tuple[float, float]]) -> DataFrame:
+    """df with severity and confidence: critical (.95) or high (.85) where any measure reaches its step, else medium (.70)."""
+
+    def reached(k: int) -> Column:
+        out = F.lit(False)
+        for x, steps in measures:
+            out = out | (x >= steps[k])
+        return out
+
+    critical, high = reached(0), reached(1)
+    return df.withColumns({"severity": F.when(critical, "critical").when(high, "high").otherwise("medium"), "confidence": F.when(critical, 0.95).when(high, 0.85).otherwise(0.70)})
 
 
 def book_inputs(snapshots: DataFrame) -> DataFrame:
@@ -28,107 +43,179 @@ def _rolling(df: DataFrame, column: str, rows: int = 64) -> DataFrame:
 
 
 def spread_explosion(inputs: DataFrame, z: float = 2.5, bps: float = 10.0, least: int = 10) -> DataFrame:
-    out = _rolling(inputs, "spread_bps").where((F.col("n") >= least) & (F.col("z") > z) & (F.col("spread_bps") > bps))
-    confidence = F.least(F.lit(0.99), 0.5 + F.col("z") / 10)
-    return out.withColumn("confidence", confidence).withColumn("severity", ladder(F.col("confidence"), _SEVERITY, "low"))
+    """Books whose spread is an outlier among the last 64. Books without two prices, or with the ask not above the bid, aren't looked at."""
+    open_books = inputs.where((F.col("bid") > 0) & (F.col("ask") > F.col("bid")))
+    out = _rolling(open_books, "spread_bps").where((F.col("n") >= least) & (F.col("z") > z) & (F.col("spread_bps") > bps))
+    return rated(out, (F.col("z"), SPREAD_Z))
 
 
 def thinning(inputs: DataFrame, z: float = -2.0, drop: float = 0.3, least: int = 10) -> DataFrame:
-    out = _rolling(inputs, "depth").where((F.col("n") >= least) & (F.col("z") <= z) & (F.col("depth") <= F.col("mean") * (1 - drop)))
-    return out.withColumn("drop_share", 1 - F.col("depth") / F.col("mean"))
+    out = _rolling(inputs, "depth").where((F.col("mean") > 0) & (F.col("n") >= least) & (F.col("z") <= z) & (F.col("depth") <= F.col("mean") * (1 - drop)))
+    return rated(out.withColumn("drop_share", 1 - F.col("depth") / F.col("mean")), (F.col("drop_share"), DEPTH_DROP))
 
 
-def imbalance_streaks(inputs: DataFrame, limit: float = 0.3, length: int = 10) -> DataFrame:
-    """Runs of one sign with at least `length` snapshots in a row beyond the limit."""
+def _streaks(inputs: DataFrame, limit: float) -> DataFrame:
+    """inputs beyond the limit with their sign and the number of their run of one sign in unbroken order."""
     order = Window.partitionBy(*KEYS).orderBy("seq")
     sign = F.when(F.col("imbalance") >= limit, 1).when(F.col("imbalance") <= -limit, -1).otherwise(0)
     r = inputs.withColumn("sign", sign)
-    r = r.withColumn("island", F.sum(F.when(F.col("sign") == F.lag("sign").over(order), 0).otherwise(1)).over(order)).where("sign <> 0")
-    out = r.groupBy(*KEYS, "island", "sign").agg(F.count("*").alias("length"), F.min("seq").alias("seq_start"), F.max("seq").alias("seq_end"))
+    return r.withColumn("island", F.sum(F.when(F.col("sign") == F.lag("sign").over(order), 0).otherwise(1)).over(order)).where("sign <> 0")
+
+
+def imbalance_streaks(inputs: DataFrame, limit: float = 0.3, length: int = 10) -> DataFrame:
+    """Runs of one sign with at least `length` snapshots in a row beyond the limit."""
+    out = _streaks(inputs, limit).groupBy(*KEYS, "island", "sign").agg(F.count("*").alias("length"), F.min("seq").alias("seq_start"), F.max("seq").alias("seq_end"))
     return out.where(F.col("length") >= length).drop("island").withColumn("sign", F.col("sign").cast("long"))
 
 
+def persistent_imbalance(inputs: DataFrame, limit: float = 0.3, length: int = 10) -> DataFrame:
+    """Each snapshot from the length-th of a run on, with how many the run has had."""
+    w = Window.partitionBy(*KEYS, "island").orderBy("seq")
+    out = _streaks(inputs, limit).withColumns({"consecutive": F.row_number().over(w).cast("long"), "seq_start": F.min("seq").over(w)}).where(F.col("consecutive") >= length)
+    return rated(out.withColumn("sign", F.col("sign").cast("long")), (F.col("consecutive"), STREAK))
+
+
 def sweeps(inputs: DataFrame, levels: int = 5, share: float = 0.4) -> DataFrame:
-    """Snapshots where a side lost many levels and much depth since the one before."""
+    """Snapshots where a side lost many levels and much depth since the one before; the bid side if it lost no fewer levels than the ask side."""
     order = Window.partitionBy(*KEYS).orderBy("seq")
     r = inputs
     for s in ("bid", "ask"):
-        r = r.withColumns({f"{s}_lost": F.lag(f"{s}_levels").over(order) - F.col(f"{s}_levels"), f"{s}_before": F.lag(f"{s}_depth").over(order)})
-    hit = lambda s: (F.col(f"{s}_lost") >= levels) & (F.col(f"{s}_before") > 0) & (F.col(f"{s}_depth") <= F.col(f"{s}_before") * (1 - share))
-    return r.withColumn("side", F.when(hit("bid"), "bid").when(hit("ask"), "ask")).where("side is not null")
+        before = F.lag(f"{s}_depth").over(order)
+        drop = F.when((before > 0) & (F.col(f"{s}_depth") < before), (before - F.col(f"{s}_depth")) / before).otherwise(0.0)
+        r = r.withColumns({f"{s}_lost": F.lag(f"{s}_levels").over(order) - F.col(f"{s}_levels"), f"{s}_drop": drop})
+    hit = lambda s: (F.col(f"{s}_lost") >= levels) & (F.col(f"{s}_drop") >= share)
+    r = r.withColumn("side", F.when(hit("bid") & (F.col("bid_lost") >= F.col("ask_lost")), "bid").when(hit("ask"), "ask")).where("side is not null")
+    of_side = lambda c: F.when(F.col("side") == "bid", F.col(f"bid_{c}")).otherwise(F.col(f"ask_{c}"))
+    r = r.withColumns({"levels_lost": of_side("lost"), "depth_drop": of_side("drop")})
+    return rated(r, (F.col("levels_lost"), LEVELS_LOST), (F.col("depth_drop"), SIDE_DROP))
 
 
-def cooled(candidates: DataFrame, keys: list[str], ms: int = 5000) -> DataFrame:
-    """Candidates at least ms after the last one that was kept, per stream; there are few candidates a stream."""
-    times = candidates.groupBy(*keys).agg(F.array_sort(F.collect_set("ts_ingest_ms")).alias("t"))
-    kept = F.expr(f"aggregate(t, cast(array() as array<bigint>), (a, x) -> if(size(a) = 0 or x - a[size(a) - 1] >= {ms}, concat(a, array(x)), a))")
-    return candidates.join(times.select(*keys, F.explode(kept).alias("ts_ingest_ms")), [*keys, "ts_ingest_ms"], "left_semi")
+def cooled(candidates: DataFrame, keys: list[str], ms: int = 5000, order: tuple[str, ...] = ("ts_ingest_ms",)) -> DataFrame:
+    """Candidates at least ms after the last one of their stream that was kept.
+
+    A task reads its streams in order, a batch at a time, and carries one time on.
+    """
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, 0
+        for batch in batches:
+            kept = []
+            for key, ts in zip(zip(*(batch.column(k).to_pylist() for k in keys)), batch.column("ts_ingest_ms").to_pylist()):
+                good = key != at or ts - last >= ms
+                at = key
+                if good:
+                    last = ts
+                kept.append(good)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return candidates.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(keep, candidates.schema)
 
 
-def absorption(trades: DataFrame, ratio: float = 2.0, move: float = 0.001, least: int = 10) -> DataFrame:
-    """Trades by which volume piled up while the price stayed near a reference, which moves on when the price leaves it.
+def absorption(trades: DataFrame, ratio: float = 2.0, move: float = 0.001, least: int = 10, ms: int = 5000) -> DataFrame:
+    """Trades by which volume piled up to `ratio` times that of the last 64 while the price stayed near a reference.
 
-    A sequential fold: a task reads its series in order, a batch at a time, and carries a few numbers on.
+    The reference follows the price until `least` trades are known, and moves on when the price leaves it (volume then starts anew) and after
+    each finding; findings are ms apart. What follows depends on what was found, so a task reads its series in order, a batch at a time, and
+    carries a few numbers on. Volumes are whole numbers of 1e-8.
     """
+    w = Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(-63, 0)
+    t = trades.where("price > 0 and size > 0").withColumn("q", fixed(F.col("size")))
+    t = t.select(*KEYS, "seq", "ts_ingest_ms", "price", "q", F.sum("q").over(w).alias("ring"), F.count("*").over(w).alias("n"))
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, ref, total, n, k, all_volume = None, 0.0, 0.0, 0, 0, 0.0
-        for frame in frames:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, ref, total, start, last = None, 0.0, 0, 0, None
+        for batch in batches:
             out = []
-            for venue, instrument, seq, price, size in zip(*(frame[c].tolist() for c in (*KEYS, "seq", "price", "size"))):
-                if (venue, instrument) != at:
-                    at, ref, total, n, k, all_volume = (venue, instrument), 0.0, 0.0, 0, 0, 0.0
-                k, all_volume = k + 1, all_volume + size
-                if ref <= 0 or abs(price - ref) / ref > move:
-                    ref, total, n = price, 0.0, 0
-                total, n = total + size, n + 1
-                if k >= least and n > 1 and total >= ratio * all_volume / k * n:
-                    out.append((*at, seq, ref, round(total, 6), n))
-                    total, n = 0.0, 0
-            yield pd.DataFrame(out, columns=[*KEYS, "seq", "ref_price", "volume", "trades"])
-
-    dealt = trades.select(*KEYS, "seq", "price", "size").repartition(*KEYS).sortWithinPartitions(*KEYS, "seq")
-    return dealt.mapInPandas(fold, "venue string, instrument string, seq long, ref_price double, volume double, trades long")
+            for venue, instrument, seq, ts, price, q, ring, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if (venue, instrument) != series:
+                    series, ref, total, start, last = (venue, instrument), price, 0, seq, None
+                if n < least:
+                    ref, start = price, seq
+                    continue
+                total += q
+                if abs(price - ref) / ref > move:
+                    ref, total, start = price, 0, seq
+                elif total >= ratio * ring and (last is None or ts - last >= ms):
+                    out.append((*series, seq, start, ref, total, total / ring))
+                    ref, total, start, last = price, 0, seq, ts
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 7, kinds)], names=names)
+
+    names = [*KEYS, "seq", "seq_start", "ref_price", "q", "volume_ratio"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()]
+    dealt = t.repartition(*KEYS).sortWithinPartitions(*KEYS, "seq")
+    found = dealt.mapInArrow(fold, "venue string, instrument string, seq long, seq_start long, ref_price double, q long, volume_ratio double")
+    return rated(found.withColumn("volume", unfixed(F.col("q"))).drop("q"), (F.col("volume_ratio"), VOLUME_RATIO))
 
 
 def _order() -> Window:
     return Window.partitionBy(*KEYS).orderBy("window_start")
 
 
+def _unit(x: Column) -> Column:
+    """x within [0, 1]."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+
 def trend(candles: DataFrame, rows: int = 20, slope: float = 0.0015, move: float = 0.006) -> DataFrame:
-    """Trending or ranging, by the least-squares slope and net move of the last closes."""
+    """Trending or ranging, by the least-squares slope and net move of the last closes, with strength.
+
+    A trend is the stronger the closer slope and move come to twice their least, a range the flatter and narrower it is.
+    """
     c = candles.withColumn("x", F.row_number().over(_order()).cast("double"))
     w = _order().rowsBetween(-(rows - 1), 0)
-    c = c.withColumns({"n": F.count("*").over(w), "slope": F.regr_slope("close", "x").over(w) / F.avg("close").over(w), "first": F.first("close").over(w)})
+    mean = F.avg("close").over(w)
+    c = c.withColumns({"n": F.count(F.when(F.col("close") > 0, 1)).over(w), "slope": F.regr_slope("close", "x").over(w) / mean, "first": F.first("close").over(w), "range": (F.max("close").over(w) - F.min("close").over(w)) / mean})
     c = c.where(F.col("n") == rows).withColumn("move", (F.col("close") - F.col("first")) / F.col("first"))
-    return c.withColumn("kind", F.when((F.abs("slope") >= slope) & (F.abs("move") >= move), "trending").otherwise("ranging"))
+    steep, far = F.abs("slope"), F.abs("move")
+    c = c.withColumn("kind", F.when((steep >= slope) & (far >= move), "trending").otherwise("ranging"))
+    strong = 0.5 * _unit(steep / (2 * slope)) + 0.5 * _unit(far / (2 * move))
+    calm = 0.5 * (1 - _unit(steep / (2 * slope))) + 0.5 * (1 - _unit(F.col("range") / (4 * move)))
+    return c.withColumn("strength", F.when(F.col("kind") == "trending", strong).otherwise(calm))
 
 
 def volatility(candles: DataFrame, rows: int = 14, high: float = 0.015, low: float = 0.004) -> DataFrame:
+    """High or low volatility by the mean true range of the last `rows` candles that have one before them; a candle between has none."""
     before = F.lag("close").over(_order())
     true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-    c = candles.withColumn("tr", F.coalesce(true_range, F.col("high") - F.col("low")))
+    c = candles.withColumn("tr", F.when(before.isNotNull(), true_range))
     w = _order().rowsBetween(-(rows - 1), 0)
-    c = c.withColumns({"n": F.count("*").over(w), "atr": F.avg("tr").over(w)}).where(F.col("n") == rows).withColumn("atr_share", F.col("atr") / F.col("close"))
-    return c.withColumn("kind", F.when(F.col("atr_share") >= high, "high_volatility").when(F.col("atr_share") <= low, "low_volatility").otherwise("normal"))
+    c = c.withColumns({"n": F.count("tr").over(w), "atr": F.avg("tr").over(w)}).where(F.col("n") == rows).withColumn("atr_share", F.col("atr") / F.col("close"))
+    x = F.col("atr_share")
+    c = c.withColumn("kind", F.when(x >= high, "high_volatility").when(x <= low, "low_volatility")).where("kind is not null")
+    return c.withColumn("strength", F.when(F.col("kind") == "high_volatility", _unit((x - high) / high + 0.5)).otherwise(_unit((low - x) / low + 0.5)))
 
 
 def breakout(candles: DataFrame, rows: int = 20, move: float = 0.0075, ratio: float = 1.8) -> DataFrame:
+    """Candles that move far from the close before on much more volume than the mean of the `rows` before."""
     w = _order().rowsBetween(-rows, -1)
     before = F.lag("close").over(_order())
     c = candles.withColumns({"n": F.count("*").over(w), "mean_volume": F.avg("volume").over(w), "move": (F.col("close") - before) / before})
-    return c.where((F.col("n") == rows) & (F.abs("move") >= move) & (F.col("volume") >= ratio * F.col("mean_volume")))
+    c = c.where((F.col("n") == rows) & (F.col("mean_volume") > 0)).withColumn("volume_ratio", F.col("volume") / F.col("mean_volume"))
+    c = c.where((F.abs("move") >= move) & (F.col("volume_ratio") >= ratio))
+    return c.withColumn("strength", 0.5 * _unit(F.abs("move") / (2 * move)) + 0.5 * _unit(F.col("volume_ratio") / (2 * ratio)))
 
 
 def arbitrated(candles: DataFrame) -> DataFrame:
-    """The regime in force at each candle (breakout, else trend, else volatility), and whether it changed."""
+    """The regime in force at each candle, the one of the greatest strength times confidence, and whether it changed.
+
+    Windows are full here, so every confidence is 1. On ties breakout goes before trend, and trend before volatility.
+    """
     k = [*KEYS, "window_start"]
-    b = breakout(candles).select(*k, F.lit("breakout").alias("b"))
-    t = trend(candles).select(*k, F.when(F.col("kind") == "trending", "trending").alias("t"))
-    v = volatility(candles).select(*k, F.col("kind").alias("v"))
-    out = v.join(t, k, "left").join(b, k, "left").withColumn("kind", F.coalesce("b", "t", "v"))
+    found = None
+    for place, one in ((3, breakout(candles).withColumn("kind", F.lit("breakout"))), (2, trend(candles)), (1, volatility(candles))):
+        rows = one.select(*k, F.struct(F.col("strength").alias("strength"), F.lit(place).alias("place"), F.col("kind").alias("kind")).alias("s"))
+        found = rows if found is None else found.unionByName(rows)
+    best = found.groupBy(*k).agg(F.max("s").alias("s")).select(*k, "s.kind", "s.strength", F.lit(1.0).alias("confidence"))
     last = F.lag("kind").over(_order())
-    return out.select(*k, "kind", (last.isNotNull() & (last != F.col("kind"))).alias("transition"))
+    return best.withColumn("transition", last.isNotNull() & (last != F.col("kind")))
+
+
+def latest_regimes(regimes: DataFrame) -> DataFrame:
+    """The regime that each stream is in, since when, and how many it has been through."""
+    order = Window.partitionBy(*KEYS).orderBy("window_start")
+    runs = regimes.withColumn("run", F.sum(F.col("transition").cast("long")).over(order))
+    spans = runs.groupBy(*KEYS, "run").agg(F.min("window_start").alias("since"), F.max_by(F.struct("kind", "strength"), "window_start").alias("now"))
+    return spans.groupBy(*KEYS).agg(F.max_by("since", "run").alias("since"), F.max_by("now", "run").alias("now"), F.max("run").alias("transitions")).select(*KEYS, "now.kind", "now.strength", "since", "transitions")
 
 
 def spread_regimes(inputs: DataFrame, z: float = 2.5, bps: float = 10.0, least: int = 10) -> DataFrame:
@@ -142,7 +229,8 @@ def spread_regimes(inputs: DataFrame, z: float = 2.5, bps: float = 10.0, least:
     nth = F.row_number().over(order)
     r = r.withColumn("before", F.when(nth == least, F.first("regime").over(order)).otherwise(F.lag("regime").over(order)))
     out = r.where((F.col("n") >= least) & (F.col("z") >= z) & (x > bps) & (F.col("before") != F.col("regime")))
-    return out.withColumn("confidence", F.when(F.col("regime") == "BLOWN", 0.95).when(F.col("regime") == "WIDE", 0.85).otherwise(0.6))
+    of_regime = lambda blown, wide, other: F.when(F.col("regime") == "BLOWN", blown).when(F.col("regime") == "WIDE", wide).otherwise(other)
+    return out.withColumns({"severity": of_regime("critical", "high", "low"), "confidence": of_regime(0.95, 0.85, 0.6)})
 
 
 def tape_absorption(inputs: DataFrame, tape: DataFrame, ratio: float = 2.0, bps: float = 50.0, least: int = 10) -> DataFrame:
@@ -153,4 +241,5 @@ def tape_absorption(inputs: DataFrame, tape: DataFrame, ratio: float = 2.0, bps:
     u = b.withColumn("is_tape", F.lit(False)).unionByName(t.withColumn("is_tape", F.lit(True)), allowMissingColumns=True)
     seen = F.last("spread_bps", ignorenulls=True).over(Window.partitionBy(*KEYS).orderBy("seq", "is_tape").rowsBetween(Window.unboundedPreceding, 0))
     u = u.withColumns({"spread_bps": seen, "volume_ratio": F.col("total_volume") / F.col("mean")})
-    return u.where(F.col("is_tape") & (F.col("n") >= least) & (F.col("spread_bps") <= bps) & (F.col("volume_ratio") >= ratio)).drop("is_tape", "n", "mean")
+    out = u.where(F.col("is_tape") & (F.col("n") >= least) & (F.col("spread_bps") <= bps) & (F.col("volume_ratio") >= ratio)).drop("is_tape", "n", "mean")
+    return rated(out, (F.col("volume_ratio"), VOLUME_RATIO))

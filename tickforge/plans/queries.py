@@ -393,22 +393,33 @@ def _hours(s, d):
 
 @query
 def regime_trend(s, d):
-    return rounded(signals.trend(_hours(s, d)).select(*K, "window_start", "slope", "move", "kind"))
+    return rounded(signals.trend(_hours(s, d)).select(*K, "window_start", "slope", "move", "kind", "strength"))
 
 
 @query
 def regime_volatility(s, d):
-    return rounded(signals.volatility(_hours(s, d)).select(*K, "window_start", "atr", "kind"))
+    return rounded(signals.volatility(_hours(s, d)).select(*K, "window_start", "atr", "kind", "strength"))
 
 
 @query
 def regime_breakout(s, d):
-    return rounded(signals.breakout(_hours(s, d)).select(*K, "window_start", "move", "volume"))
+    return rounded(signals.breakout(_hours(s, d)).select(*K, "window_start", "move", "volume", "volume_ratio", "strength"))
 
 
 @query
 def regime_arbitrated(s, d):
-    return signals.arbitrated(_hours(s, d))
+    return rounded(signals.arbitrated(_hours(s, d)))
+
+
+@query
+def regime_latest(s, d):
+    return rounded(signals.latest_regimes(signals.arbitrated(_hours(s, d))))
+
+
+@query
+def regime_history(s, d):
+    """The newest ten regimes of each stream: the feature is that bound."""
+    return rounded(quality.newest(signals.arbitrated(_hours(s, d)).select(*K, "window_start", "kind", "strength"), K, "window_start", 10))
 
 
 def _inputs(s, d):
@@ -417,12 +428,12 @@ def _inputs(s, d):
 
 @query
 def ev_spread_explosion(s, d):
-    return rounded(signals.spread_explosion(_inputs(s, d)).select(*K, "seq", "spread_bps", "z", "severity"), 4)
+    return rounded(signals.spread_explosion(_inputs(s, d)).select(*K, "seq", "spread_bps", "z", "severity", "confidence"), 4)
 
 
 @query
 def ev_thinning(s, d):
-    return rounded(signals.thinning(_inputs(s, d)).select(*K, "seq", "depth", "drop_share"), 4)
+    return rounded(signals.thinning(_inputs(s, d)).select(*K, "seq", "depth", "drop_share", "severity", "confidence"), 4)
 
 
 @query
@@ -432,18 +443,33 @@ def ev_imbalance_streak(s, d):
 
 @query
 def ev_sweep(s, d):
-    return rounded(signals.sweeps(_inputs(s, d)).select(*K, "seq", "side", "bid_depth", "ask_depth"), 4)
+    return rounded(signals.sweeps(_inputs(s, d)).select(*K, "seq", "side", "bid_depth", "ask_depth", "levels_lost", "severity", "confidence"), 4)
+
+
+@query
+def ev_persistent_imbalance(s, d):
+    return rounded(signals.persistent_imbalance(_inputs(s, d)).select(*K, "seq", "seq_start", "sign", "consecutive", "severity", "confidence"), 4)
 
 
 @query
 def ev_absorption(s, d):
-    return signals.absorption(ticks.trades(s, d), move=0.2)
+    """Over calm prices: 100, 0.02 more a day, and a 20,000th of the trade's own distance from 100."""
+    t = ticks.trades(s, d)
+    calm = 100 + (F.col("ts_ingest_ms") - ticks.T0) / DAY * 0.02 + (F.col("price") - 100) / 20_000
+    return rounded(signals.absorption(t.withColumn("price", calm)), 4)
+
+
+@query
+def ev_cooled(s, d):
+    """Spread explosions at least 5 s apart."""
+    e = signals.spread_explosion(_inputs(s, d)).select(*K, "seq", "ts_ingest_ms", "severity", "confidence")
+    return signals.cooled(e, K, order=("ts_ingest_ms", "seq"))
 
 
 @query
 def latest_evidence(s, d):
     """The newest sweep of each stream after a cooldown of 5 s."""
-    c = signals.cooled(signals.sweeps(_inputs(s, d)).select(*K, "seq", "ts_ingest_ms", "side"), K)
+    c = signals.cooled(signals.sweeps(_inputs(s, d)).select(*K, "seq", "ts_ingest_ms", "side"), K, order=("ts_ingest_ms", "seq"))
     return c.groupBy(*K).agg(F.count("*").alias("kept"), F.max("seq").alias("last_seq"), F.max_by("side", "seq").alias("last_side"))
 
 
@@ -569,12 +595,12 @@ def display_groups(s, d):
 
 @query
 def ev_spread_regime(s, d):
-    return rounded(signals.spread_regimes(_inputs(s, d)).select(*K, "seq", "spread_bps", "before", "regime", "confidence"), 4)
+    return rounded(signals.spread_regimes(_inputs(s, d)).select(*K, "seq", "spread_bps", "before", "regime", "severity", "confidence"), 4)
 
 
 @query
 def ev_tape_absorption(s, d):
-    return rounded(signals.tape_absorption(_inputs(s, d), windows.tape(ticks.dense(s, d), "5s")).select(*K, "seq", "window_start", "total_volume", "spread_bps", "volume_ratio"), 4)
+    return rounded(signals.tape_absorption(_inputs(s, d), windows.tape(ticks.dense(s, d), "5s")).select(*K, "seq", "window_start", "total_volume", "spread_bps", "volume_ratio", "severity"), 4)
 
 
 @query
