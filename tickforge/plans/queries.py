@@ -36,7 +36,7 @@ def trades_flat(s, d):
 
 def _candles(tf):
     def run(s, d):
-        return rounded(windows.candles(ticks.trades(s, d), tf).drop("seq_first", "seq_last"))
+        return rounded(windows.candles(ticks.trades(s, d, number=False), tf).drop("seq_first", "seq_last"))
 
     run.__name__ = f"candles_{tf}"
     return query(run)
@@ -63,7 +63,7 @@ def market_summary(s, d):
 
 @query
 def v_candles(s, d):
-    c = windows.candles(ticks.trades(s, d), "1h")
+    c = windows.candles(ticks.trades(s, d, number=False), "1h")
     return rounded(c.select(*K, "window_start", "open", "high", "low", "close", "volume", "trade_count", (F.col("close") - F.col("open")).alias("change"), F.try_divide((F.col("close") - F.col("open")) * 100, F.col("open")).alias("change_pct")), 4)
 
 
@@ -131,7 +131,7 @@ def top_instruments(s, d):
 
 @query
 def hourly_volume(s, d):
-    return rounded(windows.candles(ticks.trades(s, d), "1h").groupBy("window_start").agg(unfixed(F.sum(fixed(F.col("volume")))).alias("volume"), F.sum("trade_count").alias("trades")))
+    return rounded(windows.candles(ticks.trades(s, d, number=False), "1h").groupBy("window_start").agg(unfixed(F.sum(fixed(F.col("volume")))).alias("volume"), F.sum("trade_count").alias("trades")))
 
 
 @query
@@ -150,7 +150,7 @@ def data_freshness(s, d):
 
 @query
 def op_candles_all_tf(s, d):
-    return rounded(windows.cascade(windows.candles(ticks.trades(s, d), "1h"), ["1h", "4h", "1d"]))
+    return rounded(windows.cascade(windows.candles(ticks.trades(s, d, number=False), "1h"), ["1h", "4h", "1d"]))
 
 
 @query
@@ -176,27 +176,27 @@ def quality_flags(s, d):
 
 @query
 def tape_5s(s, d):
-    return rounded(windows.tape(ticks.dense(s, d), "5s", 3).drop("seq_last"))
+    return rounded(windows.tape(ticks.dense(s, d, number=False), "5s", 3).drop("seq_last"))
 
 
 @query
 def burst_windows(s, d):
-    return windows.tape(ticks.dense(s, d), "1s", 1).where("is_burst").select(*K, "window_start", "trade_count")
+    return windows.tape(ticks.dense(s, d, number=False), "1s", 1).where("is_burst").select(*K, "window_start", "trade_count")
 
 
 @query
 def delta_volume_5s(s, d):
-    return rounded(windows.delta_volume(windows.tape(ticks.dense(s, d), "5s")))
+    return rounded(windows.delta_volume(windows.tape(ticks.dense(s, d, number=False), "5s")))
 
 
 @query
 def cvd_5s(s, d):
-    return rounded(windows.running_delta(windows.delta_volume(windows.tape(ticks.dense(s, d), "5s"))).select(*K, "window_start", "cvd"))
+    return rounded(windows.running_delta(windows.delta_volume(windows.tape(ticks.dense(s, d, number=False), "5s"))).select(*K, "window_start", "cvd"))
 
 
 @query
 def bar_stats_5s(s, d):
-    return rounded(windows.bar_stats(windows.tape(ticks.dense(s, d), "5s")))
+    return rounded(windows.bar_stats(windows.tape(ticks.dense(s, d, number=False), "5s")))
 
 
 @query
@@ -228,7 +228,7 @@ def dedup_trades(s, d):
 
 @query
 def candle_gaps(s, d):
-    return quality.window_gaps(windows.candles(ticks.trades(s, d), "1h"), 3_600_000)
+    return quality.window_gaps(windows.candles(ticks.trades(s, d, number=False), "1h"), 3_600_000)
 
 
 @query
@@ -245,7 +245,7 @@ def rule_violations(s, d):
 
 
 def _hot_cold(s, d):
-    c = windows.candles(ticks.trades(s, d), "1h").select(*K, "window_start", "open", "close", "volume")
+    c = windows.candles(ticks.trades(s, d, number=False), "1h").select(*K, "window_start", "open", "close", "volume")
     hot = c.where(F.col("window_start") >= BOUNDARY - DAY).withColumn("volume", F.when(F.col("window_start") < BOUNDARY + DAY, F.col("volume") + 1).otherwise(F.col("volume")))
     return hot, c.where(F.col("window_start") < BOUNDARY + DAY)
 
@@ -269,20 +269,20 @@ def federated_candles(s, d):
 
 @query
 def first_last_candle(s, d):
-    c = windows.candles(ticks.trades(s, d), "1h")
+    c = windows.candles(ticks.trades(s, d, number=False), "1h")
     return rounded(c.groupBy(*K).agg(F.min("window_start").alias("first_start"), F.min_by("open", "window_start").alias("first_open"), F.max("window_start").alias("last_start"), F.max_by("close", "window_start").alias("last_close")))
 
 
 @query
 def range_tail(s, d):
     """The newest 1000 windows of a range: the reader's default limit."""
-    c = windows.candles(ticks.trades(s, d), "1h").select(*K, "window_start", "close")
+    c = windows.candles(ticks.trades(s, d, number=False), "1h").select(*K, "window_start", "close")
     return rounded(readers.read_range(c, BOUNDARY - 5 * DAY, BOUNDARY + 5 * DAY, 1000, "last"))
 
 
 @query
 def retention_filter(s, d):
-    c = windows.candles(ticks.trades(s, d), "1h").select(*K, "window_start", "volume")
+    c = windows.candles(ticks.trades(s, d, number=False), "1h").select(*K, "window_start", "volume")
     return rounded(c.join(F.broadcast(c.agg(F.max("window_start").alias("now")))).where(F.col("window_start") >= F.col("now") - 14 * DAY).drop("now"))
 
 
@@ -326,18 +326,18 @@ def heatmap_1h(s, d):
 
 @query
 def session_vp(s, d):
-    return rounded(profiles.session_profile(windows.candles(ticks.trades(s, d), "1h"), 5.0, "America/Chicago", 510))
+    return rounded(profiles.session_profile(windows.candles(ticks.trades(s, d, number=False), "1h"), 5.0, "America/Chicago", 510))
 
 
 @query
 def session_value_area(s, d):
-    p = profiles.session_profile(windows.candles(ticks.trades(s, d), "1h"), 5.0)
+    p = profiles.session_profile(windows.candles(ticks.trades(s, d, number=False), "1h"), 5.0)
     return rounded(profiles.value_area_outward(p, [*K, "session_start"]))
 
 
 @query
 def tpo_profile(s, d):
-    c = windows.candles(ticks.trades(s, d), "30m")
+    c = windows.candles(ticks.trades(s, d, number=False), "30m")
     return rounded(profiles.time_price(c, 1.0))
 
 
@@ -388,7 +388,7 @@ def grouped_book(s, d):
 
 
 def _hours(s, d):
-    return windows.candles(ticks.trades(s, d), "1h")
+    return windows.candles(ticks.trades(s, d, number=False), "1h")
 
 
 @query
@@ -644,7 +644,7 @@ def envelope_audit(s, d):
 
 @query
 def candle_audit(s, d):
-    c = windows.candles(ticks.trades(s, d), "1h").withColumn("hour", F.expr("window_start div 3600000"))
+    c = windows.candles(ticks.trades(s, d, number=False), "1h").withColumn("hour", F.expr("window_start div 3600000"))
     c = c.withColumns({"high": F.when(F.col("hour") % 7 == 0, F.col("low") - 1).otherwise(F.col("high")), "volume": F.when(F.col("hour") % 11 == 0, F.col("volume") + 1).otherwise(F.col("volume"))})
     return quality.broken_rules(c, quality.CANDLE_RULES).groupBy(*K, "rule").agg(F.count("*").alias("candles"))
 
@@ -662,7 +662,7 @@ def run_digest(s, d):
 
 @query
 def latest_versions(s, d):
-    c = windows.candles(ticks.trades(s, d), "1h").select(*K, "window_start", "close").withColumn("version", F.lit(1))
+    c = windows.candles(ticks.trades(s, d, number=False), "1h").select(*K, "window_start", "close").withColumn("version", F.lit(1))
     second = c.where("window_start % 10800000 = 0").withColumns({"close": F.col("close") + 1, "version": F.lit(2)})
     return rounded(quality.latest_versions(c.unionByName(second), [*K, "window_start"], "version").select(*K, "window_start", "close", F.col("version").cast("long").alias("version")))
 

@@ -19,22 +19,37 @@ def events(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     return e.select("event_id", "event_type", "value", ms.alias("ts_ingest_ms"), (ms - (F.col("event_id") * 31) % 250).alias("ts_exchange_ms"), _pick(["BINANCE", "BYBIT", "COINBASE", "KRAKEN"], F.col("user_id") % 4).alias("venue"), _pick(["BTCUSDT", "ETHUSDT", "SOLUSDT"], F.col("event_id") % 3).alias("instrument"), F.lit("SPOT").alias("market_type"))
 
 
+#: Length of the stretches of time that numbers are given out in.
+SLICE_MS = 3_600_000
+
+
 def numbered(df: DataFrame) -> DataFrame:
-    return df.withColumn("seq", F.row_number().over(Window.partitionBy("venue", "instrument").orderBy("ts_ingest_ms", "event_id")).cast("long"))
+    """seq: 1, 2, .. in each series by time and event_id.
+
+    Rows are counted within stretches of time, and the stretches before are added, so that no task has to order a whole series.
+    """
+    key = ["venue", "instrument", "_slice"]
+    df = df.withColumn("_slice", F.expr(f"ts_ingest_ms div {SLICE_MS}"))
+    earlier = Window.partitionBy("venue", "instrument").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = df.groupBy(*key).agg(F.count("*").alias("_n")).select(*key, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*key).orderBy("ts_ingest_ms", "event_id"))
+    return df.withColumn("_within", within).join(before, key).withColumn("seq", F.col("_before") + F.col("_within")).drop("_slice", "_before", "_within")
 
 
 _size = lambda: ((F.col("event_id") * 37) % 500 + 1) / 100.0
 _side = lambda: F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell")
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trades(spark: SparkSession, sf_dir: str, number: bool = True) -> DataFrame:
+    """Without numbers seq is time and event_id together, which order a series as well and cost no shuffle."""
     e = events(spark, sf_dir).withColumns({"price": F.lit(100.0) + F.col("value"), "size": _size(), "side": _side(), "trade_id": F.col("event_id").cast("string")})
-    return numbered(e).drop("event_type", "value")
+    e = numbered(e) if number else e.withColumn("seq", F.struct("ts_ingest_ms", "event_id"))
+    return e.drop("event_type", "value")
 
 
-def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dense(spark: SparkSession, sf_dir: str, number: bool = True) -> DataFrame:
     """The trades of 30 days within one hour."""
-    return trades(spark, sf_dir).withColumn("ts_ingest_ms", F.expr(f"{T0} + (ts_ingest_ms - {T0}) div 720"))
+    return trades(spark, sf_dir, number).withColumn("ts_ingest_ms", F.expr(f"{T0} + (ts_ingest_ms - {T0}) div 720"))
 
 
 def mark_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
