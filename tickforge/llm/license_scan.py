@@ -58,7 +58,8 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.lower(text), f"{_GAP}+")
+    """Words with A-Z as a-z. The Kelvin sign alone of all other characters would become one of a-z, so it is put out of the way."""
+    return F.split(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u00b0"))), f"{_GAP}+")
 
 
 def base_phrases(docs: DataFrame) -> DataFrame:
@@ -125,7 +126,7 @@ def scan(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     as empty: no words, no labels. Repeated rows and null ids give a row each; other columns don't matter.
     """
     prepare(docs.sparkSession)
-    rows = docs.select("doc_id", "text").withColumn("tag", F.xxhash64("doc_id", "text"))
+    rows = docs.select("doc_id", "text").withColumn("tag", F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text").cast("binary")))
     labels = template_matches(rows.where("text is not null").select("tag", "text"), percent)
     per = labels.groupBy("tag").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     out = base_phrases(rows).drop("text", "body").join(per, "tag", "left")
