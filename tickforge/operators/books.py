@@ -10,9 +10,10 @@ from tickforge.functions.columns import fixed, spread_bps_or_zero, unfixed
 KEYS = ["venue", "instrument"]
 
 
-def book_as_of(deltas: DataFrame, seq: int) -> DataFrame:
-    """Levels after all messages up to seq: a snapshot resets the book, size 0 deletes, of a level the last message counts."""
-    d = deltas.where(F.col("seq") <= seq)
+def book_as_of(deltas: DataFrame, seq: int | None = None, ts_ms: int | None = None) -> DataFrame:
+    """Levels after all messages, or those up to seq or ts_ms: a snapshot resets the book, size 0 deletes, of a level the last message counts."""
+    d = deltas if seq is None else deltas.where(F.col("seq") <= seq)
+    d = d if ts_ms is None else d.where(F.col("ts_ingest_ms") <= ts_ms)
     last = d.where("is_snapshot").groupBy(*KEYS).agg(F.max("seq").alias("from_seq"))
     d = d.join(last, KEYS, "left").where("from_seq is null or seq >= from_seq")
     out = d.groupBy(*KEYS, "side", "price").agg(F.max_by("size", "seq").alias("size"), F.max("seq").alias("last_seq"))
@@ -27,16 +28,26 @@ def grouped(levels: DataFrame, step: float, most: int = 50) -> DataFrame:
     return g.where(F.col("rank") <= most)
 
 
-def latest_prices(trades: DataFrame, venues: list[str]) -> DataFrame:
+def latest_prices(trades: DataFrame, venues: list[str], slice_ms: int = 3_600_000) -> DataFrame:
     """For each trade the latest trade of every venue in its instrument; kept where the trade is its venue's newest and two venues are known.
 
     Adds lowest and highest price with their venues (lowest name on ties), spread, middle and spread in basis points.
+    Time is cut into slices: each slice's last trade of a venue is carried on to the slices after it, over a small table, and every slice is
+    then ordered on its own.
     """
-    order = Window.partitionBy("instrument", "market_type").orderBy("ts_ingest_ms", "event_id")
-    now, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    key = ["instrument", "market_type", "_slice"]
+    of = lambda v, c: F.max(F.when(F.col("venue") == v, F.col(c)))
     own = F.struct("seq", "ts_ingest_ms", "ts_exchange_ms", "trade_id", "side", "price", "size")
-    out = trades.withColumn("own", own)
-    out = out.withColumns({f"_{v}": F.max(F.when(F.col("venue") == v, F.col("own"))).over(now) for v in venues} | {"older": F.coalesce(*(F.when(F.col("venue") == v, F.max(F.when(F.col("venue") == v, F.col("own"))).over(before)) for v in venues))})
+    out = trades.select("instrument", "market_type", "venue", "trade_id", "ts_ingest_ms", "event_id", own.alias("own"), F.expr(f"ts_ingest_ms div {slice_ms}").alias("_slice"))
+    earlier = Window.partitionBy("instrument", "market_type").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = out.groupBy(*key).agg(*(of(v, "own").alias(f"_last_{v}") for v in venues))
+    carried = lasts.select(*key, *(F.max(f"_last_{v}").over(earlier).alias(f"_from_{v}") for v in venues))
+    order = Window.partitionBy(*key).orderBy("ts_ingest_ms", "event_id")
+    now, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    newer = lambda v, c: F.greatest(F.col(f"_from_{v}"), F.col(c))
+    out = out.withColumns({f"_{v}": of(v, "own").over(now) for v in venues} | {"older": F.max("own").over(before.partitionBy(*key, "venue"))}).join(carried, key)
+    carried_own = F.coalesce(*(F.when(F.col("venue") == v, F.col(f"_from_{v}")) for v in venues))
+    out = out.withColumns({f"_{v}": newer(v, f"_{v}") for v in venues} | {"older": F.greatest("older", carried_own)})
     known = F.array_compact(F.array(*(F.when(F.col(f"_{v}").isNotNull(), F.struct(F.col(f"_{v}.price").alias("price"), F.lit(v).alias("venue"))) for v in venues)))
     out = out.withColumn("known", F.array_sort(known)).where((F.size("known") >= 2) & (F.col("older").isNull() | (F.col("own") > F.col("older"))))
     low, high = F.col("known")[0], F.expr("array_sort(filter(known, x -> x.price = known[size(known) - 1].price))[0]")

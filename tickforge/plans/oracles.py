@@ -52,11 +52,25 @@ _XV = _TR + """, lp as (select *, """ + ", ".join(f"last_value(case when venue =
 xs as (select instrument, trade_id, venue, ts, list_filter([{'p': BINANCE, 'v': 'BINANCE'}, {'p': BYBIT, 'v': 'BYBIT'}, {'p': COINBASE, 'v': 'COINBASE'}, {'p': KRAKEN, 'v': 'KRAKEN'}], lambda x: x.p is not null) as k from lp),
 xm as (select *, list_min(list_transform(k, lambda x: x.p)) as lo, list_max(list_transform(k, lambda x: x.p)) as hi from xs where len(k) >= 2),
 x as (select instrument, trade_id, venue, ts as ts_ingest_ms, len(k)::bigint as venues, lo as min_price, list_filter(k, lambda x: x.p = lo)[1].v as min_venue, hi as max_price, list_filter(k, lambda x: x.p = hi)[1].v as max_venue, round(hi - lo, 8) as spread_abs, round((hi + lo) / 2, 8) as mid, round_even((hi - lo) / round((hi + lo) / 2, 8) * 10000, 4) as spread_bps from xm)"""
-_BD = _TR + """, k as (select *, event_id % 50 = 0 as snap from t, unnest([1, 2, 3, 4]) u(k)), lv as (select venue, instrument, seq, snap, side, price, max(size) as size from (
-  select venue, instrument, seq, snap, 'bid' as side, (100 + (event_id * 7 + k * 3) % 40)::double as price, case when not snap and (event_id + k) % 7 = 0 then 0.0 else ((event_id * 17 + k * 29) % 100 + 1) / 10.0 end as size from k union all
-  select venue, instrument, seq, snap, 'ask', (141 + (event_id * 11 + k * 5) % 40)::double, case when not snap and (event_id + k) % 7 = 0 then 0.0 else ((event_id * 17 + k * 29) % 100 + 1) / 10.0 end from k) group by all),
-fr as (select venue, instrument, max(seq) as s0 from lv where snap and seq <= 500 group by all),
-bo as (select venue, instrument, side, price, arg_max(size, seq) as size, max(seq) as last_seq from lv left join fr using (venue, instrument) where seq <= 500 and seq >= coalesce(s0, 0) group by all having arg_max(size, seq) > 0)"""
+_LV = _TR + """, k as (select *, event_id % 50 = 0 as snap from t, unnest([1, 2, 3, 4]) u(k)),
+lv as (
+  select venue, instrument, seq, ts, snap, side, price, max(size) as size from (
+    select venue, instrument, seq, ts, snap, 'bid' as side, (100 + (event_id * 7 + k * 3) % 40)::double as price,
+      case when not snap and (event_id + k) % 7 = 0 then 0.0 else ((event_id * 17 + k * 29) % 100 + 1) / 10.0 end as size from k
+    union all
+    select venue, instrument, seq, ts, snap, 'ask', (141 + (event_id * 11 + k * 5) % 40)::double,
+      case when not snap and (event_id + k) % 7 = 0 then 0.0 else ((event_id * 17 + k * 29) % 100 + 1) / 10.0 end from k) group by all)"""
+
+
+def _book(bound: str) -> str:
+    """The levels after all messages within the bound: from the last snapshot on, the last size of each price."""
+    return _LV + f""", fr as (select venue, instrument, max(seq) as s0 from lv where snap and {bound} group by all),
+bo as (
+  select venue, instrument, side, price, arg_max(size, seq) as size, max(seq) as last_seq
+  from lv left join fr using (venue, instrument) where {bound} and seq >= coalesce(s0, 0) group by all having arg_max(size, seq) > 0)"""
+
+
+_BD = _book("true")
 _LB = _BK + """, la as (select venue, instrument, max(seq) as seq from bi group by all), lb as (select bi.*, max(ts) over (partition by instrument) as now from bi join la using (venue, instrument, seq))"""
 
 
@@ -127,7 +141,7 @@ SQL: dict[str, str] = {
     "cross_venue_book": f"with {_LB}, f as (select * from lb where now - ts <= 60000 and bid > 0 and ask > 0), g as (select instrument, count(*) as venues, max(bid) as best_bid, min(ask) as best_ask, arg_min(venue, {{'a': -bid, 'b': venue}}) as bid_venue, arg_min(venue, {{'a': ask, 'b': venue}}) as ask_venue, max(bps) - min(bps) as divergence_bps from f group by all) select instrument, venues, round(best_bid, 6) as best_bid, round(best_ask, 6) as best_ask, bid_venue, ask_venue, round(divergence_bps, 6) as divergence_bps, round(case when best_bid > 0 and best_ask >= best_bid then (best_ask - best_bid) / ((best_ask + best_bid) / 2) * 10000 else 0 end, 6) as spread_bps from g",
     "fused_depth": f"with {_LB}, f as (select bk.* from bk join lb using (venue, instrument, seq) where now - lb.ts <= 600000), u as (select instrument, venue, 'bid' as side, round_even(bid * 1e8, 0)::bigint as p, round_even(bs * 1e8, 0)::bigint as q from f union all select instrument, venue, 'ask', round_even(ask * 1e8, 0)::bigint, round_even(az * 1e8, 0)::bigint from f), g as (select instrument, side, p, sum(q)::bigint as q, array_to_string(list_sort(list(distinct venue)), ',') as venues from u group by all), k as (select *, row_number() over (partition by instrument, side order by case when side = 'bid' then -p else p end) as rank from g) select instrument, side, rank, round(p / 1e8, 6) as price, round(q / 1e8, 6) as size, venues from k where rank <= 50",
     "fused_vp_value_area": f"with {_DP}, f as (select instrument, window_start, price_low, sum(tq)::bigint as tq from dp group by all), k as (select *, coalesce(sum(tq) over (partition by instrument, window_start order by tq desc, price_low rows between unbounded preceding and 1 preceding), 0) as before, sum(tq) over (partition by instrument, window_start) as total from f) select instrument, window_start, round(min(price_low), 6) as va_low, round(max(price_low + 5.0), 6) as va_high, count(*) as va_buckets from k where before < total * 0.7 group by all",
-    "book_as_of": f"with {_BD} select venue, instrument, side, price, round(size, 6) as size, last_seq from bo",
+    "book_as_of": f"with {_book('ts <= 1705708800000')} select venue, instrument, side, price, round(size, 6) as size, last_seq from bo",
     "grouped_book": f"with {_BD}, g as (select venue, instrument, side, floor(price / 5.0) * 5.0 as group_price, sum(round_even(size * 1e8, 0)::bigint)::bigint as q, count(*) as levels from bo group by all) select venue, instrument, side, group_price, round(q / 1e8, 6) as size, levels, row_number() over w as rank, round((sum(q) over w)::bigint / 1e8, 6) as cumulative from g window w as (partition by venue, instrument, side order by case when side = 'bid' then -group_price else group_price end rows unbounded preceding)",
     "regime_trend": f"with {_TREND} select venue, instrument, window_start, round(slope, 6) as slope, round(move, 6) as move, kind from trend",
     "regime_volatility": f"with {_TREND} select venue, instrument, window_start, round(atr, 6) as atr, kind from vol",

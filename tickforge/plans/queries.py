@@ -48,12 +48,12 @@ for _tf in ("1m", "5m", "15m", "1h"):
 
 @query
 def volume_stats_5m(s, d):
-    return rounded(windows.volume_stats(ticks.trades(s, d)))
+    return rounded(windows.volume_stats(ticks.trades(s, d, number=False)))
 
 
 @query
 def market_summary(s, d):
-    t = ticks.trades(s, d)
+    t = ticks.trades(s, d, number=False)
     t = t.join(F.broadcast(t.agg(F.max("ts_exchange_ms").alias("as_of"))))
     t = t.where(F.col("ts_exchange_ms") > F.col("as_of") - DAY).withColumns({"q": fixed(F.col("size")), "pq": F.col("price") * F.col("size")})
     buy = F.sum(F.when(F.col("side") == "buy", F.col("q")).otherwise(0))
@@ -69,24 +69,24 @@ def v_candles(s, d):
 
 @query
 def v_volume_stats(s, d):
-    v = windows.volume_stats(ticks.trades(s, d), "1h")
+    v = windows.volume_stats(ticks.trades(s, d, number=False), "1h")
     pct = lambda x: F.try_divide(x * 100, F.col("total_volume"))
     return rounded(v.select(*K, "window_start", "total_volume", pct(F.col("buy_volume")).alias("buy_pct"), pct(F.col("sell_volume")).alias("sell_pct"), pct(F.col("buy_volume") - F.col("sell_volume")).alias("delta_pct"), "vwap"), 4)
 
 
 @query
 def v_cvd(s, d):
-    v = windows.volume_stats(ticks.trades(s, d)).withColumn("delta", F.col("buy_volume") - F.col("sell_volume"))
+    v = windows.volume_stats(ticks.trades(s, d, number=False)).withColumn("delta", F.col("buy_volume") - F.col("sell_volume"))
     return rounded(windows.running_delta(v).select(*K, "window_start", "delta", "cvd"))
 
 
 @query
 def v_ingestion_latency(s, d):
-    return ticks.trades(s, d).where("ts_ingest_ms >= ts_exchange_ms").select(*K, "trade_id", (F.col("ts_ingest_ms") - F.col("ts_exchange_ms")).alias("latency_ms"))
+    return ticks.trades(s, d, number=False).where("ts_ingest_ms >= ts_exchange_ms").select(*K, "trade_id", (F.col("ts_ingest_ms") - F.col("ts_exchange_ms")).alias("latency_ms"))
 
 
 def _recent(s, d, ms):
-    t = ticks.trades(s, d)
+    t = ticks.trades(s, d, number=False)
     return t.join(F.broadcast(t.agg(F.max("ts_exchange_ms").alias("as_of")))).where(F.col("ts_exchange_ms") > F.col("as_of") - ms)
 
 
@@ -118,13 +118,13 @@ def kpi_latency_p50(s, d):
 
 @query
 def volume_by_exchange(s, d):
-    return rounded(ticks.trades(s, d).groupBy("venue").agg(unfixed(F.sum(fixed(F.col("size")))).alias("volume"), F.count("*").alias("trades")))
+    return rounded(ticks.trades(s, d, number=False).groupBy("venue").agg(unfixed(F.sum(fixed(F.col("size")))).alias("volume"), F.count("*").alias("trades")))
 
 
 @query
 def top_instruments(s, d):
     """The feature is a top 25 (here of venue and instrument)."""
-    t = ticks.trades(s, d).withColumn("q", fixed(F.col("size")))
+    t = ticks.trades(s, d, number=False).withColumn("q", fixed(F.col("size")))
     out = t.groupBy(*K).agg(F.count("*").alias("trades"), unfixed(F.sum("q")).alias("volume"), (100.0 * F.sum(F.when(F.col("side") == "buy", F.col("q")).otherwise(0)) / F.sum("q")).alias("buy_pct"))
     return rounded(out.orderBy(F.desc("trades"), *K).limit(25), 4)
 
@@ -142,7 +142,7 @@ def latency_percentiles(s, d):
 
 @query
 def data_freshness(s, d):
-    t = ticks.trades(s, d)
+    t = ticks.trades(s, d, number=False)
     t = t.join(F.broadcast(t.agg(F.max("ts_ingest_ms").alias("as_of"))))
     out = t.groupBy(*K).agg(F.max("ts_ingest_ms").alias("last_ms"), (F.max("as_of") - F.max("ts_ingest_ms")).alias("lag_ms"), F.count_if(F.col("ts_ingest_ms") > F.col("as_of") - DAY).alias("last_day"))
     return out.withColumn("status", F.when(F.col("lag_ms") < 30_000, "flowing").when(F.col("lag_ms") < 3_600_000, "partial").when(F.col("last_day") > 0, "stale").otherwise("inactive"))
@@ -309,7 +309,7 @@ def vpvr_poc(s, d):
 
 
 def _day_profile(s, d):
-    t = ticks.trades(s, d).withColumns({"price_low": profiles.bucket(F.col("price"), F.lit(5.0)), "window_start": window_start(F.col("ts_ingest_ms"), DAY), "q": fixed(F.col("size"))})
+    t = ticks.trades(s, d, number=False).withColumns({"price_low": profiles.bucket(F.col("price"), F.lit(5.0)), "window_start": window_start(F.col("ts_ingest_ms"), DAY), "q": fixed(F.col("size"))})
     on = lambda x: unfixed(F.sum(F.when(F.col("side") == x, F.col("q")).otherwise(0)))
     return t.groupBy(*K, "window_start", "price_low", (F.col("price_low") + 5.0).alias("price_high")).agg(on("buy").alias("buy_volume"), on("sell").alias("sell_volume"), unfixed(F.sum("q")).alias("total_volume"))
 
@@ -343,22 +343,22 @@ def tpo_profile(s, d):
 
 @query
 def footprint_1h(s, d):
-    return rounded(profiles.footprint(ticks.trades(s, d), "1h", 5.0))
+    return rounded(profiles.footprint(ticks.trades(s, d, number=False), "1h", 5.0))
 
 
 @query
 def dom_fills(s, d):
-    return rounded(profiles.fills(ticks.trades(s, d), 10.0))
+    return rounded(profiles.fills(ticks.trades(s, d, number=False), 10.0))
 
 
 @query
 def cross_venue_snapshot(s, d):
-    return rounded(books.latest_prices(ticks.trades(s, d), VENUES), 4)
+    return rounded(books.latest_prices(ticks.trades(s, d, number=False), VENUES), 4)
 
 
 @query
 def spread_signal(s, d):
-    return rounded(books.latest_prices(ticks.trades(s, d), VENUES).where("venues >= 3 and spread_bps >= 2000").select("instrument", "trade_id", "venues", "spread_abs", "spread_bps"), 4)
+    return rounded(books.latest_prices(ticks.trades(s, d, number=False), VENUES).where("venues >= 3 and spread_bps >= 2000").select("instrument", "trade_id", "venues", "spread_abs", "spread_bps"), 4)
 
 
 @query
@@ -379,12 +379,13 @@ def fused_vp_value_area(s, d):
 
 @query
 def book_as_of(s, d):
-    return rounded(books.book_as_of(ticks.book_deltas(s, d), 500))
+    """The books as they stood at BOUNDARY."""
+    return rounded(books.book_as_of(ticks.book_deltas(s, d), ts_ms=BOUNDARY))
 
 
 @query
 def grouped_book(s, d):
-    return rounded(books.grouped(books.book_as_of(ticks.book_deltas(s, d), 500), 5.0))
+    return rounded(books.grouped(books.book_as_of(ticks.book_deltas(s, d)), 5.0))
 
 
 def _hours(s, d):
@@ -520,13 +521,13 @@ def subscription_match(s, d):
 
 @query
 def subjects(s, d):
-    return ticks.trades(s, d).groupBy(subject(F.lit("trade"), F.col("venue"), F.col("instrument"), F.lit("raw")).alias("subject")).agg(F.count("*").alias("rows"), F.max(flags(F.col("price") > 400, F.col("size") > 4)).cast("long").alias("max_flags"))
+    return ticks.trades(s, d, number=False).groupBy(subject(F.lit("trade"), F.col("venue"), F.col("instrument"), F.lit("raw")).alias("subject")).agg(F.count("*").alias("rows"), F.max(flags(F.col("price") > 400, F.col("size") > 4)).cast("long").alias("max_flags"))
 
 
 @query
 def envelopes(s, d):
     """Envelopes of the trades, decoded again; those of an unknown version are left for quarantine."""
-    t = ticks.trades(s, d)
+    t = ticks.trades(s, d, number=False)
     e = t.select(F.lit("marketdata.trade").alias("type"), F.when(F.col("event_id") % 211 == 0, 2).otherwise(1).alias("version"), *K, F.col("ts_exchange_ms").alias("ts_exchange"), F.col("ts_ingest_ms").alias("ts_ingest"), "seq", F.col("trade_id").alias("idempotency_key"), F.to_json(F.struct("price", "size", "side", "trade_id", F.col("ts_exchange_ms").alias("timestamp"))).alias("payload"))
     good, bad = readers.split_envelopes(e)
     g = good.groupBy(*K).agg(F.count("*").alias("good"), F.sum(fixed(F.col("price"))).alias("price_fp"))
@@ -552,7 +553,7 @@ def trade_size_class(s, d):
 
 def _raw(s, d):
     """The trades as messages of six venues, in each venue's own form."""
-    t = ticks.trades(s, d).withColumns({"at": F.col("event_id") % 6, "p": F.col("price").cast("string"), "q": F.col("size").cast("string")})
+    t = ticks.trades(s, d, number=False).withColumns({"at": F.col("event_id") % 6, "p": F.col("price").cast("string"), "q": F.col("size").cast("string")})
     maps = lambda **x: F.struct(*(v.alias(k) for k, v in x.items()))
     col, lit = F.col, F.lit
     coin = F.regexp_replace("instrument", "USDT$", "")
@@ -578,7 +579,7 @@ def venue_trades(s, d):
 
 @query
 def book_states(s, d):
-    return rounded(book_state.book_states(ticks.book_deltas(s, d)).drop("checksum"), 4)
+    return rounded(book_state.book_states(ticks.book_deltas(s, d), checksums=False).drop("checksum"), 4)
 
 
 @query
@@ -590,7 +591,7 @@ def heatmap_coarse(s, d):
 
 @query
 def display_groups(s, d):
-    return rounded(profiles.group_sizes(ticks.trades(s, d)).groupBy("venue", "group_size").agg(F.count("*").alias("trades"), F.max("price").alias("max_price")))
+    return rounded(profiles.group_sizes(ticks.trades(s, d, number=False)).groupBy("venue", "group_size").agg(F.count("*").alias("trades"), F.max("price").alias("max_price")))
 
 
 @query
@@ -670,13 +671,13 @@ def latest_versions(s, d):
 @query
 def strict_order(s, d):
     """How many trades are late by exchange time, when ids tell the order of arrival."""
-    t = quality.lateness(ticks.trades(s, d), 60_000, "ts_exchange_ms", ["event_id"], K)
+    t = quality.lateness(ticks.trades(s, d, number=False), 60_000, "ts_exchange_ms", ["event_id"], K)
     return t.groupBy(*K).agg(F.count("*").alias("trades"), F.count_if("is_late").alias("late"))
 
 
 @query
 def catch_up(s, d):
-    return quality.caught_up(ticks.trades(s, d), 3_600_000, ["event_id"], K).groupBy(*K).agg(F.count("*").alias("trades"), F.max("trade_id").alias("last_id"))
+    return quality.caught_up(ticks.trades(s, d, number=False), 3_600_000, ["event_id"], K).groupBy(*K).agg(F.count("*").alias("trades"), F.max("trade_id").alias("last_id"))
 
 
 @query
@@ -689,7 +690,7 @@ def content_keys(s, d):
 
 @query
 def backfill_assembled(s, d):
-    return readers.assembled(ticks.trades(s, d).drop("seq", "ts_ingest_ms")).select(*K, "seq", "trade_id", "ts_ingest_ms", "idempotency_key")
+    return readers.assembled(ticks.trades(s, d, number=False).drop("seq", "ts_ingest_ms")).select(*K, "seq", "trade_id", "ts_ingest_ms", "idempotency_key")
 
 
 @query
@@ -701,7 +702,7 @@ def event_range_newest(s, d):
 
 @query
 def precise_trades(s, d):
-    t = ticks.trades(s, d).withColumns({"price": F.col("price") / 7, "size": F.col("size") / 7})
+    t = ticks.trades(s, d, number=False).withColumns({"price": F.col("price") / 7, "size": F.col("size") / 7})
     return readers.precise(t).select(*K, "trade_id", "price", "size")
 
 
@@ -729,7 +730,7 @@ def reject_reasons(s, d):
 
 @query
 def capped_books(s, d):
-    c = books.capped(books.book_as_of(ticks.book_deltas(s, d), 500), 3)
+    c = books.capped(books.book_as_of(ticks.book_deltas(s, d)), 3)
     side = lambda x: F.array_join(F.transform(x, lambda v: v["price"].cast("long").cast("string")), ",")
     return rounded(c.select(*K, side("bids").alias("bids"), side("asks").alias("asks"), "bid_levels", "ask_levels", "spread_bps"), 4)
 

@@ -19,7 +19,9 @@ _RECEIVED = "received_ms"
 
 def _read(raw: DataFrame, entries: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """A row for each entry. Messages are maps, as field names may differ in case alone; nested values stay JSON text."""
-    m = raw.select(F.upper(F.trim("venue")).alias("venue"), _RECEIVED, F.from_json("message", "map<string,string>").alias("m")).where(F.col("m").isNotNull() & F.col("venue").isin(*entries))
+    known = raw.withColumn("venue", F.upper(F.trim("venue"))).where(F.col("venue").isin(*entries))
+    # explode() of a single element: a filter on the parsed message would otherwise parse it a second time
+    m = known.select("venue", _RECEIVED, F.explode(F.array(F.from_json("message", "map<string,string>"))).alias("m")).where(F.col("m").isNotNull())
     all_entries = None
     for venue, make in entries.items():
         mine = F.col("venue") == venue

@@ -78,14 +78,14 @@ def book_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def book_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Level changes in long form: side, price, size (0 deletes), is_snapshot."""
+    """Level changes in long form: side, price, size (0 deletes), is_snapshot; a message changes a price once."""
     t = trades(spark, sf_dir).withColumn("is_snapshot", F.col("event_id") % 50 == 0).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(4))))
     gone = ~F.col("is_snapshot") & ((F.col("event_id") + F.col("k")) % 7 == 0)
     size = F.when(gone, 0.0).otherwise((((F.col("event_id") * 17 + F.col("k") * 29) % 100) + 1) / 10.0)
     bid, ask = 100 + (F.col("event_id") * 7 + F.col("k") * 3) % 40, 141 + (F.col("event_id") * 11 + F.col("k") * 5) % 40
     t = t.withColumn("level", F.explode(F.array(F.struct(F.lit("bid").alias("side"), bid.cast("double").alias("price")), F.struct(F.lit("ask").alias("side"), ask.cast("double").alias("price")))))
-    flat = t.select("venue", "instrument", "seq", "is_snapshot", "level.side", "level.price", size.alias("size"))
-    return flat.groupBy("venue", "instrument", "seq", "is_snapshot", "side", "price").agg(F.max("size").alias("size"))
+    flat = t.select("venue", "instrument", "seq", "ts_ingest_ms", "is_snapshot", "level.side", "level.price", size.alias("size"))
+    return flat.groupBy("venue", "instrument", "seq", "ts_ingest_ms", "is_snapshot", "side", "price").agg(F.max("size").alias("size"))
 
 
 def trades_big(spark: SparkSession, sf_dir: str) -> DataFrame:
