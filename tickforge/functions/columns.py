@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCALE, FUNDING_SCALE = 100_000_000, 1_000_000_000
-#: Timeframes in milliseconds.
+# Timeframes in milliseconds, burst limits, quotes.
 TIMEFRAMES = {"250ms": 250, "1s": 1000, "5s": 5000, "1m": 60_000, "5m": 300_000, "15m": 900_000, "30m": 1_800_000, "1h": 3_600_000, "4h": 14_400_000, "1d": 86_400_000}
 #: Trades of a window above which it is a burst.
 BURST = {"250ms": 25, "1s": 80, "5s": 300}
@@ -23,9 +23,31 @@ def instrument_name(x: Column) -> Column:
 
 
 def lower_name(x: Column) -> Column:
+    """Event types and timeframes."""
     return F.lower(F.trim(x))
 
 
+def without_market(instrument: Column) -> Column:
+    """The instrument without a market type after a colon."""
+    return F.substring_index(instrument, ":", 1)
+
+
+def is_identifier(x: Column) -> Column:
+    """Letters, digits and - _ . / alone, and not blank."""
+    return F.coalesce(x.rlike(r"^[\p{L}\p{Nd}._/-]+$"), F.lit(False))
+
+
+def floored(x: Column, digits: int) -> Column:
+    return F.floor(x * 10.0**digits) / 10.0**digits
+
+
+def subject_parts(text: Column) -> Column:
+    """type, venue, symbol and timeframe of a subject, and the fifth part of a signal's; null where there are fewer than four or more than five, or a blank one."""
+    parts = F.split(F.trim(text), "/")
+    whole = F.size(parts).isin(4, 5) & ~F.exists(parts, lambda p: F.trim(p) == "")
+    return F.when(whole, F.struct(*(F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(("kind", "venue", "symbol", "timeframe", "signal")))))
+
+
 def side_name(x: Column) -> Column:
     """buy or sell from the venues' spellings; null for anything else."""
     s = F.lower(F.trim(x))

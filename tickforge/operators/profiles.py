@@ -25,6 +25,14 @@ def bin_size(df: DataFrame, percent: float, tick: float, price: str = "price", o
     return df.withColumn(out, width).drop("_n", "_e", "_f", "_ok")
 
 
+# The share of the price that a heatmap bucket takes, by timeframe; 2.5 per cent of a hundredth otherwise.
+HEATMAP_FACTORS = {"1s": 0.001, "5s": 0.001, "10s": 0.001, "1m": 0.005, "5m": 0.005}
+
+
+def heatmap_factor(timeframe: str) -> float:
+    return HEATMAP_FACTORS.get(timeframe, 0.025)
+
+
 def bucket(price: Column, step: Column) -> Column:
     return F.floor(price / step) * step
 
@@ -115,6 +123,16 @@ def time_price(candles: DataFrame, step: float, period_ms: int = 1_800_000) -> D
     return rows.groupBy(*KEYS, "session_start", (F.col("level") * F.lit(step)).alias("price_low")).agg(F.array_join(F.array_sort(F.collect_set("letter")), "").alias("letters"), F.countDistinct("letter").alias("n_letters"))
 
 
+def time_price_summary(candles: DataFrame, step: float, period_ms: int = 1_800_000) -> DataFrame:
+    """Of each session: the level with most letters (the lowest on ties), the value area around it, the initial balance (range of the first two periods) and the range."""
+    start = session_start(F.col("window_start"))
+    c = candles.withColumns({"session_start": start, "period": F.floor((F.col("window_start") - start) / period_ms)})
+    early = F.col("period") <= 1
+    bounds = c.groupBy(*KEYS, "session_start").agg(F.max(F.when(early, F.col("high"))).alias("ib_high"), F.min(F.when(early, F.col("low"))).alias("ib_low"), F.max("high").alias("range_high"), F.min("low").alias("range_low"))
+    levels = time_price(candles, step, period_ms).select(*KEYS, "session_start", "price_low", (F.col("price_low") + step).alias("price_high"), F.col("n_letters").cast("double").alias("total_volume"))
+    return value_area_outward(levels, [*KEYS, "session_start"], most=1 << 30).drop("va_volume").join(bounds, [*KEYS, "session_start"])
+
+
 def footprint(trades: DataFrame, timeframe: str, step: float) -> DataFrame:
     t = trades.withColumns({"window_start": window_start(F.col("ts_ingest_ms"), TIMEFRAMES[timeframe]), "price_low": bucket(F.col("price"), F.lit(step)), "q": fixed(F.col("size"))})
     on = lambda s: unfixed(F.sum(F.when(F.col("side") == s, F.col("q")).otherwise(0)))

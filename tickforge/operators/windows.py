@@ -81,11 +81,20 @@ def stats(marks: DataFrame, liquidations: DataFrame, timeframe: str) -> DataFram
     m = marks.select(*KEYS, "ts_ingest_ms", "seq", fixed(F.col("mark_price")).alias("m"), F.when(F.col("funding_rate") != 0, fixed(F.col("funding_rate"), FUNDING_SCALE)).alias("f"))
     q = liquidations.select(*KEYS, "ts_ingest_ms", fixed(F.col("size")).alias("q"), "side")
     u = m.unionByName(q, allowMissingColumns=True).withColumn("window_start", window_start(F.col("ts_ingest_ms"), ms))
-    out = u.groupBy(*KEYS, "window_start").agg(unfixed(F.sum("q")).alias("liq_volume"), unfixed(F.sum(F.when(F.col("side") == "buy", F.col("q")))).alias("liq_buy_volume"), F.count("q").alias("liq_count"), unfixed(F.min_by("m", "seq")).alias("mark_open"), unfixed(F.max("m")).alias("mark_high"), unfixed(F.min("m")).alias("mark_low"), unfixed(F.max_by("m", "seq")).alias("mark_close"), F.count("m").alias("mark_count"), F.sum("f").alias("fs"), F.count("f").alias("funding_count"))
+    out = u.groupBy(*KEYS, "window_start").agg(unfixed(F.sum("q")).alias("liq_volume"), unfixed(F.sum(F.when(F.col("side") == "buy", F.col("q")))).alias("liq_buy_volume"), unfixed(F.sum(F.when(F.col("side") == "sell", F.col("q")))).alias("liq_sell_volume"), F.min("seq").alias("seq_first"), F.max("seq").alias("seq_last"), unfixed(F.max_by("f", F.when(F.col("f").isNotNull(), F.col("seq"))), FUNDING_SCALE).alias("funding_last"), F.count("q").alias("liq_count"), unfixed(F.min_by("m", "seq")).alias("mark_open"), unfixed(F.max("m")).alias("mark_high"), unfixed(F.min("m")).alias("mark_low"), unfixed(F.max_by("m", "seq")).alias("mark_close"), F.count("m").alias("mark_count"), F.sum("f").alias("fs"), F.count("f").alias("funding_count"))
     out = out.withColumn("funding_avg", F.expr(f"case when funding_count > 0 then (fs div funding_count) / {FUNDING_SCALE}.0D end")).drop("fs")
     return out.withColumn("quality_flags", flags(F.col("mark_count") == 0, F.col("funding_count") == 0, F.col("liq_count") == 0))
 
 
+def interest_windows(oi: DataFrame, timeframe: str) -> DataFrame:
+    """The last open interest of each window, and its change against the window before."""
+    ms = TIMEFRAMES[timeframe]
+    g = oi.groupBy(*KEYS, window_start(F.col("ts_ingest_ms"), ms).alias("window_start")).agg(F.max_by("open_interest", "seq").alias("open_interest"))
+    before = F.lag("open_interest").over(Window.partitionBy(*KEYS).orderBy("window_start"))
+    delta = F.coalesce(F.col("open_interest") - before, F.lit(0.0))
+    return g.withColumns({"delta": delta, "delta_pct": F.when(before > 0, delta / before).otherwise(0.0)})
+
+
 def interest_changes(oi: DataFrame) -> DataFrame:
     """Change against the previous value, absolute and as a share; median gap of the last 10 arrivals and what it says."""
     w = Window.partitionBy(*KEYS).orderBy("seq")

@@ -101,7 +101,7 @@ SQL: dict[str, str] = {
     "kpi_buy_sell_ratio": f"with {_REC} select venue, round((sum(q) filter (side = 'buy'))::double / (sum(q) filter (side = 'sell'))::double, 6) as ratio from r group by all",
     "kpi_latency_p50": f"with {_TR} select round(quantile_cont(ts - tx, 0.5)::double, 6) as p50 from t",
     "volume_by_exchange": f"with {_TR} select venue, round(sum(q)::bigint / 1e8, 6) as volume, count(*) as trades from t group by all",
-    "top_instruments": f"with {_TR} select venue, instrument, count(*) as trades, round(sum(q)::bigint / 1e8, 4) as volume, round(100.0::double * coalesce(sum(q) filter (side = 'buy'), 0)::bigint / sum(q)::bigint, 4) as buy_pct from t group by all order by trades desc, venue, instrument limit 25",
+    "top_instruments": f"with {_TR} select venue, instrument, count(*) as trades, round(sum(q)::bigint / 1e8, 4) as volume, round(100.0::double * coalesce(sum(q) filter (side = 'buy'), 0)::bigint / sum(q)::bigint, 4) as buy_pct, round(sum(round_even(price * size * 1e8, 0)::bigint)::bigint / sum(q)::bigint, 4) as vwap from t group by all order by trades desc, venue, instrument limit 25",
     "hourly_volume": f"with {_H} select window_start, round(sum(round_even(volume * 1e8, 0)::bigint)::bigint / 1e8, 6) as volume, sum(trade_count)::bigint as trades from c group by all",
     "latency_percentiles": f"with {_TR} select venue, round(avg(ts - tx), 6) as avg_ms, round(quantile_cont(ts - tx, 0.5)::double, 6) as p50, round(quantile_cont((ts - tx)::double, 0.95), 6) as p95, round(quantile_cont((ts - tx)::double, 0.99), 6) as p99 from t group by all",
     "data_freshness": f"with {_TR}, a as (select max(ts) as now from t), f as (select venue, instrument, max(ts) as last_ms, max(now) - max(ts) as lag_ms, count(*) filter (ts > now - 86400000) as last_day from t, a group by all) select *, case when lag_ms < 30000 then 'flowing' when lag_ms < 3600000 then 'partial' when last_day > 0 then 'stale' else 'inactive' end as status from f",

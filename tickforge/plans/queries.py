@@ -125,7 +125,7 @@ def volume_by_exchange(s, d):
 def top_instruments(s, d):
     """The feature is a top 25 (here of venue and instrument)."""
     t = ticks.trades(s, d, number=False).withColumn("q", fixed(F.col("size")))
-    out = t.groupBy(*K).agg(F.count("*").alias("trades"), unfixed(F.sum("q")).alias("volume"), (100.0 * F.sum(F.when(F.col("side") == "buy", F.col("q")).otherwise(0)) / F.sum("q")).alias("buy_pct"))
+    out = t.groupBy(*K).agg(F.count("*").alias("trades"), unfixed(F.sum("q")).alias("volume"), (100.0 * F.sum(F.when(F.col("side") == "buy", F.col("q")).otherwise(0)) / F.sum("q")).alias("buy_pct"), (F.sum(fixed(F.col("price") * F.col("size"))) / F.sum("q")).alias("vwap"))
     return rounded(out.orderBy(F.desc("trades"), *K).limit(25), 4)
 
 
@@ -160,7 +160,7 @@ def rollup_1h_from_1m(s, d):
 
 @query
 def stats_1h(s, d):
-    return rounded(windows.stats(ticks.mark_prices(s, d), ticks.liquidations(s, d), "1h").drop("funding_avg", "quality_flags"))
+    return rounded(windows.stats(ticks.mark_prices(s, d), ticks.liquidations(s, d), "1h").drop("funding_avg", "quality_flags", "funding_last", "liq_sell_volume", "seq_first", "seq_last"))
 
 
 @query
