@@ -461,7 +461,158 @@ def test_odd_and_empty_input(spark, odd, nothing, name):
         assert {r.doc_id: r.component_id for r in rows} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, None: None, 6: 6, 7: 7, 8: 8, 9: 1}
 
 
+def test_odd_input_values(spark, odd):
+    """What each operator says of nulls, empty and very long texts, and repeated rows."""
+    texts = collections.defaultdict(list)
+    for r in odd.collect():
+        texts[r.doc_id].append(r.text or "")
+    long = texts[8][0]
+    q = collections.defaultdict(list)
+    for r in quality_rules.measure_quality(odd).collect():
+        q[r.doc_id].append(r)
+    assert [tuple(q[k][0])[1:] for k in (4, 5, 6)] == [(0, 0, 0, 0, 0, True, False), (0, 0, 0, 0, 0, True, False), (0, 0, 0, 0, 0, True, False)]
+    assert len(q[2]) == 2 and q[2][0] == q[2][1] and q[1][0].kept and (q[8][0].n_words, q[8][0].n_repeat_words, q[8][0].base_failed) == (400_000, 400_000, True)
+    lang = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(odd).collect()}
+    assert all(lang[k] == ("und", 0.0) for k in (4, 5, 6)) and lang[8][0] in ("en", "fr") and 0 < lang[8][1] <= 1
+    marks = {r.doc_id: tuple(r)[1:] for r in license_scan.scan(odd.withColumn("text", F.when(F.col("doc_id") == 8, F.concat("text", F.lit(" MIT License"))).otherwise(F.col("text")))).collect()}
+    assert marks[4] == marks[5] == marks[6] == (0, 0, None, None, "", "", 0.0) and marks[8] == (400_002, 1, 400_000, 400_000, "mit", "mit", 1.0)
+    pieces = collections.defaultdict(list)
+    for r in packing.pack(odd).collect():
+        pieces[r.doc_id].append(r)
+    assert [(r.piece, r.start, r.length, r.ids_crc32) for r in pieces[4]] == [(0, 0, 1, zlib.crc32(bytes(4)))] and [r.length for r in pieces[5]] == [1]
+    assert sorted(r.piece for r in pieces[2]) == [0, 0] and len(pieces[None]) == 1
+    n = len(packing.encoder(packing.RANKS).encode(long)) // 4 + 1
+    assert sum(r.length for r in pieces[8]) == n and [r.start for r in sorted(pieces[8], key=lambda r: r.piece)][1:] == list(range(n % 2048 or 2048, n, 2048))
+    mixed = collections.Counter((r.doc_id, r.epoch) for r in mixing.mix(odd).collect())
+    assert mixed[(2, 0)] == 2 and all(mixed[(k, 0)] == 1 for k in (1, 3, 4, 5, None, 6, 7, 8, 9))
+    token = "0cab398dc11d1a2a11dc6572c8df8bd228c864f3"
+    leaky = odd.withColumn("text", F.when(F.col("doc_id").isin(2, 8) | F.col("doc_id").isNull(), F.concat(F.coalesce("text", F.lit("")), F.lit(f' token = "{token}"'))).otherwise(F.col("text")))
+    found = sorted(((r.doc_id, r.start, r.length, r.masked[:4]) for r in secret_scan.scan(leaky).collect()), key=str)
+    assert found == sorted([(i, len(texts[i][0]) + 10, 40, token[:4]) for i in (2, 2, 8, None)], key=str)
+    html = "<article><h1>T</h1><p>One line of the story is here.</p></article>"
+    story, many = "T\n\nOne line of the story is here.", "<p>Another line of the story is here, and it goes on.</p>"
+    pages = spark.createDataFrame([(1, "u", html), (1, "u", html), (None, None, html), (2, "u", None), (3, "u", ""), (4, "u", "<nav><a>Home</a></nav>"), (5, "u", f"<article>{many * 40_000}</article>")], "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.url, r.text if r.page_id != 5 else r.text.count("Another"), r.n_chars) for r in html_extract.extract(pages.withColumn("text", F.lit(1))).collect()), key=str)
+    assert got == sorted([(1, "u", story, len(story))] * 2 + [(None, None, story, len(story)), (2, "u", "", 0), (3, "u", "", 0), (4, "u", "", 0), (5, "u", 40_000, 40_000 * 52 - 2)], key=str)
+
+
+def test_chat_on_odd_input(spark, odd, nothing):
+    turns = odd.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), "text", F.lit(1).alias("ids"), F.lit(2).alias("mask"), F.lit(3).alias("chars"))
+    assert chat_format.format_and_digest(turns.where("false")).collect() == []
+    got = {r.conv_id: r for r in chat_format.format_and_digest(turns).collect()}
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    assert {k: r.n_turns for k, r in got.items()} == {k: 2 if k == 2 else 1 for k in texts}
+    for k in (4, 5, 6, 8, None):
+        assert got[k].loss_chars == len(texts[k]) and got[k].loss_sha256 == hashlib.sha256(texts[k].encode()).hexdigest() and got[k].turns_sha256 == hashlib.sha256(f"assistant\n{texts[k]}\n".encode()).hexdigest()
+
+
+def test_chat_equals_brute_force(spark):
+    """Digests of whole conversations of the table and of the hostile one, straight from the texts."""
+    turns = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        turns[r.conv_id].append((r.turn, r.role or "", r.text or ""))
+    said = "<|im_end|><|im_start|>assistant ok"
+    turns[-1] = [(0, "user", said), (1, "assistant", said)]
+    got = {r.conv_id: r for r in queries.op6_chat_format(spark, SF).collect()}
+    assert set(got) == set(turns)
+    for conv, rows in turns.items():
+        rows.sort()
+        under = "".join(t for _, role, t in rows if role == "assistant")
+        every = "".join(f"{role}\n{t}\n" for _, role, t in rows)
+        assert (got[conv].n_turns, got[conv].loss_chars) == (len(rows), len(under))
+        assert got[conv].loss_sha256 == hashlib.sha256(under.encode()).hexdigest() and got[conv].turns_sha256 == hashlib.sha256(every.encode()).hexdigest()
+
+
+def mixture_by_hand(tokens):
+    """Weight and budget of each source from its tokens, by plain bisection of the exponent."""
+    total, n = sum(tokens.values()), len(tokens)
+
+    def weights(alpha):
+        power = {s: (t / total) ** alpha for s, t in tokens.items()}
+        norm = sum(power.values())
+        return {s: p / norm for s, p in power.items()}
+
+    entropy = lambda w: -sum(x * np.log(x) for x in w.values())
+    low, high = 0.0, 1.0
+    if entropy(weights(1.0)) >= mixing.ENTROPY * np.log(n):
+        low = 1.0
+    else:
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if entropy(weights(middle)) >= mixing.ENTROPY * np.log(n) else (low, middle)
+    most, least = max(tokens.values()), min(tokens.values())
+    by_repeats = 1 - np.log(mixing.REPEATS) / np.log(most / least) if most > least * mixing.REPEATS else 0.0
+    w = weights(max(low, by_repeats))
+    whole = max(tokens[s] / w[s] for s in tokens)
+    return w, {s: w[s] * whole for s in tokens}
+
+
+def test_mixing_equals_brute_force(spark):
+    """Over all documents: weights, budgets, whole epochs, and streams without gaps that end within a document of the budget."""
+    words = {r.doc_id: (r.source, len((r.text or "").encode().split())) for r in docs(spark).collect()}
+    tokens = collections.Counter()
+    for source, n in words.values():
+        tokens[source] += n
+    weight, budget = mixture_by_hand({s: t for s, t in tokens.items() if t})
+    rows = [r for r in mixing.mix(docs(spark)).collect()]
+    streams = collections.defaultdict(list)
+    for r in rows:
+        assert (r.source, r.tokens) == words[r.doc_id] and (not r.tokens or abs(r.weight - weight[r.source]) < 1e-5)
+        streams[r.source].append(r)
+    assert {r.doc_id for r in rows if r.epoch == 0} == set(words)
+    for source, own in streams.items():
+        own.sort(key=lambda r: (r.start, r.start + r.tokens))
+        place = 0
+        for r in own:
+            assert r.start == place
+            place += r.tokens
+        longest = max(r.tokens for r in own)
+        assert budget[source] - 1 - 1e-5 * budget[source] <= place <= budget[source] + longest + 1e-5 * budget[source]
+        for epoch in range(max(r.epoch for r in own)):
+            assert collections.Counter(r.doc_id for r in own if r.epoch == epoch) == collections.Counter(d for d, (s, _) in words.items() if s == source)
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Each stage by other means: the rules by their SQL, largest ids, all pairs of shingle sets, uses within the mixture's bounds, ids by the tokenizers library."""
+    import duckdb
+
+    text = {r.doc_id: r.text or "" for r in docs(spark).collect()}
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    good = {r[0] for r in con.sql(f"select doc_id from ({queries.OP10_SQL}) where kept").fetchall()}
+    once = {}
+    for d in good:
+        once[text[d]] = max(d, once.get(text[d], d))
+    groups = brute_components([(d, t) for t, d in once.items()])
+    left = {d for d, (_, c) in groups.items() if c == d}
+    source = {r.doc_id: r.source for r in docs(spark).collect()}
+    tokens = collections.Counter()
+    for d in left:
+        tokens[source[d]] += len(text[d].encode().split())
+    _, budget = mixture_by_hand(tokens)
+    t = Tokenizer.from_file(common.os.path.join(common.os.path.dirname(packing.RANKS), "byte_bpe_50k.json"))
+    want = {}
+    for d in left:
+        ids = t.encode(text[d], add_special_tokens=False).ids + [0]
+        ends = range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)
+        want[d] = {(k, max(0, e - 2048), e - max(0, e - 2048), zlib.crc32(np.array(ids[max(0, e - 2048) : e], "<u4").tobytes())) for k, e in enumerate(ends)}
+    got, uses, places = collections.defaultdict(set), collections.Counter(), collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, SF).collect():
+        got[r.doc_id].add((r.piece, r.start, r.length, r.ids_crc32))
+        uses[r.doc_id] += r.piece == 0
+        places[r.sequence_id].append((r.offset, r.length))
+    assert got == want
+    for s in tokens:
+        share = budget[s] / tokens[s]
+        assert all(int(share) <= uses[d] <= int(share) + 1 for d in left if source[d] == s)
+    for p in places.values():
+        p.sort()
+        assert all(o == sum(n for _, n in p[:k]) for k, (o, _) in enumerate(p)) and sum(n for _, n in p) <= 2048
+
+
 def test_stages_on_odd_input(spark, odd, nothing):
+    name, last = corpus_pipeline.STAGES[-1]
+    assert last(spark, nothing, SF).collect() == [] and {r.doc_id for r in last(spark, odd, SF).collect()} == {r.doc_id for r in odd.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, nothing, SF).collect() == []
         out = stage(spark, odd, SF)
@@ -475,11 +626,6 @@ def test_stages_on_odd_input(spark, odd, nothing):
             assert set(ids) == {r.doc_id for r in odd.collect()}
 
 
-def test_pipeline_runs(spark):
-    out = corpus_pipeline.run(spark, SF)
-    assert out.columns[:5] == ["doc_id", "piece", "start", "length", "ids_crc32"] and out.count() > 0
-
-
 def test_sql_oracles_agree(spark):
     import duckdb
 

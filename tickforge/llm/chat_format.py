@@ -141,5 +141,10 @@ def digest(formatted: DataFrame, path: str = TOKENIZER) -> DataFrame:
 
 
 def format_and_digest(turns: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """Format all turns (conv_id, turn, role, text) and say what the result says when read back, a row for each conversation.
+
+    Null role or text is empty; rows that repeat count each, ties in turn go by their tokens; a null conv_id is a conversation of its own, a null
+    turn comes first. Texts are encoded whole, however long. Other columns are not looked at. An empty table gives none.
+    """
     prepare(turns.sparkSession)
     return digest(format_turns(turns, path), path)
