@@ -448,6 +448,31 @@ def test_wrapped_licenses(spark):
     assert all(got[400 + n] == {""} for n in (0, 7, 13, 29, 41))
 
 
+def test_wrapped_licenses_equal_sql(spark, tmp_path):
+    """Wrapped and broken notices at any place, by the operator and by its SQL."""
+    import duckdb
+
+    rng, rows = np.random.default_rng(6), []
+    for k in range(300):
+        words = license_scan.TEMPLATES[k % len(license_scan.TEMPLATES)][1].split()
+        words = [w if rng.random() > 0.04 else "other" for w in words]
+        filler = [f"w{i}" for i in rng.integers(0, 50, int(rng.integers(0, 90)))]
+        text = " ".join([*filler, *words, "MIT" if k % 7 == 0 else "end", "License."])
+        for at in sorted(rng.integers(0, len(text), int(rng.integers(0, 9))).tolist(), reverse=True):
+            at = text.find(" ", at)
+            text = text if at < 0 else text[:at] + "\n" + text[at + 1 :]
+        rows.append((k, ("- " if k % 5 == 0 else "") + text.capitalize()))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    want = con.sql(license_scan.oracle())
+    order = sorted(range(len(want.columns)), key=lambda i: want.columns[i])
+    got = license_scan.scan(spark.read.parquet(str(tmp_path / "d")))
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = sorted((tuple(r[c] for c in sorted(got.columns)) for r in got.collect()), key=str)
+    assert rows == sorted((tuple(r[i] for i in order) for r in want.fetchall()), key=str) and sum(r.labels != "" for r in got.collect()) > 150
+
+
 @pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op7", "op8", "op9", "op10"])
 def test_odd_and_empty_input(spark, odd, nothing, name):
     run = {"op1": ngram_join.similar, "op2": secret_scan.scan, "op3": lambda d: html_extract.extract(d.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("url"), F.col("text").alias("html"))), "op4": packing.pack, "op5": license_scan.scan, "op7": language_id.identify, "op8": exact_dedup.mark_duplicates, "op9": mixing.mix, "op10": quality_rules.measure_quality}[name]
@@ -547,8 +572,10 @@ def mixture_by_hand(tokens):
     return w, {s: w[s] * whole for s in tokens}
 
 
-def test_mixing_equals_brute_force(spark):
+@pytest.mark.parametrize("small", [mixing.SMALL, 0])
+def test_mixing_equals_brute_force(spark, monkeypatch, small):
     """Over all documents: weights, budgets, whole epochs, and streams without gaps that end within a document of the budget."""
+    monkeypatch.setattr(mixing, "SMALL", small)
     words = {r.doc_id: (r.source, len((r.text or "").encode().split())) for r in docs(spark).collect()}
     tokens = collections.Counter()
     for source, n in words.values():

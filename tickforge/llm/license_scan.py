@@ -137,7 +137,7 @@ def scan(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB SQL, by comparing every line with every template."""
+    """The same in DuckDB SQL, by comparing every block, line or window of words, with every template."""
     words = "regexp_extract_all(translate({0}, '%s', '%s'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')" % (_UPPER, _LOWER)
     at = lambda phrase: "list_filter(range(1, len(w) + 1), lambda i: " + " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) + ")"
     values = ", ".join(f"('{label}', {sorted(set(text.split()))!r})" for label, text in TEMPLATES)
@@ -148,8 +148,11 @@ w as (select r, doc_id, t, {words.format('t')} as w from d),
 b as (select r, doc_id, t, len(w) as n_words, {spots} from w),
 p as (select *, list_concat(list_concat(apache, gpl), mit) as spots from b),
 templates(label, words) as (values {values}),
-lines as (select r, {words.format('x')} as w from (select r, unnest(string_split(t, chr(10))) as x from d where contains(lower(t), 'licen') or contains(lower(t), 'permi') or contains(lower(t), 'redistrib') or contains(lower(t), 'software') or contains(lower(t), 'rights') or contains(lower(t), 'materials'))),
-hits as (select r, label, max(len(list_intersect(list_distinct(w), words)) / len(words)) as c from lines, templates
+split as (select r, regexp_split_to_array(translate(t, '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from d where contains(t, chr(10))),
+blocks as (
+  select r, {words.format('x')} as w from (select r, unnest(string_split(t, chr(10))) as x from d)
+  union all select r, w[i : i + {REACH + REACH // 2 - 2}] from (select r, w, unnest(range(1, len(w) + 1, {REACH // 2})) as i from split)),
+hits as (select r, label, max(len(list_intersect(list_distinct(w), words)) / len(words)) as c from blocks, templates
   where len(list_intersect(list_distinct(w), words)) >= ceil({PERCENT} * len(words) / 100.0) group by all),
 m as (select r, list(distinct label) as more, max(c) as best from hits group by r)
 select doc_id, n_words::bigint as n_words, len(spots)::bigint as n_base, list_min(spots)::bigint - 1 as first_word, list_max(spots)::bigint - 1 as last_word,
