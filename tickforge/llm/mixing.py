@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import cut, prepare
+from tickforge.llm.common import cut, prepare, with_owner
 
 #: Share of the greatest entropy (that of equal weights) the mixture is to have.
 ENTROPY = 0.98
@@ -24,7 +24,7 @@ BLOCK_TOKENS = 1 << 20
 _TRIES, _ROUNDS = 16, 6
 #: Stretches of a source's permuted blocks, as a power of two: running sums go over stretches, then within one.
 STRETCH_BITS = 12
-#: Up to so many sources their plan, some 100 bytes each, is broadcast; beyond, it is joined by shuffle.
+#: Up to so many sources their plan, some 100 bytes each, is broadcast; beyond, that of the most frequent is, and the rest is joined by shuffle.
 SMALL = 20_000
 
 
@@ -91,14 +91,14 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, blo
 
 def mix_tokens(rows: DataFrame, entropy: float, repeats: float, block_tokens: int) -> DataFrame:
     rows = cut(rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))))
-    totals = rows.groupBy("key").agg(F.sum("tokens").alias("tokens"))
+    totals = cut(rows.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("key_rows")))
     plan = weights(totals.select(F.col("key").alias("source"), "tokens"), entropy, repeats)
     plan = plan.select(F.col("source").alias("key"), F.col("tokens").alias("key_tokens"), "alpha", "weight", "budget")
     epochs = F.ceil(F.col("budget") / F.col("key_tokens")).cast("long")
     plan = plan.withColumn("blocks", F.ceil(F.col("key_tokens") / F.lit(block_tokens)).cast("long")).withColumn("epochs", epochs)
-    plan = cut(plan)
+    plan = cut(plan.join(totals.select("key", "key_rows"), "key"))
     few = plan.count() <= SMALL
-    uses = rows.join(F.broadcast(plan) if few else plan, "key", "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))))
+    uses = (rows.join(F.broadcast(plan), "key", "left") if few else with_owner(rows, plan, "key", "key_rows")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))))
     sums = uses.where("epochs is not null").groupBy("key", "block", "epochs").agg(F.sum("tokens").alias("in_block"))
     sums = sums.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
     place = F.xxhash64("key", "epoch", "block")
