@@ -372,6 +372,11 @@ def _within_groups(members: DataFrame, sets: DataFrame, keys: list[str], column:
     return rows.repartition(partitions(members), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
+def _profiles(members: DataFrame, every: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """What may link by profiles."""
+    return _within_groups(members, every.select("doc_id", "n", "profile"), keys, "profile", lambda rows, known: _alike(rows, known, percent))
+
+
 def _tries(members: DataFrame, sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """The links of whole sets."""
     return _within_groups(members, sets, keys, "grams", lambda rows, known: _linked([(id, np.frombuffer(raw, np.uint64), n) for id, raw, n in rows], known, percent))
@@ -411,8 +416,7 @@ def similar(docs: DataFrame, size: int = NGRAM, percent: int = PERCENT) -> DataF
     led = sizes.select("leader", F.col("leader").alias("doc_id"), "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     blocks = cut(dealt.unionByName(led))
     own = F.col("doc_id").alias("comp")
-    alike = _within_groups(blocks.where("blocks = 1").select("leader", "doc_id", own), every.select("doc_id", "n", "profile"), ["leader"], "profile", lambda rows, known: _alike(rows, known, percent))
-    likely = cut(alike.distinct())
+    likely = cut(_profiles(blocks.where("blocks = 1").select("leader", "doc_id", own), every, ["leader"], percent).distinct())
     refined = likely.select(F.col("b").alias("leader"), F.lit(0).cast("long").alias("block"), F.col("a").alias("doc_id"))
     refined = refined.unionByName(refined.select("leader", "block", F.col("leader").alias("doc_id")).distinct())
     large = blocks.where("blocks > 1")
@@ -425,9 +429,12 @@ def similar(docs: DataFrame, size: int = NGRAM, percent: int = PERCENT) -> DataF
         pairwise = seen.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block")
         pairwise = pairwise.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
         mixed = pairwise.groupBy("leader", "i", "j").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c < d").select("leader", "i", "j")
-        rest = cut(pairwise.join(mixed, ["leader", "i", "j"]).select("leader", "i", "j", "doc_id", "comp"))
-        if not rest.isEmpty():
-            links = links.unionByName(_tries(rest, sets, ["leader", "i", "j"], percent))
+        both = ["leader", "i", "j"]
+        rest = cut(pairwise.join(mixed, both).select(*both, "doc_id", "comp"))
+        # whole sets go only where the profiles of two components that aren't connected yet say that they may link
+        near = cut(_profiles(rest, every, both, percent).distinct())
+        near = near.select(F.col("a").alias("comp")).unionByName(near.select(F.col("b").alias("comp"))).distinct()
+        links = links.unionByName(_tries(rest.join(near, "comp", "left_semi").select(*both, "doc_id", "comp"), sets, both, percent))
     found = _with_components(every.select("doc_id", "n", "digest"), reps, links)
     least = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.least("doc_id", "least"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"))
