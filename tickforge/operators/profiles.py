@@ -91,9 +91,9 @@ def fused(profile: DataFrame, keys: list[str]) -> DataFrame:
 def heatmap(books: DataFrame, trades: DataFrame, timeframe: str, step: float, levels: int = 8) -> DataFrame:
     """Liquidity of the best levels and traded volume by price bucket and size class of each window."""
     ms = TIMEFRAMES[timeframe]
-    side = lambda s: books.select(*KEYS, "ts_ingest_ms", "seq", F.lit(s[:3]).alias("kind"), F.explode(F.slice(s, 1, levels)).alias("x")).select(*KEYS, "ts_ingest_ms", "seq", "kind", "x.price", "x.size")
-    t = trades.select(*KEYS, "ts_ingest_ms", "seq", F.lit("trade").alias("kind"), "price", "size")
-    u = side("bids").unionByName(side("asks")).unionByName(t)
+    side = lambda s: F.transform(F.slice(s, 1, levels), lambda x: F.struct(F.lit(s[:3]).alias("kind"), x["price"].alias("price"), x["size"].alias("size")))
+    u = books.select(*KEYS, "ts_ingest_ms", "seq", F.explode(F.concat(side("bids"), side("asks"))).alias("x")).select(*KEYS, "ts_ingest_ms", "seq", "x.*")
+    u = u.unionByName(trades.select(*KEYS, "ts_ingest_ms", "seq", F.lit("trade").alias("kind"), "price", "size"))
     u = u.withColumns({"window_start": window_start(F.col("ts_ingest_ms"), ms), "price_low": bucket(F.col("price"), F.lit(step)), "size_class": size_class(F.col("size")), "q": fixed(F.col("size"))})
     on = lambda s: unfixed(F.sum(F.when(F.col("kind") == s, F.col("q")).otherwise(0)))
     return u.groupBy(*KEYS, "window_start", "price_low", "size_class").agg(on("bid").alias("bid_liquidity"), on("ask").alias("ask_liquidity"), on("trade").alias("trade_volume"), F.count("*").alias("samples"), F.min("seq").alias("seq_min"), F.max("seq").alias("seq_max"))
@@ -167,8 +167,11 @@ def coarsened(cells: DataFrame, step: float, keys: list[str], buckets: int = 512
     Of more than `most` cells those of greatest intensity stay, then by price and size class. Adds `times`, the factor taken.
     """
     factors = [1 << k for k in range(widest.bit_length())]
-    at = lambda m: F.floor(F.col("price_low") / F.lit(step * m))
-    counts = cells.groupBy(*keys).agg(*(F.countDistinct(at(m)).alias(f"n{m}") for m in factors))
+    narrow = cells.select(*keys, F.floor(F.col("price_low") / F.lit(step)).alias("b")).distinct()
+    before = F.lag("b").over(Window.partitionBy(*keys).orderBy("b"))
+    # in order, a wider bucket begins where the number divided by its factor changes
+    begins = lambda m: F.count_if(F.col("before").isNull() | (F.floor(F.col("b") / m) != F.floor(F.col("before") / m))).alias(f"n{m}")
+    counts = narrow.withColumn("before", before).groupBy(*keys).agg(*map(begins, factors))
     chosen = F.lit(widest)
     for m in reversed(factors):
         chosen = F.when(F.col(f"n{m}") <= buckets, m).otherwise(chosen)
