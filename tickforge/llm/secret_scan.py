@@ -149,6 +149,8 @@ def written_findings(seed: int = SEED, each: int = 60) -> tuple[list[list[float]
         add(1, "".join(word() for _ in range(int(rng.integers(3, 5)))), password(), True, bool(rng.integers(2)))
         add(1, draw(low + up, 4) + draw(num, 2) + draw(low + up + num + "!$", int(rng.integers(2, 9))), f"{word()} {name()} {word()}", False, bool(rng.integers(2)))
         add(1, draw(low + up + num + "!$%", int(rng.integers(8, 24))), "url password >", True, False)
+        add(1, word() + draw(num, int(rng.integers(1, 3))) + draw(low + "!$%", int(rng.integers(2, 6))), password(), True, bool(rng.integers(2)))
+        add(0, "_".join(word() for _ in range(int(rng.integers(2, 5)))).upper() + "_" + draw(num, int(rng.integers(1, 3))), word(), bool(rng.integers(2)), False)
         add(0, word() + draw(num, int(rng.integers(1, 3))), f"{name()} {word()}", False, bool(rng.integers(2)))
         add(0, word(), name(), True, bool(rng.integers(2)))
         add(0, word() + "_" + word() + str(rng.choice(["", "()", ".value", "[0]"])), str(rng.choice([name(), word()])), True, False)
