@@ -3,8 +3,12 @@
 import glob
 import os
 
+import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tickforge.functions import columns as C
 from tickforge.operators import book_state, books, indicators, profiles, quality, reports, signals, windows
@@ -127,6 +131,18 @@ def test_severity_of_each_rule(spark):
     assert swept(5.0, 5.0, 15, 13) == [("ask", 7, "medium")] and swept(7.0, 10.0, 10, 20) == []  # the ask side lost more levels; too little depth
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(1, 120), st.integers(1, 9), st.integers(9, 20), st.integers(0, 99))
+def test_rolling_in_blocks_equals_one_window(spark, n, rows, block, seed):
+    """Numbers with gaps, blocks that numbers and rows don't fill alike."""
+    rng = np.random.default_rng(seed)
+    d = spark.createDataFrame([(int(k), int(s), float(rng.integers(0, 9))) for k in (0, 1) for s in sorted(rng.choice(400, n, replace=False))], "k long, seq long, x double")
+    w = Window.partitionBy("k").orderBy("seq").rowsBetween(-(rows - 1), 0)
+    want = d.withColumns({"n": F.count("*").over(w), "m": F.sum("x").over(w)})
+    got = windows.rolling(d, ["k"], "seq", rows, block, n=F.count("*"), m=F.sum("x"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_absorption_by_hand(spark):
     """Trades of size 1 at one price: ten fill the ring, then volume from the tenth on must reach twice the ring's."""
     t = trades(spark, [(100, 1, "buy", k * 1000) for k in range(200)])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.columns import fixed, imbalance, spread_bps_or_zero, unfixed
+from tickforge.operators.windows import rolling
 
 KEYS = ["venue", "instrument"]
 
@@ -37,8 +38,7 @@ def book_inputs(snapshots: DataFrame) -> DataFrame:
 
 
 def _rolling(df: DataFrame, column: str, rows: int = 64) -> DataFrame:
-    w = Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(-(rows - 1), 0)
-    df = df.withColumns({"n": F.count("*").over(w), "mean": F.avg(column).over(w), "sd": F.stddev_pop(column).over(w)})
+    df = rolling(df, KEYS, "seq", rows, n=F.count("*"), mean=F.avg(column), sd=F.stddev_pop(column))
     return df.withColumn("z", F.when(F.col("sd") > 1e-9, (F.col(column) - F.col("mean")) / F.col("sd")).otherwise(0.0))
 
 
@@ -118,9 +118,8 @@ def absorption(trades: DataFrame, ratio: float = 2.0, move: float = 0.001, least
     each finding; findings are ms apart. What follows depends on what was found, so a task reads its series in order, a batch at a time, and
     carries a few numbers on. Volumes are whole numbers of 1e-8.
     """
-    w = Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(-63, 0)
-    t = trades.where("price > 0 and size > 0").withColumn("q", fixed(F.col("size")))
-    t = t.select(*KEYS, "seq", "ts_ingest_ms", "price", "q", F.sum("q").over(w).alias("ring"), F.count("*").over(w).alias("n"))
+    t = trades.where("price > 0 and size > 0").select(*KEYS, "seq", "ts_ingest_ms", "price", fixed(F.col("size")).alias("q"))
+    t = rolling(t, KEYS, "seq", 64, ring=F.sum("q"), n=F.count("*"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         series, ref, total, start, last = None, 0.0, 0, 0, None
@@ -235,8 +234,8 @@ def spread_regimes(inputs: DataFrame, z: float = 2.5, bps: float = 10.0, least:
 
 def tape_absorption(inputs: DataFrame, tape: DataFrame, ratio: float = 2.0, bps: float = 50.0, least: int = 10) -> DataFrame:
     """Tape windows with much volume while the spread last seen was tight. A window stands at the sequence of its last trade, after the book of that number."""
-    w = Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(-63, 0)
-    t = tape.where("total_volume > 0").select(*KEYS, F.col("seq_last").alias("seq"), "window_start", "total_volume").withColumns({"n": F.count("*").over(w), "mean": F.avg("total_volume").over(w)})
+    t = tape.where("total_volume > 0").select(*KEYS, F.col("seq_last").alias("seq"), "window_start", "total_volume")
+    t = rolling(t, KEYS, "seq", 64, n=F.count("*"), mean=F.avg("total_volume"))
     b = inputs.where("spread_bps > 0").select(*KEYS, "seq", "spread_bps")
     u = b.withColumn("is_tape", F.lit(False)).unionByName(t.withColumn("is_tape", F.lit(True)), allowMissingColumns=True)
     seen = F.last("spread_bps", ignorenulls=True).over(Window.partitionBy(*KEYS).orderBy("seq", "is_tape").rowsBetween(Window.unboundedPreceding, 0))

@@ -10,6 +10,32 @@ from tickforge.functions.columns import FUNDING_SCALE, TIMEFRAMES, fixed, flags,
 KEYS = ["venue", "instrument"]
 
 
+def numbered(df: DataFrame, keys: list[str], stretch: Column, order: list[str], out: str = "seq") -> DataFrame:
+    """Adds 1, 2, .. in each series (keys) by `order`; stretch must not fall along it.
+
+    Rows are counted within stretches, and the stretches before are added, so that no task has to order a whole series.
+    """
+    key = [*keys, "_stretch"]
+    df = df.withColumn("_stretch", stretch)
+    earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = df.groupBy(*key).agg(F.count("*").alias("_n")).select(*key, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    return df.withColumn("_within", within).join(before, key).withColumn(out, F.col("_before") + F.col("_within")).drop("_stretch", "_before", "_within")
+
+
+def rolling(df: DataFrame, keys: list[str], order: str, rows: int, block: int = 8192, **columns: Column) -> DataFrame:
+    """Adds aggregates over the last `rows` rows of each series, by `order`, a number that grows along it.
+
+    Series are cut into blocks of so many rows, each with the last rows of the block before it, so that a long series is many tasks' work.
+    """
+    df = numbered(df, keys, F.col(order).cast("long") - F.pmod(F.col(order), F.lit(block)), [order], "_i")
+    own = F.col("_i") - F.pmod("_i", F.lit(block))
+    in_both = F.pmod("_i", F.lit(block)) > block - rows
+    copies = df.withColumn("_block", F.explode(F.when(in_both, F.array(own, own + block)).otherwise(F.array(own))))
+    w = Window.partitionBy(*keys, "_block").orderBy("_i").rowsBetween(-(rows - 1), 0)
+    return copies.withColumns({name: c.over(w) for name, c in columns.items()}).where(F.col("_block") == own).drop("_i", "_block")
+
+
 def _closed(df: DataFrame, keys: list[str]) -> DataFrame:
     """is_closed: a later window of the same series has begun."""
     last = F.max("window_start").over(Window.partitionBy(*keys))

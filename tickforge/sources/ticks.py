@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickforge.operators import windows
+
 T0 = 1704067200000
 
 
@@ -24,16 +26,8 @@ SLICE_MS = 3_600_000
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """seq: 1, 2, .. in each series by time and event_id.
-
-    Rows are counted within stretches of time, and the stretches before are added, so that no task has to order a whole series.
-    """
-    key = ["venue", "instrument", "_slice"]
-    df = df.withColumn("_slice", F.expr(f"ts_ingest_ms div {SLICE_MS}"))
-    earlier = Window.partitionBy("venue", "instrument").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = df.groupBy(*key).agg(F.count("*").alias("_n")).select(*key, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(*key).orderBy("ts_ingest_ms", "event_id"))
-    return df.withColumn("_within", within).join(before, key).withColumn("seq", F.col("_before") + F.col("_within")).drop("_slice", "_before", "_within")
+    """seq: 1, 2, .. in each series by time and event_id."""
+    return windows.numbered(df, ["venue", "instrument"], F.expr(f"ts_ingest_ms div {SLICE_MS}"), ["ts_ingest_ms", "event_id"])
 
 
 _size = lambda: ((F.col("event_id") * 37) % 500 + 1) / 100.0
