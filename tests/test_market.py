@@ -14,7 +14,7 @@ from tickforge.functions import columns as C
 from tickforge.operators import book_state, books, indicators, profiles, quality, reports, signals, windows
 from tickforge.plans import oracles, view_oracles, views  # noqa: F401
 from tickforge.plans.queries import REGISTRY
-from tickforge.sources import dialects, readers
+from tickforge.sources import dialects, readers, ticks
 from tickforge.streaming import jobs
 
 SQL = oracles.SQL | view_oracles.SQL
@@ -189,6 +189,38 @@ def test_csv_dialect(spark, tmp_path):
     assert [(r.trade_id, r.price, r.side) for r in got] == [("1", 10.5, "sell"), ("2", 11.0, "buy")]
 
 
+def test_csv_of_the_other_dialect(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("timestamp,symbol,side,size,price\n1704067200.1234,BTCUSDT,Buy,0.5,42000.5\n1704067201,BTCUSDT,SELL,2,41999\n")
+    got = readers.trade_csv(spark, str(tmp_path / "b.csv"), "b").orderBy("ts_exchange_ms").collect()
+    assert [(r.price, r.size, r.side, r.ts_exchange_ms) for r in got] == [(42000.5, 0.5, "buy", 1704067200123), (41999.0, 2.0, "sell", 1704067201000)]
+
+
+def test_replay_order(spark):
+    """Time, then venue, instrument and type without regard to case, number and key."""
+    rows = [(2, "b", "X", "t", 1, "k1"), (1, "B", "x", "t", 2, "k2"), (1, "a", "Y", "T", 9, "k3"), (1, "b", "X", "S", 5, "k4"), (1, "b", "x", "t", 2, "k1")]
+    d = spark.createDataFrame(rows, "ts_ingest long, venue string, instrument string, type string, seq long, idempotency_key string")
+    assert [(r.ts_ingest, r.seq, r.idempotency_key) for r in readers.in_replay_order(d.repartition(3)).collect()] == [(1, 9, "k3"), (1, 5, "k4"), (1, 2, "k1"), (1, 2, "k2"), (2, 1, "k1")]
+
+
+def test_metrics_and_fragments(spark):
+    d = spark.createDataFrame([({"b": 2.0, "a": float("nan"), "c": float("inf"), "d": 1.0, "z": None}, ["  one ", "", "x" * 200, "two", "three", "four"])], "m map<string,double>, t array<string>")
+    r = d.select(C.metric_list(F.col("m")).alias("m"), C.metric_list(F.col("m"), 1).alias("first"), C.fragments(F.col("t")).alias("t")).first()
+    assert [tuple(x) for x in r.m] == [("b", 2.0), ("d", 1.0)] and [tuple(x) for x in r["first"]] == [("b", 2.0)]
+    assert r.t == ["one", "x" * 120, "two", "three"]
+
+
+def test_times_of_venues(spark):
+    d = spark.createDataFrame([("1704067200", 7), ("1704067200123", 7), ("2024-01-01T00:00:00.5Z", 7), ("  ", 7), ("soon", 7), ("1704067200.25", 7)], "t string, r long")
+    assert [x.m for x in d.select(C.parse_ms(F.col("t"), F.col("r")).alias("m")).collect()] == [1704067200000, 1704067200123, 1704067200500, 7, 7, 1704067200250]
+
+
+def test_nearest_rank_and_gaps(spark):
+    d = spark.createDataFrame([("a", k) for k in range(1, 11)] + [("b", 5)], "k string, ms long")
+    assert sorted(tuple(r) for r in reports.percentiles(d, ["k"], "ms", [50, 95]).collect()) == [("a", 6, 10), ("b", 5, 5)]  # places 5 and 9 of ten, from 0
+    w = spark.createDataFrame([("V", "I", 2000), ("V", "I", 3000), ("V", "I", 6000)], "venue string, instrument string, window_start long")
+    assert sorted(tuple(r)[2:] for r in reports.coverage_gaps(w, 1000, 0, 8000).collect()) == [(0, 1000, 2), (4000, 5000, 2), (7000, 8000, 2)]
+
+
 def test_venue_messages(spark):
     raw = spark.createDataFrame(
         [
@@ -295,6 +327,19 @@ def test_streamed_cross_venue_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_streamed_evidence_equals_batch(spark, tmp_path):
+    inputs = signals.book_inputs(ticks.book_snapshots(spark, SF)).where("venue = 'BINANCE'")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    middle = inputs.agg(F.expr("percentile_approx(ts_ingest_ms, 0.5)")).first()[0]
+    for k, part in enumerate((inputs.where(F.col("ts_ingest_ms") <= middle), inputs.where(F.col("ts_ingest_ms") > middle))):
+        part.repartition(3).write.parquet(f"{src}/{k}")
+        q = jobs.stream_spread_explosions(spark.readStream.schema(inputs.schema).parquet(f"{src}/*"), least=5, bps=1.0).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
+        q.awaitTermination(120)
+    want = signals.cooled(signals.spread_explosion(inputs, least=5, bps=1.0).select("venue", "instrument", "seq", "ts_ingest_ms", "severity"), ["venue", "instrument"], order=("ts_ingest_ms", "seq"))
+    got = sorted((r.instrument, r.seq, r.severity) for r in spark.read.parquet(out).collect())
+    assert got == sorted((r.instrument, r.seq, r.severity) for r in want.collect()) and len(got) > 3
+
+
 def test_late_rows_and_fan_out(spark, tmp_path):
     on, late = str(tmp_path / "on"), str(tmp_path / "late")
     write = jobs.late_apart(on, late, "t", 10)

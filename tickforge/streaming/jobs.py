@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.functions.columns import SCALE, fixed, unfixed
+from tickforge.operators.signals import SPREAD_Z
 
 
 def stream_candles(trades: DataFrame, length: str = "1 minute") -> DataFrame:
@@ -170,3 +171,27 @@ def stream_cross_venue(trades: DataFrame, order: tuple[str, ...] = ("ts_ingest_m
         yield pd.DataFrame(out, columns=["symbol", "trade_id", "venues", "min_price", "min_venue", "max_price", "max_venue"])
 
     return trades.groupBy("symbol").applyInPandasWithState(run, "symbol string, trade_id string, venues long, min_price double, min_venue string, max_price double, max_venue string", "venues array<string>, prices array<double>", "append", "NoTimeout")
+
+
+_EVIDENCE = "venue string, instrument string, seq long, ts_ingest_ms long, spread_bps double, z double, severity string, confidence double"
+
+
+def stream_spread_explosions(inputs: DataFrame, z: float = 2.5, bps: float = 10.0, least: int = 10, ms: int = 5000, rows: int = 64) -> DataFrame:
+    """signals.spread_explosion and its cooldown over a stream of book inputs: the state of a series is its last `rows` spreads and when it last told."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        ring, told = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
+        d, out = _in_order(frames, ["ts_ingest_ms", "seq"]), []
+        d = d[(d["bid"] > 0) & (d["ask"] > d["bid"])]
+        for seq, ts, spread in zip(d["seq"].tolist(), d["ts_ingest_ms"].tolist(), d["spread_bps"].tolist()):
+            ring = [*ring[-(rows - 1) :], spread]
+            deviation = float(np.std(ring))
+            score = (spread - float(np.mean(ring))) / deviation if deviation > 1e-9 else 0.0
+            if len(ring) >= least and score > z and spread > bps and (told is None or ts - told >= ms):
+                told = ts
+                step = sum(score >= x for x in SPREAD_Z)
+                out.append((*key, seq, ts, spread, score, ("medium", "high", "critical")[step], (0.70, 0.85, 0.95)[step]))
+        state.update((ring, told))
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in _EVIDENCE.split(", ")])
+
+    return inputs.groupBy("venue", "instrument").applyInPandasWithState(run, _EVIDENCE, "ring array<double>, told long", "append", "NoTimeout")
