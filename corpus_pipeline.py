@@ -41,14 +41,20 @@ STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram jaccard j
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that run() wrote, wherever it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir. What stages hand on lies in the checkpoint folder."""
+    """All stages over the documents of sf_dir. What a stage hands on lies in the checkpoint folder until the next has been written; the last such table stays, as the result reads it."""
     prepare(spark)
     shared = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k + 1 == len(STAGES):
-            return out
-        out.write.parquet(f"{shared}/{k}")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{shared}/{k}")
         docs = spark.read.parquet(f"{shared}/{k}")
+        if k:
+            _remove(spark, f"{shared}/{k - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)
