@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickforge.llm import chat_format, exact_dedup, html_extract, language_id, license_scan, mixing, ngram_join, packing, quality_rules, secret_scan
+from tickforge.llm import chat_format, exact_dedup, html_extract, language_id, license_scan, mixing, ngram_join, packing, period_runs, quality_rules, secret_scan
 from tickforge.llm.common import load
 
 
@@ -54,6 +54,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure_quality(load(spark, sf_dir, "documents"))
 
 
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.periodic_runs(load(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
 w as (select r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from d),
@@ -81,7 +85,7 @@ from documents window w as (partition by coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_html_extraction, op4_best_fit_packing, op5_license_scan, op6_chat_format, op7_language_id, op8_exact_dedup, op9_source_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_html_extraction, op4_best_fit_packing, op5_license_scan, op6_chat_format, op7_language_id, op8_exact_dedup, op9_source_mixing, op10_quality_rules, op13_period_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
