@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickforge.llm import chat_format, exact_dedup, html_extract, language_id, license_scan, mixing, ngram_join, packing, period_runs, quality_rules, secret_scan
+from tickforge.llm import bpe, chat_format, exact_dedup, html_extract, language_id, license_scan, mixing, ngram_join, packing, period_runs, prefix_trie, quality_rules, secret_scan
 from tickforge.llm.common import load
 
 
@@ -54,6 +54,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure_quality(load(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(load(spark, sf_dir, "conversations"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_and_decode(load(spark, sf_dir, "documents"))
+
+
 def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_runs.periodic_runs(load(spark, sf_dir, "documents"))
 
@@ -82,10 +90,45 @@ OP8_SQL = """
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window w as (partition by coalesce(text, ''))
 """
+OP11_SQL = r"""
+with t as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as place
+  from conversations where conv_id is not null
+),
+n as (select c, count(*) as n from t group by c),
+crc as (
+  select c, n, c - c % 20 as first, xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint, [ascii(x)::ubigint for x in string_split(c::varchar, '')]),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::ubigint for i in range(8)]), lambda u, v: xor(u >> 1, 3988292384::ubigint * (u & 1))))) % 4 as h
+  from n
+),
+convs as (select crc.c, crc.n, crc.first, crc.h, least(crc.h, coalesce(n.n, 0))::bigint as got from crc left join n on n.c = crc.first),
+r as (
+  select t.c, place - h::bigint + got + 1 as depth, role, text from t join convs using (c) where place >= h
+  union all
+  select convs.c, place + 1 as depth, role, text from convs join t on t.c = convs.first where place < got
+),
+size as (select convs.c, coalesce(max(depth), 0) as size from convs left join r using (c) group by all),
+hashed as (
+  select c, depth, len(regexp_extract_all(text, '[^ 	-]+')) as words, string_agg(sha256(role || chr(10) || length(role)::varchar || chr(10) || text), '') over (partition by c order by depth) as prefix
+  from r
+  union all
+  select c, 0, 0, '' from convs
+),
+m as (select h.c, depth, words, size, sha256(prefix) as node, min(h.c) over w as stands, count(*) over w as members, count(*) filter (where size = depth) over w as over_here from hashed h join size using (c) window w as (partition by depth, sha256(prefix))),
+e as (
+  select *, lag(stands) over (partition by c order by depth) as parent, coalesce(lead(stands) over (partition by c order by depth) = c, false) as child,
+    sum(case when stands = c and depth > 0 then (members - 1) * words else 0 end) over (partition by c order by depth desc) as below,
+    bool_or(stands = c and size = depth and over_here = members) over (partition by c) as leaf
+  from m
+)
+select stands as conv_id, depth::bigint as depth, any_value(parent)::bigint as parent_conv_id, count(*)::bigint as n_convs, count(*) filter (where child)::bigint as n_children, count(*) filter (where leaf)::bigint as n_leaves,
+  sum(below)::bigint as saved_tokens, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where size = depth), '')) as ends_sha256
+from e group by stands, depth
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_html_extraction, op4_best_fit_packing, op5_license_scan, op6_chat_format, op7_language_id, op8_exact_dedup, op9_source_mixing, op10_quality_rules, op13_period_runs)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_html_extraction, op4_best_fit_packing, op5_license_scan, op6_chat_format, op7_language_id, op8_exact_dedup, op9_source_mixing, op10_quality_rules, op11_prefix_trie, op12_bpe, op13_period_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -93,4 +136,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_license_scan": license_scan.oracle(),
         "op8_exact_dedup": OP8_SQL,
         "op10_quality_rules": OP10_SQL,
+        "op11_prefix_trie": OP11_SQL,
     }
