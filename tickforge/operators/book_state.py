@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickforge.workers import prepare
+
 KEYS = ["venue", "instrument"]
 #: Levels a side may have; those furthest from the middle go.
 MOST = 1000
@@ -89,6 +91,7 @@ def book_states(deltas: DataFrame, checksums: bool = True) -> DataFrame:
     A row holds a message. Its stretch's number is the snapshots in earlier slices of messages and in its own up to it, so that no task orders
     a whole series. A task reads its rows in order and keeps one book, so memory holds a batch and a book, however long a stretch is.
     """
+    prepare(deltas.sparkSession)
     levels = F.array_sort(F.collect_list(F.struct("side", "price", "size")))
     messages = deltas.groupBy(*KEYS, "seq").agg(F.max("is_snapshot").alias("snap"), levels.alias("x")).withColumn("slice", F.expr(f"seq div {SLICE}"))
     earlier = Window.partitionBy(*KEYS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,7 +110,7 @@ def book_states(deltas: DataFrame, checksums: bool = True) -> DataFrame:
                 if (venue, instrument, epoch) != at:
                     at, book = (venue, instrument, epoch), Book()
                 out.append(book.row((venue, instrument), seq, book.apply(seq, snap, zip(sides, prices, sizes)), checksums))
-            yield pa.RecordBatch.from_pylist([dict(zip(_COLUMNS, r)) for r in out], schema=_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(_ARROW), _ARROW)], schema=_ARROW)
 
     return rows.repartition(*KEYS, "epoch").sortWithinPartitions(*KEYS, "epoch", "seq").mapInArrow(run, OUT)
 
@@ -122,6 +125,8 @@ def stream_books(deltas: DataFrame) -> DataFrame:
     order, a task holds what one trigger brings for one book: bound the source (maxFilesPerTrigger, maxBytesPerTrigger).
     """
 
+    prepare(deltas.sparkSession)
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         book = Book()
         if state.exists:

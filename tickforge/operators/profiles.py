@@ -106,6 +106,18 @@ def session_start(ts_ms: Column, zone: str = "UTC", open_minutes: int = 0) -> Co
     return F.unix_millis(F.to_utc_timestamp(shifted + F.expr(f"interval {open_minutes} minutes"), zone))
 
 
+def session_bounds(ts_ms: Column, duration_ms: int, zone: str | None = "UTC", open_minutes: int = 0) -> Column:
+    """session_start, session_end (epoch ms) and is_closed of the session that a time belongs to.
+
+    With a zone the session opens at that local time of day and lasts duration_ms: a time before today's open belongs to yesterday's session,
+    one after today's close still to today's, which is then closed. A custom anchor (zone None) cuts all time from the epoch on into sessions
+    of duration_ms, of which none is ever closed. Null and times not above 0 have no session.
+    """
+    start = ts_ms - F.pmod(ts_ms, F.lit(duration_ms)) if zone is None else session_start(ts_ms, zone, open_minutes)
+    bounds = F.struct(start.alias("session_start"), (start + duration_ms).alias("session_end"), (ts_ms >= start + duration_ms).alias("is_closed"))
+    return F.when(ts_ms > 0, bounds)
+
+
 def session_profile(candles: DataFrame, step: float, zone: str = "UTC", open_minutes: int = 0) -> DataFrame:
     """Candle volume by bucket of (high + low + 2 close) / 4 of each session."""
     typical = (F.col("high") + F.col("low") + 2 * F.col("close")) / 4

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickforge.operators.windows import running_before
+
 KEYS = ["venue", "instrument"]
 
 
@@ -29,11 +31,14 @@ def first_of_each(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*key, "r.*").select(*df.columns)
 
 
+#: Length, in ms of arrival, of the stretches that audits by order of arrival are cut into.
+STRETCH_MS = 3_600_000
+
+
 def sequence_audit(df: DataFrame, window: int = 2048) -> DataFrame:
     """verdict of each row against the highest sequence before it in arrival order."""
-    before = Window.partitionBy(*KEYS).orderBy("ts_ingest_ms", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    top = F.max(F.struct("seq", "ts_ingest_ms")).over(before)
-    out = df.withColumns({"top_seq": top["seq"], "top_ts": top["ts_ingest_ms"]})
+    out = running_before(df, KEYS, F.expr(f"ts_ingest_ms div {STRETCH_MS}"), ["ts_ingest_ms", "event_id"], top=(F.max, F.struct("seq", "ts_ingest_ms")))
+    out = out.withColumns({"top_seq": F.col("top.seq"), "top_ts": F.col("top.ts_ingest_ms")}).drop("top")
     verdict = F.when(F.col("seq") < 0, "seq_invalid").when(F.col("top_seq").isNull() | (F.col("seq") > F.col("top_seq")), "accept").when(F.col("seq") == F.col("top_seq"), "replay_duplicate").when((F.col("ts_ingest_ms") < F.col("top_ts")) | (F.col("top_seq") - F.col("seq") <= window), "stale_event").otherwise("seq_non_monotonic")
     return out.withColumn("verdict", verdict)
 
@@ -132,17 +137,20 @@ def latest_versions(df: DataFrame, key: list[str], version: str) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(F.struct(*df.columns), version).alias("_r")).select("_r.*")
 
 
-def lateness(df: DataFrame, ms: int, time_col: str, arrival: list[str], keys: list[str]) -> DataFrame:
-    """Adds window_start and is_late: a row of a later window came before. One window is open per series; a newer one closes it."""
-    before = Window.partitionBy(*keys).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
+def lateness(df: DataFrame, ms: int, time_col: str, arrival: list[str], keys: list[str], stretch: int = 8192) -> DataFrame:
+    """Adds window_start and is_late: a row of a later window came before. One window is open per series; a newer one closes it.
+
+    The first column of arrival is a number; series are cut where it passes multiples of `stretch`.
+    """
     start = F.col(time_col) - F.pmod(F.col(time_col), F.lit(ms))
-    return df.withColumn("window_start", start).withColumn("is_late", F.coalesce(F.max("window_start").over(before) > F.col("window_start"), F.lit(False)))
+    out = running_before(df.withColumn("window_start", start), keys, F.expr(f"{arrival[0]} div {stretch}"), arrival, _top=(F.max, F.col("window_start")))
+    return out.withColumn("is_late", F.coalesce(F.col("_top") > F.col("window_start"), F.lit(False))).drop("_top")
 
 
-def caught_up(df: DataFrame, skew_ms: int, arrival: list[str], keys: list[str], time_col: str = "ts_ingest_ms") -> DataFrame:
-    """Rows that don't lag the latest time seen before them by more than skew_ms."""
-    top = F.max(time_col).over(Window.partitionBy(*keys).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_top", top).where(F.col("_top") - F.col(time_col) <= skew_ms).drop("_top")
+def caught_up(df: DataFrame, skew_ms: int, arrival: list[str], keys: list[str], time_col: str = "ts_ingest_ms", stretch: int = 8192) -> DataFrame:
+    """Rows that don't lag the latest time seen before them by more than skew_ms. Cut into stretches as lateness is."""
+    out = running_before(df, keys, F.expr(f"{arrival[0]} div {stretch}"), arrival, _top=(F.max, F.col(time_col)))
+    return out.where(F.col("_top").isNull() | (F.col("_top") - F.col(time_col) <= skew_ms)).drop("_top")
 
 
 def newest(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:

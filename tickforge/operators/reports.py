@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.columns import fixed, unfixed
+from tickforge.operators.windows import running_before
 
 KEYS = ["venue", "instrument"]
 
@@ -50,10 +51,12 @@ def level_reason(price: Column, size: Column) -> Column:
     )
 
 
-def stream_health(messages: DataFrame, arrival: list[str]) -> DataFrame:
-    """Of each series in order of arrival: gaps (a number more than one above the greatest before), their missing numbers, late and repeated numbers, and the state."""
-    before = Window.partitionBy(*KEYS).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
-    m = messages.withColumn("_top", F.max("seq").over(before))
+def stream_health(messages: DataFrame, arrival: list[str], stretch: int = 3_600_000) -> DataFrame:
+    """Of each series in order of arrival: gaps (a number more than one above the greatest before), their missing numbers, late and repeated numbers, and the state.
+
+    The first column of arrival is a number; series are cut where it passes multiples of `stretch`.
+    """
+    m = running_before(messages, KEYS, F.expr(f"{arrival[0]} div {stretch}"), arrival, _top=(F.max, F.col("seq")))
     gap = F.col("seq") > F.col("_top") + 1
     out = m.groupBy(*KEYS).agg(
         F.max("seq").alias("last_seq"), F.count_if(gap).alias("gaps"), F.coalesce(F.sum(F.when(gap, F.col("seq") - F.col("_top") - 1)), F.lit(0)).alias("missing"),

@@ -36,6 +36,26 @@ def rolling(df: DataFrame, keys: list[str], order: str, rows: int, block: int =
     return copies.withColumns({name: c.over(w) for name, c in columns.items()}).where(F.col("_block") == own).drop("_i", "_block")
 
 
+#: How two parts of a running aggregate become one; nulls stand for no rows.
+_JOINED = {F.max: F.greatest, F.min: F.least, F.sum: lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))}
+
+
+def running_before(df: DataFrame, keys: list[str], stretch: Column, order: list[str], **values: tuple) -> DataFrame:
+    """Adds, for each name: (F.max, F.min or F.sum, column), the aggregate over the rows before each row of its series (null where there is none).
+
+    stretch must not fall along `order`. Each stretch is ordered on its own, and what the stretches before it come to is carried on by a
+    table with one row a stretch, so that no task orders a whole series.
+    """
+    key = [*keys, "_stretch"]
+    df = df.withColumn("_stretch", stretch)
+    far = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    near = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = df.groupBy(*key).agg(*(f(c).alias(f"_{name}") for name, (f, c) in values.items()))
+    carried = whole.select(*key, *(f(f"_{name}").over(far).alias(f"_{name}") for name, (f, _) in values.items()))
+    out = df.withColumns({name: f(c).over(near) for name, (f, c) in values.items()}).join(carried, key)
+    return out.withColumns({name: _JOINED[f](F.col(name), F.col(f"_{name}")) for name, (f, _) in values.items()}).drop("_stretch", *(f"_{name}" for name in values))
+
+
 def _closed(df: DataFrame, keys: list[str]) -> DataFrame:
     """is_closed: a later window of the same series has begun."""
     last = F.max("window_start").over(Window.partitionBy(*keys))
