@@ -156,11 +156,12 @@ def exact_owners(docs: DataFrame, id: str = "doc_id", text: str = "text", keep:
 
 
 def _first_of_repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with `_first`: true for one of the rows with equal keys. First within each partition, then among partitions, so that no task holds all."""
-    rows = rows.withColumn("_part", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(F.lit(0)))
-    among = F.row_number().over(Window.partitionBy(*keys, "_nth").orderBy("_part"))
-    return rows.withColumn("_nth", within).withColumn("_first", (among == 1) & (F.col("_nth") == 1)).drop("_part", "_nth")
+    """rows with `__tickforge_first`: true for one of the rows with equal keys. First within each partition, then among partitions, so that no task holds all."""
+    rows = rows.withColumn("__tickforge_part", F.spark_partition_id())
+    within = F.row_number().over(Window.partitionBy(*keys, "__tickforge_part").orderBy(F.lit(0)))
+    among = F.row_number().over(Window.partitionBy(*keys, "__tickforge_nth").orderBy("__tickforge_part"))
+    first = (among == 1) & (F.col("__tickforge_nth") == 1)
+    return rows.withColumn("__tickforge_nth", within).withColumn("__tickforge_first", first).drop("__tickforge_part", "__tickforge_nth")
 
 
 def mark_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
@@ -172,16 +173,18 @@ def mark_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha256(F.col("text")).alias("text_sha256"))
     rows = with_owner(rows, own, "text_sha256", "group_size")
     keeper = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    single = rows.where((F.col("keepers") == 1) | ~keeper).withColumn("_first", keeper)
+    single = rows.where((F.col("keepers") == 1) | ~keeper).withColumn("__tickforge_first", keeper)
     several = _first_of_repeated(rows.where((F.col("keepers") > 1) & keeper), ["text_sha256"])
-    return single.unionByName(several).select("doc_id", "keep_id", "group_size", F.col("_first").alias("kept"), "text_sha256")
+    return single.unionByName(several).select("doc_id", "keep_id", "group_size", F.col("__tickforge_first").alias("kept"), "text_sha256")
 
 
 def drop_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """The rows that stay, with all their columns; one of wholly repeated rows."""
+    """The rows that stay, with all their columns; one of wholly repeated rows. Columns whose names begin with __tickforge_ are this function's own: docs with one are an error."""
+    if taken := [c for c in docs.columns if c.lower().startswith("__tickforge_")]:
+        raise ValueError(f"columns with reserved names: {taken}")
     own = exact_owners(docs, keep=keep).select(F.col("text_sha256").alias("__tickforge_sha"), F.col("keep_id").alias("__tickforge_keep"), F.col("keepers").alias("__tickforge_keepers"))
     rows = docs.withColumn("__tickforge_sha", sha256(F.col("text")))
     joined = rows.join(own, (rows["__tickforge_sha"] == own["__tickforge_sha"]) & rows["doc_id"].eqNullSafe(own["__tickforge_keep"])).drop(own["__tickforge_sha"])
-    single = joined.where("__tickforge_keepers = 1")
-    several = _first_of_repeated(joined.where("__tickforge_keepers > 1"), ["__tickforge_sha"]).where("_first")
-    return single.unionByName(several, allowMissingColumns=True).select(*docs.columns)
+    single = joined.where("__tickforge_keepers = 1").select(*docs.columns)
+    several = _first_of_repeated(joined.where("__tickforge_keepers > 1"), ["__tickforge_sha"]).where("__tickforge_first")
+    return single.unionByName(several.select(*docs.columns))
