@@ -42,7 +42,7 @@ WORDS = {
     "menu": "nav navigation menu navbar breadcrumb breadcrumbs toc pagination pager",
     "foot": "footer foot copyright legal contentinfo",
     "head": "header masthead topbar logo brand",
-    "comment": "comment comments reply replies discussion disqus respond",
+    "comment": "comment comments reply replies response responses discussion disqus respond feedback",
     "notice": "cookie cookies consent notice alert modal popup newsletter subscribe signup gdpr",
     "share": "share social follow tags meta byline",
     "main": "article content main post entry story body text",
@@ -52,6 +52,7 @@ _KIND = {w: kind for kind, words in WORDS.items() for w in words.split()}
 _REST = re.compile(r"([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in SKIPPED}
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _BLANK = re.compile(r"\s+")
 
 
@@ -142,6 +143,8 @@ def blocks(page: str) -> list[tuple[list[str], str]]:
             while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
                 held[stack.pop()[0]] -= 1
             kinds = {f"kind:{_KIND[w]}" for x in _NAMED.findall(attributes) for w in re.split(r"[^a-z]+", x.lower()) if w in _KIND}
+            if _HIDDEN.search(attributes):
+                kinds.add("kind:hidden")
             opened += 1
             held[tag] += 1
             stack.append((tag, path() + tuple(x for x in (f"tag:{tag}", *sorted(kinds)) if x not in path()), opened))
@@ -161,7 +164,7 @@ def features(found: list[tuple[tuple[str, ...], str, int, int]]) -> list[list[st
     out = []
     for k, (path, t, _, parent) in enumerate(found):
         words, links, stop = shapes[k]
-        fs = ["bias", *path, f"words:{words}", f"links:{links}", f"stop:{stop}", f"sign:{'©' in t or '|' in t}", f"prose:{min(3, prose[parent])}"]
+        fs = ["bias", *path, f"blocks:{min(5, len(found).bit_length())}", f"words:{words}", f"links:{links}", f"stop:{stop}", f"sign:{'©' in t or '|' in t}", f"prose:{min(3, prose[parent])}"]
         for name, at in (("before", k - 1), ("after", k + 1)):
             if 0 <= at < len(found):
                 fs += [f"{name}:{'long' if shapes[at][0] >= 4 else 'short'}:{shapes[at][1]}", f"{name}:{'same' if found[at][3] == parent else 'other'}"]
@@ -194,10 +197,39 @@ LAYOUTS = [
     f"<header><p>-A site about many things, with a slogan.</p></header><div class='promo banner'><p>-Subscribe now and get a month for free, really.</p></div><div id=main><h1>+Heading</h1><p>{_P}</p><dl><dt>+Term</dt><dd>+What it means.</dd></dl><p>{_P}</p></div><div role=complementary>-Side matter of no interest to the text.</div><div role=contentinfo>-Imprint</div>",
 ]
 
+#: Bodies of articles, what they stand in, and what stands around them; each goes with each (composed()).
+BODIES = [
+    f"<h1>+Headline</h1><p>{_P}</p><p>+Short one.</p><p>{_P}</p>",
+    "<h1>+Pancakes</h1><ul><li>+2 eggs</li><li>+A cup of flour</li><li>+Salt</li></ul><ol><li>+Mix.</li><li>+Let it rest for an hour, then fry it on both sides.</li></ol>",
+    f"<header><h1>+A headline</h1><p class=byline>-By a writer</p></header><p>{_P}</p><footer>-Filed under things</footer>",
+    f"<h2>+Prices</h2><table><tr><th>+Thing</th><th>+Price</th></tr><tr><td>+Tea</td><td>+2.50</td></tr><tr><td>+Milk</td><td>+1.20</td></tr></table><p>{_P}</p>",
+    f"+Some sentences of the story stand here without any tags.<br><br>They go on after a break, for a good while, as text does.<p>{_P}</p>",
+    "<h1>+News</h1><div>+It happened today.<br>Nobody was hurt, it was said.<br><br>More is to follow tomorrow.</div>",
+    "<dl><dt>+Word</dt><dd>+What it means.</dd><dt>+Another</dt><dd>+It means something else.</dd></dl>",
+    f"<h1>+One paragraph</h1><p>{_P}</p>",
+    f"<h1>+Title</h1><p>{_P}</p><div hidden><p>-Some words that nobody can see on this page, kept for later use.</p></div><p>{_P}</p><div aria-hidden=true>-An icon</div><p>+End.</p>",
+    f"<section><h2>+Part one</h2><p>{_P}</p></section><section><h2>+Part two</h2><p>+Brief.</p><pre>+x = 1</pre><blockquote>+As someone said.</blockquote></section>",
+]
+PLACES = ["<article>{}</article>", "<main>{}</main>", "<div id=content>{}</div>", "<div class=post-body>{}</div>", "<div>{}</div>"]
+AROUND = [
+    "{}",
+    "<nav><ul><li><a>-Home</a></li><li><a>-About</a></li></ul></nav>{}<footer><p>-© 2024 A company. All rights reserved.</p></footer>",
+    "<div class=menu><a>-Home</a> | <a>News</a></div>{}<div class=sidebar><h3>-Related</h3><p>-See also this other story, which is long and was written before.</p></div><div class=legal>-Terms</div>",
+    "<header>-A site</header><div hidden>-This is not to be seen by anyone, it is a template.</div>{}<section class=responses><p>-I read this twice and I still don't agree with it.</p><p>-Nice!</p></section>",
+    "{}<aside><p>-Some words of another story stand here, and they go on for quite a while too.</p></aside><footer>-Imprint</footer>",
+    "<div style='display:none'>-Preview text for mail readers that nobody sees on the page.</div><div class='cookie banner'>-We use cookies. Accept?</div>{}<form><label>-Mail</label><button>-Send</button></form>",
+]
+
+
+def composed() -> list[str]:
+    """Every body in every place with every surrounding; and text without any tags."""
+    pages = [around.format(place.format(body)) for body in BODIES for place in PLACES for around in AROUND]
+    return [*pages, "+Only text, no tags.", "+Only text, no tags, though it is rather longer than the other one and has two sentences. This is the second one."]
+
 
 def _by_own_element(fs: list[str]) -> bool:
     """Main text by the page's own account: in <article> or <main>, and in nothing that is set apart within."""
-    apart = {"tag:nav", "tag:aside", "tag:footer", "tag:form", "kind:advert", "kind:side", "kind:menu", "kind:comment", "kind:notice", "kind:share", "kind:foot"}
+    apart = {"tag:nav", "tag:aside", "tag:footer", "tag:form", "kind:advert", "kind:side", "kind:menu", "kind:comment", "kind:notice", "kind:share", "kind:foot", "kind:hidden"}
     return ("tag:article" in fs or "tag:main" in fs) and not apart & set(fs)
 
 
@@ -215,6 +247,9 @@ def labelled(pages: list[str]) -> list[tuple[list[list[str]], list[int]]]:
     for page in LAYOUTS:
         found = blocks(page)
         out += [([fs for fs, _ in found], [int(t.startswith("+")) for _, t in found])] * 6
+    for page in composed():
+        found = blocks(page)
+        out.append(([fs for fs, _ in found], [int(t.startswith("+")) for _, t in found]))
     for page in pages:
         found = blocks(page)
         labels = [int(_by_own_element(fs)) for fs, _ in found]
