@@ -662,3 +662,30 @@ def test_sql_oracles_agree(spark):
         got, want = queries.queries()[name](spark, SF), con.sql(sql)
         key = lambda cols, rows: sorted((tuple(dict(zip(cols, r))[c] for c in sorted(cols)) for r in rows), key=repr)
         assert key(got.columns, [tuple(r) for r in got.collect()]) == key(want.columns, want.fetchall()), name
+
+
+def test_stages_keep_columns_named_like_helpers(spark):
+    """Every stage but the last hands on a user's columns, whatever they are called, of repeated rows too."""
+    text = " ".join(f"word{k} and" for k in range(60))
+    names = ["_part", "_nth", "_first", "__salt", "__hot_rows", "rep", "n", "g", "leader", "block", "blocks", "digest", "component", "tokens", "epoch", "budget", "weight", "uses", "rows", "same", "len", "hash", "id", "kept", "keep_id", "keepers", "group_size", "text_sha256"]
+    rows = [(i, text + " " + str(i // 2 * 7919) * 40, "en", "s", *(f"{n}{i}" for n in names)) for i in (1, 1, 1, 2, 6, 7, 8, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        kept = [tuple(r) for r in out.collect()]
+        assert kept and set(kept) <= set(rows), name
+    with pytest.raises(ValueError):
+        exact_dedup.drop_duplicates(docs.withColumn("__tickforge_sha", docs.id))
+
+
+def test_letters_and_marks_make_words():
+    """Digits and signs that aren't letters make no word, and marks don't end one."""
+    assert language_id._LETTERS.findall("² ½ Ⅷ ① 12 _") == []
+    assert language_id._LETTERS.findall("हिन्दी भाषा, café x2y") == ["हिन्दी", "भाषा", "café", "x", "y"]
+
+
+def test_text_without_letters_is_undetermined(spark):
+    rows = [(k, f"{w} {w} {w}", w_lang) for k, (w, w_lang) in enumerate([("the house is", "en"), ("das haus ist", "de")] * 20)] + [(100, "² ½ Ⅷ ① 12", None), (101, None, None), (102, "हिन्दी", None)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == got[101] == "und" and got[102] in ("en", "de")

@@ -7,13 +7,13 @@ over all ways to cut the word into pieces. Whichever language scores highest is
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +31,8 @@ PART = 60
 UNSEEN, SCALE = 1e-7, 30.0
 #: Bytes, about, of the words and scores that a task remembers: 128 for a word and twice 8 for each language, as the table doubles.
 _REMEMBERED = 96 << 20
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: A word: letters, and the marks that belong to them. Other numeric characters and signs are no letters.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 
 
 class Pieces:
