@@ -417,19 +417,26 @@ def similar(docs: DataFrame, size: int = NGRAM, percent: int = PERCENT) -> DataF
     blocks = cut(dealt.unionByName(led))
     own = F.col("doc_id").alias("comp")
     likely = cut(_profiles(blocks.where("blocks = 1").select("leader", "doc_id", own), every, ["leader"], percent).distinct())
-    refined = likely.select(F.col("b").alias("leader"), F.lit(0).cast("long").alias("block"), F.col("a").alias("doc_id"))
-    refined = refined.unionByName(refined.select("leader", "block", F.col("leader").alias("doc_id")).distinct())
-    large = blocks.where("blocks > 1")
-    refined = refined.unionByName(large.select("leader", "block", "doc_id")).distinct()
+    # what profiles connect is regrouped by its least document; such a group may be large too, as it comes from many n-grams, so it is dealt out alike
+    regrouped = likely.select(F.col("b").alias("leader"), F.col("a").alias("doc_id")).where("leader <> doc_id").distinct()
+    counted = cut(regrouped.join(real.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id"))
+    again = counted.groupBy("leader").agg(blocks_of.alias("blocks"), F.count("*").alias("members"))
+    again = cut(with_owner(counted.drop("n"), cut(again), "leader", "members").drop("members").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
+    led = again.groupBy("leader").agg(F.max("blocks").alias("blocks")).select("leader", F.col("leader").alias("doc_id"), "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    kind = lambda k: F.lit(k).alias("kind")
+    regrouped = again.unionByName(led).select(kind(1), "leader", "block", "blocks", "doc_id")
+    large = blocks.where("blocks > 1").select(kind(0), "leader", "block", "blocks", "doc_id").unionByName(regrouped.where("blocks > 1"))
+    each = ["kind", "leader", "block"]
+    refined = regrouped.where("blocks = 1").unionByName(large).select(*each, "doc_id").distinct()
     sets = sets_of(docs, refined.select("doc_id").distinct(), frequent, size)
-    links = cut(_tries(refined.select("leader", "block", "doc_id", own), sets, ["leader", "block"], percent).distinct())
+    links = cut(_tries(refined.select(*each, "doc_id", own), sets, each, percent).distinct())
     if not large.isEmpty():
         comps = connected(links)
         seen = large.where("doc_id <> leader").join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
         pairwise = seen.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block")
+        both = ["kind", "leader", "i", "j"]
         pairwise = pairwise.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        mixed = pairwise.groupBy("leader", "i", "j").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c < d").select("leader", "i", "j")
-        both = ["leader", "i", "j"]
+        mixed = pairwise.groupBy(*both).agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c < d").select(*both)
         rest = cut(pairwise.join(mixed, both).select(*both, "doc_id", "comp"))
         # whole sets go only where the profiles of two components that aren't connected yet say that they may link
         near = cut(_profiles(rest, every, both, percent).distinct())
