@@ -12,12 +12,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tickforge.functions import columns as C
 from tickforge.operators import book_state, books, indicators, profiles, quality, reports, signals, windows
-from tickforge.plans import feed_oracles, feeds, oracles, view_oracles, views  # noqa: F401
+from tickforge.plans import check_oracles, checks, feed_oracles, feeds, oracles, view_oracles, views  # noqa: F401
 from tickforge.plans.queries import REGISTRY
 from tickforge.sources import dialects, readers, ticks
 from tickforge.streaming import jobs
 
-SQL = oracles.SQL | view_oracles.SQL | feed_oracles.SQL
+SQL = oracles.SQL | view_oracles.SQL | feed_oracles.SQL | check_oracles.SQL
 SF = "/root/testdata/sf0.001"
 TRADE = "venue string, instrument string, price double, size double, side string, seq long, ts_ingest_ms long, ts_exchange_ms long, trade_id string, event_id long"
 

@@ -131,6 +131,17 @@ def event_category(kind: Column) -> Column:
     return F.when(k.rlike(r"\.close|\.final|_close$|_final$|window_close"), "close_final").when(k.contains("telemetry"), "telemetry").when(k.rlike(r"\.snapshot|_snapshot$"), "snapshot").when(k.rlike(r"\.delta|_delta$|bookdelta$"), "delta").otherwise("unknown")
 
 
+def event_type_of(subject: Column) -> Column:
+    """The event type of a subject: what stands before the first slash, up to the first part that is a version (v1, v2, ..)."""
+    head = F.substring_index(F.lower(F.trim(subject)), "/", 1)
+    return F.regexp_replace(head, r"(^|\.)v[0-9]+(\..*)?$", "")
+
+
+def subject_category(subject: Column) -> Column:
+    """event_category of the event type of a subject."""
+    return event_category(event_type_of(subject))
+
+
 def content_key(id: Column, *content: Column) -> Column:
     """The source's id, or a digest of the content where it gave none."""
     return F.coalesce(F.when(F.trim(id) != "", F.trim(id)), F.sha2(F.concat_ws("|", *(c.cast("string") for c in content)), 256))

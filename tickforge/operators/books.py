@@ -91,6 +91,18 @@ def capped(levels: DataFrame, most: int = 50) -> DataFrame:
     return g.withColumn("spread_bps", F.coalesce((ask - bid) / ((ask + bid) / 2) * 10_000, F.lit(-1.0)))
 
 
+def capped_with_checksum(levels: DataFrame, most: int = 50) -> DataFrame:
+    """capped, with a checksum of the whole book: CRC-32 of its levels as text (price:size in units of 1e-8), best first, bids before asks.
+
+    A side's levels meet in one row, as its best ones do in capped; the levels of a book, not its messages, bound that row.
+    """
+    text = F.concat_ws(":", fixed(F.col("price")).cast("string"), fixed(F.col("size")).cast("string"))
+    best = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
+    of = lambda s: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct(best.alias("k"), text.alias("t"))))), lambda x: x["t"]), "|")
+    sums = levels.groupBy(*KEYS).agg(F.concat(of("bid"), F.lit("#"), of("ask")).alias("_t")).select(*KEYS, F.crc32(F.col("_t").cast("binary")).alias("checksum"))
+    return capped(levels, most).join(sums, KEYS)
+
+
 def throttled(snapshots: DataFrame, ms: int) -> DataFrame:
     """The last snapshot of each book in every interval of ms."""
     last = snapshots.groupBy(*KEYS, (F.col("ts_ingest_ms") - F.pmod("ts_ingest_ms", F.lit(ms))).alias("interval_start")).agg(F.max_by(F.struct(*(c for c in snapshots.columns if c not in KEYS)), F.struct("ts_ingest_ms", "seq")).alias("s"))

@@ -165,6 +165,32 @@ def fused_heatmap(cells: DataFrame) -> DataFrame:
     return cells.groupBy("instrument", "window_start", "price_low", "size_class").agg(total("bid_liquidity"), total("ask_liquidity"), total("trade_volume"), F.sum("samples").alias("samples"), F.countDistinct("venue").alias("venues"))
 
 
+def fused_cells(cells: DataFrame, most: int = 1000) -> DataFrame:
+    """Heatmap cells of all venues merged by price range and size class, with each venue's volume and share; the first `most` cells of a window.
+
+    Cells are in order of low, high and size class. A cell's volume is its bid and ask liquidity and traded volume.
+    """
+    cells = cells.withColumns({"size_class": F.upper(F.trim("size_class")), "_v": fixed(F.col("bid_liquidity")) + fixed(F.col("ask_liquidity")) + fixed(F.col("trade_volume"))})
+    key = ["instrument", "window_start", "price_low", "price_high", "size_class"]
+    total = lambda x: F.sum(fixed(F.col(x))).alias(x)
+    of_venue = cells.groupBy(*key, "venue").agg(total("bid_liquidity"), total("ask_liquidity"), total("trade_volume"), F.sum("samples").alias("samples"), F.sum("_v").alias("_v"))
+    out = of_venue.groupBy(*key).agg(*(unfixed(F.sum(c)).alias(c) for c in ("bid_liquidity", "ask_liquidity", "trade_volume")), F.sum("samples").alias("samples"), F.sum("_v").alias("_t"), F.array_sort(F.collect_list(F.struct("venue", "_v"))).alias("_mix"))
+    mix = F.transform("_mix", lambda m: F.struct(m["venue"].alias("venue"), unfixed(m["_v"]).alias("volume"), F.coalesce(F.try_divide(m["_v"].cast("double"), F.col("_t").cast("double")), F.lit(0.0)).alias("weight")))
+    rank = F.row_number().over(Window.partitionBy("instrument", "window_start").orderBy("price_low", "price_high", "size_class"))
+    return out.withColumns({"venue_mix": mix, "_rank": rank}).where(F.col("_rank") <= most).drop("_mix", "_t", "_rank")
+
+
+def fills_against_largest(trades: DataFrame, step: float) -> DataFrame:
+    """fills with each group's volume against the largest of its series, and the series' own average price and imbalance.
+
+    The largest and the sums are taken over the groups, of which there are few, and joined back.
+    """
+    g = fills(trades, step).withColumn("volume", F.col("buy_volume") + F.col("sell_volume"))
+    whole = g.groupBy(*KEYS).agg(F.max("volume").alias("max_volume"), unfixed(F.sum(fixed(F.col("buy_volume")))).alias("_b"), unfixed(F.sum(fixed(F.col("sell_volume")))).alias("_s"))
+    out = g.join(whole, KEYS).withColumns({"share_of_max": F.coalesce(F.try_divide(F.col("volume"), F.col("max_volume")), F.lit(0.0)), "series_imbalance": imbalance(F.col("_b"), F.col("_s"))})
+    return out.drop("_b", "_s")
+
+
 def relative_size(trades: DataFrame, rows: int = 18) -> DataFrame:
     """Class of each trade by its size against the mean of the last `rows` trades of its series."""
     mean = F.avg("size").over(Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(-(rows - 1), 0))

@@ -65,6 +65,28 @@ def stream_health(messages: DataFrame, arrival: list[str], stretch: int = 3_600_
     return out.withColumn("state", F.when((F.col("out_of_order") > 0) | (F.col("duplicates") > 0), "NEEDS_ATTENTION").otherwise("HEALTHY"))
 
 
+def coverage_status(series: DataFrame, counts: DataFrame, kept: list[str], wanted: list[str]) -> DataFrame:
+    """Of each wanted artifact how many series have it (available), have none of it (empty) or can't (unavailable: it isn't kept), and the status.
+
+    counts: venue, instrument, artifact, n. Series are multiplied by the few artifacts, nothing else.
+    """
+    rows = series.select(*KEYS).distinct().withColumn("artifact", F.explode(F.array(*map(F.lit, wanted)))).join(counts.select(*KEYS, "artifact", "n"), [*KEYS, "artifact"], "left")
+    there = F.col("artifact").isin(*kept) if kept else F.lit(False)
+    has = F.coalesce(F.col("n"), F.lit(0)) > 0
+    g = rows.groupBy("artifact").agg(F.count("*").alias("total"), F.count_if(there & has).alias("available"), F.count_if(there & ~has).alias("empty"), F.count_if(~there).alias("unavailable"))
+    status = F.when(F.col("unavailable") == F.col("total"), "unavailable").when(F.col("empty") == F.col("total"), "empty").when((F.col("available") > 0) & (F.col("empty") > 0), "partial").when(F.col("unavailable") > 0, "partial").otherwise("available")
+    return g.withColumn("status", status)
+
+
+def position_state(positions: DataFrame, now_ms: Column, stale_ms: int) -> DataFrame:
+    """Of each account and symbol the positions (venue, side, last_fill_ms), how many are stale, and whether it is long on one venue and short on another.
+
+    A position without a fill is never stale.
+    """
+    stale = (F.col("last_fill_ms") > 0) & (now_ms - F.col("last_fill_ms") > stale_ms)
+    return positions.groupBy("account", "symbol").agg(F.count("*").alias("positions"), F.count_if(F.coalesce(stale, F.lit(False))).alias("stale"), (F.max(F.when(F.col("side") == "long", 1).otherwise(0)) * F.max(F.when(F.col("side") == "short", 1).otherwise(0)) == 1).alias("diverges"))
+
+
 def federated(hot: DataFrame, cold: DataFrame, key: list[str], start: int, end: int, boundary: int, limit: int) -> DataFrame:
     """The first `limit` windows within [start, end] over two tiers. Only the cold tier is read up to the boundary, only the hot one from it on; hot wins where both have a window."""
     tiers = [d.withColumn("_tier", F.lit(k)) for k, (d, needed) in enumerate(((hot, end > boundary), (cold, start < boundary))) if needed]

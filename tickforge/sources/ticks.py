@@ -89,6 +89,6 @@ def trades_big(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("seq", F.struct("ts_ingest_ms", "l_orderkey", "l_linenumber", "l_partkey"))
 
 
-def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def positions(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return o.select((F.col("o_custkey") % 10).alias("account"), _pick(["BINANCE", "BYBIT", "COINBASE", "KRAKEN"], F.col("o_orderkey") % 4).alias("venue"), _pick(["BTCUSDT", "ETHUSDT", "SOLUSDT"], F.col("o_custkey") % 3).alias("symbol"), F.when(F.col("o_orderkey") % 2 == 0, "long").otherwise("short").alias("side"), (1.0 + F.col("o_orderkey") % 7).alias("quantity"), F.col("o_totalprice").alias("notional"))
+    return o.select(*keep, (F.col("o_custkey") % 10).alias("account"), _pick(["BINANCE", "BYBIT", "COINBASE", "KRAKEN"], F.col("o_orderkey") % 4).alias("venue"), _pick(["BTCUSDT", "ETHUSDT", "SOLUSDT"], F.col("o_custkey") % 3).alias("symbol"), F.when(F.col("o_orderkey") % 2 == 0, "long").otherwise("short").alias("side"), (1.0 + F.col("o_orderkey") % 7).alias("quantity"), F.col("o_totalprice").alias("notional"))
