@@ -28,28 +28,32 @@ def grouped(levels: DataFrame, step: float, most: int = 50) -> DataFrame:
     return g.where(F.col("rank") <= most)
 
 
-def latest_prices(trades: DataFrame, venues: list[str], slice_ms: int = 3_600_000) -> DataFrame:
+def latest_prices(trades: DataFrame, venues: list[str], slice_ms: int = 3_600_000, unique: bool = False) -> DataFrame:
     """For each trade the latest trade of every venue in its instrument; kept where the trade is its venue's newest and two venues are known.
 
-    Adds lowest and highest price with their venues (lowest name on ties), spread, middle and spread in basis points.
+    Adds lowest and highest price with their venues (lowest name on ties), spread, middle and spread in basis points. Of equal numbers the
+    other fields tell which trade is newer; where numbers are unique within a venue and instrument (unique), they are left out.
     Time is cut into slices: each slice's last trade of a venue is carried on to the slices after it, over a small table, and every slice is
-    then ordered on its own.
+    then ordered on its own. A trade is its venue's newest if it is the greatest up to itself, and wasn't there before.
     """
     key = ["instrument", "market_type", "_slice"]
     of = lambda v, c: F.max(F.when(F.col("venue") == v, F.col(c)))
-    own = F.struct("seq", "ts_ingest_ms", "ts_exchange_ms", "trade_id", "side", "price", "size")
+    own = F.struct("seq", "price") if unique else F.struct("seq", "ts_ingest_ms", "ts_exchange_ms", "trade_id", "side", "price", "size")
     out = trades.select("instrument", "market_type", "venue", "trade_id", "ts_ingest_ms", "event_id", own.alias("own"), F.expr(f"ts_ingest_ms div {slice_ms}").alias("_slice"))
     earlier = Window.partitionBy("instrument", "market_type").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     lasts = out.groupBy(*key).agg(*(of(v, "own").alias(f"_last_{v}") for v in venues))
     carried = lasts.select(*key, *(F.max(f"_last_{v}").over(earlier).alias(f"_from_{v}") for v in venues))
     order = Window.partitionBy(*key).orderBy("ts_ingest_ms", "event_id")
     now, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    newer = lambda v, c: F.greatest(F.col(f"_from_{v}"), F.col(c))
-    out = out.withColumns({f"_{v}": of(v, "own").over(now) for v in venues} | {"older": F.max("own").over(before.partitionBy(*key, "venue"))}).join(carried, key)
-    carried_own = F.coalesce(*(F.when(F.col("venue") == v, F.col(f"_from_{v}")) for v in venues))
-    out = out.withColumns({f"_{v}": newer(v, f"_{v}") for v in venues} | {"older": F.greatest("older", carried_own)})
+    of_own = lambda name: F.coalesce(*(F.when(F.col("venue") == v, F.col(f"{name}_{v}")) for v in venues))
+    added = {f"_{v}": of(v, "own").over(now) for v in venues} | ({} if unique else {"older": F.max("own").over(before.partitionBy(*key, "venue"))})
+    out = out.withColumns(added).join(carried, key)
+    newest = F.col("own") == F.greatest(of_own("_from"), of_own(""))
+    if not unique:
+        newest = F.greatest("older", of_own("_from")).isNull() | (F.col("own") > F.greatest("older", of_own("_from")))
+    out = out.where(F.coalesce(newest, F.lit(False))).withColumns({f"_{v}": F.greatest(F.col(f"_from_{v}"), F.col(f"_{v}")) for v in venues})
     known = F.array_compact(F.array(*(F.when(F.col(f"_{v}").isNotNull(), F.struct(F.col(f"_{v}.price").alias("price"), F.lit(v).alias("venue"))) for v in venues)))
-    out = out.withColumn("known", F.array_sort(known)).where((F.size("known") >= 2) & (F.col("older").isNull() | (F.col("own") > F.col("older"))))
+    out = out.withColumn("known", F.array_sort(known)).where(F.size("known") >= 2)
     low, high = F.col("known")[0], F.expr("array_sort(filter(known, x -> x.price = known[size(known) - 1].price))[0]")
     out = out.withColumns({"venues": F.size("known").cast("long"), "min_price": low["price"], "min_venue": low["venue"], "max_price": high["price"], "max_venue": high["venue"]})
     out = out.withColumns({"spread_abs": F.round(F.col("max_price") - F.col("min_price"), 8), "mid": F.round((F.col("max_price") + F.col("min_price")) / 2, 8)})

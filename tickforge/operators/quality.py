@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.operators.windows import running_before
+from tickforge.operators.windows import numbered, running_before
 
 KEYS = ["venue", "instrument"]
 
@@ -154,10 +154,10 @@ def caught_up(df: DataFrame, skew_ms: int, arrival: list[str], keys: list[str],
 
 
 def newest(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
-    """The n newest rows of each key."""
+    """The n newest rows of each key. Spark keeps n rows a key in each task before the shuffle (WindowGroupLimit), so no task gets a whole key."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where(F.col("_k") <= n).drop("_k")
 
 
-def thinned(df: DataFrame, keys: list[str], order: str, every: int, always: Column) -> DataFrame:
-    """Every so manieth row of each key, and those that `always` holds for."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where((F.col("_k") % every == 0) | always).drop("_k")
+def thinned(df: DataFrame, keys: list[str], order: str, every: int, always: Column, stretch: int = 86_400_000) -> DataFrame:
+    """Every so manieth row of each key by `order`, a number, and those that `always` holds for. Rows are counted within stretches of the order, and the stretches before are added."""
+    return numbered(df, keys, F.expr(f"{order} div {stretch}"), [order], "_k").where((F.col("_k") % every == 0) | always).drop("_k")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.columns import fixed, imbalance, spread_bps_or_zero, unfixed
-from tickforge.operators.windows import rolling
+from tickforge.operators.windows import rolling, running_before
 
 KEYS = ["venue", "instrument"]
 
@@ -54,12 +54,22 @@ def thinning(inputs: DataFrame, z: float = -2.0, drop: float = 0.3, least: int =
     return rated(out.withColumn("drop_share", 1 - F.col("depth") / F.col("mean")), (F.col("drop_share"), DEPTH_DROP))
 
 
+#: Numbers of a series that are looked at together by rules on the row before; series are cut there.
+STRETCH = 8192
+
+
+def _with_row_before(inputs: DataFrame, *columns: str) -> DataFrame:
+    """inputs with `_b`, the number and columns of the row before in its series; null for the first. No task orders a whole series."""
+    return running_before(inputs, KEYS, F.expr(f"seq div {STRETCH}"), ["seq"], _b=(F.max, F.struct("seq", *columns)))
+
+
 def _streaks(inputs: DataFrame, limit: float) -> DataFrame:
-    """inputs beyond the limit with their sign and the number of their run of one sign in unbroken order."""
-    order = Window.partitionBy(*KEYS).orderBy("seq")
+    """inputs beyond the limit with their sign and the number of the row that their run of one sign in unbroken order begins with (island)."""
     sign = F.when(F.col("imbalance") >= limit, 1).when(F.col("imbalance") <= -limit, -1).otherwise(0)
-    r = inputs.withColumn("sign", sign)
-    return r.withColumn("island", F.sum(F.when(F.col("sign") == F.lag("sign").over(order), 0).otherwise(1)).over(order)).where("sign <> 0")
+    r = _with_row_before(inputs.withColumn("sign", sign), "sign")
+    begins = F.when(F.col("_b").isNull() | (F.col("_b.sign") != F.col("sign")), F.col("seq"))
+    r = running_before(r.withColumn("_begins", begins).drop("_b"), KEYS, F.expr(f"seq div {STRETCH}"), ["seq"], _run=(F.max, F.col("_begins")))
+    return r.withColumn("island", F.coalesce("_begins", "_run")).drop("_begins", "_run").where("sign <> 0")
 
 
 def imbalance_streaks(inputs: DataFrame, limit: float = 0.3, length: int = 10) -> DataFrame:
@@ -77,19 +87,28 @@ def persistent_imbalance(inputs: DataFrame, limit: float = 0.3, length: int = 10
 
 def sweeps(inputs: DataFrame, levels: int = 5, share: float = 0.4) -> DataFrame:
     """Snapshots where a side lost many levels and much depth since the one before; the bid side if it lost no fewer levels than the ask side."""
-    order = Window.partitionBy(*KEYS).orderBy("seq")
-    r = inputs
+    r = _with_row_before(inputs, "bid_depth", "ask_depth", "bid_levels", "ask_levels")
     for s in ("bid", "ask"):
-        before = F.lag(f"{s}_depth").over(order)
+        before = F.col(f"_b.{s}_depth")
         drop = F.when((before > 0) & (F.col(f"{s}_depth") < before), (before - F.col(f"{s}_depth")) / before).otherwise(0.0)
-        r = r.withColumns({f"{s}_lost": F.lag(f"{s}_levels").over(order) - F.col(f"{s}_levels"), f"{s}_drop": drop})
+        r = r.withColumns({f"{s}_lost": F.col(f"_b.{s}_levels") - F.col(f"{s}_levels"), f"{s}_drop": drop})
     hit = lambda s: (F.col(f"{s}_lost") >= levels) & (F.col(f"{s}_drop") >= share)
-    r = r.withColumn("side", F.when(hit("bid") & (F.col("bid_lost") >= F.col("ask_lost")), "bid").when(hit("ask"), "ask")).where("side is not null")
+    r = r.withColumn("side", F.when(hit("bid") & (F.col("bid_lost") >= F.col("ask_lost")), "bid").when(hit("ask"), "ask")).where("side is not null").drop("_b")
     of_side = lambda c: F.when(F.col("side") == "bid", F.col(f"bid_{c}")).otherwise(F.col(f"ask_{c}"))
     r = r.withColumns({"levels_lost": of_side("lost"), "depth_drop": of_side("drop")})
     return rated(r, (F.col("levels_lost"), LEVELS_LOST), (F.col("depth_drop"), SIDE_DROP))
 
 
+def evidence(inputs: DataFrame) -> DataFrame:
+    """What all rules on books find: kind, venue, instrument, seq, ts_ingest_ms, severity, confidence."""
+    rules = {"spread_explosion": spread_explosion, "thinning": thinning, "imbalance": persistent_imbalance, "sweep": sweeps}
+    out = None
+    for kind, rule in rules.items():
+        found = rule(inputs).select(F.lit(kind).alias("kind"), *KEYS, "seq", "ts_ingest_ms", "severity", "confidence")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def cooled(candidates: DataFrame, keys: list[str], ms: int = 5000, order: tuple[str, ...] = ("ts_ingest_ms",)) -> DataFrame:
     """Candidates at least ms after the last one of their stream that was kept.
 

@@ -11,6 +11,12 @@ _CRC = """xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint,
 
 _HEAT, _PROFILE, _STATS, _BOOK = (oracles.SQL[k] for k in ("heatmap_1h", "vpvr_1h", "stats_1h", "book_as_of"))
 
+#: What all rules on books find, by their own SQL.
+_EVIDENCE = " union all ".join(
+    f"select '{kind}' as kind, venue, instrument, seq, severity, confidence from ({oracles.SQL[name]})"
+    for kind, name in (("spread_explosion", "ev_spread_explosion"), ("thinning", "ev_thinning"), ("imbalance", "ev_persistent_imbalance"), ("sweep", "ev_sweep"))
+)
+
 
 def _broken(table: str, artifact: str, rules: dict[str, str]) -> str:
     return " union all ".join(f"select venue, instrument, '{rule}' as rule, count(*) as rows, '{artifact}' as artifact from {table} where {bad} group by all" for rule, bad in rules.items())
@@ -100,6 +106,14 @@ SQL = {
       ),
       p as (select account, venue, symbol, long, max(filled) as filled from o group by all)
       select account, symbol, count(*) as positions, count(*) filter ((select max(filled) from o) - filled > 5184000000::bigint) as stale, bool_or(long) and bool_or(not long) as diverges from p group by all""",
+    "evidence_by_kind": f"select * from ({_EVIDENCE}) qualify row_number() over (partition by kind, venue, instrument order by seq desc) <= 3",
+    "latest_by_subject": f"""with e as ({_EVIDENCE})
+      select venue, instrument, count(*) over w as findings, kind, seq, severity from e window w as (partition by venue, instrument) qualify row_number() over (partition by venue, instrument order by seq desc, kind desc) = 1""",
+    "sampled_violations": f"""with {_TR},
+      x as (select * replace (case when event_id % 53 = 0 then seq - 3 else seq end as seq) from t),
+      a as (select *, max({{'s': seq, 't': ts}}) over (partition by venue, instrument order by ts, event_id rows between unbounded preceding and 1 preceding) as top from x),
+      v as (select event_id, case when seq < 0 then 'seq_invalid' when top is null or seq > top.s then 'accept' when seq = top.s then 'replay_duplicate' when ts < top.t or top.s - seq <= 2048 then 'stale_event' else 'seq_non_monotonic' end as verdict from a)
+      select verdict, count(*) over (partition by verdict) as rows, event_id from v where verdict <> 'accept' qualify row_number() over (partition by verdict order by event_id) <= 64""",
     "capped_checksums": f"""with b as (select * from ({_BOOK})),
       r as (select *, row_number() over (partition by venue, instrument, side order by case when side = 'bid' then -price else price end) as k, round_even(price * 1e8, 0)::bigint || ':' || round_even(size * 1e8, 0)::bigint as x from b),
       g as (

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.columns import event_type_of, subject_category
-from tickforge.operators import books, contracts, profiles, quality, reports, windows
+from tickforge.operators import books, contracts, profiles, quality, reports, signals, windows
 from tickforge.plans.queries import BOUNDARY, K, query, rounded
 from tickforge.sources import ticks
 
@@ -147,3 +148,27 @@ def position_state(s, d):
 @query
 def capped_checksums(s, d):
     return rounded(books.capped_with_checksum(books.book_as_of(ticks.book_deltas(s, d), ts_ms=BOUNDARY), 5).select(*K, "bid_levels", "ask_levels", "spread_bps", "checksum"))
+
+
+@query
+def evidence_by_kind(s, d):
+    """The newest three findings of every rule on books in each series: the feature is that cut."""
+    e = signals.evidence(signals.book_inputs(ticks.book_snapshots(s, d)))
+    return quality.newest(e, ["kind", *K], "seq", 3).select("kind", *K, "seq", "severity", "confidence")
+
+
+@query
+def latest_by_subject(s, d):
+    """The newest finding of each series, of whatever rule; of several at one book the one with the greatest name."""
+    e = signals.evidence(signals.book_inputs(ticks.book_snapshots(s, d)))
+    return e.groupBy(*K).agg(F.count("*").alias("findings"), F.max_by(F.struct("kind", "seq", "severity"), F.struct("seq", "kind")).alias("r")).select(*K, "findings", "r.*")
+
+
+@query
+def sampled_violations(s, d):
+    """Of each verdict on sequence numbers how many rows have it, and the first 64 events of it: the feature is that cut."""
+    a = quality.sequence_audit(ticks.trades(s, d).withColumn("seq", F.when(_every(53), F.col("seq") - 3).otherwise(F.col("seq"))))
+    a = a.where("verdict <> 'accept'").select("verdict", "event_id")
+    n = a.groupBy("verdict").agg(F.count("*").alias("rows"))
+    w = F.row_number().over(Window.partitionBy("verdict").orderBy("event_id"))
+    return a.distinct().withColumn("nth", w).where("nth <= 64").join(n, "verdict").select("verdict", "rows", "event_id")

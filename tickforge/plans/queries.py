@@ -353,12 +353,12 @@ def dom_fills(s, d):
 
 @query
 def cross_venue_snapshot(s, d):
-    return rounded(books.latest_prices(ticks.trades(s, d, number=False), VENUES), 4)
+    return rounded(books.latest_prices(ticks.trades(s, d, number=False), VENUES, unique=True), 4)
 
 
 @query
 def spread_signal(s, d):
-    return rounded(books.latest_prices(ticks.trades(s, d, number=False), VENUES).where("venues >= 3 and spread_bps >= 2000").select("instrument", "trade_id", "venues", "spread_abs", "spread_bps"), 4)
+    return rounded(books.latest_prices(ticks.trades(s, d, number=False), VENUES, unique=True).where("venues >= 3 and spread_bps >= 2000").select("instrument", "trade_id", "venues", "spread_abs", "spread_bps"), 4)
 
 
 @query

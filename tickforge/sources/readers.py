@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.columns import instrument_name, side_name, venue_name
+from tickforge.operators import windows
 
 TRADE = "venue string, symbol string, trade_id string, price double, quantity double, side string, ts_exchange_ms long, ts_ingest_ms long"
 ENVELOPE = "type string, version int, venue string, instrument string, ts_exchange long, ts_ingest long, seq long, idempotency_key string, content_type string, meta map<string,string>, payload string"
@@ -46,8 +47,8 @@ def read_range(windows: DataFrame, start: int, end: int, limit: int = 1000, keep
 
 def assembled(trades: DataFrame) -> DataFrame:
     """Historical trades as a stream: dense seq from 1 in order of time and id, ingest time as exchange time, key from the trade id."""
-    order = Window.partitionBy("venue", "instrument").orderBy("ts_exchange_ms", "trade_id")
-    return trades.withColumns({"seq": F.row_number().over(order).cast("long"), "ts_ingest_ms": F.col("ts_exchange_ms"), "idempotency_key": F.concat_ws(":", "venue", "instrument", "trade_id")})
+    rows = windows.numbered(trades, ["venue", "instrument"], F.expr("ts_exchange_ms div 3600000"), ["ts_exchange_ms", "trade_id"])
+    return rows.withColumns({"seq": F.col("seq").cast("long"), "ts_ingest_ms": F.col("ts_exchange_ms"), "idempotency_key": F.concat_ws(":", "venue", "instrument", "trade_id")})
 
 
 def read_events(events: DataFrame, start: int = 0, end: int = 0, limit: int = 1000, keep: str = "first") -> DataFrame:

@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.functions.columns import SCALE, fixed, unfixed
 from tickforge.operators.signals import SPREAD_Z
+from tickforge.streaming.tables import written
 
 
 def stream_candles(trades: DataFrame, length: str = "1 minute") -> DataFrame:
@@ -28,13 +28,10 @@ def without_repeats(stream: DataFrame, key: str = "trade_id") -> DataFrame:
 
 
 def _earlier(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
-    """The rows of batches before this one in a table of batch=N folders; None where there are none."""
-    try:
-        return spark.read.parquet(path).where(F.col("batch") < epoch)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
+    """The rows of batches before this one in a table of batch=N folders; None where there are none. tables has sinks that read less."""
+    if not any(k < epoch for k in written(spark, path)):
+        return None
+    return spark.read.parquet(path).where(F.col("batch") < epoch)
 
 
 def first_write_wins(path: str, key: list[str], order: str):

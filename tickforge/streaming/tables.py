@@ -30,6 +30,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def written(spark: SparkSession, path: str) -> list[int]:
+    """The batches that a table of batch=N folders has, in order."""
+    files, at = _folder(spark, path)
+    names = [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
 def months(spark: SparkSession, path: str) -> list[str]:
     """The months that a table has, in order."""
     files, at = _folder(spark, path)
