@@ -31,7 +31,14 @@ HARMLESS_WORDS = frozenset("sha sha1 sha256 md5 commit checksum digest uuid guid
 PASSWORD_WORDS = frozenset("password passwd pwd passphrase pass".split())
 CODE_WORDS = frozenset("about account after admin alpha application array async back base before beta block body build cache call change check class client code column common config content context control count create custom data date default delete demo device document domain driver element email error event example field file filter first folder format function global group handler header height hello home host html http https image index info input item javascript json language last layout length library license limit line link list load local login main manager message method model module name network node null number object order output package page param parent password path place plugin point port print process product profile project property public query read record request resource response result return root route sample schema script search section select server service session setting simple size source start state static status step store string style success system table target template test text this time title true type update upload user utils value version view virtual width window with word work world write".split())
 FORMATS = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}")
-_CANDIDATE = re.compile(r"://[^\s/:@]{1,60}:(?P<login>[^\s/@]{4,200})@|(?<![A-Za-z0-9+/_=.@-])(?:\\?[\"']?(?P<name>[A-Za-z_][A-Za-z0-9_.-]{1,60})\\?[\"']?\s{0,2}(?P<is>[:=]{1,2}>?)\s{0,2})?(?P<quote>\\?[\"']?)(?!//)(?P<value>[A-Za-z0-9+/_=.@~%!$&*?-]{8,})")
+#: What may stand in a value; & only where no next key=value begins.
+_SIGNS = r"A-Za-z0-9+/_=.@~%!$*?#^-"
+_NAMED = r"(?:\\?[\"']?(?P<name>[A-Za-z_][A-Za-z0-9_.-]{1,60})\\?[\"']?\s{0,2}(?P<is>[:=]{1,2}>?)\s{0,2})?"
+#: A login in a URL; or a value with its name, if it has one. Where a name and = stand before, the two together are no value.
+_CANDIDATE = re.compile(
+    r"://[^\s/:@]{1,60}:(?P<login>[^\s/@]{4,200})@|(?<![A-Za-z0-9+/_=.@-])" + _NAMED + r"(?(name)|(?![A-Za-z_][A-Za-z0-9_.-]{1,60}={1,2}[A-Za-z0-9]))"
+    r"(?P<quote>\\?[\"']?)(?!//)(?=[" + _SIGNS[:-1] + r"&-]{8})(?P<value>(?:[" + _SIGNS + r"]+|&(?![A-Za-z_][A-Za-z0-9_.-]{0,60}=))+)"
+)
 _BEFORE = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[.]")
 _UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)
@@ -93,7 +100,7 @@ def _covered(value: str) -> float:
 
 
 _VOWELS = frozenset("aeiou")
-FEATURES = ["length", "digits", "uppers", "others", "transitions", "hexadecimal", "vowels", "distinct", "entropy", "covered", "slashes", "dots", "at", "uuid", "secret_word", "harmless_word", "secret_after", "harmless_after", "password_word", "assigned", "quoted", "one_class", "longest_run"]
+FEATURES = ["length", "digits", "uppers", "others", "transitions", "hexadecimal", "vowels", "distinct", "entropy", "covered", "slashes", "dots", "at", "uuid", "secret_word", "harmless_word", "secret_after", "harmless_after", "password_word", "assigned", "quoted", "one_class", "longest_run", "known_format"]
 
 
 def _neighbours(around: str) -> tuple[bool, bool, bool, bool, bool]:
@@ -114,7 +121,7 @@ def describe(value: str, around: str, assigned: bool, quoted: bool) -> list[floa
         min(n, 80), float((kinds == 0).mean()), float((kinds == 2).mean()), float((kinds == 3).mean()), float(change.mean()) if n > 1 else 0.0,
         float(re.fullmatch(r"[0-9a-fA-F]+", value) is not None), sum(c in _VOWELS for c in letters) / max(1, len(letters)), len(set(value)) / n,
         float(-(counts * np.log2(counts)).sum()), _covered(value), value.count("/") / n, value.count(".") / n, float("@" in value), float(_UUID.fullmatch(value) is not None),
-        *map(float, near), float(assigned), float(quoted), float(len(set(kinds.tolist())) == 1), float(runs.max()) / n,
+        *map(float, near), float(assigned), float(quoted), float(len(set(kinds.tolist())) == 1), float(runs.max()) / n, float(FORMATS.fullmatch(value) is not None),
     ]
 
 
@@ -250,7 +257,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Forest:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["x", "y"])
 
     x, y = written_findings()
-    for r in sampled(docs, sample).select("text").mapInArrow(label, "x array<double>, y int").limit(4000).collect():
+    for r in sampled(docs, sample).select("text").mapInArrow(label, "x array<double>, y int").orderBy(F.xxhash64("x", "y")).limit(4000).collect():
         x.append(r["x"])
         y.append(r["y"])
     return Forest(np.array(x), np.array(y, float))
