@@ -12,12 +12,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tickforge.functions import columns as C
 from tickforge.operators import book_state, books, indicators, profiles, quality, reports, signals, windows
-from tickforge.plans import check_oracles, checks, feed_oracles, feeds, oracles, view_oracles, views  # noqa: F401
+from tickforge.plans import check_oracles, checks, feed_oracles, feeds, message_oracles, messages, oracles, view_oracles, views  # noqa: F401
 from tickforge.plans.queries import REGISTRY
 from tickforge.sources import dialects, readers, ticks
 from tickforge.streaming import jobs
 
-SQL = oracles.SQL | view_oracles.SQL | feed_oracles.SQL | check_oracles.SQL
+SQL = oracles.SQL | view_oracles.SQL | feed_oracles.SQL | check_oracles.SQL | message_oracles.SQL
 SF = "/root/testdata/sf0.001"
 TRADE = "venue string, instrument string, price double, size double, side string, seq long, ts_ingest_ms long, ts_exchange_ms long, trade_id string, event_id long"
 
@@ -404,5 +404,21 @@ def test_query_equals_sql(spark, duck, name):
     assert _rows(got.columns, [tuple(r) for r in got.collect()]) == _rows(want.columns, want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["ev_spread_regime", "ev_tape_absorption"])
+def test_short_stretches_change_nothing(spark, monkeypatch, name):
+    """Series of hundreds of rows in stretches of seven: what the stretches before came to is carried on."""
+    whole = sorted(map(tuple, REGISTRY[name](spark, "/root/testdata/sf0.01").collect()))
+    monkeypatch.setattr(signals, "STRETCH", 7)
+    assert whole and whole == sorted(map(tuple, REGISTRY[name](spark, "/root/testdata/sf0.01").collect()))
+
+
+def test_size_class_across_blocks(spark):
+    """20,000 trades of one series: blocks of 8192 rows hand their last rows on."""
+    t = spark.range(1, 20_001).select(F.lit("V").alias("venue"), F.lit("I").alias("instrument"), F.col("id").alias("seq"), (F.col("id") * 7919 % 1000 + 1.0).alias("size"))
+    size = np.arange(1, 20_001) * 7919 % 1000 + 1.0
+    got = {r.seq: r.mean_size for r in profiles.relative_size(t).collect()}
+    assert len(got) == 20_000 and all(abs(got[k] - size[max(0, k - 18) : k].mean()) < 1e-9 for k in (1, 17, 18, 19, 8191, 8192, 8193, 8200, 8209, 16384, 16390, 20_000))
+
+
 def test_every_query_has_sql():
     assert set(REGISTRY) - {"bounded_windows"} == set(SQL)  # what is closed by force depends on all rows before; worked cases are in test_feeds

@@ -95,9 +95,8 @@ def book_states(deltas: DataFrame, checksums: bool = True) -> DataFrame:
     levels = F.array_sort(F.collect_list(F.struct("side", "price", "size")))
     messages = deltas.groupBy(*KEYS, "seq").agg(F.max("is_snapshot").alias("snap"), levels.alias("x")).withColumn("slice", F.expr(f"seq div {SLICE}"))
     earlier = Window.partitionBy(*KEYS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = deltas.where("is_snapshot").groupBy(*KEYS, F.expr(f"seq div {SLICE}").alias("slice")).agg(F.countDistinct("seq").alias("n"))
-    every = deltas.groupBy(*KEYS, F.expr(f"seq div {SLICE}").alias("slice")).agg(F.lit(0).alias("_")).drop("_")
-    before = every.join(slices, [*KEYS, "slice"], "left").select(*KEYS, "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    slices = deltas.groupBy(*KEYS, F.expr(f"seq div {SLICE}").alias("slice")).agg(F.count_distinct(F.when(F.col("is_snapshot"), F.col("seq"))).alias("n"))
+    before = slices.select(*KEYS, "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     within = F.count_if("snap").over(Window.partitionBy(*KEYS, "slice").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     rows = messages.withColumn("within", within).join(before, [*KEYS, "slice"])
     rows = rows.select(*KEYS, (F.col("before") + F.col("within")).alias("epoch"), "seq", "snap", "x.side", "x.price", "x.size")

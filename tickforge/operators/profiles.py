@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.columns import TIMEFRAMES, fixed, imbalance, size_class, unfixed, window_start
+from tickforge.operators.windows import rolling
 
 KEYS = ["venue", "instrument"]
 
@@ -193,8 +194,7 @@ def fills_against_largest(trades: DataFrame, step: float) -> DataFrame:
 
 def relative_size(trades: DataFrame, rows: int = 18) -> DataFrame:
     """Class of each trade by its size against the mean of the last `rows` trades of its series."""
-    mean = F.avg("size").over(Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(-(rows - 1), 0))
-    t = trades.withColumn("mean_size", mean)
+    t = rolling(trades, KEYS, "seq", rows, mean_size=F.avg("size"))
     of = F.col("size") / F.col("mean_size")
     return t.withColumn("size_class", F.when(of < 0.05, "dust").when(of < 0.5, "small").when(of >= 10, "whale").when(of >= 3, "large").otherwise("medium"))
 

@@ -239,13 +239,14 @@ def latest_regimes(regimes: DataFrame) -> DataFrame:
 def spread_regimes(inputs: DataFrame, z: float = 2.5, bps: float = 10.0, least: int = 10) -> DataFrame:
     """Snapshots where the spread, as an outlier, entered another regime: TIGHT < 5 <= NORMAL <= 20 < WIDE <= 50 < BLOWN.
 
-    The first snapshot with `least` samples is compared with the stream's first, as regimes aren't followed before.
+    The first snapshot with `least` samples (at most 63, as the last 64 are counted) is compared with the stream's first, as regimes aren't
+    followed before. No task orders a whole series.
     """
     x = F.col("spread_bps")
     r = _rolling(inputs.where("spread_bps > 0"), "spread_bps").withColumn("regime", F.when(x < 5, "TIGHT").when(x <= 20, "NORMAL").when(x <= 50, "WIDE").otherwise("BLOWN"))
-    order = Window.partitionBy(*KEYS).orderBy("seq")
-    nth = F.row_number().over(order)
-    r = r.withColumn("before", F.when(nth == least, F.first("regime").over(order)).otherwise(F.lag("regime").over(order)))
+    at = F.struct("seq", "regime")
+    r = running_before(r, KEYS, F.expr(f"seq div {STRETCH}"), ["seq"], _first=(F.min, at), _last=(F.max, at))
+    r = r.withColumn("before", F.when(F.col("n") == least, F.col("_first.regime")).otherwise(F.col("_last.regime"))).drop("_first", "_last")
     out = r.where((F.col("n") >= least) & (F.col("z") >= z) & (x > bps) & (F.col("before") != F.col("regime")))
     of_regime = lambda blown, wide, other: F.when(F.col("regime") == "BLOWN", blown).when(F.col("regime") == "WIDE", wide).otherwise(other)
     return out.withColumns({"severity": of_regime("critical", "high", "low"), "confidence": of_regime(0.95, 0.85, 0.6)})
@@ -257,7 +258,8 @@ def tape_absorption(inputs: DataFrame, tape: DataFrame, ratio: float = 2.0, bps:
     t = rolling(t, KEYS, "seq", 64, n=F.count("*"), mean=F.avg("total_volume"))
     b = inputs.where("spread_bps > 0").select(*KEYS, "seq", "spread_bps")
     u = b.withColumn("is_tape", F.lit(False)).unionByName(t.withColumn("is_tape", F.lit(True)), allowMissingColumns=True)
-    seen = F.last("spread_bps", ignorenulls=True).over(Window.partitionBy(*KEYS).orderBy("seq", "is_tape").rowsBetween(Window.unboundedPreceding, 0))
-    u = u.withColumns({"spread_bps": seen, "volume_ratio": F.col("total_volume") / F.col("mean")})
-    out = u.where(F.col("is_tape") & (F.col("n") >= least) & (F.col("spread_bps") <= bps) & (F.col("volume_ratio") >= ratio)).drop("is_tape", "n", "mean")
+    seen = F.when(~F.col("is_tape"), F.struct("seq", "spread_bps"))
+    u = running_before(u, KEYS, F.expr(f"seq div {STRETCH}"), ["seq", "is_tape"], _seen=(F.max, seen)).where("is_tape")
+    u = u.withColumns({"spread_bps": F.col("_seen.spread_bps"), "volume_ratio": F.col("total_volume") / F.col("mean")}).drop("_seen")
+    out = u.where( (F.col("n") >= least) & (F.col("spread_bps") <= bps) & (F.col("volume_ratio") >= ratio)).drop("is_tape", "n", "mean")
     return rated(out, (F.col("volume_ratio"), VOLUME_RATIO))
