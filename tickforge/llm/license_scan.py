@@ -1,8 +1,8 @@
 """License phrases and license templates in whole texts, in DataFrame operations only.
 
 Templates are found by an exact set-similarity join of text blocks with templates on containment: of a template's distinct
-words at least PERCENT per cent stand in the block. Blocks are the lines and, as license texts are wrapped, overlapping windows
-of words across line breaks, such that any REACH words in a row stand in one. Words are put in the order of their document frequency; a block that meets
+words at least PERCENT per cent stand in the block. Blocks are the lines of at most SPAN words and, as license texts are wrapped or stand in long lines, overlapping
+windows of SPAN words of the whole text, such that any REACH words in a row stand in one. Words are put in the order of their document frequency; a block that meets
 the threshold has one of the template's first |T| - need + 1 words (prefix filter), at least `need` template words in all
 (length filter), and enough words left beyond a common one on either side (positional filter). A document is looked at
 block by block only if its words as a whole meet some template's threshold.
@@ -43,6 +43,9 @@ TEMPLATES = [
 ]
 #: The longest template, and a few words more for comment marks that are words.
 REACH = max(len(x.split()) for _, x in TEMPLATES) + 5
+#: From one window of words to the next, and the words of a window.
+STEP = REACH // 2
+SPAN = REACH + STEP - 1
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,11 +108,11 @@ def template_matches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         rows += [(k, label, w, i, len(words), need, order) for i, w in enumerate(order[: len(words) - need + 1])]
     prefixes = spark.createDataFrame(rows, "template int, label string, word string, i int, size int, need int, words array<string>")
     texts = own.where("text is not null")
-    lines = texts.select("tag", F.explode(F.split("text", "\n")).alias("body")).select("tag", _words(F.col("body")).alias("body"))
-    step = REACH // 2
-    wrapped = texts.where(F.instr("text", "\n") > 0).select("tag", F.explode(F.array(_words(F.col("text")))).alias("all"))
-    spans = wrapped.select("tag", "all", F.explode(F.sequence(F.lit(1), F.size("all"), F.lit(step))).alias("at"))
-    spans = spans.select("tag", F.slice("all", F.col("at"), F.lit(REACH + step - 1)).alias("body"))
+    lines = texts.select("tag", F.explode(F.split("text", "\n")).alias("body"))
+    lines = lines.select("tag", F.explode(F.array(F.array_remove(_words(F.col("body")), ""))).alias("body")).where(F.size("body") <= SPAN)
+    spans = texts.select("tag", F.explode(F.array(_words(F.col("text")))).alias("all"))
+    spans = spans.select("tag", "all", F.explode(F.sequence(F.lit(1), F.size("all"), F.lit(STEP))).alias("at"))
+    spans = spans.select("tag", F.slice("all", F.col("at"), F.lit(SPAN)).alias("body"))
     ranked = lines.unionByName(spans).select("tag", F.explode(F.array(F.array_intersect(array(sorted(vocabulary, key=rank.get)), F.col("body")))).alias("known"))
     placed = ranked.select("*", F.posexplode("known").alias("j", "word"))
     met = placed.join(F.broadcast(prefixes), "word").where(F.size("known") >= F.col("need"))
@@ -137,7 +140,7 @@ def scan(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB SQL, by comparing every block, line or window of words, with every template."""
+    """The same in DuckDB SQL, by comparing every block, short line or window of words, with every template."""
     words = "regexp_extract_all(translate({0}, '%s', '%s'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')" % (_UPPER, _LOWER)
     at = lambda phrase: "list_filter(range(1, len(w) + 1), lambda i: " + " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) + ")"
     values = ", ".join(f"('{label}', {sorted(set(text.split()))!r})" for label, text in TEMPLATES)
@@ -148,10 +151,10 @@ w as (select r, doc_id, t, {words.format('t')} as w from d),
 b as (select r, doc_id, t, len(w) as n_words, {spots} from w),
 p as (select *, list_concat(list_concat(apache, gpl), mit) as spots from b),
 templates(label, words) as (values {values}),
-split as (select r, regexp_split_to_array(translate(t, '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from d where contains(t, chr(10))),
+split as (select r, regexp_split_to_array(translate(t, '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from d),
 blocks as (
-  select r, {words.format('x')} as w from (select r, unnest(string_split(t, chr(10))) as x from d)
-  union all select r, w[i : i + {REACH + REACH // 2 - 2}] from (select r, w, unnest(range(1, len(w) + 1, {REACH // 2})) as i from split)),
+  select r, w from (select r, {words.format('x')} as w from (select r, unnest(string_split(t, chr(10))) as x from d)) where len(w) <= {SPAN}
+  union all select r, w[i : i + {SPAN - 1}] from (select r, w, unnest(range(1, len(w) + 1, {STEP})) as i from split)),
 hits as (select r, label, max(len(list_intersect(list_distinct(w), words)) / len(words)) as c from blocks, templates
   where len(list_intersect(list_distinct(w), words)) >= ceil({PERCENT} * len(words) / 100.0) group by all),
 m as (select r, list(distinct label) as more, max(c) as best from hits group by r)
