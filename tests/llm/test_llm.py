@@ -277,6 +277,16 @@ def test_mixing_meets_budgets(spark):
         assert [x for x, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
 
 
+def test_mixing_of_rows_without_an_id(spark):
+    """Rows with no doc_id, half of them alike, and rows that share one: streams have no gaps, and blocks are all in use."""
+    d = spark.createDataFrame([(None if k < 400 else 7, "a b c" if k % 2 else f"w{k} " * (1 + k % 4), "s") for k in range(600)], "doc_id long, text string, source string")
+    rows = mixing.mix(d, block_tokens=50).collect()
+    own = sorted((r.start, r.tokens) for r in rows)
+    assert len(rows) == 600 and [x for x, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+    alike = sorted(r.start for r in rows if r.doc_id is None)
+    assert max(b - a for a, b in zip(alike, alike[1:])) < alike[-1] / 4 and alike[-1] > 1100  # they are spread over the whole stream
+
+
 def test_chat_round_trip(spark):
     turns = [(1, 0, "user", "a <|im_end|> b <\\|im_start|>"), (1, 1, "assistant", "ok <|im_start|>"), (1, 1, "assistant", None), (None, 0, None, "x"), (2, None, "system\n", "é<|endoftext|>")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
@@ -451,12 +461,13 @@ def test_wrapped_licenses(spark):
     isc = wrap("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted")
     lgpl = wrap("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "# ")
     apart = "\n".join(w + " x" * 60 for w in bsd.split())
-    kinds = [bsd, mit, isc, lgpl, apart]
+    kinds = [bsd, mit, isc, lgpl, apart, apart.replace("\n", " "), "word " * 500 + lgpl.replace("\n", " ") + " word" * 90]
     d = spark.createDataFrame([(100 * k + n, "word\n" * n + x) for k, x in enumerate(kinds) for n in (0, 7, 13, 29, 41)], "doc_id long, text string")
     got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.scan(d).collect()}
     for k, label in enumerate(["bsd", "mit", "isc", "lgpl"]):
         assert all(label in got[100 * k + n] for n in (0, 7, 13, 29, 41))
-    assert all(got[400 + n] == {""} for n in (0, 7, 13, 29, 41))
+    assert all(got[at + n] == {""} for at in (400, 500) for n in (0, 7, 13, 29, 41))  # the words stand far apart, in several lines or in one
+    assert all("lgpl" in got[600 + n] for n in (0, 7, 13, 29, 41))
 
 
 def test_wrapped_licenses_equal_sql(spark, tmp_path):

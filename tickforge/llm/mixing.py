@@ -82,14 +82,17 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, blo
     so a source realises its budget to within a document. Blocks are permuted by hash in every epoch, and documents
     within them; running sums are taken over blocks first and then within a block, so no task holds a source.
     A null source is a source of its own; rows without tokens come once, at the place of the next one. Repeated
-    rows count each. An empty table gives none.
+    rows count each. Rows of one doc_id are dealt into blocks by their texts, and rows without a doc_id by their place
+    in the input too, so that they don't meet in one block. An empty table gives none.
     """
     prepare(docs.sparkSession)
-    rows = docs.select("doc_id", "source", n_tokens(F.col("text")).alias("tokens"))
+    salt = F.xxhash64("text", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    rows = docs.select("doc_id", "source", n_tokens(F.col("text")).alias("tokens"), salt.alias("salt"))
     return mix_tokens(rows, entropy, repeats, block_tokens)
 
 
 def mix_tokens(rows: DataFrame, entropy: float, repeats: float, block_tokens: int) -> DataFrame:
+    """The mixture of rows with doc_id, source, tokens and salt, which tells rows of one doc_id apart."""
     rows = cut(rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))))
     totals = cut(rows.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("key_rows")))
     plan = weights(totals.select(F.col("key").alias("source"), "tokens"), entropy, repeats)
@@ -98,7 +101,7 @@ def mix_tokens(rows: DataFrame, entropy: float, repeats: float, block_tokens: in
     plan = plan.withColumn("blocks", F.ceil(F.col("key_tokens") / F.lit(block_tokens)).cast("long")).withColumn("epochs", epochs)
     plan = cut(plan.join(totals.select("key", "key_rows"), "key"))
     few = plan.count() <= SMALL
-    uses = (rows.join(F.broadcast(plan), "key", "left") if few else with_owner(rows, plan, "key", "key_rows")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))))
+    uses = (rows.join(F.broadcast(plan), "key", "left") if few else with_owner(rows, plan, "key", "key_rows")).withColumn("block", F.pmod(F.xxhash64("doc_id", "salt"), F.coalesce("blocks", F.lit(1))))
     sums = uses.where("epochs is not null").groupBy("key", "block", "epochs").agg(F.sum("tokens").alias("in_block"))
     sums = sums.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
     place = F.xxhash64("key", "epoch", "block")
@@ -110,7 +113,7 @@ def mix_tokens(rows: DataFrame, entropy: float, repeats: float, block_tokens: in
     sums = sums.withColumn("in_order", F.coalesce(F.sum("in_block").over(inner), F.lit(0))).join(stretches, ["key", "epoch", "stretch"])
     sums = sums.select("key", "block", "epoch", (F.col("ahead") + F.col("in_order")).alias("before"))
     within = uses.where("epochs is not null").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
-    running = F.sum("tokens").over(Window.partitionBy("key", "block", "epoch").orderBy(F.xxhash64("doc_id", "epoch"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    running = F.sum("tokens").over(Window.partitionBy("key", "block", "epoch").orderBy(F.xxhash64("doc_id", "salt", "epoch"), "doc_id", "salt").rowsBetween(Window.unboundedPreceding, -1))
     within = within.withColumn("inside", F.coalesce(running, F.lit(0)))
     placed = within.join(sums, ["key", "block", "epoch"])
     start = F.col("epoch") * F.col("key_tokens") + F.col("before") + F.col("inside")
@@ -126,7 +129,7 @@ def mixed_documents(docs: DataFrame, entropy: float = ENTROPY, repeats: float =
     tag = F.xxhash64("doc_id", "source", "text")
     rows = docs.select(tag.alias("__tickforge_tag"), "source", n_tokens(F.col("text")).alias("tokens"))
     units = rows.groupBy("__tickforge_tag", "source").agg(F.sum("tokens").alias("tokens"))
-    uses = mix_tokens(units.withColumnRenamed("__tickforge_tag", "doc_id"), entropy, repeats, BLOCK_TOKENS)
+    uses = mix_tokens(units.withColumnRenamed("__tickforge_tag", "doc_id").withColumn("salt", F.lit(0).cast("long")), entropy, repeats, BLOCK_TOKENS)
     times = uses.groupBy(F.col("doc_id").alias("__tickforge_tag")).agg(F.count("*").alias("__tickforge_times"))
     counted = docs.withColumn("__tickforge_tag", tag).join(times, "__tickforge_tag")
     return counted.withColumn("__tickforge_n", F.explode(F.sequence(F.lit(1).cast("long"), "__tickforge_times"))).select(*docs.columns)
