@@ -422,3 +422,9 @@ def test_size_class_across_blocks(spark):
 
 def test_every_query_has_sql():
     assert set(REGISTRY) - {"bounded_windows"} == set(SQL)  # what is closed by force depends on all rows before; worked cases are in test_feeds
+
+
+def test_latest_prices_without_lambdas(spark):
+    """The condition on the spread holds all that the spread is made of, many times over: it must be plain comparisons, no sorts of arrays by lambdas."""
+    plan = REGISTRY["spread_signal"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "array_sort" not in plan

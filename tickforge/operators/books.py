@@ -52,10 +52,12 @@ def latest_prices(trades: DataFrame, venues: list[str], slice_ms: int = 3_600_00
     if not unique:
         newest = F.greatest("older", of_own("_from")).isNull() | (F.col("own") > F.greatest("older", of_own("_from")))
     out = out.where(F.coalesce(newest, F.lit(False))).withColumns({f"_{v}": F.greatest(F.col(f"_from_{v}"), F.col(f"_{v}")) for v in venues})
-    known = F.array_compact(F.array(*(F.when(F.col(f"_{v}").isNotNull(), F.struct(F.col(f"_{v}.price").alias("price"), F.lit(v).alias("venue"))) for v in venues)))
-    out = out.withColumn("known", F.array_sort(known)).where(F.size("known") >= 2)
-    low, high = F.col("known")[0], F.expr("array_sort(filter(known, x -> x.price = known[size(known) - 1].price))[0]")
-    out = out.withColumns({"venues": F.size("known").cast("long"), "min_price": low["price"], "min_venue": low["venue"], "max_price": high["price"], "max_venue": high["venue"]})
+    # by plain comparisons, as conditions on what comes out are evaluated with all that it is made of, many times over
+    known = {v: F.when(F.col(f"_{v}").isNotNull(), F.struct(F.col(f"_{v}.price").alias("price"), F.lit(v).alias("venue"))) for v in sorted(venues)}
+    low, top = F.least(*known.values()), F.greatest(*known.values())["price"]
+    high = F.coalesce(*(F.when(x["price"] == top, x["venue"]) for x in known.values()))
+    count = sum((F.col(f"_{v}").isNotNull().cast("long") for v in venues), F.lit(0).cast("long"))
+    out = out.withColumns({"venues": count, "min_price": low["price"], "min_venue": low["venue"], "max_price": top, "max_venue": high}).where("venues >= 2")
     out = out.withColumns({"spread_abs": F.round(F.col("max_price") - F.col("min_price"), 8), "mid": F.round((F.col("max_price") + F.col("min_price")) / 2, 8)})
     bps = F.when(F.col("mid") > 0, (F.col("max_price") - F.col("min_price")) / F.col("mid") * 10_000).otherwise(0.0)
     return out.withColumn("spread_bps", F.rint(bps * 10_000) / 10_000).select("instrument", "trade_id", "venue", "ts_ingest_ms", "venues", "min_price", "min_venue", "max_price", "max_venue", "spread_abs", "mid", "spread_bps")
