@@ -420,6 +420,21 @@ def test_size_class_across_blocks(spark):
     assert len(got) == 20_000 and all(abs(got[k] - size[max(0, k - 18) : k].mean()) < 1e-9 for k in (1, 17, 18, 19, 8191, 8192, 8193, 8200, 8209, 16384, 16390, 20_000))
 
 
+def test_size_class_on_the_boundary(spark):
+    """Series of 18 trades whose last is just half or three times their mean: never small, always large, however sums are rounded."""
+    rng, rows = np.random.default_rng(5), []
+    for k in range(200):
+        cents = rng.integers(1, 500, 17)
+        part, of = (35, "half") if k % 2 else (5, "thrice")  # 2 * 18 * x = sum + x, 18 * x = 3 * (sum + x)
+        cents[0] += -cents.sum() % part
+        rows += [(of, str(k), n, c / 100.0) for n, c in enumerate([*map(int, cents), int(cents.sum()) // part], 1)]
+    t = spark.createDataFrame(rows, "venue string, instrument string, seq long, size double")
+    got = profiles.relative_size(t).where("seq = 18").groupBy("venue", "size_class").count().collect()
+    assert sorted(map(tuple, got)) == [("half", "medium", 100), ("thrice", "large", 100)]
+    nothing = spark.createDataFrame([("V", "I", n, 0.0) for n in (1, 2)], "venue string, instrument string, seq long, size double")
+    assert [r.size_class for r in profiles.relative_size(nothing).collect()] == ["medium"] * 2
+
+
 def test_every_query_has_sql():
     assert set(REGISTRY) - {"bounded_windows"} == set(SQL)  # what is closed by force depends on all rows before; worked cases are in test_feeds
 

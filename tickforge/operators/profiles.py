@@ -193,10 +193,17 @@ def fills_against_largest(trades: DataFrame, step: float) -> DataFrame:
 
 
 def relative_size(trades: DataFrame, rows: int = 18) -> DataFrame:
-    """Class of each trade by its size against the mean of the last `rows` trades of its series."""
-    t = rolling(trades, KEYS, "seq", rows, mean_size=F.avg("size"))
-    of = F.col("size") / F.col("mean_size")
-    return t.withColumn("size_class", F.when(of < 0.05, "dust").when(of < 0.5, "small").when(of >= 10, "whale").when(of >= 3, "large").otherwise("medium"))
+    """Class of each trade by its size against the mean of the last `rows` trades of its series: dust below 1/20 of it, small below 1/2, large from
+    3 times and whale from 10 times the mean.
+
+    Sizes are compared as whole numbers of 1e-8 (size x count against the sum), as many are just half or three times the mean, where a
+    rounded quotient depends on the order in which the sum was taken. Where the sum isn't above 0 all are medium.
+    """
+    q = fixed(F.col("size"))
+    t = rolling(trades, KEYS, "seq", rows, mean_size=F.avg("size"), _sum=F.sum(q.cast("decimal(19,0)")), _count=F.count(q))
+    of, to = q.cast("decimal(19,0)") * F.col("_count").cast("decimal(10,0)"), F.col("_sum")
+    t = t.withColumn("size_class", F.when(~F.coalesce(to > 0, F.lit(False)), "medium").when(of * 20 < to, "dust").when(of * 2 < to, "small").when(of >= to * 10, "whale").when(of >= to * 3, "large").otherwise("medium"))
+    return t.drop("_sum", "_count")
 
 
 def coarsened(cells: DataFrame, step: float, keys: list[str], buckets: int = 512, most: int = 2048, widest: int = 64) -> DataFrame:

@@ -164,7 +164,7 @@ for _tf, _ms in (("1m", 60_000), ("5m", 300_000), ("15m", 900_000), ("1h", 3_600
     SQL[f"candles_{_tf}"] = f"with {_TR}, {_candles(_tf, _ms)} select venue, instrument, window_start, timeframe, window_end, {_OHLC}, round(buy_volume, 6) as buy_volume, round(sell_volume, 6) as sell_volume, trade_count, is_closed from c"
 
 SQL["fused_heatmap"] = SQL["heatmap_1h"].replace("select venue, instrument, window_start, round(price_low, 6)", "select instrument, window_start, round(price_low, 6)").replace("count(*) as samples, min(seq) as seq_min, max(seq) as seq_max", "count(*) as samples, count(distinct venue) as venues")
-SQL["trade_size_class"] = f"with {_TR}, a as (select *, size / avg(size) over (partition by venue, instrument order by seq rows between 17 preceding and current row) as x from t) select venue, instrument, case when x < 0.05 then 'dust' when x < 0.5 then 'small' when x >= 10 then 'whale' when x >= 3 then 'large' else 'medium' end as size_class, count(*) as trades, max(seq) as last_seq from a group by all"
+SQL["trade_size_class"] = f"with {_TR}, a as (select *, (q * count(q) over w)::hugeint as x, sum(q) over w as y from t window w as (partition by venue, instrument order by seq rows between 17 preceding and current row)) select venue, instrument, case when y <= 0 then 'medium' when x * 20 < y then 'dust' when x * 2 < y then 'small' when x >= y * 10 then 'whale' when x >= y * 3 then 'large' else 'medium' end as size_class, count(*) as trades, max(seq) as last_seq from a group by all"
 SQL["venue_trades"] = f"with {_TR} select ['BINANCE','BYBIT','COINBASE','HYPERLIQUID','KRAKEN','KRAKENF'][event_id % 6 + 1] as venue, case when event_id % 6 < 2 then instrument else replace(instrument, 'USDT', 'USD') end as instrument, trade_id, price, size, side, tx as ts_exchange_ms from t"
 SQL["book_states"] = f"""with {_BD}, mq as (select venue, instrument, seq, max(snap::int) as sn from lv group by all), ms as (select venue, instrument, seq, sum(sn) over (partition by venue, instrument order by seq) as ep from mq),
 le as (select lv.*, ep from lv join ms using (venue, instrument, seq)), st as (select m.venue, m.instrument, m.seq, l.side, l.price, arg_max(l.size, l.seq) as size from ms m join le l on l.venue = m.venue and l.instrument = m.instrument and l.ep = m.ep and l.seq <= m.seq group by all),
