@@ -203,6 +203,22 @@ def test_forced_close_of_the_oldest_window(spark):
     assert roomy.count() == 0
 
 
+def test_bounded_windows_in_blocks(spark):
+    """Blocks of 16 of 600 trades give what one machine gives that takes all in order, and no task reads them all; a window open to the end as well."""
+    rng = random.Random(4)
+    rows = [("V", rng.choice("ABCDEFGH"), float(rng.randrange(1, 99)), 1.0, 300 * k - rng.randrange(1500) + 2000, 10 * k if k else None, k) for k in range(600)]
+    for far in (False, True):
+        some = [*rows, ("V", "Z", 5.0, 1.0, 10**9, 95, 1000), *(("V", "Z", 6.0, 1.0, 10 * t, t, 2000 + t) for t in range(101, 6000, 90))] if far else rows
+        table, want = open_windows.OpenWindows(1000, 3), []
+        for r in sorted(some, key=lambda r: (r[5] or -1, r[6])):
+            want += table.add(r[:2], r[4], r[2], 100_000_000)
+        want += table.rest()
+        got = open_windows.bounded_windows(spark.createDataFrame(some, TRADE), 1000, most=3, shards=1, slice_ms=500, block=16, rounds=3)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("MapInArrow" in plan) == far and "FlatMapCoGroupsInArrow" in plan
+
+
 def test_bounded_windows_as_a_stream(spark, tmp_path):
     """Three triggers close the same windows as one pass over all rows."""
     from tickforge.streaming import state

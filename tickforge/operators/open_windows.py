@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tickforge.functions.columns import SCALE, fixed
-from tickforge.workers import prepare
+from tickforge.operators.windows import numbered
+from tickforge.workers import cut, prepare
 
 KEYS = ["venue", "instrument"]
 #: Series that one shard keeps a window open for.
@@ -75,18 +76,82 @@ def _valid(trades: DataFrame) -> DataFrame:
     return trades.where("price > 0 and size > 0").withColumn("q", fixed(F.col("size")))
 
 
-def bounded_windows(trades: DataFrame, ms: int, most: int = MOST_OPEN, shards: int = 16, arrival: tuple[str, ...] = ("ts_ingest_ms", "event_id"), time_col: str = "ts_exchange_ms") -> DataFrame:
+def bounded_windows(trades: DataFrame, ms: int, most: int = MOST_OPEN, shards: int = 16, arrival: tuple[str, ...] = ("ts_ingest_ms", "event_id"), time_col: str = "ts_exchange_ms", slice_ms: int = 10_000, block: int = 65_536, rounds: int = 8) -> DataFrame:
     """Candles in order of arrival, with what closed each: a later trade of its series, force, or the end of the input.
 
     Series are dealt out to `shards` by a hash of their names, and each shard keeps at most `most` windows open. A trade of a series without
-    an open window, where there is no room, first closes the window that began first (of equal ones that of the least name). A task reads its
-    shards in order, a batch at a time.
+    an open window, where there is no room, first closes the window that began first (of equal ones that of the least name).
+
+    A shard is cut into blocks of rows, which are many tasks' work. A block first begins with the windows that the block before it leaves open
+    if that one began with none; blocks are gone through again while what they were given isn't what the block before leaves, so the result is
+    that of one pass in order. A round settles at least one more block of each shard, and as a rule all of them. Where a window stays open for
+    blocks on end, shards that `rounds` rounds don't settle are read in order, by a task each. Rows are numbered by slices of slice_ms of the
+    first arrival column, in milliseconds.
     """
     prepare(trades.sparkSession)
+    own = ["_shard", "_block"]
+    rows = _valid(trades).withColumn("_shard", F.pmod(F.xxhash64(*KEYS), F.lit(shards)))
+    rows = numbered(rows, ["_shard"], F.coalesce(F.expr(f"{arrival[0]} div {slice_ms}"), F.lit(-(2**63))), list(arrival), "_n").withColumn("_block", F.expr(f"(_n - 1) div {block}"))
+    rows = cut(rows.select(*own, "_n", *KEYS, F.col(time_col).alias("_ts"), "price", "q"))
+    ends = rows.groupBy("_shard").agg(F.max("_block").alias("_block"))
+    begun = f"_shard {dict(rows.dtypes)['_shard']}, _block long, open array<struct<{', '.join(x.replace(' ', ': ') for x in _WINDOW.split(', '))}>>"
+    held = pa.list_(pa.struct([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}[x.split()[1]]) for x in _WINDOW.split(", ")]))
+
+    def run(left: pa.Table, right: pa.Table) -> tuple[OpenWindows, list[tuple]]:
+        table, out, left = OpenWindows(ms, most), [], left.sort_by("_n")
+        for w in (right.column("open")[0].as_py() or []) if right.num_rows else []:
+            venue, instrument, *rest = w.values()
+            table.held[venue, instrument] = rest
+            heappush(table.heap, (rest[0], (venue, instrument)))
+        for venue, instrument, ts, price, q in zip(*(left.column(c).to_pylist() for c in [*KEYS, "_ts", "price", "q"])):
+            out += table.add((venue, instrument), ts, price, q)
+        return table, out
+
+    def leaves(left: pa.Table, right: pa.Table) -> pa.Table:
+        table, _ = run(left, right)
+        names = [f.name for f in held.value_type]
+        state = [dict(zip(names, (*series, *w))) for series, w in sorted(table.held.items())]
+        return left.slice(0, 1).select(own).append_column("open", pa.array([state][: left.num_rows], held))
+
+    def closes(left: pa.Table, right: pa.Table) -> pa.Table:
+        table, out = run(left, right)
+        if left.num_rows and left.column("_last")[0].as_py():
+            out += table.rest()
+        return pa.Table.from_batches([_batch(out)])
+
+    def gone_through(some: DataFrame, given: DataFrame) -> DataFrame:
+        return cut(some.groupBy(*own).cogroup(given.groupBy(*own)).applyInArrow(leaves, begun))
+
+    given = trades.sparkSession.createDataFrame([], begun)
+    after, unsettled = gone_through(rows, given), None
+    for k in range(rounds + 1):
+        wanted = after.withColumn("_block", F.col("_block") + 1).join(ends.withColumnRenamed("_block", "_end"), "_shard").where("_block <= _end").drop("_end")
+        changed = cut(wanted.join(given.withColumnRenamed("open", "had"), own, "left").where("not (open <=> had)").select(*own, "open"))
+        if not changed.take(1):
+            break
+        if k == rounds:
+            unsettled = changed.select("_shard").distinct()
+            break
+        again = gone_through(rows.join(changed.select(*own), own, "left_semi"), changed)
+        given = cut(given.join(changed.select(*own), own, "left_anti").unionByName(changed))
+        after = cut(after.join(again.select(*own), own, "left_anti").unionByName(again))
+    settled = rows if unsettled is None else rows.join(unsettled, "_shard", "left_anti")
+    if unsettled is not None:
+        given = given.join(unsettled, "_shard", "left_anti")
+    last = settled.join(F.broadcast(ends.withColumnRenamed("_block", "_end")), "_shard").withColumn("_last", F.col("_block") == F.col("_end")).drop("_end")
+    out = last.groupBy(*own).cogroup(given.groupBy(*own)).applyInArrow(closes, OUT)
+    return out if unsettled is None else out.unionByName(_in_order(rows.join(unsettled, "_shard", "left_semi"), ms, most, shards))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(_SCHEMA), _SCHEMA)], schema=_SCHEMA)
+
+
+def _in_order(rows: DataFrame, ms: int, most: int, shards: int) -> DataFrame:
+    """Shards from end to end, a batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, table = None, OpenWindows(ms, most)
-        give = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(_SCHEMA), _SCHEMA)], schema=_SCHEMA)
         for batch in batches:
             out = []
             for shard, venue, instrument, ts, price, q in zip(*(c.to_pylist() for c in batch.columns)):
@@ -94,12 +159,11 @@ def bounded_windows(trades: DataFrame, ms: int, most: int = MOST_OPEN, shards: i
                     out += table.rest()
                     at, table = shard, OpenWindows(ms, most)
                 out += table.add((venue, instrument), ts, price, q)
-            yield give(out)
-        yield give(table.rest())
+            yield _batch(out)
+        yield _batch(table.rest())
 
-    rows = _valid(trades).withColumn("_shard", F.pmod(F.xxhash64(*KEYS), F.lit(shards)))
-    dealt = rows.repartition(shards, "_shard").sortWithinPartitions("_shard", *arrival)
-    return dealt.select("_shard", *KEYS, time_col, "price", "q").mapInArrow(run, OUT)
+    dealt = rows.repartition(shards, "_shard").sortWithinPartitions("_shard", "_n")
+    return dealt.select("_shard", *KEYS, "_ts", "price", "q").mapInArrow(run, OUT)
 
 
 class _Shard(StatefulProcessor):
